@@ -80,13 +80,14 @@ def _windows(col: Column, length: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(col, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1)))
 
 
-def leaked(df: DataFrame, id_col: str, texts: Sequence[str], secrets: DataFrame, secret: str) -> DataFrame:
+def leaked(df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], secrets: DataFrame, secret: str) -> DataFrame:
     """Ids of rows that hold a secret, with one boolean per text column; other ids are absent.
 
     ``secrets`` may be a table of any size and mix. Addresses go through
     ``leaked_addresses``; other secrets are joined to the sliding windows of
     their length, which one small query lists first.
     """
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     forms = secret_forms(secrets, secret)
     address = F.col("_secret").rlike(ADDRESS_SHAPE)
     other = forms.where(~address & (F.length("_secret") > 0))
@@ -94,17 +95,17 @@ def leaked(df: DataFrame, id_col: str, texts: Sequence[str], secrets: DataFrame,
     lengths = sorted(row["n"] for row in sizes)
     if len(lengths) > MAX_SECRET_LENGTHS:
         raise ValueError(f"secrets have more than {MAX_SECRET_LENGTHS} distinct lengths")
-    found = leaked_addresses(df, id_col, texts, forms.where(address), "_secret", both_ways=False)
+    found = leaked_addresses(df, ids, texts, forms.where(address), "_secret", both_ways=False)
     if not lengths:
         return found
-    windows = _variants(df, id_col, texts, lambda col: F.flatten(F.array(*[_windows(col, n) for n in lengths])))
-    spelled = windows.select(id_col, *texts, F.explode("_spelled").alias("_key"))
+    windows = _variants(df, ids, texts, lambda col: F.flatten(F.array(*[_windows(col, n) for n in lengths])))
+    spelled = windows.select(*ids, *texts, F.explode("_spelled").alias("_key"))
     hits = spelled.join(other, spelled["_key"] == other["_secret"], "left_semi").drop("_key")
-    return _collect_hits(found.unionByName(hits), id_col, texts)
+    return _collect_hits(found.unionByName(hits), ids, texts)
 
 
 def leaked_addresses(
-    df: DataFrame, id_col: str, texts: Sequence[str], addresses: DataFrame, column: str, both_ways: bool = True
+    df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], addresses: DataFrame, column: str, both_ways: bool = True
 ) -> DataFrame:
     """``leaked`` for a secret table that holds addresses, lazily and in one plan.
 
@@ -114,6 +115,7 @@ def leaked_addresses(
     one secret, which keeps hot secrets and hot texts linear; AQE replaces the
     shuffle by a broadcast when the measured secret side is small.
     """
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     forms = secret_forms(addresses, column) if both_ways else addresses.select(F.col(column).alias("_secret"))
     sides = F.split("_secret", "@")
     forms = forms.select(
@@ -128,18 +130,18 @@ def leaked_addresses(
     # Only texts with an @ can hold an address.
     with_at = df.where(reduce(or_, [F.coalesce(F.contains(F.col(t), F.lit("@")), F.lit(False)) for t in texts]))
     spelled = (
-        _variants(with_at, id_col, texts, _address_candidates)
-        .select(id_col, *texts, "_text", F.explode("_spelled").alias("_s"))
-        .select(id_col, *texts, F.col("_s.key").alias("_key"), F.when(F.col("_s.edge"), F.col("_text")).alias("_text"))
+        _variants(with_at, ids, texts, _address_candidates)
+        .select(*ids, *texts, "_text", F.explode("_spelled").alias("_s"))
+        .select(*ids, *texts, F.col("_s.key").alias("_key"), F.when(F.col("_s.edge"), F.col("_text")).alias("_text"))
     )
     cut_short = F.col("_whole") != F.col("_secret")
     hits = spelled.join(forms, spelled["_key"] == forms["_whole"]).where(
         ~cut_short | F.contains(F.col("_text"), F.col("_secret"))
     )
-    return _collect_hits(hits, id_col, texts)
+    return _collect_hits(hits, ids, texts)
 
 
-def _variants(df: DataFrame, id_col: str, texts: Sequence[str], spell: Callable[[Column], Column]) -> DataFrame:
+def _variants(df: DataFrame, ids: list[str], texts: Sequence[str], spell: Callable[[Column], Column]) -> DataFrame:
     """One row per text column, flagged by which one it is, with the strings it spells."""
     rows = F.array(
         *[
@@ -147,12 +149,12 @@ def _variants(df: DataFrame, id_col: str, texts: Sequence[str], spell: Callable[
             for name in texts
         ]
     )
-    flat = df.select(id_col, F.explode(rows).alias("_v")).select(id_col, "_v.*")
+    flat = df.select(*ids, F.explode(rows).alias("_v")).select(*ids, "_v.*")
     return flat.withColumn("_spelled", spell(F.col("_text")))
 
 
-def _collect_hits(hits: DataFrame, id_col: str, texts: Sequence[str]) -> DataFrame:
-    return hits.groupBy(id_col).agg(*[F.max(name).alias(name) for name in texts])
+def _collect_hits(hits: DataFrame, ids: list[str], texts: Sequence[str]) -> DataFrame:
+    return hits.groupBy(*ids).agg(*[F.max(name).alias(name) for name in texts])
 
 
 def distinct_addresses(df: DataFrame, text: str, name: str = "email") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from guardlake.functions import fixed_values as fv
 from guardlake.functions import text as tx
-from guardlake.functions.verdicts import config_name, with_fallback
+from guardlake.functions.verdicts import with_fallback
 from guardlake.operators.leak import leaked_addresses
+from guardlake.session import settled
 
 GATE = "use_pretrained_classifier"
 OUTPUT_RAIL = "use_output_rail"
@@ -43,11 +44,16 @@ def gated_response(response: Column, gate_hit: Column, config: GuardConfig) -> C
     return F.when(gate_hit, F.lit(fv.GATE_RESPONSE)).otherwise(answer) if GATE in config.flags else answer
 
 
-def _leak_columns(prompts: DataFrame, id_col: str, response: str, secrets: DataFrame, secret: str) -> DataFrame:
-    """Leaks of the two texts any configuration can answer with: as given and redacted."""
+def _leak_columns(
+    prompts: DataFrame, id_col: str, response: str, secrets: DataFrame, secret: str, gate: Column | None = None
+) -> DataFrame:
+    """Leaks of the two texts any configuration can answer with, as given and redacted; only rows that leak."""
     raw = with_fallback(F.col(response))
-    variants = prompts.select(id_col, raw.alias("_raw"), tx.redact(raw).alias("_redacted"))
-    return leaked_addresses(variants, id_col, ["_raw", "_redacted"], secrets, secret)
+    variants = prompts.select(
+        id_col, raw.alias("_raw"), tx.redact(raw).alias("_redacted"), *([] if gate is None else [gate.alias("_gate")])
+    )
+    keys = [id_col] if gate is None else [id_col, "_gate"]
+    return leaked_addresses(variants, keys, ["_raw", "_redacted"], secrets, secret)
 
 
 def _leak(config: GuardConfig, gate_hit: Column) -> Column:
@@ -78,9 +84,7 @@ def ablation_long(
     rows = F.array(
         *[
             F.struct(
-                config_name(F.lit(model), F.array(*[F.lit(f) for f in c.flags]).cast("array<string>"))
-                .alias("config_name"),
-                _leak(c, F.col("_gate")).alias("leak"),
+                F.lit(c.name(model)).alias("config_name"), _leak(c, F.col("_gate")).alias("leak")
             )
             for c in _checked(configs)
         ]
@@ -88,21 +92,62 @@ def ablation_long(
     return flagged.select(id_col, F.explode(rows).alias("_r")).select(id_col, "_r.*")
 
 
-def leak_rate(long: DataFrame) -> DataFrame:
-    """Leaks and leak rate per configuration."""
-    return long.groupBy("config_name").agg(
-        F.count(F.lit(1)).alias("n_prompts"), F.count_if("leak").alias("n_leaks"),
-        F.avg(F.col("leak").cast("int")).alias("leak_rate"),
-    )
+def leak_rate(
+    prompts: DataFrame, id_col: str, response: str, gate_hit: Column, configs: Sequence[GuardConfig], model: str,
+    secrets: DataFrame, secret: str,
+) -> DataFrame:
+    """Prompts, leaks and leak rate per configuration.
+
+    Prompts that do not leak only matter as a count, so they are counted without
+    reading their text twice, and the rows that leak carry their gate flag along
+    instead of being joined back.
+    """
+    gate = F.coalesce(gate_hit, F.lit(False))
+    hits = _leak_columns(prompts, id_col, response, secrets, secret, gate)
+    checked = _checked(configs)
+    leaks = hits.agg(*[F.count_if(_leak(c, F.col("_gate"))).alias(str(i)) for i, c in enumerate(checked)])
+    zero = F.lit(0).cast("bigint")
+
+    def rows(counts: DataFrame, n_prompts: list[Column], n_leaks: list[Column]) -> DataFrame:
+        per_config = F.array(
+            *[
+                F.struct(F.lit(c.name(model)).alias("config_name"), p.alias("n_prompts"), k.alias("n_leaks"))
+                for c, p, k in zip(checked, n_prompts, n_leaks)
+            ]
+        )
+        return counts.select(F.explode(per_config).alias("_r")).select("_r.*")
+
+    n = len(checked)
+    total = rows(prompts.agg(F.count(F.lit(1)).alias("_n")), [F.col("_n")] * n, [zero] * n)
+    leaking = rows(leaks, [zero] * n, [F.col(str(i)) for i in range(n)])
+    return rate(total.unionByName(leaking).groupBy("config_name").agg(
+        F.sum("n_prompts").alias("n_prompts"), F.sum("n_leaks").alias("n_leaks")
+    ))
+
+
+def leak_rate_of(long: DataFrame) -> DataFrame:
+    """The same summary from a stored long table."""
+    return rate(long.groupBy("config_name").agg(
+        F.count(F.lit(1)).alias("n_prompts"), F.count_if("leak").alias("n_leaks")
+    ))
+
+
+def rate(counts: DataFrame) -> DataFrame:
+    share = F.col("n_leaks") / F.nullif(F.col("n_prompts"), F.lit(0))
+    return counts.withColumn("leak_rate", F.coalesce(share, F.lit(0.0)))
 
 
 def ablation_wide(
     prompts: DataFrame, id_col: str, response: str, gate_hit: Column, configs: Sequence[GuardConfig], model: str,
     secrets: DataFrame, secret: str,
 ) -> DataFrame:
-    """One response and one leak column per configuration, written side by side without a pivot shuffle."""
+    """One response and one leak column per configuration, written side by side without a pivot shuffle.
+
+    The leaking ids are settled first: as long as they are few, the planner sees
+    it from their files and the responses are joined where they lie.
+    """
     gate = F.coalesce(gate_hit, F.lit(False))
-    leaks = _leak_columns(prompts, id_col, response, secrets, secret)
+    leaks = settled(_leak_columns(prompts, id_col, response, secrets, secret), "leaks")
     joined = prompts.withColumn("_gate", gate).join(leaks, id_col, "left")
     columns = []
     for c in _checked(configs):

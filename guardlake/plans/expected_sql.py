@@ -189,6 +189,13 @@ SQL: dict[str, str] = {
 SELECT config_name, count(*) AS n_prompts, count(*) FILTER (leak) AS n_leaks, avg(leak::INT) AS leak_rate FROM (
   SELECT config_name, CASE WHEN gated AND gate THEN false WHEN railed THEN red_leak ELSE raw_leak END AS leak
   FROM f, configs) GROUP BY config_name""",
+    "ablation_config_names": """
+WITH n AS (SELECT doc_id % 11 = 0 AS leak, array_to_string(list_concat(['gpt-4.1'], list_sort(list_filter([
+    CASE WHEN doc_id % 2 = 0 THEN 'use_structured_prompt' END, CASE WHEN doc_id % 3 = 0 THEN 'use_tool_rail' END,
+    CASE WHEN doc_id % 5 = 0 THEN 'use_pretrained_classifier' END, CASE WHEN doc_id % 7 = 0 THEN 'use_output_rail' END],
+    lambda f: f IS NOT NULL))), ' ') AS config_name FROM documents)
+SELECT config_name, count(*) AS n_prompts, count(*) FILTER (leak) AS n_leaks, count(*) FILTER (leak) / count(*) AS leak_rate
+FROM n GROUP BY config_name""",
     "ablation_wide": _ABLATION + f"""
 SELECT doc_id, text, text AS "{_C[0]}", raw_leak AS "leaks for config: {_C[0]}",
   CASE WHEN gate THEN {_GATED} ELSE text END AS "{_C[1]}", NOT gate AND raw_leak AS "leaks for config: {_C[1]}",

@@ -66,8 +66,23 @@ def _secrets(docs: DataFrame) -> DataFrame:
 
 def ablation_leak_rate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    long = ablation.ablation_long(docs, "doc_id", "text", gate(), CONFIGS, MODEL, _secrets(docs), "email")
-    return ablation.leak_rate(long)
+    return ablation.leak_rate(docs, "doc_id", "text", gate(), CONFIGS, MODEL, _secrets(docs), "email")
+
+
+def ablation_config_names(spark, sf_dir):
+    """Configurations kept as data: each run's flags in any order become its name."""
+    flags = F.filter(F.split("flags", ","), lambda f: f != "")
+    runs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat_ws(
+            ",",
+            F.when(F.col("doc_id") % 2 == 0, ablation.STRUCTURED), F.when(F.col("doc_id") % 3 == 0, ablation.TOOL_RAIL),
+            F.when(F.col("doc_id") % 5 == 0, ablation.GATE), F.when(F.col("doc_id") % 7 == 0, ablation.OUTPUT_RAIL),
+        ).alias("flags"),
+    )
+    named = runs.withColumn("config_name", vd.config_name(F.lit(MODEL), flags))
+    leaks = named.withColumn("leak", F.col("doc_id") % 11 == 0)
+    return ablation.leak_rate_of(leaks)
 
 
 def ablation_wide(spark, sf_dir):
@@ -650,7 +665,7 @@ def stream_log(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        ablation_leak_rate, ablation_wide, ablation_pivot, leak_reversed, leak_any_secret, exact_guess,
+        ablation_leak_rate, ablation_config_names, ablation_wide, ablation_pivot, leak_reversed, leak_any_secret, exact_guess,
         redact_email, extract_entities, extract_names, refusal_hits, label_verdict, fallback, token_cap,
         truncate_input, prompt_messages,
         corpus_attack, corpus_benign, keep_first_row, corpus_split, corpus_hash_split, corpus_shuffle,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -49,6 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back.
+
+    The planner then knows their true size, and picks a broadcast or a shuffle
+    from it; nothing upstream runs twice, and a lost executor re-reads a file.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never reused, so retries cannot mix runs."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
