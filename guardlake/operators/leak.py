@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guardlake.functions import text as tx
 
 # Inline secrets become part of the plan; longer lists belong in a table.
 MAX_INLINE_SECRETS = 1000
-# Sliding windows cost one row per position and distinct secret length.
+# Each distinct secret length costs one array pass over every text.
 MAX_SECRET_LENGTHS = 512
+# 2**26 bits are 8 MB, broadcast whatever the number of secrets.
+FILTER_BITS = 26
 
 _CHARS = "A-Za-z0-9._%+-"
 # Spelled out per side of an @; longer addresses join on these ends and are then verified.
@@ -75,17 +78,96 @@ def _address_candidates(col: Column) -> Column:
     return F.array_distinct(F.flatten(spelled))
 
 
-def _windows(col: Column, length: int) -> Column:
-    """Every substring of one length, found in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(col, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+def _window_marks(lengths: Sequence[int]):
+    """A function from a text to ``(starts, length, marks)`` per length: two filter bits per window.
+
+    Window hashes come from prefix sums of a polynomial in wrapping 64-bit
+    arithmetic, so a text costs a few array operations per length.
+    """
+    bits = FILTER_BITS
+
+    def marks(text: str):
+        import numpy as np
+
+        base, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        n = len(codes)
+        up = np.full(n, base, dtype=np.uint64).cumprod()
+        down = np.full(n, back, dtype=np.uint64).cumprod()
+        sums = np.concatenate([np.zeros(1, np.uint64), ((codes + np.uint64(1)) * up).cumsum(dtype=np.uint64)])
+        for length in lengths:
+            if length > n:
+                continue
+            h = (sums[length:] - sums[:-length]) * down[: n - length + 1]
+            h ^= h >> np.uint64(32)
+            first = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+            second = (h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - bits)
+            yield length, first, second
+
+    return marks
+
+
+def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
+    """A Bloom filter of all secrets: ``2**FILTER_BITS`` bits, however many secrets there are.
+
+    The bits are set by a distributed aggregate of at most one row per 64 bits.
+    """
+    marks = _window_marks(lengths)
+
+    @F.pandas_udf("array<bigint>")
+    def secret_bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(
+                lambda s: [int(m[0]) for length, *both in marks(s) if length == len(s) for m in both]
+            )
+
+    bit = F.explode(secret_bits(F.col(column))).alias("_bit")
+    words = (
+        secrets.select(bit)
+        .groupBy(F.shiftright("_bit", 6).alias("_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_bit") % 64).cast("int"))).alias("_set"))
+        .toPandas()
+    )
+    import numpy as np
+
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    table[words["_word"].to_numpy()] = words["_set"].to_numpy()
+    return secrets.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
+def _suspect_windows(lengths: Sequence[int], table) -> Callable[[Column], Column]:
+    """The distinct windows of a text that may be secrets: all true ones, and few others."""
+    marks = _window_marks(lengths)
+
+    @F.pandas_udf("array<string>")
+    def suspects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        words = table.value
+        low, six = np.uint64(63), np.uint64(6)
+
+        def of(text):
+            if text is None:
+                return []
+            found = set()
+            for length, first, second in marks(text):
+                seen = (words[first >> six] >> (first & low)) & (words[second >> six] >> (second & low)) & np.uint64(1)
+                found.update(text[i : i + length] for i in np.flatnonzero(seen))
+            return sorted(found)
+
+        for batch in batches:
+            yield batch.map(of)
+
+    return suspects
 
 
 def leaked(df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], secrets: DataFrame, secret: str) -> DataFrame:
     """Ids of rows that hold a secret, with one boolean per text column; other ids are absent.
 
     ``secrets`` may be a table of any size and mix. Addresses go through
-    ``leaked_addresses``; other secrets are joined to the sliding windows of
-    their length, which one small query lists first.
+    ``leaked_addresses``; other secrets are joined to the windows of their length
+    that pass a fixed-size Bloom filter, so nearly no window is shuffled in vain
+    and the join decides.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     forms = secret_forms(secrets, secret)
@@ -98,7 +180,8 @@ def leaked(df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], se
     found = leaked_addresses(df, ids, texts, forms.where(address), "_secret", both_ways=False)
     if not lengths:
         return found
-    windows = _variants(df, ids, texts, lambda col: F.flatten(F.array(*[_windows(col, n) for n in lengths])))
+    table = _secret_filter(other, "_secret", lengths)
+    windows = _variants(df, ids, texts, _suspect_windows(lengths, table))
     spelled = windows.select(*ids, *texts, F.explode("_spelled").alias("_key"))
     hits = spelled.join(other, spelled["_key"] == other["_secret"], "left_semi").drop("_key")
     return _collect_hits(found.unionByName(hits), ids, texts)

@@ -14,6 +14,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from guardlake.functions import fixed_values as fv
+from guardlake.session import settled
+
+# Groups up to this many rows are ordered by one task; larger ones are spread.
+HOT_ROWS = 100_000
+
+
+def split_hot(
+    df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of groups too large for one task (``None`` if there are none).
+
+    One narrow pass counts the groups, collapsing copies of a key map-side. At
+    most ``rows / hot_rows`` keys can be hot; they are settled, so the planner
+    broadcasts them only if their files are small.
+    """
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = settled(sizes.where(F.col("_rows") > hot_rows).select(*group), "hot-groups")
+    if hot.isEmpty():
+        return df, None
+    return join_null_safe(df, hot, group, "left_anti"), join_null_safe(df, hot, group, "left_semi")
 
 
 def id_buckets(key: Column) -> list[Column]:
@@ -27,15 +47,11 @@ def md5_buckets(key: Column) -> list[Column]:
     return [F.substring(key, 1, 5), F.substring(key, 1, 2)]
 
 
-def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[name].eqNullSafe(right[name]) for name in names])
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys that may be null, keeping the left side's keys."""
     tagged = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
     on = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"_r_{name}")) for name in names])
-    return left.join(tagged, on, how).drop(*[f"_r_{name}" for name in names])
+    return left.join(tagged, on, how).drop(*[f"_r_{name}" for name in names if how not in ("left_semi", "left_anti")])
 
 
 def running_totals(
@@ -44,15 +60,26 @@ def running_totals(
     order: Sequence[str],
     buckets: Sequence[Column],
     group: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` along ``order``, per ``group``.
 
-    ``buckets`` go from fine to coarse and must rise with ``order``. A group of
-    any size is spread over its buckets: the only window that sees detail rows
-    is per fine bucket, and its rows come from one shuffle. Bucket sums are
+    Ordinary groups take one window. Hot groups, and a table without groups, are
+    spread over ``buckets`` of the order key, given from fine to coarse: the
+    only window that sees detail rows is per fine bucket, and bucket sums are
     pre-aggregated map-side and climb level by level.
     """
-    group = list(group)
+    if not group:
+        return _spread_totals(df, totals, order, buckets, [])
+    cold, hot = split_hot(df, group, hot_rows)
+    along = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    done = cold.withColumns({name: F.sum(value).over(along) for name, value in totals.items()})
+    return done if hot is None else done.unionByName(_spread_totals(hot, totals, order, buckets, list(group)))
+
+
+def _spread_totals(
+    df: DataFrame, totals: dict[str, Column], order: Sequence[str], buckets: Sequence[Column], group: list[str]
+) -> DataFrame:
     names = [f"_bucket{i}" for i in range(len(buckets))]
     keyed = df.withColumns(dict(zip(names, buckets)))
     inside = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -86,11 +113,11 @@ def running_totals(
 
 def with_position(
     df: DataFrame, order: Sequence[str], buckets: Sequence[Column] | None = None,
-    group: Sequence[str] = (), name: str = "position",
+    group: Sequence[str] = (), name: str = "position", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Dense positions from 0 along ``order``, per ``group``."""
     buckets = buckets or id_buckets(F.col(order[0]))
-    counted = running_totals(df, {name: F.lit(1)}, order, buckets, group)
+    counted = running_totals(df, {name: F.lit(1)}, order, buckets, group, hot_rows)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -151,6 +178,9 @@ def exact_split(
         (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
     )
     held = held.select(stratum, "_bucket", "_cut", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+    # A boolean stratum has at most three values: at most six cut buckets and three rows of cut keys.
+    few = isinstance(df.schema[stratum].dataType, T.BooleanType)
+    held = F.broadcast(held) if few else held
     nth = Window.partitionBy(stratum, "_bucket", "_cut").orderBy("_key")
     keys = (
         join_null_safe(keyed, held, [stratum, "_bucket"])
@@ -162,9 +192,7 @@ def exact_split(
             F.max(F.when(F.col("_cut") == "test", F.col("_key"))).alias("_test"),
         )
     )
-    # A boolean stratum has at most three values, so its cut table is at most three rows.
-    if isinstance(df.schema[stratum].dataType, T.BooleanType):
-        keys = F.broadcast(keys)
+    keys = F.broadcast(keys) if few else keys
     key = order_key(F.col(id_col), seed)
     split = (
         F.when(key <= F.col("_train"), "train").when(key <= F.col("_test"), "test").otherwise("val")

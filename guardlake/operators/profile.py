@@ -25,18 +25,22 @@ def pair_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
-    """One row per numeric column, one pass over the table, with sketches for distinct count and median."""
+def numeric_profile(
+    df: DataFrame, columns: list[str], sketches: bool = True, accuracy: int = 10_000
+) -> DataFrame:
+    """One row per numeric column from one pass, with sketches for distinct count and median."""
     aggregates = []
     for name in columns:
         value = F.col(name).cast("double")
         aggregates.append(
             F.struct(
                 F.lit(name).alias("column"), F.count(F.lit(1)).alias("n_rows"),
-                F.count_if(value.isNull()).alias("n_null"), F.approx_count_distinct(value).alias("approx_distinct"),
-                F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
-                F.stddev_samp(value).alias("stddev"),
-                F.percentile_approx(value, 0.5, accuracy).alias("median"),
+                F.count_if(value.isNull()).alias("n_null"), F.min(value).alias("min"), F.max(value).alias("max"),
+                F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"),
+                *([
+                    F.approx_count_distinct(value).alias("approx_distinct"),
+                    F.percentile_approx(value, 0.5, accuracy).alias("median"),
+                ] if sketches else []),
             )
         )
     return df.agg(F.array(*aggregates).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")

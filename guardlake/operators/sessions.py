@@ -7,27 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from guardlake.functions import fixed_values as fv
-from guardlake.operators.ordering import id_buckets, join_null_safe, running_totals, with_position
+from guardlake.operators.ordering import (
+    HOT_ROWS, id_buckets, join_null_safe, running_totals, split_hot, with_position,
+)
 
 
 def last_messages(
     turns: DataFrame, conv: str, turn: str, role: str, text: str,
-    n: int = fv.HISTORY_LENGTH, chunk: int = 4096, name: str = "history",
+    n: int = fv.HISTORY_LENGTH, name: str = "history", hot_rows: int = HOT_ROWS, chunk: int = 4096,
 ) -> DataFrame:
     """Each turn with the last ``n`` messages up to and including itself.
 
-    A conversation is cut into chunks of ``chunk`` turns, and the last ``n - 1``
-    turns of a chunk are copied into the next one, so every window is complete
-    and no task holds a whole conversation.
+    Ordinary conversations take one window. A hot one is cut into chunks of
+    ``chunk`` turns, and the last ``n - 1`` turns of a chunk are copied into the
+    next, so every window is complete and no task holds the conversation.
     """
-    placed = with_position(turns, [turn], group=[conv], name="_pos")
+    message = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
+    cold, hot = split_hot(turns, [conv], hot_rows)
+    recent = Window.partitionBy(conv).orderBy(turn).rowsBetween(-(n - 1), 0)
+    done = cold.withColumn(name, F.collect_list(message).over(recent))
+    if hot is None:
+        return done
+    placed = with_position(hot, [turn], group=[conv], name="_pos", hot_rows=hot_rows)
     own = F.floor(F.col("_pos") / chunk)
     also_next = (F.col("_pos") % chunk) >= (chunk - (n - 1))
     copies = F.when(also_next, F.array(own, own + 1)).otherwise(F.array(own))
     spread = placed.withColumn("_own", own).withColumn("_chunk", F.explode(copies))
     recent = Window.partitionBy(conv, "_chunk").orderBy("_pos").rowsBetween(-(n - 1), 0)
-    message = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
-    return (
+    return done.unionByName(
         spread.withColumn(name, F.collect_list(message).over(recent))
         .where(F.col("_chunk") == F.col("_own"))
         .drop("_pos", "_own", "_chunk")
@@ -40,7 +47,8 @@ def level_hits(text: Column, level_secrets: Sequence[Sequence[str]]) -> Column:
 
 
 def progression(
-    turns: DataFrame, session: str, order: str, hits: Column, levels: int, restart: Column | None = None
+    turns: DataFrame, session: str, order: str, hits: Column, levels: int, restart: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The game state around every turn of a session.
 
@@ -50,22 +58,22 @@ def progression(
     and leaves the wrong counter.
 
     The level depends on every earlier turn, yet no task folds a whole session:
-    only turns that hit some level can move it, and those are folded per key
-    bucket for every possible starting level. The bucket results are short and
-    are chained per game. Adds ``level_before, correct, level_after, wrong_after, finished``.
+    only turns that hit some level can move it, and those are folded per run of
+    ``hot_rows`` turns for every possible starting level. The results of the
+    runs are short and are chained per game. Adds ``level_before, correct, level_after, wrong_after, finished``.
     """
     is_restart = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
     marked = turns.withColumns({"_hits": hits, "_restart": is_restart})
     placed = running_totals(
         marked,
         {"_pos": F.when(F.col("_restart"), 0).otherwise(1), "_game": F.col("_restart").cast("int")},
-        [order], id_buckets(F.col(order)), [session],
+        [order], id_buckets(F.col(order)), [session], hot_rows,
     )
     game = [session, "_game"]
     active = placed.where(~F.col("_restart"))
 
     hit = active.where(F.exists("_hits", lambda h: h))
-    per_bucket = hit.groupBy(*game, id_buckets(F.col(order))[0].alias("_bucket")).agg(
+    per_bucket = hit.groupBy(*game, F.floor(F.col("_pos") / hot_rows).alias("_bucket")).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_hits"))).alias("_turns")
     )
     outcome = F.array(*[_fold_turns(start, levels) for start in range(levels)])

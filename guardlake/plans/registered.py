@@ -551,18 +551,17 @@ def text_profile(spark, sf_dir):
     return made.withColumns({name: F.round(name, 4) for name in ("mean_len", "stddev_len", "median_len", "p90_len")})
 
 
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
+
+
 def numeric_profile(spark, sf_dir):
-    return profile.numeric_profile(
-        table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
-    )
+    return profile.numeric_profile(table(spark, sf_dir, "lineitem"), MEASURES)
 
 
 def numeric_profile_exact(spark, sf_dir):
     """The exact columns of the same profile."""
-    made = numeric_profile(spark, sf_dir)
-    return made.select(
-        "column", "n_rows", "n_null", "min", "max", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev")
-    )
+    made = profile.numeric_profile(table(spark, sf_dir, "lineitem"), MEASURES, sketches=False)
+    return made.withColumns({name: F.round(name, 4) for name in ("mean", "stddev")})
 
 
 def _log_lines(spark, sf_dir) -> DataFrame:

@@ -12,22 +12,24 @@ from guardlake.session import scratch_path
 from guardlake.sources.readers import parse_log
 
 
+# A micro-batch is bounded, so what one session can bring into one task is too.
+BYTES_PER_BATCH = 10 * 1024**3
+
+
 def read_stream(
     spark: SparkSession, folder: str, schema, format: str = "parquet", pattern: str | None = None,
-    files_per_batch: int | None = None,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> DataFrame:
-    """New files of a folder as a stream."""
-    reader = spark.readStream.format(format).schema(schema)
+    """New files of a folder as a stream, a bounded amount per micro-batch."""
+    reader = spark.readStream.format(format).schema(schema).option("maxBytesPerTrigger", bytes_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(folder)
 
 
-def log_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+def log_stream(spark: SparkSession, folder: str, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
     """The chat log as a stream of parsed lines."""
-    return parse_log(read_stream(spark, folder, "value string", "text", files_per_batch=files_per_batch))
+    return parse_log(read_stream(spark, folder, "value string", "text", bytes_per_batch=bytes_per_batch))
 
 
 def guard_stream(turns: DataFrame, levels: Sequence[dict], gate: Column, keys: Sequence[str], **columns) -> DataFrame:
