@@ -89,7 +89,7 @@ def has_marker(col: Column, marker: str = fv.ENTITY_MARKER) -> Column:
 
 def tokens(col: Column) -> Column:
     """Whitespace tokens without empties."""
-    return F.filter(F.split(col, r"[ \t\n\r\f]+"), lambda t: t != "")
+    return F.array_remove(F.split(col, r"[ \t\n\r\f]+"), "")
 
 
 def token_cap(col: Column, n: int = fv.MAX_TOKENS) -> Column:

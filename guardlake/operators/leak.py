@@ -78,33 +78,39 @@ def _address_candidates(col: Column) -> Column:
     return F.array_distinct(F.flatten(spelled))
 
 
-def _window_marks(lengths: Sequence[int]):
-    """A function from a text to ``(starts, length, marks)`` per length: two filter bits per window.
+def _window_hashes(lengths: Sequence[int]):
+    """A function from a text to ``(length, hashes)``: a 64-bit hash of every window of each length.
 
-    Window hashes come from prefix sums of a polynomial in wrapping 64-bit
-    arithmetic, so a text costs a few array operations per length.
+    Hashes come from prefix sums of a polynomial in wrapping 64-bit arithmetic,
+    so a text of any size costs a few array operations per length.
     """
-    bits = FILTER_BITS
+    powers: list = []
 
-    def marks(text: str):
+    def hashes(text: str):
         import numpy as np
 
-        base, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         n = len(codes)
-        up = np.full(n, base, dtype=np.uint64).cumprod()
-        down = np.full(n, back, dtype=np.uint64).cumprod()
-        sums = np.concatenate([np.zeros(1, np.uint64), ((codes + np.uint64(1)) * up).cumsum(dtype=np.uint64)])
+        if not powers or len(powers[0]) < n:
+            base = 0x9E3779B97F4A7C15
+            both = (base, pow(base, -1, 1 << 64))
+            powers[:] = [np.full(2 * n, b, dtype=np.uint64).cumprod(dtype=np.uint64) for b in both]
+        up, down = powers[0][:n], powers[1]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * up, out=sums[1:])
         for length in lengths:
-            if length > n:
-                continue
-            h = (sums[length:] - sums[:-length]) * down[: n - length + 1]
-            h ^= h >> np.uint64(32)
-            first = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
-            second = (h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - bits)
-            yield length, first, second
+            if length <= n:
+                h = (sums[length:] - sums[:-length]) * down[: n - length + 1]
+                yield length, h ^ (h >> np.uint64(32))
 
-    return marks
+    return hashes
+
+
+def _filter_bits(h, which: int):
+    """One of a hash's two filter bits."""
+    import numpy as np
+
+    return (h * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[which])) >> np.uint64(64 - FILTER_BITS)
 
 
 def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
@@ -112,24 +118,22 @@ def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
 
     The bits are set by a distributed aggregate of at most one row per 64 bits.
     """
-    marks = _window_marks(lengths)
+    import numpy as np
+
+    hashes, bits_of = _window_hashes(lengths), _filter_bits
 
     @F.pandas_udf("array<bigint>")
     def secret_bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(
-                lambda s: [int(m[0]) for length, *both in marks(s) if length == len(s) for m in both]
+                lambda s: [int(bits_of(h[:1], i)[0]) for length, h in hashes(s) if length == len(s) for i in (0, 1)]
             )
 
     bit = F.explode(secret_bits(F.col(column))).alias("_bit")
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_bit") % 64).cast("int"))
     words = (
-        secrets.select(bit)
-        .groupBy(F.shiftright("_bit", 6).alias("_word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_bit") % 64).cast("int"))).alias("_set"))
-        .toPandas()
+        secrets.select(bit).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(mask).alias("_set")).toPandas()
     )
-    import numpy as np
-
     table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     table[words["_word"].to_numpy()] = words["_set"].to_numpy()
     return secrets.sparkSession.sparkContext.broadcast(table.view(np.uint64))
@@ -137,22 +141,24 @@ def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
 
 def _suspect_windows(lengths: Sequence[int], table) -> Callable[[Column], Column]:
     """The distinct windows of a text that may be secrets: all true ones, and few others."""
-    marks = _window_marks(lengths)
+    hashes, bits_of = _window_hashes(lengths), _filter_bits
 
     @F.pandas_udf("array<string>")
     def suspects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
         words = table.value
-        low, six = np.uint64(63), np.uint64(6)
+
+        def passing(h, which):
+            bit = bits_of(h, which)
+            return np.flatnonzero((words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
 
         def of(text):
-            if text is None:
-                return []
             found = set()
-            for length, first, second in marks(text):
-                seen = (words[first >> six] >> (first & low)) & (words[second >> six] >> (second & low)) & np.uint64(1)
-                found.update(text[i : i + length] for i in np.flatnonzero(seen))
+            for length, h in hashes(text) if text is not None else ():
+                first = passing(h, 0)
+                starts = first[passing(h[first], 1)]
+                found.update(text[i : i + length] for i in starts)
             return sorted(found)
 
         for batch in batches:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guardlake.functions import text as tx
 
 MAX_RULES = 1000
+# Exemplar tokens that may be sent to the texts.
+MAX_INDEX = 20_000
 MAX_EXEMPLAR_VECTORS = 10_000
 
 
@@ -59,10 +61,14 @@ def extract_entities(
     )
 
 
+# Texts are exploded with explode_outer where spelling them out is costly: the join drops the null row of
+# an empty array, and the planner does not compute the array a second time to filter it beforehand.
+
+
 def extract_names(df: DataFrame, id_col: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """Dictionary entities: a text's distinct tokens, stripped of punctuation, joined to a name table."""
-    bare = F.transform(tx.tokens(F.col(text)), lambda t: F.regexp_replace(t, r"^[.,;:!?()]+|[.,;:!?()]+\z", ""))
-    spoken = df.select(id_col, F.explode(F.array_distinct(bare)).alias("value"))
+    bare = F.transform(tx.tokens(F.col(text)), lambda t: F.trim(t, F.lit(".,;:!?()")))
+    spoken = df.select(id_col, F.explode_outer(F.array_distinct(bare)).alias("value"))
     known = names.select(F.col(name).alias("value")).distinct()
     return spoken.join(known, "value", "left_semi").select(id_col, F.lit("PERSON").alias("entity"), "value")
 
@@ -76,6 +82,8 @@ def nearest_exemplar(
     ``need`` of an exemplar's ``n`` tokens holds at least one of any ``n - need
     + 1`` of them, so only that many of the exemplar's longest (rarest) tokens
     enter the index. Frequent short tokens never meet, and nothing is dropped.
+    Few exemplars, by a checked count of tokens, are sent to the texts, which
+    then are not shuffled; many meet the exploded tokens in a join.
     """
     sets = exemplars.select(
         F.col(ex_id).alias("_ex"),
@@ -89,16 +97,26 @@ def nearest_exemplar(
         ).alias("_ex_tokens"),
     ).where(F.size("_ex_tokens") > 0)
     size = F.size("_ex_tokens")
-    sets = sets.withColumn("_need", F.greatest(F.ceil(size * threshold - 1e-9), F.lit(1)).cast("int"))
-    index = sets.select("_ex", F.explode(F.slice("_ex_tokens", F.lit(1), size - F.col("_need") + 1)).alias("_token"))
+    need = F.greatest(F.ceil(size * threshold - 1e-9), F.lit(1)).cast("int")
+    sets = sets.withColumn("_need", need)
+    sets = sets.withColumn("_index", F.slice("_ex_tokens", F.lit(1), size - F.col("_need") + 1))
+    index = sets.select("*", F.explode("_index").alias("_token"))
     docs = df.select(id_col, F.array_distinct(tx.tokens(F.col(text))).alias("_tokens"))
-    candidates = (
-        docs.select(id_col, F.explode("_tokens").alias("_token")).join(index, "_token")
-        .select(id_col, "_ex").distinct()
-    )
+
+    vocabulary = sets.select(F.explode("_ex_tokens").alias("_token")).limit(MAX_INDEX + 1).collect()
+    if len(vocabulary) <= MAX_INDEX:
+        # Tokens no exemplar holds cannot count, so texts shrink to the others before they meet any.
+        held = docs.select(id_col, _only("_tokens", {row["_token"] for row in vocabulary}).alias("_tokens"))
+        # A pair meets once per shared index token; only its first one counts.
+        pairs = (
+            held.withColumn("_token", F.explode_outer("_tokens")).join(F.broadcast(index), "_token")
+            .where(F.col("_token") == F.get(F.array_intersect("_index", "_tokens"), 0))
+        )
+    else:
+        met = docs.select(id_col, F.explode_outer("_tokens").alias("_token")).join(index.select("_token", "_ex"), "_token")
+        pairs = met.select(id_col, "_ex").distinct().join(docs, id_col).join(sets, "_ex")
     scored = (
-        candidates.join(docs, id_col).join(sets, "_ex")
-        .withColumn("_overlap", F.size(F.array_intersect("_ex_tokens", "_tokens")))
+        pairs.withColumn("_overlap", F.size(F.array_intersect("_ex_tokens", "_tokens")))
         .where(F.col("_overlap") >= F.col("_need"))
         .select(id_col, "_ex", (F.col("_overlap") / size).alias("score"))
     )
@@ -108,6 +126,14 @@ def nearest_exemplar(
     return best.select(id_col, ex_id, "score")
 
 
+def _only(column: str, words: set[str]) -> Column:
+    """The elements of an array column that are in a fixed word set, tested by hash."""
+    if not words:
+        return F.array().cast("array<string>")
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(words))
+    return F.expr(f"filter({column}, t -> t IN ({quoted}))")
+
+
 def nearest_vector(
     df: DataFrame, id_col: str, vector: str, exemplars: DataFrame, ex_id: str, ex_vector: str, threshold: float
 ) -> DataFrame:

@@ -8,10 +8,12 @@ from typing import Any
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from guardlake.functions.text import tokens
+
 
 def score(df: DataFrame, detectors: Mapping[str, Column]) -> DataFrame:
     """All detectors in one pass over the rows, one boolean column each. Rows carry through, so no join."""
@@ -82,36 +84,29 @@ def accuracy_and_prior(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def text_vectors(df: DataFrame, text: str, dims: int = 256, name: str = "vector") -> DataFrame:
     """Unit-length hashed TF-IDF vectors as an array column."""
-    model = _features(text, dims).fit(df)
-    made = model.transform(df).withColumn(name, vector_to_array("_unit"))
-    return made.drop("_tokens", "_tf", "_tfidf", "_unit")
-
-
-def _features(text: str, dims: int) -> Pipeline:
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\s+", toLowercase=False),
-            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(inputCol="_tfidf", outputCol="_unit"),
-        ]
-    )
+    tokenized = df.withColumn("_tokens", tokens(F.col(text)))
+    made = Pipeline(stages=_features(dims)).fit(tokenized).transform(tokenized)
+    return made.withColumn(name, vector_to_array("_unit")).drop("_tokens", "_tf", "_tfidf", "_unit")
+
+
+def _features(dims: int) -> list:
+    return [
+        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims),
+        IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_unit"),
+    ]
 
 
 def train_classifier(
     train: DataFrame, text: str, label: str, dims: int = 1 << 16, max_iter: int = 20
 ) -> PipelineModel:
     """A trainable detector: hashed TF-IDF and logistic regression, fitted on the train split."""
-    stages = [
-        *_features(text, dims).getStages(),
-        LogisticRegression(featuresCol="_unit", labelCol="_label", maxIter=max_iter, predictionCol="_class"),
-    ]
-    rows = train.select(text, F.col(label).cast("double").alias("_label"))
-    return Pipeline(stages=stages).fit(rows)
+    regression = LogisticRegression(featuresCol="_unit", labelCol="_label", maxIter=max_iter, predictionCol="_class")
+    rows = train.select(tokens(F.col(text)).alias("_tokens"), F.col(label).cast("double").alias("_label"))
+    return Pipeline(stages=[*_features(dims), regression]).fit(rows)
 
 
-def classify(model: PipelineModel, df: DataFrame, name: str = "predictions") -> DataFrame:
-    keep = df.columns
-    scored = model.transform(df)
+def classify(model: PipelineModel, df: DataFrame, text: str, name: str = "predictions") -> DataFrame:
+    scored = model.transform(df.withColumn("_tokens", tokens(F.col(text))))
     probability = F.element_at(vector_to_array("probability"), 2).alias(f"{name}_probability")
-    return scored.select(*keep, (F.col("_class") == 1.0).alias(name), probability)
+    return scored.select(*df.columns, (F.col("_class") == 1.0).alias(name), probability)

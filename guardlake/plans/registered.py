@@ -404,7 +404,7 @@ def verdict_json(spark, sf_dir):
 def ml_classifier(spark, sf_dir):
     rows = ordering.hash_split(_labelled(spark, sf_dir), "doc_id")
     model = scoring.train_classifier(rows.where("split = 'train'"), "text", "prompt_injection")
-    scored = scoring.classify(model, rows.where("split <> 'train'"))
+    scored = scoring.classify(model, rows.where("split <> 'train'"), "text")
     return scoring.with_ratios(scoring.confusion(scored, "prompt_injection", ["predictions"], ["split"]))
 
 
