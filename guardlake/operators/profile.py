@@ -65,7 +65,7 @@ def text_profile(df: DataFrame, text: str, by: list[str]) -> DataFrame:
         F.min("_len").alias("min_len"),
         F.max("_len").alias("max_len"),
         mean.alias("mean_len"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("stddev_len"),
+        F.when(total > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("stddev_len"),
         F.percentile("_len", 0.5, F.col("_n")).alias("median_len"),
         F.percentile("_len", 0.9, F.col("_n")).alias("p90_len"),
     )

@@ -49,7 +49,8 @@ def test_core_set_radius_is_within_its_bound(spark):
     near = diverse.farthest_points_coreset(df, 20, "id", "v", 0)
     best = diverse.radius(df, exact, "id", "v").first().radius
     got = diverse.radius(df, near, "id", "v").first().radius
-    # Chords of unit vectors are a metric; a core-set of greedy picks stays within a factor 4 of greedy's own 2.
+    # Chords of unit vectors are a metric, where a core-set of greedy picks reaches 4 times the optimum at most,
+    # and the optimum is no larger than what plain greedy reaches.
     assert np.sqrt(2 * got) <= 4 * np.sqrt(2 * best)
     assert near.select("id").distinct().count() == 20
 
