@@ -92,6 +92,16 @@ def tokens(col: Column) -> Column:
     return F.array_remove(F.split(col, r"[ \t\n\r\f]+"), "")
 
 
+def never_null(array: Column) -> Column:
+    """An array of strings that is empty instead of null.
+
+    With ``explode_outer`` this keeps a costly array to one evaluation: the
+    planner has no null or size test to infer, which it would run on the array's
+    own expression before exploding it. Joins drop the null row of an empty array.
+    """
+    return F.coalesce(array, F.array().cast("array<string>"))
+
+
 def token_cap(col: Column, n: int = fv.MAX_TOKENS) -> Column:
     """The first ``n`` whitespace tokens, joined by one space."""
     return F.array_join(F.slice(tokens(col), 1, n), " ")

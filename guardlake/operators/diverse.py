@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Farthest rows looked at per pass on the driver; a fixed number, whatever the table size.
 POOL = 1024
+# Rows of which a task picks local representatives at a time.
+PART_ROWS = 100_000
 # Distances are compared after rounding, so equal vectors tie whatever batch they came in.
 DIGITS = 12
 
@@ -98,26 +100,37 @@ def _unit(values):
     return x / n if n > 0 else x
 
 
-def core_set(vectors: DataFrame, per_batch: int, id_col: str, vector: str) -> DataFrame:
-    """Farthest-point picks of every Arrow batch: a small set that covers the table.
+def core_set(
+    vectors: DataFrame, per_part: int, id_col: str, vector: str, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Farthest-point picks of every ``part_rows`` rows: a small set that covers the table.
 
-    No shuffle, and a task holds one batch at a time. The union of the local
+    No shuffle, and a task holds one part at a time. The union of the local
     picks is a composable core-set, so selecting from it stays within a constant
     factor of selecting from the whole table.
     """
 
+    def parts(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= part_rows:
+                yield pd.concat(held)
+                held, rows = [], 0
+        if rows:
+            yield pd.concat(held)
+
     def local_picks(batches):
         import numpy as np
 
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in parts(batches):
             x = np.stack(batch[vector].to_numpy()).astype(float)
             n = np.linalg.norm(x, axis=1, keepdims=True)
             x = x / np.where(n == 0, 1, n)
             picks = [0]
             distance = 1 - x @ x[0]
-            while len(picks) < min(per_batch, len(x)):
+            while len(picks) < min(per_part, len(x)):
                 distance[picks] = -1
                 picks.append(int(distance.argmax()))
                 distance = np.minimum(distance, 1 - x @ x[picks[-1]])
@@ -128,15 +141,15 @@ def core_set(vectors: DataFrame, per_batch: int, id_col: str, vector: str) -> Da
 
 
 def farthest_points_coreset(
-    vectors: DataFrame, k: int, id_col: str, vector: str, start_id: int, per_batch: int | None = None
+    vectors: DataFrame, k: int, id_col: str, vector: str, start_id: int, per_part: int | None = None
 ) -> DataFrame:
     """Selection for a large ``k``: the exact loop runs over the core-set instead of the table."""
     start = vectors.where(F.col(id_col) == start_id).select(id_col, vector)
-    covering = core_set(vectors.where(F.col(id_col) != start_id), per_batch or k, id_col, vector)
+    covering = core_set(vectors.where(F.col(id_col) != start_id), per_part or k, id_col, vector)
     return farthest_points(start.unionByName(covering), k, id_col, vector, start_id)
 
 
-def radius(vectors: DataFrame, picks: DataFrame, id_col: str, vector: str, max_picks: int = 100_000) -> DataFrame:
+def radius(vectors: DataFrame, picks: DataFrame, id_col: str, vector: str, max_picks: int = 20_000) -> DataFrame:
     """Largest distance of any row to its nearest pick: what a selection achieves."""
     rows = vectors.join(picks.select(id_col), id_col, "left_semi").select(vector).limit(max_picks + 1).collect()
     if len(rows) > max_picks:

@@ -101,8 +101,10 @@ def guarded_select(
 
 def audit_queries(queries: DataFrame, query: str) -> DataFrame:
     """The same text checks over a column of logged queries: ``verdict`` and ``has_limit``."""
-    stripped = F.regexp_replace(F.col(query), r"^[ \t\n\r\f]+|[ \t\n\r\f]+\z", "")
-    body = F.when(stripped.endswith(";"), F.regexp_replace(stripped, r"[ \t\n\r\f]*;\z", "")).otherwise(stripped)
+    space = F.lit(" \t\n\r\f\v")
+    stripped = F.trim(F.col(query), space)
+    shorter = F.rtrim(F.left(stripped, F.length(stripped) - 1), space)
+    body = F.when(stripped.endswith(";"), shorter).otherwise(stripped)
     unquoted = F.regexp_replace(F.col("_body"), _QUOTED, "")
     lowered = F.lower(F.col("_body"))
     verdict = (

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guardlake.functions import text as tx
+from guardlake.session import settled
 
 # Inline secrets become part of the plan; longer lists belong in a table.
 MAX_INLINE_SECRETS = 1000
@@ -176,7 +177,7 @@ def leaked(df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], se
     and the join decides.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    forms = secret_forms(secrets, secret)
+    forms = settled(secret_forms(secrets, secret), "secrets")
     address = F.col("_secret").rlike(ADDRESS_SHAPE)
     other = forms.where(~address & (F.length("_secret") > 0))
     sizes = other.select(F.length("_secret").alias("n")).distinct().limit(MAX_SECRET_LENGTHS + 1).collect()
@@ -188,7 +189,7 @@ def leaked(df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], se
         return found
     table = _secret_filter(other, "_secret", lengths)
     windows = _variants(df, ids, texts, _suspect_windows(lengths, table))
-    spelled = windows.select(*ids, *texts, F.explode("_spelled").alias("_key"))
+    spelled = windows.select(*ids, *texts, F.explode_outer("_spelled").alias("_key"))
     hits = spelled.join(other, spelled["_key"] == other["_secret"], "left_semi").drop("_key")
     return _collect_hits(found.unionByName(hits), ids, texts)
 
@@ -220,7 +221,7 @@ def leaked_addresses(
     with_at = df.where(reduce(or_, [F.coalesce(F.contains(F.col(t), F.lit("@")), F.lit(False)) for t in texts]))
     spelled = (
         _variants(with_at, ids, texts, _address_candidates)
-        .select(*ids, *texts, "_text", F.explode("_spelled").alias("_s"))
+        .select(*ids, *texts, "_text", F.explode_outer("_spelled").alias("_s"))
         .select(*ids, *texts, F.col("_s.key").alias("_key"), F.when(F.col("_s.edge"), F.col("_text")).alias("_text"))
     )
     cut_short = F.col("_whole") != F.col("_secret")

@@ -61,14 +61,10 @@ def extract_entities(
     )
 
 
-# Texts are exploded with explode_outer where spelling them out is costly: the join drops the null row of
-# an empty array, and the planner does not compute the array a second time to filter it beforehand.
-
-
 def extract_names(df: DataFrame, id_col: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """Dictionary entities: a text's distinct tokens, stripped of punctuation, joined to a name table."""
     bare = F.transform(tx.tokens(F.col(text)), lambda t: F.trim(t, F.lit(".,;:!?()")))
-    spoken = df.select(id_col, F.explode_outer(F.array_distinct(bare)).alias("value"))
+    spoken = df.select(id_col, F.explode_outer(tx.never_null(F.array_distinct(bare))).alias("value"))
     known = names.select(F.col(name).alias("value")).distinct()
     return spoken.join(known, "value", "left_semi").select(id_col, F.lit("PERSON").alias("entity"), "value")
 
@@ -101,15 +97,17 @@ def nearest_exemplar(
     sets = sets.withColumn("_need", need)
     sets = sets.withColumn("_index", F.slice("_ex_tokens", F.lit(1), size - F.col("_need") + 1))
     index = sets.select("*", F.explode("_index").alias("_token"))
-    docs = df.select(id_col, F.array_distinct(tx.tokens(F.col(text))).alias("_tokens"))
+    docs = df.select(id_col, tx.never_null(F.array_distinct(tx.tokens(F.col(text)))).alias("_tokens"))
 
     vocabulary = sets.select(F.explode("_ex_tokens").alias("_token")).limit(MAX_INDEX + 1).collect()
     if len(vocabulary) <= MAX_INDEX:
         # Tokens no exemplar holds cannot count, so texts shrink to the others before they meet any.
-        held = docs.select(id_col, _only("_tokens", {row["_token"] for row in vocabulary}).alias("_tokens"))
+        held = docs.select(id_col, tx.never_null(_only("_tokens", {row["_token"] for row in vocabulary})).alias("_tokens"))
         # A pair meets once per shared index token; only its first one counts.
         pairs = (
-            held.withColumn("_token", F.explode_outer("_tokens")).join(F.broadcast(index), "_token")
+            held.withColumn("_token", F.explode_outer("_tokens"))
+            .join(F.broadcast(index.select("_token", "_ex")), "_token")
+            .join(F.broadcast(sets), "_ex")
             .where(F.col("_token") == F.get(F.array_intersect("_index", "_tokens"), 0))
         )
     else:

@@ -255,7 +255,7 @@ def diverse_exact(spark, sf_dir):
 
 def diverse_coreset(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return diverse.farthest_points_coreset(vectors, 40, "vec_id", "embedding", 0, per_batch=80)
+    return diverse.farthest_points_coreset(vectors, 40, "vec_id", "embedding", 0, per_part=80)
 
 
 def text_vectors(spark, sf_dir):

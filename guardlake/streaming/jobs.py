@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake.plans.turns import guard_turns
 from guardlake.session import scratch_path
-from guardlake.sources.readers import parse_log
+from guardlake.sources.readers import parse_log, path_exists
 
 
 # A micro-batch is bounded, so what one session can bring into one task is too.
@@ -111,6 +111,8 @@ def run_available(
     query.awaitTermination()
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields]
     schema = ", ".join(fields + (["batch_id bigint"] if latest_by else []))
+    if not path_exists(spark, f"{base}/out"):
+        return spark.createDataFrame([], ", ".join(fields))
     out = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
     if not latest_by:
         return out.select(*stream.columns)
