@@ -91,17 +91,20 @@ def progression(
     )
     raises = outcomes.groupBy(*game).agg(chained["at"].alias("_raises"))
 
-    # The wrong counter runs on over a restart, so each game needs the position it counts from.
-    games = join_null_safe(placed.groupBy(*game).agg(F.max("_pos").alias("_end")), raises, game, "left")
-    complete = F.coalesce(F.size("_raises") == levels, F.lit(False))
-    base = F.when(complete, F.col("_end")).otherwise(F.try_element_at("_raises", F.lit(-1)))
-    earlier = Window.partitionBy(session).orderBy("_game").rowsBetween(Window.unboundedPreceding, -1)
-    games = games.select(
-        *game, F.coalesce("_raises", F.array().cast("array<bigint>")).alias("_raises"),
-        F.coalesce(F.max(base).over(earlier), F.lit(0)).alias("_base"),
+    if restart is None:
+        games = raises.withColumn("_base", F.lit(0))
+    else:
+        # The wrong counter runs on over a restart, so each game needs the position it counts from.
+        games = join_null_safe(placed.groupBy(*game).agg(F.max("_pos").alias("_end")), raises, game, "left")
+        complete = F.coalesce(F.size("_raises") == levels, F.lit(False))
+        base = F.when(complete, F.col("_end")).otherwise(F.try_element_at("_raises", F.lit(-1)))
+        earlier = Window.partitionBy(session).orderBy("_game").rowsBetween(Window.unboundedPreceding, -1)
+        games = games.select(*game, "_raises", F.coalesce(F.max(base).over(earlier), F.lit(0)).alias("_base"))
+
+    none = F.array().cast("array<bigint>")
+    joined = join_null_safe(placed, games, game, "left").withColumns(
+        {"_raises": F.coalesce("_raises", none), "_base": F.coalesce("_base", F.lit(0))}
     )
-
-    joined = join_null_safe(placed, games, game)
     pos = F.col("_pos")
     upto = F.filter("_raises", lambda p: p <= pos)
     before = F.filter("_raises", lambda p: p < pos)

@@ -272,6 +272,7 @@ SELECT line_id FROM (SELECT line_id, row_number() OVER (ORDER BY line_id) - 1 AS
     "ordinal_column": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS my_config FROM documents",
     "diverse_exact": "WITH RECURSIVE " + _farthest("p", "embeddings", "0", 40)
     + " SELECT pick_order, vec_id, round(min_dist, 6) AS min_dist FROM p",
+    "text_vectors": f"SELECT doc_id, CASE WHEN len({_tokens('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM documents",
     "confusion": f"""
 WITH {_LABELLED} SELECT source, 'insult' AS model, {_counts(INSULT)} FROM l GROUP BY source
 UNION ALL SELECT source, 'gate' AS model, {_counts(GATE)} FROM l GROUP BY source""",

@@ -38,14 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     an unset folder is an error, because a machine-local path would lose data.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(sc.applicationId)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _LOCAL_DIRS.get(sc.applicationId)
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         named = tempfile.mkdtemp(prefix="guardlake-")
         _LOCAL_DIRS[sc.applicationId] = named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
     return named
 
 
