@@ -107,11 +107,16 @@ def _window_hashes(lengths: Sequence[int]):
     return hashes
 
 
-def _filter_bits(h, which: int):
-    """One of a hash's two filter bits."""
-    import numpy as np
+def _filter_bits():
+    """A function from hashes to one of their two filter bits."""
+    shift = 64 - FILTER_BITS
+
+    def bits_of(h, which: int):
+        import numpy as np
+
+        return (h * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[which])) >> np.uint64(shift)
 
-    return (h * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[which])) >> np.uint64(64 - FILTER_BITS)
+    return bits_of
 
 
 def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
@@ -121,7 +126,7 @@ def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
     """
     import numpy as np
 
-    hashes, bits_of = _window_hashes(lengths), _filter_bits
+    hashes, bits_of = _window_hashes(lengths), _filter_bits()
 
     @F.pandas_udf("array<bigint>")
     def secret_bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -142,7 +147,7 @@ def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
 
 def _suspect_windows(lengths: Sequence[int], table) -> Callable[[Column], Column]:
     """The distinct windows of a text that may be secrets: all true ones, and few others."""
-    hashes, bits_of = _window_hashes(lengths), _filter_bits
+    hashes, bits_of = _window_hashes(lengths), _filter_bits()
 
     @F.pandas_udf("array<string>")
     def suspects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -153,12 +153,13 @@ def exact_split(
     """Exact 80/10/10 split inside each stratum, in order of the seeded key.
 
     Two cut keys per stratum decide every row, so the texts are never shuffled:
-    bucket counts find the bucket that holds each cut, and only the rows of
-    those few buckets are ranked to read the cut key.
+    bucket counts, at most a million short rows per stratum and settled because
+    they are used twice, find the bucket that holds each cut, and only the rows
+    of those few buckets are ranked to read the cut key.
     """
     keyed = df.select(F.col(stratum), order_key(F.col(id_col), seed).alias("_key"))
     keyed = keyed.withColumn("_bucket", F.substring("_key", 1, 5))
-    counts = keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = settled(keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "bucket-counts")
     sizes = counts.groupBy(stratum).agg(F.sum("_n").alias("_size"))
     upto = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ladder = counts.withColumn("_upto", F.sum("_n").over(upto))
