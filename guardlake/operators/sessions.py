@@ -11,6 +11,11 @@ from guardlake.operators.ordering import (
     HOT_ROWS, id_buckets, join_null_safe, running_totals, split_hot, with_position,
 )
 
+# Progression rows are narrow next to messages, so one task may order more of them.
+HOT_TURNS = 10 * HOT_ROWS
+# Turns one fold may hold at a time.
+RUN_TURNS = 100_000
+
 
 def last_messages(
     turns: DataFrame, conv: str, turn: str, role: str, text: str,
@@ -48,7 +53,7 @@ def level_hits(text: Column, level_secrets: Sequence[Sequence[str]]) -> Column:
 
 def progression(
     turns: DataFrame, session: str, order: str, hits: Column, levels: int, restart: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_TURNS, run: int = RUN_TURNS,
 ) -> DataFrame:
     """The game state around every turn of a session.
 
@@ -59,7 +64,7 @@ def progression(
 
     The level depends on every earlier turn, yet no task folds a whole session:
     only turns that hit some level can move it, and those are folded per run of
-    ``hot_rows`` turns for every possible starting level. The results of the
+    ``run`` turns for every possible starting level. The results of the
     runs are short and are chained per game. Adds ``level_before, correct, level_after, wrong_after, finished``.
     """
     is_restart = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
@@ -73,7 +78,7 @@ def progression(
     active = placed.where(~F.col("_restart"))
 
     hit = active.where(F.exists("_hits", lambda h: h))
-    per_bucket = hit.groupBy(*game, F.floor(F.col("_pos") / hot_rows).alias("_bucket")).agg(
+    per_bucket = hit.groupBy(*game, F.floor(F.col("_pos") / run).alias("_bucket")).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_hits"))).alias("_turns")
     )
     outcome = F.array(*[_fold_turns(start, levels) for start in range(levels)])

@@ -49,6 +49,16 @@ def test_progression_equals_turn_by_turn_play(spark):
             want[key] = state
     df = spark.createDataFrame(rows, "s bigint, k bigint, t string, r boolean").repartition(3)
     hits = sessions.level_hits(F.col("t"), secrets)
-    for hot_rows in (10**6, 7):
-        got = sessions.progression(df, "s", "k", hits, 3, F.col("r"), hot_rows=hot_rows).collect()
+    for hot_rows, run in ((10**6, 10**6), (7, 5)):
+        got = sessions.progression(df, "s", "k", hits, 3, F.col("r"), hot_rows, run).collect()
+        assert {r.k: (r.level_before, r.correct, r.level_after, r.wrong_after, r.finished) for r in got} == want
+
+    plain = df.where("NOT r")
+    want = {}
+    for session, events in games.items():
+        kept = [e for e in events if not e[1]]
+        keys = sorted(r[1] for r in rows if r[0] == session and not r[3])
+        want |= dict(zip(keys, play(kept, secrets)))
+    for hot_rows, run in ((10**6, 10**6), (7, 5)):
+        got = sessions.progression(plain, "s", "k", hits, 3, hot_rows=hot_rows, run=run).collect()
         assert {r.k: (r.level_before, r.correct, r.level_after, r.wrong_after, r.finished) for r in got} == want
