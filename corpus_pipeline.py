@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import exact, simhash
-from guardlake.llm.common import table
+from guardlake.llm import exact, mixing, packing, quality, simhash
+from guardlake.llm.common import table, tokenizer_path
 from guardlake.session import settled
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier, fitted on the labels of these documents, does not reject."""
+    stats = settled(quality.statistics(docs), "statistics")
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    return docs.where(quality.text_score(model, spark)("text") >= quality.GOOD)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_one(docs)
 
@@ -19,9 +26,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: a row per document and epoch with the words the mix takes of it."""
+    return mixing.mixed_documents(docs, block_words=MIX_BLOCK_WORDS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their token ids and their place in a training sequence."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+#: Words of a mixed block: long, so that a source taken in part still gives long stretches of text.
+MIX_BLOCK_WORDS = 1_024
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_filter),
     ("exact dedup", exact_dedup),
     ("SimHash near-dedup", near_dedup),
+    ("source mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
 ]
 
 #: The fitted classifier cannot be written as SQL; the stages are tested one by one against plain versions.

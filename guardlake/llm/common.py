@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guardlake.session import settled
 
+#: Folder of the public vocabulary files, unless a caller names another.
+TOKENIZERS = "/opt/tokenizers"
 #: Characters of text that one step inside a task holds in decoded form.
 SLICE_CHARS = 4_000_000
 
@@ -17,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A vocabulary file in ``folder``; by default of the installed package of public tokenizers, or ``TOKENIZERS``."""
+    if folder is None:
+        try:
+            import public_tokenizers
+
+            return str(public_tokenizers.path(name))
+        except ImportError:
+            folder = TOKENIZERS
+    return f"{folder}/{name}"
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}
@@ -45,7 +59,7 @@ def per_text(
     docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list, list[str]], dict]],
 ) -> DataFrame:
     """Map-only: ``make()`` gives, once per task, a function from ids and texts to the columns of ``schema``."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
     full = schema.replace("ID_TYPE", id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

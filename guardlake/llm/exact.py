@@ -155,6 +155,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay = exact_groups(docs, id_col, text_col).where("kept").select(
         F.col("id").alias("_id"), F.col("sha256").alias("_sha"), F.col("n_points").alias("_n")
     ).distinct()
+    stay = settled(stay, "stay")
     bare = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BLANKS.decode(), "")
     wide = docs.withColumn(mark, F.sha2(bare.cast("binary"), 256)).withColumn(
         points, F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
@@ -162,6 +163,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     match = (wide[mark] == stay["_sha"]) & wide[id_col].eqNullSafe(stay["_id"]) & (wide[points] == stay["_n"])
     one = Window.partitionBy(mark, id_col).orderBy(text_col)
     return (
-        wide.join(settled(stay, "stay"), match, "left_semi").withColumn(rank, F.row_number().over(one))
+        wide.join(stay, match, "left_semi").withColumn(rank, F.row_number().over(one))
         .where(F.col(rank) == 1).select(*docs.columns)
     )

@@ -6,8 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardlake.llm import exact, simhash
-from guardlake.llm.common import table
+from guardlake.llm import chat, exact, html_text, licences, lines, mixing, packing, quality, search, simhash
+from guardlake.llm.common import table, tokenizer_path
+from guardlake.session import settled
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "sentence_ids", F.array_join("licences", ",").alias("licences"), "n_unmatched"
+    )
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = settled(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    return quality.scored(stats, model).select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    checked = cut.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(settled(checked, "pieces")).withColumnRenamed("id", "doc_id")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages.select(F.struct("page_id", "url").alias("page"), "html"), "page", "html")
+    return found.select("id.page_id", "id.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +48,33 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return search.top_k(vectors.where(search.divisible(F.col("id"))), vectors)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    output = chat.render(chat.final_messages(chat.rows_as_log(rows)))
+    read = output.select("conv_id", chat.formatted(F.col("segments")).alias("whole"), chat.loss_text(F.col("segments")).alias("loss"))
+    read = read.withColumn("turns", chat.parsed(F.col("whole")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("whole").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_groups(table(spark, sf_dir, "documents"))
     return found.select(
@@ -26,11 +83,101 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_source_mixing": op9_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    """One step per rule, in order, over the spelled sentences of each document."""
+    text = "coalesce(text, '')"
+    for pattern, by in licences.STEPS:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by.replace('$', chr(92)))}, 'g')"
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licences.known_sentences().items())
+    steps = [
+        f"WITH known(sentence, name) AS (VALUES {known})",
+        f"cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(lower({text}), ' '), chr(10)) AS parts FROM documents)",
+        "spelled AS (SELECT r, doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM cut)",
+        "named AS (SELECT r, doc_id, string_agg('<' || coalesce(name, '?') || '>', '' ORDER BY i) AS s"
+        " FROM spelled LEFT JOIN known USING (sentence) GROUP BY r, doc_id)",
+        "s0 AS (SELECT r, doc_id, regexp_replace(s, '(<\\?>)+', '<?>', 'g') AS sentence_ids, sentence_ids AS s, [] :: VARCHAR[] AS f FROM named)",
+    ]
+    rules = licences.spelled_rules()
+    for i, (name, pattern) in enumerate(rules):
+        p, n = _quoted(pattern), _quoted(name)
+        steps.append(
+            f"s{i + 1} AS (SELECT r, doc_id, sentence_ids, replace(s, {p}, '<=>') AS s,"
+            f" CASE WHEN contains(s, {p}) AND NOT list_contains(f, {n}) THEN list_append(f, {n}) ELSE f END AS f FROM s{i})"
+        )
+    return (
+        ", ".join(steps) + " SELECT doc_id, sentence_ids, array_to_string(f, ',') AS licences,"
+        f" length(regexp_replace(regexp_replace(s, '<[=?]>', '', 'g'), '[^<]', '', 'g')) :: INTEGER AS n_unmatched FROM s{len(rules)}"
+    )
+
+
 SQL: dict[str, str] = {
+    "op1_license_scans": _licence_sql(),
+    "op2_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+            FROM documents),
+        filled AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place
+            FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+        w AS (
+            SELECT doc_id, place, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c
+            FROM filled WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+        later AS (
+            SELECT doc_id, place, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS nth
+            FROM w WHERE c IS NOT NULL),
+        gone AS (SELECT DISTINCT doc_id, place + k AS place FROM later, range(3) AS r(k) WHERE nth > 1),
+        kept AS (
+            SELECT l.doc_id, l.i, l.line FROM l LEFT JOIN filled f USING (doc_id, i)
+            LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.place = f.place WHERE g.place IS NULL),
+        texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(t.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,
+               len(string_split(coalesce(d.text, ''), chr(10))) :: INTEGER AS n_lines,
+               CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(t.n, 0) END :: INTEGER AS n_removed
+        FROM documents d LEFT JOIN texts t USING (doc_id)
+    """,
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x : CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p : p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+    """,
+    "op8_chat_formatting": """
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        told AS (
+            SELECT *, replace(replace(replace(text, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e') AS safe,
+                   replace(replace(replace(replace(role, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e'), ':', '\\c') AS safe_role
+            FROM rows)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) :: BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(14 + length(safe) + length(safe_role)) :: BIGINT AS formatted_chars
+        FROM told GROUP BY conv_id
+    """,
     "op10_exact_dedup": """
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,
