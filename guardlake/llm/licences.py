@@ -133,16 +133,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("LicenseRef-all-rights-reserved", ("AllRights",)),
 )
 #: How a text is cut into normal sentences: patterns and what replaces them, applied in this order. Ends of sentences
-#: become a control sign; wrapped lines (after a comma, before a small letter, between capitals) are joined.
-STEPS: tuple[tuple[str, str], ...] = (
-    ("[ \\t\\r\\f]*\\n[ \\t\\r\\f#*/;%]*", "\n"),
-    ("([.!?;:])[ \\t\\n]+", "$1\u0001"),
-    (",\\n", ", "),
-    ("\\n([a-z])", " $1"),
-    ("([A-Z])\\n([A-Z][A-Z])", "$1 $2"),
-    ("[^A-Za-z0-9\\n\u0001]+", " "),
-    (" ?[\\n\u0001][ \\n\u0001]*", "\n"),
-)
+#: become a control sign. One reading breaks at every line, the other joins wrapped lines up to a blank one.
+_BARE = ("[ \\t\\r\\f]*\\n[ \\t\\r\\f#*/;%]*", "\n")
+_ENDS = ("([.!?;:])[ \\t\\n]+", "$1\u0001")
+_LETTERS = (("[^A-Za-z0-9\\n\u0001]+", " "), (" ?[\\n\u0001][ \\n\u0001]*", "\n"))
+BY_LINE: tuple[tuple[str, str], ...] = (_BARE, _ENDS, *_LETTERS)
+JOINED: tuple[tuple[str, str], ...] = (_BARE, ("\\n\\n+", "\u0001"), _ENDS, ("\\n", " "), *_LETTERS)
 #: Pieces that a known sentence itself is cut into are put together again by this rule of the table.
 GAP = "?"
 
@@ -151,7 +147,7 @@ def _plain(sentence: str) -> list[str]:
     """A known sentence as the pieces that ``sentences`` cuts it into."""
     import re
 
-    for pattern, by in STEPS:
+    for pattern, by in JOINED:
         sentence = re.sub(pattern, by.replace("$", "\\"), sentence)
     return [s for s in sentence.lower().strip(" \n").split("\n") if s]
 
@@ -182,10 +178,10 @@ def spelled_rules(table: dict[str, tuple[str, ...]] | None = None, rules=None) -
     return out
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
     """The sentences of a text in lower case, letters and digits only, one space between words."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    for pattern, by in STEPS:
+    for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
     return F.split(F.trim(F.lower(text)), "\n")
 
@@ -193,32 +189,44 @@ def sentences(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=None, rules=None) -> DataFrame:
     """``(id, sentence_ids, licences, n_unmatched)`` per row, in one pass without a shuffle.
 
-    ``sentence_ids`` spells the known sentences of the text in order (``<?>`` for anything between), ``licences`` the
-    licences of the matching rules in rule order, each once, and ``n_unmatched`` counts known sentences that no rule took.
+    A text is read twice, line by line and with wrapped lines joined. ``sentence_ids`` spells the known sentences of the
+    reading that has more of them (equal: by line) in order, ``<?>`` for anything between; ``n_unmatched`` counts
+    those that no rule took. ``licences`` are those of the matching rules, each once: that reading's in rule order, then
+    what only the other one shows.
     Null and empty texts have no sentence. Repeated rows are reported each, an empty table gives no rows, and
     columns other than the two are not read.
     """
     known = known_sentences(table)
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.transform(
-        sentences(F.col(text_col)),
-        lambda s: F.when(s.isin(*known), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).otherwise(f"<{GAP}>"),
-    )
-    base = docs.select(F.col(id_col).alias("id"), F.array_join(ids, "").alias("all"))
-    base = base.select("id", F.regexp_replace("all", "(<\\?>)+", f"<{GAP}>").alias("sentence_ids"))
     spelled = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(p).alias("pattern")) for n, p in spelled_rules(table, rules)])
-    start = F.struct(F.col("sentence_ids").alias("rest"), F.array().cast("array<string>").alias("found"))
-    folded = F.aggregate(
-        spelled, start,
-        lambda acc, rule: F.when(
+
+    def sequence(steps) -> Column:
+        ids = F.transform(
+            sentences(F.col(text_col), steps),
+            lambda s: F.when(s.isin(*known), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).otherwise(f"<{GAP}>"),
+        )
+        return F.regexp_replace(F.array_join(ids, ""), "(<\\?>)+", f"<{GAP}>")
+
+    def count(ids: Column) -> Column:
+        return F.length(ids) - F.length(F.replace(ids, F.lit("<"), F.lit("")))
+
+    def folded(ids: Column) -> Column:
+        start = F.struct(ids.alias("rest"), F.array().cast("array<string>").alias("found"))
+        step = lambda acc, rule: F.when(
             F.contains(acc.rest, rule.pattern),
             F.struct(F.replace(acc.rest, rule.pattern, F.lit("<=>")).alias("rest"), F.array_append(acc.found, rule.licence).alias("found")),
-        ).otherwise(acc),
-    )
-    plain = F.col("sentence_ids").isin("", f"<{GAP}>")
-    matched = base.withColumn("m", F.when(~plain, folded))
-    left = F.regexp_replace("m.rest", "<[=?]>", "")
+        ).otherwise(acc)
+        return F.when(~ids.isin("", f"<{GAP}>"), F.aggregate(spelled, start, step))
+
+    read = docs.select(F.col(id_col).alias("id"), sequence(BY_LINE).alias("a"), sequence(JOINED).alias("b"))
+    known_in = lambda c: count(F.replace(F.col(c), F.lit(f"<{GAP}>"), F.lit("")))
+    read = read.withColumn("swap", known_in("b") > known_in("a"))
+    read = read.select("id", F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("ids"),
+                       F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("other"))
+    matched = read.withColumn("m", folded(F.col("ids"))).withColumn("o", folded(F.col("other")))
+    none = F.array().cast("array<string>")
     return matched.select(
-        "id", "sentence_ids", F.coalesce(F.array_distinct("m.found"), F.array().cast("array<string>")).alias("licences"),
-        F.coalesce(F.length(left) - F.length(F.replace(left, F.lit("<"), F.lit(""))), F.lit(0)).alias("n_unmatched"),
+        "id", F.col("ids").alias("sentence_ids"),
+        F.array_distinct(F.concat(F.coalesce("m.found", none), F.coalesce("o.found", none))).alias("licences"),
+        F.coalesce(count(F.regexp_replace("m.rest", "<[=?]>", "")), F.lit(0)).alias("n_unmatched"),
     )

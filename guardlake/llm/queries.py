@@ -100,29 +100,39 @@ def _quoted(value: str) -> str:
 
 
 def _licence_sql() -> str:
-    """One step per rule, in order, over the spelled sentences of each document."""
-    text = "coalesce(text, '')"
-    for pattern, by in licences.STEPS:
-        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by.replace('$', chr(92)))}, 'g')"
+    """Both readings of each document, and one step per rule, in order, over the spelled sentences of each."""
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licences.known_sentences().items())
-    steps = [
-        f"WITH known(sentence, name) AS (VALUES {known})",
-        f"cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(lower({text}), ' '), chr(10)) AS parts FROM documents)",
-        "spelled AS (SELECT r, doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM cut)",
-        "named AS (SELECT r, doc_id, string_agg('<' || coalesce(name, '?') || '>', '' ORDER BY i) AS s"
-        " FROM spelled LEFT JOIN known USING (sentence) GROUP BY r, doc_id)",
-        "s0 AS (SELECT r, doc_id, regexp_replace(s, '(<\\?>)+', '<?>', 'g') AS sentence_ids, sentence_ids AS s, [] :: VARCHAR[] AS f FROM named)",
-    ]
+    steps = [f"WITH known(sentence, name) AS (VALUES {known})", "d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents)"]
     rules = licences.spelled_rules()
-    for i, (name, pattern) in enumerate(rules):
-        p, n = _quoted(pattern), _quoted(name)
-        steps.append(
-            f"s{i + 1} AS (SELECT r, doc_id, sentence_ids, replace(s, {p}, '<=>') AS s,"
-            f" CASE WHEN contains(s, {p}) AND NOT list_contains(f, {n}) THEN list_append(f, {n}) ELSE f END AS f FROM s{i})"
-        )
+    for x, reading in (("a", licences.BY_LINE), ("b", licences.JOINED)):
+        text = "coalesce(text, '')"
+        for pattern, by in reading:
+            text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by.replace('$', chr(92)))}, 'g')"
+        steps += [
+            f"cut_{x} AS (SELECT r, string_split(trim(lower({text}), ' '), chr(10)) AS parts FROM d)",
+            f"flat_{x} AS (SELECT r, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM cut_{x})",
+            f"named_{x} AS (SELECT r, regexp_replace(string_agg('<' || coalesce(name, '?') || '>', '' ORDER BY i), '(<\\?>)+', '<?>', 'g') AS ids"
+            f" FROM flat_{x} LEFT JOIN known USING (sentence) GROUP BY r)",
+            f"{x}0 AS (SELECT r, ids, ids AS s, [] :: VARCHAR[] AS f FROM named_{x})",
+        ]
+        for i, (name, pattern) in enumerate(rules):
+            p, n = _quoted(pattern), _quoted(name)
+            steps.append(
+                f"{x}{i + 1} AS (SELECT r, ids, replace(s, {p}, '<=>') AS s,"
+                f" CASE WHEN contains(s, {p}) AND NOT list_contains(f, {n}) THEN list_append(f, {n}) ELSE f END AS f FROM {x}{i})"
+            )
+    n = len(rules)
+    count = "length(regexp_replace(replace({}, '<?>', ''), '[^<]', '', 'g'))"
+    steps.append(
+        f"both_readings AS (SELECT r, {count.format('b.ids')} > {count.format('a.ids')} AS swap, a.ids AS ai, b.ids AS bi,"
+        f" a.f AS af, b.f AS bf, a.s AS sa, b.s AS sb FROM a{n} a JOIN b{n} b USING (r))"
+    )
     return (
-        ", ".join(steps) + " SELECT doc_id, sentence_ids, array_to_string(f, ',') AS licences,"
-        f" length(regexp_replace(regexp_replace(s, '<[=?]>', '', 'g'), '[^<]', '', 'g')) :: INTEGER AS n_unmatched FROM s{len(rules)}"
+        ", ".join(steps) + " SELECT doc_id, CASE WHEN swap THEN bi ELSE ai END AS sentence_ids,"
+        " array_to_string(CASE WHEN swap THEN list_concat(bf, list_filter(af, lambda l : NOT list_contains(bf, l)))"
+        " ELSE list_concat(af, list_filter(bf, lambda l : NOT list_contains(af, l))) END, ',') AS licences,"
+        " length(regexp_replace(regexp_replace(CASE WHEN swap THEN sb ELSE sa END, '<[=?]>', '', 'g'), '[^<]', '', 'g')) :: INTEGER AS n_unmatched"
+        " FROM both_readings JOIN d USING (r)"
     )
 
 
