@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from guardlake.functions import fixed_values as fv
 
@@ -112,17 +115,68 @@ def reversed_text(col: Column) -> Column:
 
 
 def redact_strings(df: DataFrame, entities: tuple[Entity, ...] = (EMAIL_ADDRESS,)) -> DataFrame:
-    """Redact every string column of a result; the table keeps its types."""
+    """Redact every string of a result, however deep in arrays, structs and maps; the table keeps its types."""
     return df.select(
-        *[
-            redact(F.col(f"`{field.name}`"), entities).alias(field.name)
-            if field.dataType.simpleString() == "string"
-            else F.col(f"`{field.name}`")
-            for field in df.schema.fields
-        ]
+        *[_redact_within(F.col(f"`{f.name}`"), f.dataType, entities).alias(f.name) for f in df.schema.fields]
     )
 
 
+def _redact_within(col: Column, kind: T.DataType, entities: tuple[Entity, ...]) -> Column:
+    if isinstance(kind, T.StringType):
+        return redact(col, entities)
+    if not _holds_string(kind):
+        return col
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _redact_within(x, kind.elementType, entities))
+    if isinstance(kind, T.StructType):
+        fields = [_redact_within(col[f.name], f.dataType, entities).alias(f.name) for f in kind.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    entries = F.transform(
+        F.map_entries(col),
+        lambda e: F.struct(
+            _redact_within(e["key"], kind.keyType, entities).alias("key"),
+            _redact_within(e["value"], kind.valueType, entities).alias("value"),
+        ),
+    )
+    if isinstance(kind.keyType, T.StringType):
+        # Keys that redaction makes equal are numbered, so no entry is lost.
+        entries = F.transform(
+            entries,
+            lambda e, i: F.struct(_numbered(e["key"], F.filter(F.slice(entries, F.lit(1), i), lambda o: o["key"] == e["key"])).alias("key"),
+                                  e["value"].alias("value")),
+        )
+    return F.map_from_entries(entries)
+
+
+def _numbered(key: Column, before: Column) -> Column:
+    return F.when(F.size(before) == 0, key).otherwise(F.concat(key, F.lit(" #"), F.size(before) + 1))
+
+
+def _holds_string(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_string(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_string(kind.keyType) or _holds_string(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_string(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.StringType)
+
+
+def any_string(col: Column, kind: T.DataType, test: Callable[[Column], Column]) -> Column:
+    """Whether some string inside a value passes ``test``; false where there is none."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(test(col), F.lit(False))
+    if not _holds_string(kind):
+        return F.lit(False)
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.exists(col, lambda x: any_string(x, kind.elementType, test)), F.lit(False))
+    if isinstance(kind, T.StructType):
+        parts = [any_string(col[f.name], f.dataType, test) for f in kind.fields if _holds_string(f.dataType)]
+        return reduce(or_, parts)
+    keys = any_string(F.map_keys(col), T.ArrayType(kind.keyType), test)
+    return keys | any_string(F.map_values(col), T.ArrayType(kind.valueType), test)
+
+
 def text_metrics(col: Column, prefix: str) -> dict[str, Column]:
     """Per-text counts: characters, words, sentences, mean word length, non-alphabetic share."""
     words = F.size(tokens(col))

@@ -3,24 +3,45 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from guardlake.functions import fixed_values as fv
 from guardlake.functions import text as tx
 
 # A quoted part ends at its quote or, when it is unbalanced, at the end of the text.
 _QUOTED = r"""'[^']*('|\z)|"[^"]*("|\z)"""
-_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
-_CTE = re.compile(r"CTE \[([^\]]*)\]")
-_FORBIDDEN = re.compile(
-    r"'?(?:try_)?(?:reflect|java_method)\(|UnresolvedTableValuedFunction|UnresolvedIdentifier|UnresolvedInlineTable",
-    re.IGNORECASE,
+# What a parsed query may be made of. Anything else (scripts, table functions, identifiers made of strings, writes) is refused.
+PLAN_NODES = frozenset(
+    "Aggregate Distinct Except Filter GlobalLimit Intersect Join LocalLimit Offset OneRowRelation Pivot Project Sort SubqueryAlias"
+    " Union UnresolvedHaving UnresolvedHint UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith Window"
+    " WithWindowDefinition".split()
+)
+UNRESOLVED = frozenset(
+    "UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedNamedLambdaVariable UnresolvedStar"
+    " UnresolvedStarExcept UnresolvedWindowExpression".split()
+)
+FUNCTIONS = frozenset(
+    "abs acos add_months aggregate any any_value approx_count_distinct array array_agg array_contains array_distinct array_join"
+    " array_max array_min array_position array_size array_sort ascii avg base64 between bigint bool_and bool_or bround"
+    " cast cbrt ceil ceiling char_length character_length coalesce collect_list collect_set concat concat_ws contains corr cos"
+    " count count_if cume_dist current_date current_timestamp date date_add date_diff date_format date_sub date_trunc datediff"
+    " day dayofmonth dayofweek dayofyear decimal dense_rank double element_at endswith even every exists exp extract filter"
+    " first first_value flatten float floor format_number format_string from_json get get_json_object greatest hash hour if"
+    " ifnull initcap instr int isnan isnotnull isnull json_tuple lag last last_day last_value lcase lead least left len length"
+    " levenshtein like ln locate log log10 log2 lower lpad ltrim make_date map map_concat map_entries map_from_arrays map_keys"
+    " map_values max max_by md5 mean median min min_by minute mod mode month months_between named_struct negative nth_value"
+    " ntile nullif nvl nvl2 percent_rank percentile percentile_approx pmod position pow power quarter rank regexp_count"
+    " regexp_extract regexp_extract_all regexp_like regexp_replace repeat replace reverse right rint rlike round row_number"
+    " rpad rtrim second sequence sha2 sign signum sin size slice smallint some sort_array split split_part sqrt startswith"
+    " std stddev stddev_pop stddev_samp string struct substr substring substring_index sum tan timestamp tinyint to_date"
+    " to_json to_timestamp transform translate trim trunc try_add try_cast try_divide try_element_at try_to_timestamp typeof"
+    " ucase unix_timestamp upper var_pop var_samp variance weekday weekofyear when width_bucket year zip_with".split()
 )
 
 
@@ -51,28 +72,53 @@ def check_query(query: str) -> str | None:
     return None
 
 
-def _not_allowed(spark: SparkSession, query: str, allowed: Sequence[str], args: Any) -> str | None:
-    """Compare the relations Spark's own parser finds with the allow-list."""
-    explained = spark.sql(f"EXPLAIN EXTENDED {query}", args=args).first()[0]
-    parsed = explained.split("== Analyzed Logical Plan ==")[0]
-    if _FORBIDDEN.search(parsed):
-        return "The query uses a function or table form that is not allowed"
-    named = {name.strip() for group in _CTE.findall(parsed) for name in group.split(",")}
+def _not_allowed(spark: SparkSession, query: str, allowed: Sequence[str], functions: Iterable[str]) -> str | None:
+    """Walk the plan that Spark's own parser makes of the query: its tables, functions and node kinds against allow-lists."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    known, usable, named, tables = {n.lower() for n in allowed}, {f.lower() for f in functions}, set(), []
+    todo = [(plan, True)]
+    while todo:
+        node, is_plan = todo.pop()
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if is_plan and kind not in PLAN_NODES:
+            return f"The query uses a form that is not allowed: {kind}"
+        if not is_plan and kind.startswith("Unresolved") and kind not in UNRESOLVED or "WithUnresolvedIdentifier" in kind:
+            return f"The query uses a form that is not allowed: {kind}"
+        if kind == "UnresolvedRelation":
+            tables.append(".".join(_elements(node.multipartIdentifier())))
+        elif kind == "UnresolvedFunction":
+            name = ".".join(_elements(node.nameParts())).lower()
+            if name not in usable:
+                return f"Function '{name}' is not allowed"
+        elif kind == "UnresolvedWith":
+            named |= {relation._1().lower() for relation in _elements(node.cteRelations())}
+        todo += [(child, is_plan) for child in _elements(node.children())]
+        todo += [(inner, _is_plan(inner)) for inner in _elements(node.innerChildren())]
+        if is_plan:
+            todo += [(expression, False) for expression in _elements(node.expressions())]
     # A name given by WITH is no table, unless it hides a table that is not allowed.
-    named = {name for name in named if name in allowed or not spark.catalog.tableExists(name)}
-    for parts in _RELATION.findall(parsed):
-        name = ".".join(part.strip() for part in parts.split(","))
-        if name.lower() not in {n.lower() for n in (*allowed, *named)}:
+    named = {name for name in named if name in known or not spark.catalog.tableExists(name)}
+    for name in tables:
+        if name.lower() not in known | named:
             return f"Table '{name}' is not allowed"
     return None
 
 
+def _is_plan(node: Any) -> bool:
+    return ".plans." in node.getClass().getName() or node.getClass().getSimpleName() in PLAN_NODES
+
+
+def _elements(sequence: Any) -> list:
+    """A Scala sequence as a list."""
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
 def guarded_select(
     spark: SparkSession, query: str, allowed: Sequence[str], params: Sequence[Any] | Mapping[str, Any] | None = None,
     fetch_all: bool = True, row_limit: int = fv.ROW_LIMIT, always_cap: bool = False,
-    redact_with: Sequence[tx.Entity] = (),
+    redact_with: Sequence[tx.Entity] = (), functions: Iterable[str] = FUNCTIONS,
 ) -> SqlAnswer:
-    """Run one SELECT over allowed tables; errors come back as text.
+    """Run one SELECT over allowed tables and functions; errors come back as text.
 
     The row cap is added unless the text holds the word ``limit``; with
     ``always_cap`` it is added in any case. The query runs as a subquery, so a
@@ -88,7 +134,7 @@ def guarded_select(
         wrapped += f" LIMIT {int(row_limit)}"
     args = dict(params) if isinstance(params, Mapping) else list(params) if params else None
     try:
-        problem = _not_allowed(spark, wrapped, allowed, args)
+        problem = _not_allowed(spark, wrapped, allowed, functions)
         if problem:
             return SqlAnswer(error=problem)
         rows = spark.sql(wrapped, args=args)
@@ -119,18 +165,19 @@ def audit_queries(queries: DataFrame, query: str) -> DataFrame:
     )
 
 
-def _string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+def _entity_test(field: T.StructField, entities: Sequence[tx.Entity]) -> Column:
+    """Whether a column's value, or any string inside it, holds an entity."""
+    tests = [tx.any_string(F.col(f"`{field.name}`"), field.dataType, lambda s, e=e: tx.has_entity(s, e)) for e in entities]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 def table_inventory(
     tables: Mapping[str, DataFrame], entities: Sequence[tx.Entity] = tx.DEFAULT_ENTITIES
 ) -> DataFrame:
-    """Per table its rows and the rows where some string column holds an entity, sorted by name."""
+    """Per table its rows and the rows where some string, at any depth, holds an entity, sorted by name."""
     parts = []
     for name, df in tables.items():
-        tests = [tx.has_entity(F.col(c), e) for c in _string_columns(df) for e in entities]
-        hit = reduce(lambda a, b: a | b, tests, F.lit(False))
+        hit = reduce(lambda a, b: a | b, [_entity_test(f, entities) for f in df.schema.fields], F.lit(False))
         parts.append(
             df.agg(
                 F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count_if(hit).alias("n_entity_rows")
@@ -151,9 +198,7 @@ def column_inventory(
     fields = []
     for i, field in enumerate(df.schema.fields):
         col = F.col(f"`{field.name}`")
-        hit = F.lit(False)
-        if field.dataType.simpleString() == "string":
-            hit = reduce(lambda a, b: a | b, [tx.has_entity(col, e) for e in entities])
+        hit = _entity_test(field, entities)
         measures = [
             F.lit(i).cast("bigint").alias("cid"), F.lit(field.name).alias("name"),
             F.lit(field.dataType.simpleString()).alias("type"), F.lit(not field.nullable).alias("notnull"),
@@ -175,13 +220,14 @@ def column_inventory(
         )
     ).alias("_v")
     values = df.select(hashed).select("_v.*").groupBy("name", "h").agg(F.count(F.lit(1)).alias("_n"))
-    return described.join(values.groupBy("name").agg(F.count("h").alias("n_distinct")), "name")
+    counts = values.groupBy("name").agg(F.count("h").alias("n_distinct"))
+    return described.join(counts, "name", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("bigint"))
 
 
 def describe_table(tables: Mapping[str, DataFrame], name: str, **options: Any) -> SqlAnswer:
     """``column_inventory`` of an allowed table, or the message that there is no such table."""
     if name not in tables:
-        return SqlAnswer(error=f"Table '{name}' does not exist")
+        return SqlAnswer(error=f"There is no table named '{name}'")
     return SqlAnswer(rows=column_inventory(tables[name], **options))
 
 

@@ -96,4 +96,54 @@ def test_inventory(spark, users):
     ]
     sketched = gs.describe_table({"users": users}, "users").rows.where("name = 'email'").first()
     assert abs(sketched.n_distinct - 1500) < 150
-    assert gs.describe_table({}, "nope").error == "Table 'nope' does not exist"
+    assert gs.describe_table({}, "nope").error == "There is no table named 'nope'"
+
+
+@pytest.mark.parametrize("columns", [1, 40, 400])
+def test_function_block_does_not_depend_on_the_size_of_the_query(spark, users, columns):
+    head = ", ".join(str(i) for i in range(columns))
+    for call in ("reflect('java.lang.System', 'getProperty', 'user.home')", "try_reflect('java.lang.System', 'getProperty', 'x')"):
+        for query in (
+            f"SELECT {head}, {call} AS r FROM users", f"WITH a AS (SELECT {head}, {call} AS r) SELECT * FROM a",
+            f"SELECT {head} FROM users WHERE email IN (SELECT {call})", f"SELECT {head} FROM users ORDER BY {call}",
+            f"SELECT {head}, sum(length({call})) OVER (PARTITION BY {call}) FROM users",
+            f"SELECT {head}, transform(array(1), x -> {call}) FROM users",
+        ):
+            answer = run(spark, query)
+            assert answer.status == "error" and "reflect" in answer.error, query
+    names = ", ".join(f"c{i} AS (SELECT {i} AS id)" for i in range(columns))
+    assert run(spark, f"WITH {names} SELECT * FROM c0 JOIN hidden USING (id)").status == "error"
+    assert run(spark, f"WITH {names} SELECT * FROM c{columns - 1}").rows.count() == 1
+
+
+def test_other_forms_are_refused(spark, users):
+    for query in (
+        "select transform(email) using 'cat' from users", "select * from users lateral view explode(array(1)) t as x",
+        "select input_file_name() from users", "select java_method('java.lang.Math', 'abs', 1)", "select * from values (1)",
+        "select version()", "select spark_catalog.default.f(1)", "select * from users tablesample (10 percent)",
+    ):
+        assert run(spark, query).status == "error", query
+    fine = "select case when user_id > 3 then upper(email) else 'x' end as e, count(*) over (partition by user_id) n from users u " \
+        "where exists (select 1 from numbers where limit_x = u.user_id) and email like '%@%' and user_id between 1 and 4"
+    assert run(spark, fine).rows.count() == 4
+
+
+def test_rail_reaches_nested_values(spark, users):
+    query = """select collect_list(email) as l, struct(max(email) as e, 1 as n) as s, map('k', max(email), max(email), 'v', min(email), 'w') as m,
+               array(struct(map('x', array(max(email))) as d)) as deep, cast(null as struct<a: string>) as none from users"""
+    answer = run(spark, query, redact_with=(tx.EMAIL_ADDRESS,))
+    row = answer.rows.first()
+    assert set(row.l) == {"<EMAIL_ADDRESS>"} and len(row.l) == 1500 and tuple(row.s) == ("<EMAIL_ADDRESS>", 1)
+    assert row.m == {"k": "<EMAIL_ADDRESS>", "<EMAIL_ADDRESS>": "v", "<EMAIL_ADDRESS> #2": "w"} and row.none is None
+    assert row.deep[0].d == {"x": ["<EMAIL_ADDRESS>"]}
+
+
+def test_inventory_of_nested_and_empty_tables(spark):
+    rows = [(1, ["a@b.de"], {"k": ("x", "c@d.org")}), (2, ["no", None], {"e@f.io": ("x", None)}), (3, None, None)]
+    df = spark.createDataFrame(rows, "id int, l array<string>, m map<string, struct<a: string, b: string>>")
+    assert [tuple(r) for r in gs.table_inventory({"t": df}, (tx.EMAIL_ADDRESS,)).collect()] == [("t", 3, 2)]
+    for exact in (True, False):
+        got = {r.name: (r.n_null, r.n_entity) for r in gs.column_inventory(df, (tx.EMAIL_ADDRESS,), exact).collect()}
+        assert got == {"id": (0, 0), "l": (1, 1), "m": (1, 2)}
+        empty = gs.column_inventory(df.limit(0), exact_distinct=exact).collect()
+        assert [(r.name, r.n_null, r.n_distinct) for r in empty] == [("id", 0, 0), ("l", 0, 0), ("m", 0, 0)]
