@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guardlake.functions import text as tx
+from guardlake.operators.ordering import join_null_safe
 from guardlake.session import settled
 
-# Inline secrets become part of the plan; longer lists belong in a table.
+# Inline secrets are configuration and become part of the plan; longer lists belong in a table.
 MAX_INLINE_SECRETS = 1000
-# Each distinct secret length costs one array pass over every text.
-MAX_SECRET_LENGTHS = 512
-# 2**26 bits are 8 MB, broadcast whatever the number of secrets.
-FILTER_BITS = 26
-
-_CHARS = "A-Za-z0-9._%+-"
-# Spelled out per side of an @; longer addresses join on these ends and are then verified.
-_SIDE = 64
-ADDRESS_SHAPE = rf"^[{_CHARS}]+@[{_CHARS}]+\z"
+# A secret meets texts by its first characters, as many as the largest of these that it has: at least half of most secrets.
+ANCHOR_WIDTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 
 
 def holds_secret(col: Column, secrets: Sequence[str]) -> Column:
@@ -45,211 +38,79 @@ def secret_forms(secrets: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _address_candidates(col: Column) -> Column:
-    """Every ``left@right`` the text holds, each side inside its run of address characters.
-
-    ``edge`` marks spellings that end where the spelling was cut, so that a
-    longer secret may begin there.
-    """
-    parts = F.split(col, "@")
-    gaps = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    sides = F.transform(
-        gaps,
-        lambda i: F.struct(
-            F.regexp_extract(F.right(F.element_at(parts, i), F.lit(_SIDE)), rf"[{_CHARS}]+\z", 0).alias("l"),
-            F.regexp_extract(F.left(F.element_at(parts, i + 1), F.lit(_SIDE)), rf"\A[{_CHARS}]+", 0).alias("r"),
-        ),
-    )
-    sides = F.filter(sides, lambda s: (s["l"] != "") & (s["r"] != ""))
-    spelled = F.transform(
-        sides,
-        lambda s: F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length(s["l"])),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.length(s["r"])),
-                    lambda j: F.struct(
-                        F.concat(F.right(s["l"], i), F.lit("@"), F.left(s["r"], j)).alias("key"),
-                        ((i == _SIDE) | (j == _SIDE)).alias("edge"),
-                    ),
-                ),
-            )
-        ),
-    )
-    return F.array_distinct(F.flatten(spelled))
+def _width(length: Column) -> Column:
+    """The largest anchor width that fits a length."""
+    return F.array_max(F.filter(F.array(*[F.lit(w) for w in ANCHOR_WIDTHS]), lambda w: w <= length))
 
 
-def _window_hashes(lengths: Sequence[int]):
-    """A function from a text to ``(length, hashes)``: a 64-bit hash of every window of each length.
+def anchored(forms: DataFrame) -> DataFrame:
+    """Secrets with their anchor: ``_left`` characters, an ``@`` and ``_right`` characters, or the first ``_right`` ones.
 
-    Hashes come from prefix sums of a polynomial in wrapping 64-bit arithmetic,
-    so a text of any size costs a few array operations per length.
+    A secret with one inner ``@`` is anchored around it, where texts have few places to look at.
     """
-    powers: list = []
-
-    def hashes(text: str):
-        import numpy as np
-
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        n = len(codes)
-        if not powers or len(powers[0]) < n:
-            base = 0x9E3779B97F4A7C15
-            both = (base, pow(base, -1, 1 << 64))
-            powers[:] = [np.full(2 * n, b, dtype=np.uint64).cumprod(dtype=np.uint64) for b in both]
-        up, down = powers[0][:n], powers[1]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((codes + np.uint64(1)) * up, out=sums[1:])
-        for length in lengths:
-            if length <= n:
-                h = (sums[length:] - sums[:-length]) * down[: n - length + 1]
-                yield length, h ^ (h >> np.uint64(32))
-
-    return hashes
-
-
-def _filter_bits():
-    """A function from hashes to one of their two filter bits."""
-    shift = 64 - FILTER_BITS
-
-    def bits_of(h, which: int):
-        import numpy as np
-
-        return (h * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[which])) >> np.uint64(shift)
-
-    return bits_of
-
-
-def _secret_filter(secrets: DataFrame, column: str, lengths: Sequence[int]):
-    """A Bloom filter of all secrets: ``2**FILTER_BITS`` bits, however many secrets there are.
-
-    The bits are set by a distributed aggregate of at most one row per 64 bits.
-    """
-    import numpy as np
-
-    hashes, bits_of = _window_hashes(lengths), _filter_bits()
-
-    @F.pandas_udf("array<bigint>")
-    def secret_bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(
-                lambda s: [int(bits_of(h[:1], i)[0]) for length, h in hashes(s) if length == len(s) for i in (0, 1)]
-            )
-
-    bit = F.explode(secret_bits(F.col(column))).alias("_bit")
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_bit") % 64).cast("int"))
-    words = (
-        secrets.select(bit).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(mask).alias("_set")).toPandas()
+    sides = F.split("_secret", "@")
+    address = (F.size(sides) == 2) & (sides[0] != "") & (sides[1] != "")
+    rows = forms.where(F.length("_secret") > 0).select(
+        "_secret",
+        F.when(address, _width(F.length(sides[0]))).otherwise(0).alias("_left"),
+        F.when(address, _width(F.length(sides[1]))).otherwise(_width(F.length("_secret"))).alias("_right"),
     )
-    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    table[words["_word"].to_numpy()] = words["_set"].to_numpy()
-    return secrets.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-
-
-def _suspect_windows(lengths: Sequence[int], table) -> Callable[[Column], Column]:
-    """The distinct windows of a text that may be secrets: all true ones, and few others."""
-    hashes, bits_of = _window_hashes(lengths), _filter_bits()
-
-    @F.pandas_udf("array<string>")
-    def suspects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
-        words = table.value
-
-        def passing(h, which):
-            bit = bits_of(h, which)
-            return np.flatnonzero((words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
-
-        def of(text):
-            found = set()
-            for length, h in hashes(text) if text is not None else ():
-                first = passing(h, 0)
-                starts = first[passing(h[first], 1)]
-                found.update(text[i : i + length] for i in starts)
-            return sorted(found)
-
-        for batch in batches:
-            yield batch.map(of)
-
-    return suspects
+    anchor = F.when(
+        F.col("_left") > 0, F.concat(F.right(sides[0], F.col("_left")), F.lit("@"), F.left(sides[1], F.col("_right")))
+    ).otherwise(F.left("_secret", F.col("_right")))
+    return rows.withColumn("_anchor", anchor)
+
+
+def _windows(text: Column, kinds: Sequence[tuple[int, int]]) -> Column:
+    """The distinct strings of a text that may be anchors, of the kinds in use."""
+    found = []
+    around = [(left, right) for left, right in kinds if left]
+    if around:
+        parts = F.split(text, "@")
+        gaps = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+        spelled = F.transform(
+            gaps,
+            lambda i: F.array(*[
+                F.when(
+                    (F.length(F.element_at(parts, i)) >= left) & (F.length(F.element_at(parts, i + 1)) >= right),
+                    F.concat(F.right(F.element_at(parts, i), F.lit(left)), F.lit("@"), F.left(F.element_at(parts, i + 1), F.lit(right))),
+                )
+                for left, right in around
+            ]),
+        )
+        found.append(F.filter(F.flatten(spelled), lambda s: s.isNotNull()))
+    # A lookahead matches at every place, so one pass over the text gives all its windows of a width.
+    found += [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{right}}}))"), F.lit(1)) for left, right in kinds if not left]
+    return F.array_distinct(F.concat(*found))
 
 
 def leaked(df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], secrets: DataFrame, secret: str) -> DataFrame:
     """Ids of rows that hold a secret, with one boolean per text column; other ids are absent.
 
-    ``secrets`` may be a table of any size and mix. Addresses go through
-    ``leaked_addresses``; other secrets are joined to the windows of their length
-    that pass a fixed-size Bloom filter, so nearly no window is shuffled in vain
-    and the join decides.
+    Secrets may be of any number, length and shape. Containment is an equi-join:
+    each distinct secret, in both directions, is cut to an anchor of a few fixed
+    widths, and meets the distinct windows of those widths that a text has. The
+    settled anchors are broadcast only if their files are small; else AQE splits
+    an anchor that many texts share. Where the anchor is shorter than the secret,
+    the few pairs that met are checked on the text itself.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    forms = settled(secret_forms(secrets, secret), "secrets")
-    address = F.col("_secret").rlike(ADDRESS_SHAPE)
-    other = forms.where(~address & (F.length("_secret") > 0))
-    sizes = other.select(F.length("_secret").alias("n")).distinct().limit(MAX_SECRET_LENGTHS + 1).collect()
-    lengths = sorted(row["n"] for row in sizes)
-    if len(lengths) > MAX_SECRET_LENGTHS:
-        raise ValueError(f"secrets have more than {MAX_SECRET_LENGTHS} distinct lengths")
-    found = leaked_addresses(df, ids, texts, forms.where(address), "_secret", both_ways=False)
-    if not lengths:
-        return found
-    table = _secret_filter(other, "_secret", lengths)
-    windows = _variants(df, ids, texts, _suspect_windows(lengths, table))
-    spelled = windows.select(*ids, *texts, F.explode_outer("_spelled").alias("_key"))
-    hits = spelled.join(other, spelled["_key"] == other["_secret"], "left_semi").drop("_key")
-    return _collect_hits(found.unionByName(hits), ids, texts)
-
-
-def leaked_addresses(
-    df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], addresses: DataFrame, column: str, both_ways: bool = True
-) -> DataFrame:
-    """``leaked`` for a secret table that holds addresses, lazily and in one plan.
-
-    Containment becomes an equi-join, so nothing is broadcast by hand and no
-    pair is compared without a match: the addresses a text holds are spelled out
-    around each ``@`` and meet the distinct secrets by equality. A spelling meets
-    one secret, which keeps hot secrets and hot texts linear; AQE replaces the
-    shuffle by a broadcast when the measured secret side is small.
-    """
-    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    forms = secret_forms(addresses, column) if both_ways else addresses.select(F.col(column).alias("_secret"))
-    sides = F.split("_secret", "@")
-    forms = forms.select(
-        "_secret",
-        F.when(
-            F.col("_secret").rlike(ADDRESS_SHAPE),
-            F.concat(F.right(sides[0], F.lit(_SIDE)), F.lit("@"), F.left(sides[1], F.lit(_SIDE))),
-        ).otherwise(
-            F.raise_error(F.concat(F.lit("not an address, use leaked(): "), F.col("_secret"))).cast("string")
-        ).alias("_whole"),
-    )
-    # Only texts with an @ can hold an address.
-    with_at = df.where(reduce(or_, [F.coalesce(F.contains(F.col(t), F.lit("@")), F.lit(False)) for t in texts]))
-    spelled = (
-        _variants(with_at, ids, texts, _address_candidates)
-        .select(*ids, *texts, "_text", F.explode_outer("_spelled").alias("_s"))
-        .select(*ids, *texts, F.col("_s.key").alias("_key"), F.when(F.col("_s.edge"), F.col("_text")).alias("_text"))
-    )
-    cut_short = F.col("_whole") != F.col("_secret")
-    hits = spelled.join(forms, spelled["_key"] == forms["_whole"]).where(
-        ~cut_short | F.contains(F.col("_text"), F.col("_secret"))
-    )
-    return _collect_hits(hits, ids, texts)
-
-
-def _variants(df: DataFrame, ids: list[str], texts: Sequence[str], spell: Callable[[Column], Column]) -> DataFrame:
-    """One row per text column, flagged by which one it is, with the strings it spells."""
-    rows = F.array(
-        *[
-            F.struct(*[F.lit(name == other).alias(other) for other in texts], F.col(name).alias("_text"))
-            for name in texts
-        ]
-    )
-    flat = df.select(*ids, F.explode(rows).alias("_v")).select(*ids, "_v.*")
-    return flat.withColumn("_spelled", spell(F.col("_text")))
-
-
-def _collect_hits(hits: DataFrame, ids: list[str], texts: Sequence[str]) -> DataFrame:
-    return hits.groupBy(*ids).agg(*[F.max(name).alias(name) for name in texts])
+    forms = settled(anchored(secret_forms(secrets, secret)), "secrets")
+    kinds = sorted((r["_left"], r["_right"]) for r in forms.select("_left", "_right").distinct().collect())
+    flags = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(name).alias("_text")) for i, name in enumerate(texts)])
+    flat = df.select(*ids, F.explode(flags).alias("_v")).select(*ids, "_v.*")
+    if kinds and all(left for left, _ in kinds):
+        flat = flat.where(F.contains("_text", F.lit("@")))
+    if not kinds:
+        met = flat.limit(0).select(*ids, "_which")
+    else:
+        spelled = flat.select(*ids, "_which", F.explode_outer(tx.never_null(_windows(F.col("_text"), kinds))).alias("_anchor"))
+        pairs = settled(spelled.join(forms.select("_anchor", "_secret"), "_anchor").select(*ids, "_which", "_anchor", "_secret"), "met")
+        met = pairs.where(F.col("_anchor") == F.col("_secret")).select(*ids, "_which")
+        open_pairs = pairs.where(F.col("_anchor") != F.col("_secret")).select(*ids, "_which", "_secret").distinct()
+        checked = join_null_safe(open_pairs, flat, [*ids, "_which"]).where(F.contains("_text", "_secret"))
+        met = met.unionByName(checked.select(*ids, "_which"))
+    return met.groupBy(*ids).agg(*[F.max(F.col("_which") == i).alias(name) for i, name in enumerate(texts)])
 
 
 def distinct_addresses(df: DataFrame, text: str, name: str = "email") -> DataFrame:

@@ -1,8 +1,8 @@
 """Positions, splits, shuffles and samples that depend on a row order.
 
 A table has no order, so each operator takes an ordering key. None of them ranks
-a whole table, class or session in one window: rows are ranked inside small key
-buckets, and the buckets' counts, one short row per bucket, carry the offsets.
+a whole table, class or session in one window: rows are ranked inside ranges of
+the key, and the ranges' counts, one short row per range, carry the offsets.
 """
 
 from __future__ import annotations
@@ -36,17 +36,6 @@ def split_hot(
     return join_null_safe(df, hot, group, "left_anti"), join_null_safe(df, hot, group, "left_semi")
 
 
-def id_buckets(key: Column) -> list[Column]:
-    """Buckets of a unique whole-number key: at most 65,536 keys each, then 65,536 of those."""
-    key = F.coalesce(key.cast("bigint"), F.lit(-(2**62)))
-    return [F.shiftright(key, 16), F.shiftright(key, 32)]
-
-
-def md5_buckets(key: Column) -> list[Column]:
-    """Buckets of an md5 text key: a million even ones, then 256."""
-    return [F.substring(key, 1, 5), F.substring(key, 1, 2)]
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys that may be null, keeping the left side's keys."""
     tagged = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
@@ -55,69 +44,47 @@ def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how:
 
 
 def running_totals(
-    df: DataFrame,
-    totals: dict[str, Column],
-    order: Sequence[str],
-    buckets: Sequence[Column],
-    group: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, totals: dict[str, Column], order: Sequence[str], group: Sequence[str] = (), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Inclusive running sums of ``totals`` along ``order``, per ``group``.
+    """Inclusive running sums of ``totals`` along ``order`` (keys of any type), per ``group``.
 
     Ordinary groups take one window. Hot groups, and a table without groups, are
-    spread over ``buckets`` of the order key, given from fine to coarse: the
-    only window that sees detail rows is per fine bucket, and bucket sums are
-    pre-aggregated map-side and climb level by level.
+    spread over ranges of the order key.
     """
     if not group:
-        return _spread_totals(df, totals, order, buckets, [])
+        return _spread_totals(df, totals, order, [])
     cold, hot = split_hot(df, group, hot_rows)
     along = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     done = cold.withColumns({name: F.sum(value).over(along) for name, value in totals.items()})
-    return done if hot is None else done.unionByName(_spread_totals(hot, totals, order, buckets, list(group)))
+    return done if hot is None else done.unionByName(_spread_totals(hot, totals, order, list(group)))
 
 
-def _spread_totals(
-    df: DataFrame, totals: dict[str, Column], order: Sequence[str], buckets: Sequence[Column], group: list[str]
-) -> DataFrame:
-    names = [f"_bucket{i}" for i in range(len(buckets))]
-    keyed = df.withColumns(dict(zip(names, buckets)))
-    inside = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = keyed.withColumns({name: F.sum(value).over(inside) for name, value in totals.items()})
-
-    offset = {name: f"_offset_{name}" for name in totals}
-    offsets = None
-    for level in range(len(names)):
-        keys = group + names[level:]
-        before = (
-            Window.partitionBy(*group, *names[level + 1 :])
-            .orderBy(names[level])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        step = keyed.groupBy(*keys).agg(*[F.sum(value).alias(offset[name]) for name, value in totals.items()])
-        step = step.select(
-            *keys, *[F.coalesce(F.sum(o).over(before), F.lit(0)).alias(o) for o in offset.values()]
-        )
-        if offsets is None:
-            offsets = step
-            continue
-        coarse = step.withColumnsRenamed({o: f"{o}_up" for o in offset.values()})
-        offsets = join_null_safe(offsets, coarse, keys)
-        offsets = offsets.withColumns({o: F.col(o) + F.col(f"{o}_up") for o in offset.values()})
-        offsets = offsets.drop(*[f"{o}_up" for o in offset.values()])
+def _spread_totals(df: DataFrame, totals: dict[str, Column], order: Sequence[str], group: list[str]) -> DataFrame:
+    """Rows are ranged once and written with the number of their range.
 
-    joined = join_null_safe(local, offsets, group + names)
-    joined = joined.withColumns({name: F.col(name) + F.col(offset[name]) for name in totals})
-    return joined.drop(*names, *offset.values())
+    Sums run inside a range; a range starts from the sums of the ranges before
+    it, and there are no more of those per group than shuffle partitions.
+    """
+    ranged = df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    ranged = settled(ranged, "ranges")
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*group, "_range").agg(*[F.sum(value).alias(f"_o_{name}") for name, value in totals.items()])
+    starts = sums.select(
+        *group, "_range", *[F.coalesce(F.sum(f"_o_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in totals]
+    )
+    local = ranged.withColumns({name: F.sum(value).over(inside) for name, value in totals.items()})
+    joined = join_null_safe(local, settled(starts, "range-starts"), [*group, "_range"])
+    return joined.withColumns({name: F.col(name) + F.col(f"_o_{name}") for name in totals}).drop(
+        "_range", *[f"_o_{name}" for name in totals]
+    )
 
 
 def with_position(
-    df: DataFrame, order: Sequence[str], buckets: Sequence[Column] | None = None,
-    group: Sequence[str] = (), name: str = "position", hot_rows: int = HOT_ROWS,
+    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "position", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Dense positions from 0 along ``order``, per ``group``."""
-    buckets = buckets or id_buckets(F.col(order[0]))
-    counted = running_totals(df, {name: F.lit(1)}, order, buckets, group, hot_rows)
+    counted = running_totals(df, {name: F.lit(1)}, order, group, hot_rows)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -126,16 +93,13 @@ def systematic_sample(
 ) -> DataFrame:
     """Every ``step``-th row in id order, then the first ``head`` of those.
 
-    With a head, only the first ``step * head`` ids can matter, so the job takes
-    those (a top-k, bounded by the two parameters) and never ranks the table.
+    With a head only the first ``step * head`` ids can matter, so no more are ranked.
     """
-    if head is None:
-        ranked = with_position(df, [id_col], name="_position")
-        return ranked.where(F.col("_position") % step == 0).drop("_position")
-    first = df.select(id_col).orderBy(id_col).limit((head - 1) * step + 1)
-    ranked = first.withColumn("_position", F.row_number().over(Window.orderBy(id_col)) - 1)
-    wanted = ranked.where(F.col("_position") % step == 0).select(id_col)
-    return df.join(F.broadcast(wanted), id_col, "left_semi")
+    first = df.select(id_col)
+    if head is not None:
+        first = first.orderBy(id_col).limit((head - 1) * step + 1)
+    wanted = with_position(first, [id_col], name="_position").where(F.col("_position") % step == 0).select(id_col)
+    return df.join(settled(wanted, "sampled-ids"), id_col, "left_semi")
 
 
 def order_key(id_col: Column, seed: int = fv.SPLIT_SEED) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from guardlake.functions import fixed_values as fv
 from guardlake.operators.ordering import (
-    HOT_ROWS, id_buckets, join_null_safe, running_totals, split_hot, with_position,
+    HOT_ROWS, join_null_safe, running_totals, split_hot, with_position,
 )
 
 # Progression rows are narrow next to messages, so one task may order more of them.
@@ -72,7 +72,7 @@ def progression(
     placed = running_totals(
         marked,
         {"_pos": F.when(F.col("_restart"), 0).otherwise(1), "_game": F.col("_restart").cast("int")},
-        [order], id_buckets(F.col(order)), [session], hot_rows,
+        [order], [session], hot_rows,
     )
     game = [session, "_game"]
     active = placed.where(~F.col("_restart"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guardlake.functions import fixed_values as fv
 from guardlake.functions import text as tx
 from guardlake.functions.verdicts import with_fallback
-from guardlake.operators.leak import leaked_addresses
+from guardlake.operators.leak import leaked
 from guardlake.session import settled
 
 GATE = "use_pretrained_classifier"
@@ -53,7 +53,7 @@ def _leak_columns(
         id_col, raw.alias("_raw"), tx.redact(raw).alias("_redacted"), *([] if gate is None else [gate.alias("_gate")])
     )
     keys = [id_col] if gate is None else [id_col, "_gate"]
-    return leaked_addresses(variants, keys, ["_raw", "_redacted"], secrets, secret)
+    return leaked(variants, keys, ["_raw", "_redacted"], secrets, secret)
 
 
 def _leak(config: GuardConfig, gate_hit: Column) -> Column:

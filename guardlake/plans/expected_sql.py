@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from guardlake.functions import fixed_values as fv
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -36,14 +38,17 @@ WITH {_SECRETS},
 d AS (SELECT doc_id, text, {_redact('text')} AS redacted, {GATE} AS gate FROM documents),
 f AS (SELECT doc_id, text, redacted, gate, {_leaks('text')} AS raw_leak, {_leaks('redacted')} AS red_leak FROM d)
 """
-_CONFIGS = """
-configs(config_name, gated, railed) AS (VALUES
-  ('gpt-4.1', false, false), ('gpt-4.1 use_output_rail', false, true), ('gpt-4.1 use_tool_rail', false, true),
-  ('gpt-4.1 use_pretrained_classifier', true, false), ('gpt-4.1 use_structured_prompt', false, false),
-  ('gpt-4.1 use_pretrained_classifier use_structured_prompt', true, false),
-  ('gpt-4.1 use_structured_prompt use_tool_rail', false, true),
-  ('gpt-4.1 use_output_rail use_structured_prompt', false, true))
-"""
+_FLAGS = ("use_output_rail", "use_pretrained_classifier", "use_structured_prompt", "use_tool_rail")
+_CONFIGS = "configs(config_name, gated, railed) AS (VALUES " + ", ".join(
+    "('{}', {}, {})".format(" ".join(["gpt-4.1", *on]), _FLAGS[1] in on, _FLAGS[0] in on or _FLAGS[3] in on)
+    for n in range(5) for on in combinations(_FLAGS, n)
+) + ")"
+_ANY_SECRETS = f"""secrets AS (SELECT DISTINCT s FROM (SELECT text AS s FROM benchmark UNION ALL SELECT s_name FROM supplier
+  UNION ALL SELECT unnest(regexp_extract_all(text, '{EMAIL}')) FROM documents) WHERE s <> '')"""
+_RATES = """
+SELECT config_name, count(*) AS n_prompts, count(*) FILTER (leak) AS n_leaks, avg(leak::INT) AS leak_rate FROM (
+  SELECT config_name, CASE WHEN gated AND gate THEN false WHEN railed THEN red_leak ELSE raw_leak END AS leak
+  FROM f, configs) GROUP BY config_name"""
 _GATED = f"'{fv.GATE_RESPONSE}'"
 _C = ("gpt-4.1", "gpt-4.1 use_pretrained_classifier", "gpt-4.1 use_output_rail use_structured_prompt")
 
@@ -185,10 +190,8 @@ _UTTERANCES = ", ".join(
 )
 
 SQL: dict[str, str] = {
-    "ablation_leak_rate": _ABLATION + "," + _CONFIGS + """
-SELECT config_name, count(*) AS n_prompts, count(*) FILTER (leak) AS n_leaks, avg(leak::INT) AS leak_rate FROM (
-  SELECT config_name, CASE WHEN gated AND gate THEN false WHEN railed THEN red_leak ELSE raw_leak END AS leak
-  FROM f, configs) GROUP BY config_name""",
+    "ablation_leak_rate": _ABLATION + "," + _CONFIGS + _RATES,
+    "ablation_any_secret": _ABLATION.replace(_SECRETS, _ANY_SECRETS) + "," + _CONFIGS + _RATES,
     "ablation_config_names": """
 WITH n AS (SELECT doc_id % 11 = 0 AS leak, array_to_string(list_concat(['gpt-4.1'], list_sort(list_filter([
     CASE WHEN doc_id % 2 = 0 THEN 'use_structured_prompt' END, CASE WHEN doc_id % 3 = 0 THEN 'use_tool_rail' END,
@@ -205,13 +208,14 @@ SELECT doc_id, raw_leak AS "{_C[0]}", NOT gate AND raw_leak AS "{_C[1]}", red_le
     "leak_reversed": f"""
 WITH {_SECRETS}, t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN reverse(text) ELSE text END AS a FROM documents)
 SELECT doc_id, true AS leak FROM t WHERE {_leaks('a')}""",
-    "leak_any_secret": f"""
-WITH {_SECRETS.replace('secrets AS (', 'secrets AS (SELECT substr(text, 1, 24) AS s FROM benchmark UNION ALL ')}
-SELECT doc_id, true AS leak FROM documents WHERE {_leaks('text')}""",
+    "leak_any_secret": f"WITH {_ANY_SECRETS} SELECT doc_id, true AS leak FROM documents WHERE {_leaks('text')}",
     "exact_guess": f"""
-WITH h AS (SELECT doc_id, doc_id % 5 AS level, regexp_extract_all(text, '{EMAIL}')[1] AS email FROM documents),
-t AS (SELECT doc_id, level, coalesce(CASE WHEN doc_id % 2 = 0 THEN email ELSE ' ' || email END, 'nothing') AS text FROM h)
-SELECT doc_id, level, text, EXISTS (SELECT 1 FROM h WHERE h.level = t.level AND h.email = t.text) AS correct FROM t""",
+WITH v AS (SELECT doc_id, doc_id % 5 AS level, regexp_extract_all(text, '{EMAIL}') AS vs FROM documents),
+h AS (SELECT doc_id, level, unnest(range(len(vs))) AS nth, unnest(vs) AS email FROM v
+  UNION ALL SELECT doc_id, level, NULL, NULL FROM v WHERE len(vs) = 0),
+t AS (SELECT doc_id, level, nth::INT AS nth,
+  coalesce(CASE WHEN (doc_id + nth) % 2 = 0 THEN email ELSE ' ' || email END, 'nothing') AS text FROM h)
+SELECT doc_id, nth, level, text, EXISTS (SELECT 1 FROM h WHERE h.level = t.level AND h.email = t.text) AS correct FROM t""",
     "redact_email": f"SELECT doc_id, {_redact('text')} AS text FROM documents",
     "extract_entities": f"""
 WITH p(entity, rx) AS (VALUES ('EMAIL_ADDRESS', '{EMAIL}'), ('PHONE_NUMBER', '{PHONE}'), ('HEX_KEY', '[0-9a-f]{{32}}'),
@@ -223,7 +227,7 @@ v AS (SELECT doc_id, 'EMAIL_ADDRESS' AS entity, regexp_extract_all(text, '{EMAIL
     regexp_extract_all(text, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}') FROM documents)
 SELECT doc_id, entity, unnest(range(len(vs))) AS ordinal, unnest(vs) AS value FROM v""",
     "extract_names": f"""
-WITH n AS (SELECT DISTINCT string_split(text, ' ')[2] AS value FROM benchmark),
+WITH n AS (SELECT DISTINCT regexp_replace(unnest({_tokens('text')}), '^[.,;:!?()]+|[.,;:!?()]+$', '', 'g') AS value FROM benchmark),
 t AS (SELECT DISTINCT doc_id, regexp_replace(unnest({_tokens('text')}), '^[.,;:!?()]+|[.,;:!?()]+$', '', 'g') AS value FROM documents)
 SELECT doc_id, 'PERSON' AS entity, value FROM t SEMI JOIN n USING (value)""",
     "refusal_hits": """
@@ -231,8 +235,8 @@ SELECT doc_id, doc_id % 7 = 0 OR doc_id % 11 = 0 OR contains(text, 'NOT ALLOWED'
   CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 = 0 THEN 'timeout at ' || source END AS error FROM documents""",
     "label_verdict": "SELECT doc_id, toxic <> 0 AS predictions FROM labels",
     "fallback": """
-SELECT d.doc_id, coalesce(c.text, 'Please try again.') AS response
-FROM documents d LEFT JOIN (SELECT * FROM conversations WHERE turn = 1) c ON c.conv_id = d.doc_id""",
+SELECT d.doc_id, c.turn, coalesce(c.text, 'Please try again.') AS response
+FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id""",
     "token_cap": f"SELECT doc_id, array_to_string(({_tokens('text')})[1:512], ' ') AS text FROM documents",
     "truncate_input": "SELECT doc_id, substr(text, 1, 2000) AS text FROM documents",
     "prompt_messages": """
@@ -313,11 +317,11 @@ s AS (SELECT vec_id, centre, round(dot / (nx.n * na.n), 12) AS score FROM d JOIN
 SELECT vec_id, centre, round(score, 6) AS score FROM
   (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s.score DESC, centre) = 1) b WHERE b.score >= 0.2""",
     "score_argmax": """
-WITH s AS (SELECT vec_id, embedding[1:4] AS v FROM embeddings),
+WITH s AS (SELECT vec_id, embedding AS v FROM embeddings),
 l AS (SELECT vec_id, 'LABEL_' || (list_position(v, list_max(v)) - 1) AS label FROM s)
 SELECT vec_id, label, label = 'LABEL_1' AS predictions FROM l""",
     "softmax": """
-WITH s AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE * 8) AS v FROM embeddings),
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 8) AS v FROM embeddings),
 e AS (SELECT vec_id, list_position(v, list_max(v)) - 1 AS class,
   1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) AS confidence FROM s)
 SELECT vec_id, round(confidence, 6) AS confidence, class::BIGINT AS class, class > 0.7 AS compat,
@@ -372,6 +376,13 @@ FROM spend JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c
 ORDER BY spend.total DESC, c_custkey LIMIT 100""",
     "sql_redacted": f"""
 SELECT doc_id, lang, {_redact('text')} AS text FROM documents WHERE contains(text, '@') ORDER BY doc_id LIMIT 1000""",
+    "sql_redacted_nested": f"""
+WITH v AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL}') AS vs, length(text)::INT AS n FROM documents)
+SELECT doc_id, array_to_string(list_transform(vs, lambda x: '<EMAIL_ADDRESS>'), ',') AS emails, '<EMAIL_ADDRESS>' AS first, n,
+  'to <EMAIL_ADDRESS>' AS k FROM v WHERE len(vs) > 0""",
+    "inventory_nested": f"""
+SELECT unnest([0, 1, 2]::BIGINT[]) AS cid, unnest(['doc_id', 'emails', 'n']) AS name, 0::BIGINT AS n_null,
+  unnest([0, count(*) FILTER (regexp_matches(text, '{EMAIL}')), 0]::BIGINT[]) AS n_entity FROM documents""",
     "sql_audit": f"""
 WITH q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'SELECT ' || text WHEN 1 THEN ' with x as (''' || text || '; limit'') select 1 ; '
     WHEN 2 THEN 'Select "a;b" from ' || text || '; drop table t'
@@ -419,8 +430,10 @@ SELECT value, count(*) AS n_lines FROM lines WHERE contains(value, 'user') OR co
 SELECT md5(text) AS h, toxic AS "Label", count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
     "prompt_table": "SELECT doc_id AS id, md5(text) AS h FROM documents",
     "seed_users": f"""
-WITH {_SECRETS} SELECT row_number() OVER (ORDER BY md5('42:' || s), s) - 1 AS user_id, s AS email,
-  {_hash_mod("md5('42:' || s)", 201)} AS order_quantity FROM secrets""",
+WITH v AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL}') AS vs FROM documents),
+l AS (SELECT doc_id, unnest(range(len(vs))) AS nth, unnest(vs) AS email FROM v),
+n AS (SELECT row_number() OVER (ORDER BY doc_id, nth) - 1 AS user_id, email FROM l)
+SELECT user_id, email, {_hash_mod("md5('42:' || user_id || ':' || email)", 201)} AS order_quantity FROM n""",
     "stream_hits": """
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS window_end,
   event_type, count(*) AS n_hits FROM events GROUP BY ALL""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,17 +17,13 @@ from guardlake.sources import readers, writers
 from guardlake.streaming import jobs
 
 MODEL = "gpt-4.1"
-CONFIGS = (
-    ablation.GuardConfig(),
-    ablation.GuardConfig((ablation.OUTPUT_RAIL,)),
-    ablation.GuardConfig((ablation.TOOL_RAIL,)),
-    ablation.GuardConfig((ablation.GATE,)),
-    ablation.GuardConfig((ablation.STRUCTURED,)),
-    ablation.GuardConfig((ablation.GATE, ablation.STRUCTURED)),
-    ablation.GuardConfig((ablation.STRUCTURED, ablation.TOOL_RAIL)),
+CONFIGS = tuple(
+    ablation.GuardConfig(flags) for n in range(len(ablation.FLAGS) + 1) for flags in combinations(ablation.FLAGS, n)
+)
+WIDE_CONFIGS = (
+    ablation.GuardConfig(), ablation.GuardConfig((ablation.GATE,)),
     ablation.GuardConfig((ablation.STRUCTURED, ablation.OUTPUT_RAIL)),
 )
-WIDE_CONFIGS = (CONFIGS[0], CONFIGS[3], CONFIGS[7])
 RULES = (
     matching.Rule("insult", "trash", "Rule 1: Do not insult"),
     matching.Rule("licence", "License", "Rule 2: Do not quote licences"),
@@ -40,7 +37,7 @@ CUSTOM_ENTITIES = tx.entities_from_json(
     '[{"name": "PHONE_NUMBER", "patterns": ["\\\\([0-9]{3}\\\\) [0-9]{3}-[0-9]{4}"]},'
     ' {"name": "HEX_KEY", "patterns": ["[0-9a-f]{32}"]}]'
 )
-LABELS = tuple(f"LABEL_{i}" for i in range(4))
+LABELS = tuple(f"LABEL_{i}" for i in range(64))
 SIMPLE_PROMPT = "Answer the request."
 STRUCTURED_PROMPT = "Answer the request. Share no address."
 
@@ -100,25 +97,35 @@ def leak_reversed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     turned = F.when(F.col("doc_id") % 3 == 0, tx.reversed_text(F.col("text"))).otherwise(F.col("text"))
     texts = docs.select("doc_id", turned.alias("answer"))
-    return leak.leaked_addresses(texts, "doc_id", ["answer"], _secrets(docs), "email").select(
+    return leak.leaked(texts, "doc_id", ["answer"], _secrets(docs), "email").select(
         "doc_id", F.col("answer").alias("leak")
     )
 
 
+def _any_secrets(spark, sf_dir) -> DataFrame:
+    """Secrets of any shape and length: whole benchmark texts, addresses, account names."""
+    texts = table(spark, sf_dir, "benchmark").select(F.col("text").alias("email"))
+    accounts = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("email"))
+    return texts.unionByName(_secrets(table(spark, sf_dir, "documents"))).unionByName(accounts)
+
+
 def leak_any_secret(spark, sf_dir):
-    """Secrets of any shape: the 24-character heads of the benchmark items, and the addresses."""
     docs = table(spark, sf_dir, "documents")
-    heads = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 24).alias("email"))
-    secrets = heads.unionByName(_secrets(docs))
-    return leak.leaked(docs, "doc_id", ["text"], secrets, "email").select("doc_id", F.col("text").alias("leak"))
+    found = leak.leaked(docs, "doc_id", ["text"], _any_secrets(spark, sf_dir), "email")
+    return found.select("doc_id", F.col("text").alias("leak"))
+
+
+def ablation_any_secret(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ablation.leak_rate(docs, "doc_id", "text", gate(), CONFIGS, MODEL, _any_secrets(spark, sf_dir), "email")
 
 
 def exact_guess(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    level = (F.col("doc_id") % 5).alias("level")
-    held = docs.select("doc_id", level, F.get(tx.entity_values(F.col("text"), tx.EMAIL_ADDRESS), 0).alias("email"))
-    guess = F.when(F.col("doc_id") % 2 == 0, F.col("email")).otherwise(F.concat(F.lit(" "), "email"))
-    turns = held.select("doc_id", "level", F.coalesce(guess, F.lit("nothing")).alias("text"))
+    found = F.posexplode_outer(tx.entity_values(F.col("text"), tx.EMAIL_ADDRESS)).alias("nth", "email")
+    held = docs.select("doc_id", (F.col("doc_id") % 5).alias("level"), found)
+    guess = F.when((F.col("doc_id") + F.col("nth")) % 2 == 0, F.col("email")).otherwise(F.concat(F.lit(" "), "email"))
+    turns = held.select("doc_id", "nth", "level", F.coalesce(guess, F.lit("nothing")).alias("text"))
     secrets = held.where("email IS NOT NULL").select("level", "email")
     return leak.with_exact_guess(turns, "level", "text", secrets, "email")
 
@@ -139,7 +146,8 @@ def extract_entities(spark, sf_dir):
 
 
 def extract_names(spark, sf_dir):
-    names = table(spark, sf_dir, "benchmark").select(F.split("text", " ")[1].alias("name"))
+    words = F.explode(tx.tokens(F.col("text")))
+    names = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.trim("w", F.lit(".,;:!?()")).alias("name"))
     return matching.extract_names(table(spark, sf_dir, "documents"), "doc_id", "text", names, "name")
 
 
@@ -160,11 +168,12 @@ def label_verdict(spark, sf_dir):
 
 def fallback(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    replies = (
-        table(spark, sf_dir, "conversations")
-        .where("turn = 1").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("response"))
+    replies = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("response")
+    )
+    return docs.join(replies, "doc_id", "left").select(
+        "doc_id", "turn", vd.with_fallback(F.col("response")).alias("response")
     )
-    return docs.join(replies, "doc_id", "left").select("doc_id", vd.with_fallback(F.col("response")).alias("response"))
 
 
 def token_cap(spark, sf_dir):
@@ -293,7 +302,7 @@ def model_detector(spark, sf_dir):
 
     def load():
         words = ("trash", "clown", "scum", "idiot")
-        return lambda texts: texts.map(lambda text: any(word in text for word in words))
+        return lambda texts: texts.str.contains("|".join(words))
 
     scored = scoring.score(
         _labelled(spark, sf_dir), {"python": scoring.model_detector(load)(F.col("text")), "native": insult()}
@@ -367,7 +376,7 @@ def vector_similarity(spark, sf_dir):
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    scores = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", scores.alias("scores"))
 
 
@@ -498,6 +507,35 @@ def sql_redacted(spark, sf_dir):
     return answer.rows
 
 
+def _addresses(spark, sf_dir) -> DataFrame:
+    """Documents with the list of their addresses."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", tx.entity_values(F.col("text"), tx.EMAIL_ADDRESS).alias("emails"), F.length("text").alias("n")
+    )
+
+
+def sql_redacted_nested(spark, sf_dir):
+    readers.expose(_addresses(spark, sf_dir), "addresses")
+    answer = guarded_sql.guarded_select(
+        spark, """SELECT doc_id, emails, struct(emails[0] AS first, n) AS head, map('k', concat('to ', emails[0])) AS m
+                  FROM addresses WHERE size(emails) > 0 ORDER BY doc_id LIMIT 100000000""",
+        ["addresses"], redact_with=(tx.EMAIL_ADDRESS,),
+    )
+    if answer.error:
+        raise ValueError(answer.error)
+    return answer.rows.select(
+        "doc_id", F.array_join("emails", ",").alias("emails"), F.col("head.first").alias("first"), F.col("head.n").alias("n"),
+        F.element_at("m", "k").alias("k"),
+    )
+
+
+def inventory_nested(spark, sf_dir):
+    found = _addresses(spark, sf_dir)
+    return guarded_sql.column_inventory(found, (tx.EMAIL_ADDRESS,), exact_distinct=True).select(
+        "cid", "name", "n_null", "n_entity"
+    )
+
+
 def sql_audit(spark, sf_dir):
     text = F.col("text")
     made = (
@@ -618,7 +656,11 @@ def prompt_table(spark, sf_dir):
 
 
 def seed_users(spark, sf_dir):
-    emails = _secrets(table(spark, sf_dir, "documents"))
+    """The list of all addresses in document order, repeats kept."""
+    found = F.posexplode(tx.entity_values(F.col("text"), tx.EMAIL_ADDRESS)).alias("nth", "email")
+    emails = table(spark, sf_dir, "documents").select("doc_id", found).select(
+        F.struct("doc_id", "nth").alias("position"), "email"
+    )
     path = scratch_path(spark, "users")
     writers.seed_table(spark, emails, path, replace=True)
     return writers.seed_table(spark, emails.where("email LIKE 'a%'"), path, replace=False)
@@ -664,7 +706,7 @@ def stream_log(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        ablation_leak_rate, ablation_config_names, ablation_wide, ablation_pivot, leak_reversed, leak_any_secret, exact_guess,
+        ablation_leak_rate, ablation_config_names, ablation_wide, ablation_pivot, leak_reversed, leak_any_secret, ablation_any_secret, exact_guess,
         redact_email, extract_entities, extract_names, refusal_hits, label_verdict, fallback, token_cap,
         truncate_input, prompt_messages,
         corpus_attack, corpus_benign, keep_first_row, corpus_split, corpus_hash_split, corpus_shuffle,
@@ -674,7 +716,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exemplar_similarity, utterance_similarity, vector_similarity, score_argmax, softmax, verdict_json,
         ml_classifier, null_check, role_check,
         turn_guard, guard_status, history_last10, progression, progression_levels,
-        sql_guarded, sql_redacted, sql_audit, inventory_tables, inventory_columns, first_rows,
+        sql_guarded, sql_redacted, sql_redacted_nested, inventory_nested, sql_audit, inventory_tables, inventory_columns, first_rows,
         text_metrics, text_profile, numeric_profile, numeric_profile_exact, log_parse, log_counts, log_filter,
         csv_roundtrip, prompt_table, seed_users,
         stream_hits, stream_guard, stream_progress, stream_log,

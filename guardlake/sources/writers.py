@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guardlake.functions import fixed_values as fv
 from guardlake.functions.verdicts import two_decimals
-from guardlake.operators.ordering import md5_buckets, running_totals
+from guardlake.operators.ordering import join_null_safe, with_position
 from guardlake.sources.readers import path_exists
 
 METRIC_KEYS = ["dataset", "model"]
@@ -33,14 +33,20 @@ def write_splits(df: DataFrame, path: str, shuffle_key: str = "shuffle_key") ->
 
 
 def not_stored(new: DataFrame, stored: DataFrame, keys: list[str] = METRIC_KEYS) -> DataFrame:
-    """New rows whose key is not stored yet. Keys are compared whole."""
-    return new.join(stored.select(*keys).distinct(), keys, "left_anti")
+    """New rows whose key is not stored yet. Keys are compared whole; null keys match."""
+    return join_null_safe(new, stored.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_metrics(metrics: DataFrame, path: str) -> DataFrame:
-    """Append only metric rows that are not stored, and return the stored table."""
+def append_metrics(metrics: DataFrame, path: str, order: str | None = None) -> DataFrame:
+    """Append only metric rows that are not stored, and return the stored table.
+
+    Of a key that repeats in the batch one row is stored: the first by ``order``,
+    or without one the smallest by the columns in their order.
+    """
     spark = metrics.sparkSession
-    fresh = metrics.select(*METRIC_COLUMNS)
+    values = [c for c in METRIC_COLUMNS if c not in METRIC_KEYS]
+    first = F.min(F.struct(*([order] if order else []), *values)).alias("_first")
+    fresh = metrics.groupBy(*METRIC_KEYS).agg(first).select(*METRIC_KEYS, *[f"_first.{c}" for c in values])
     if path_exists(spark, path):
         fresh = not_stored(fresh, spark.read.schema(METRIC_SCHEMA).parquet(path))
     fresh.write.mode("append").parquet(path)
@@ -67,27 +73,22 @@ def append_lines(lines: DataFrame, path: str, column: str = "value") -> None:
     lines.select(column).write.mode("append").text(path)
 
 
-def seed_rows(emails: DataFrame, seed: int = fv.SPLIT_SEED, column: str = "email") -> DataFrame:
-    """Rows of the protected table: a position from 0 and a quantity from 0 to 200 per address.
+def seed_rows(emails: DataFrame, position: str = "position", column: str = "email", seed: int = fv.SPLIT_SEED) -> DataFrame:
+    """Rows of the protected table: a list of addresses numbered from 0 in list order, repeats kept, and quantities.
 
-    Position and quantity follow from an md5 of the address, so a lost task
-    rebuilds the same rows.
+    ``position`` (unique, of any type) gives the order of the list. The quantity, 0
+    to 200, follows from an md5 of the address's place and text, so a lost task rebuilds the same rows.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(column)))
-    keyed = emails.select(column).distinct().withColumn("_key", key)
-    numbered = running_totals(
-        keyed, {"_n": F.lit(1)}, order=["_key", column], buckets=md5_buckets(F.col("_key"))
-    )
-    quantity = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") % (fv.MAX_SEED_QUANTITY + 1)
-    return numbered.select(
-        (F.col("_n") - 1).alias("user_id"), F.col(column).alias("email"), quantity.alias("order_quantity")
-    )
+    numbered = with_position(emails.select(position, column), [position], name="user_id")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_id").cast("string"), F.col(column)))
+    quantity = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") % (fv.MAX_SEED_QUANTITY + 1)
+    return numbered.select("user_id", F.col(column).alias("email"), quantity.alias("order_quantity"))
 
 
-def seed_table(spark: SparkSession, emails: DataFrame, path: str, replace: bool) -> DataFrame:
+def seed_table(spark: SparkSession, emails: DataFrame, path: str, replace: bool, position: str = "position") -> DataFrame:
     """Load the protected table: always (``replace``) or only while it holds no row."""
     schema = "user_id bigint, email string, order_quantity bigint"
     if not replace and path_exists(spark, path) and not spark.read.schema(schema).parquet(path).isEmpty():
         return spark.read.schema(schema).parquet(path)
-    seed_rows(emails).write.mode("overwrite").parquet(path)
+    seed_rows(emails, position).write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)

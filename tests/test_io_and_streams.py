@@ -68,18 +68,21 @@ def test_metrics_are_stored_once_per_whole_key(spark, tmp_path):
     writers.append_metrics(metric(("d", "A"), ("d", "A2")), path)
     stored = writers.append_metrics(metric(("d", "A")), path)
     assert sorted(r.model for r in stored.collect()) == ["A", "A2"]
+    twice = metric(("e", "B"), ("e", "B"), (None, "B"), (None, "B"))
+    assert writers.append_metrics(twice, path).count() == 4 and writers.append_metrics(twice, path).count() == 4
     writers.export_metrics_csv(stored, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first()["precision"] == "0.13"
 
 
 def test_seed_table_replaces_or_fills_only_when_empty(spark, tmp_path):
     path = str(tmp_path / "users")
-    emails = spark.createDataFrame([("a@b.de",), ("c@d.de",), ("a@b.de",)], "email string")
-    first = writers.seed_table(spark, emails, path, replace=False)
-    assert sorted(r.user_id for r in first.collect()) == [0, 1]
+    emails = ["z@b.de", "y@b.de", "x@b.de", "a@b.de", "z@b.de"]
+    listed = spark.createDataFrame(list(enumerate(emails)), "position int, email string").repartition(3)
+    first = writers.seed_table(spark, listed, path, replace=False)
+    assert [(r.user_id, r.email) for r in first.orderBy("user_id").collect()] == list(enumerate(emails))
     assert all(0 <= r.order_quantity <= 200 for r in first.collect())
-    other = spark.createDataFrame([("e@f.de",)], "email string")
-    assert writers.seed_table(spark, other, path, replace=False).count() == 2
+    other = spark.createDataFrame([(7, "e@f.de")], "position int, email string")
+    assert writers.seed_table(spark, other, path, replace=False).count() == 5
     assert [r.email for r in writers.seed_table(spark, other, path, replace=True).collect()] == ["e@f.de"]
     readers.expose(spark.read.parquet(path), "seeded")
     assert spark.table("seeded").count() == 1

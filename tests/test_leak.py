@@ -25,7 +25,7 @@ def test_address_join_equals_containment(spark):
     texts += [(1000, None), (1001, ""), (1002, "@"), (1003, "q" * 69 + "@b.de"), (1004, "zq" * 500 + "q" * 70 + "@b.dex")]
     df = spark.createDataFrame(texts, "id bigint, t string")
     table = spark.createDataFrame([(s,) for s in secrets] + [(None,)], "s string")
-    got = {r.id for r in leak.leaked_addresses(df, "id", ["t"], table, "s").where("t").collect()}
+    got = {r.id for r in leak.leaked(df, "id", ["t"], table, "s").where("t").collect()}
     assert got == brute(texts, secrets)
     inline = {r.id for r in df.where(leak.holds_secret(F.col("t"), secrets)).collect()}
     assert inline == got
@@ -44,15 +44,28 @@ def test_any_secret_equals_containment(spark):
 def test_several_text_columns(spark):
     df = spark.createDataFrame([(1, "me: a@b.de", "none"), (2, "no", "ed.b@a"), (3, "no", None)], "id bigint, x string, y string")
     table = spark.createDataFrame([("a@b.de",)], "s string")
-    got = {tuple(r) for r in leak.leaked_addresses(df, "id", ["x", "y"], table, "s").collect()}
+    got = {tuple(r) for r in leak.leaked(df, "id", ["x", "y"], table, "s").collect()}
     assert got == {(1, True, False), (2, False, True)}
 
 
-def test_address_join_refuses_other_secrets(spark):
+def test_many_lengths_long_secrets_and_shared_anchors(spark):
+    rng = random.Random(5)
+    letters = "abcdefgh @é😀\n"
+    secrets = ["".join(rng.choice(letters) for _ in range(n)) for n in range(1, 601)][8:]
+    secrets += ["https://example.com/same/start/of/all/" + str(i) * 3 for i in range(50)] + ["", "a@b@c", "@end", "end@"]
+    texts = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(900)))) for i in range(120)]
+    texts += [(200 + i, "x" + s + "y") for i, s in enumerate(secrets[::7])]
+    texts += [(400 + i, "x" + s[::-1][1:]) for i, s in enumerate(secrets[::9])] + [(None, "id " + secrets[300])]
+    df = spark.createDataFrame(texts, "id bigint, t string")
+    table = spark.createDataFrame([(s,) for s in secrets], "s string")
+    got = {r.id for r in leak.leaked(df, "id", ["t"], table, "s").where("t").collect()}
+    assert got == brute(texts, secrets) and None in got
+
+
+def test_no_secrets(spark):
     df = spark.createDataFrame([(1, "a@b")], "id bigint, x string")
-    table = spark.createDataFrame([("no address",)], "s string")
-    with pytest.raises(Exception, match="not an address"):
-        leak.leaked_addresses(df, "id", ["x"], table, "s").collect()
+    table = spark.createDataFrame([("",), (None,)], "s string")
+    assert leak.leaked(df, "id", ["x"], table, "s").count() == 0
 
 
 def test_exact_guess_has_no_trim_or_fold(spark):

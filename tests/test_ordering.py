@@ -21,6 +21,23 @@ def test_positions_are_dense_with_and_without_hot_groups(spark):
         assert {r.id: r.position for r in got.collect()} == want
 
 
+def test_positions_along_keys_of_any_type(spark):
+    rng = random.Random(7)
+    days = rng.sample(range(20_000), 300)
+    rows = [(f"k{d:05d}", d, rng.choice("ab")) for d in days]
+    df = spark.createDataFrame(rows, "s string, d int, g string").withColumns(
+        {"t": F.timestamp_seconds(F.col("d") * 86400), "p": F.struct(F.col("d") % 3, F.col("s"))}
+    )
+    for key in ("s", "t", "p"):
+        placed = ordering.with_position(df, [key], name="n").collect()
+        assert [r.n for r in sorted(placed, key=lambda r: r[key])] == list(range(300))
+        for hot_rows in (5, 10**6):
+            grouped = ordering.with_position(df, [key], group=["g"], name="n", hot_rows=hot_rows).collect()
+            for g in "ab":
+                own = sorted((r for r in grouped if r.g == g), key=lambda r: r[key])
+                assert [r.n for r in own] == list(range(len(own)))
+
+
 def test_exact_split_sizes_disjoint_complete(spark):
     for n in (1, 2, 7, 10, 33):
         df = spark.createDataFrame([(i, i >= n) for i in range(2 * n)], "id bigint, prompt_injection boolean")

@@ -20,6 +20,27 @@ def test_history_equals_brute_force_with_hot_conversation(spark):
             assert [m.content for m in r.history] == earlier
 
 
+def test_history_and_progression_with_text_and_time_keys(spark):
+    rng = random.Random(12)
+    rows = [(c, f"t{rng.randrange(10**6):06d}{i:03d}", "user", f"{c}-{i}") for c in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv bigint, turn string, role string, text string")
+    df = df.withColumn("at", F.timestamp_seconds(F.substring("turn", 2, 9).cast("bigint")))
+    for key in ("turn", "at"):
+        for hot_rows in (5, 10**6):
+            for r in sessions.last_messages(df, "conv", key, "role", "text", hot_rows=hot_rows, chunk=16).collect():
+                earlier = sorted((t, m) for c, t, _, m in rows if c == r.conv and t <= r.turn)[-10:]
+                assert [m.content for m in r.history] == [m for _, m in earlier]
+            hits = F.array(*[F.col("text").endswith(str(i)) for i in range(3)])
+            made = sessions.progression(df, "conv", key, hits, 3, hot_rows=hot_rows).collect()
+            for conv in (1, 2):
+                own = sorted((r for r in made if r.conv == conv), key=lambda r: r.turn)
+                level = 0
+                for r in own:
+                    assert r.level_before == level
+                    level += level < 3 and r.text.endswith(str(level))
+                    assert r.level_after == level
+
+
 def play(events, secrets):
     """One session, turn by turn."""
     level, wrong, out = 0, 0, []
