@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from guardlake.functions import fixed_values as fv
 
+ROLE_ERROR = "a message needs one of the roles " + ", ".join(fv.ROLES)
 VERDICT_SCHEMA = "answer string, credential boolean, reasoning string, _corrupt string"
 
 
@@ -72,7 +73,7 @@ def with_fallback(response: Column, text: str = fv.FALLBACK_RESPONSE) -> Column:
 
 def message(role: str, content: Column) -> Column:
     if role not in fv.ROLES:
-        raise ValueError("Role should be either 'user', 'system' or 'assistant'.")
+        raise ValueError(ROLE_ERROR)
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 

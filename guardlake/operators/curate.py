@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from guardlake.functions import fixed_values as fv
 from guardlake.functions.text import differs, longer_than
+from guardlake.functions.verdicts import ROLE_ERROR
+from guardlake.session import settled
 
 
 def attack_rows(df: DataFrame, text: str, completion: str, id_col: str) -> DataFrame:
@@ -31,18 +33,15 @@ def benign_rows(
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """One row per key: the one with the smallest ``order``.
+    """One row per key: the one with the smallest ``order``, which is unique; equal nulls are one key.
 
-    An aggregate, not a window: copies collapse map-side, so a text that makes
-    up a third of the table sends one row per map task.
+    Keys are grouped by their digest and meet the rows again by ``order``, so
+    copies collapse map-side and no long text is sorted or shuffled as a key.
     """
-    rest = [name for name in df.columns if name not in key and name != order]
-    if not rest:
-        kept = df.groupBy(*key).agg(F.min(order).alias(order))
-    else:
-        kept = df.groupBy(*key).agg(F.min_by(F.struct(order, *rest), order).alias("_first"))
-        kept = kept.select(*key, "_first.*")
-    return kept.select(*df.columns)
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(name).cast("string")), F.lit("n")) for name in key]
+    digest = F.sha2(F.concat_ws(",", *[F.sha2(part, 256) for part in parts]), 256)
+    first = df.groupBy(digest.alias("_key")).agg(F.min(order).alias(order)).select(order)
+    return df.join(settled(first, "first-rows"), order, "left_semi")
 
 
 def class_quota(n: int) -> dict[bool, int]:
@@ -67,7 +66,7 @@ def null_report(df: DataFrame, column: str) -> DataFrame:
 
 def require_not_null(df: DataFrame, column: str, text: str) -> DataFrame:
     """Fail the job when a prediction is null."""
-    problem = F.concat(F.lit("Model returned None for text: "), F.coalesce(F.col(text), F.lit("")))
+    problem = F.concat(F.lit("no prediction for text: "), F.coalesce(F.col(text), F.lit("")))
     checked = F.when(F.col(column).isNull(), F.raise_error(problem).cast(df.schema[column].dataType))
     return df.withColumn(column, checked.otherwise(F.col(column)))
 
@@ -79,5 +78,5 @@ def role_violations(df: DataFrame, role: str, allowed: Sequence[str] = fv.ROLES)
 
 def require_role(col: Column, allowed: Sequence[str] = fv.ROLES) -> Column:
     return F.when(col.isin(*allowed), col).otherwise(
-        F.raise_error(F.lit("Role should be either 'user', 'system' or 'assistant'.")).cast("string")
+        F.raise_error(F.lit(ROLE_ERROR)).cast("string")
     )

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from guardlake.session import remove, scratch_path, settled
+
 # Farthest rows looked at per pass on the driver; a fixed number, whatever the table size.
 POOL = 1024
 # Rows of which a task picks local representatives at a time.
@@ -47,48 +49,62 @@ def _min_distance(chosen):
     return distance
 
 
+def _whole(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """Rows with an id and a vector without nulls; others cannot be compared and take no part."""
+    whole = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull())
+    return vectors.where(whole).select(id_col, vector)
+
+
 def farthest_points(
     vectors: DataFrame, k: int, id_col: str, vector: str, start_id: int, pool: int = POOL
 ) -> DataFrame:
-    """Greedy farthest-point selection: ``(pick_order, id, min_dist)`` in pick order, exact.
+    """Greedy farthest-point selection: ``(pick_order, id, min_dist)`` in pick order, exact for any ``k``.
 
     Each pick is the row whose smallest distance to the picks so far is largest
-    (ties: smallest id). A pass scores all rows against all picks and brings back
-    the ``pool`` farthest. Distances only shrink as picks are added, so while the
+    (ties: smallest id). Every pass keeps each row's smallest distance in files of
+    the shared folder, adds only the picks of the pass before, and brings back
+    the ``pool`` farthest rows. Distances only shrink as picks are added, so while the
     best of the pool stays above the first row outside it, that row is the global
-    answer and needs no new pass. Passes keep no state: there is no lineage to
-    cut and a lost executor only repeats its part of one scan.
+    answer and needs no new pass. A pass's files are removed once the next is written.
     """
     import numpy as np
 
-    first = vectors.where(F.col(id_col) == start_id).select(vector).first()
+    rows = _whole(vectors, id_col, vector)
+    first = rows.where(F.col(id_col) == start_id).select(vector).first()
     if first is None:
         raise ValueError(f"no row with {id_col} = {start_id}")
-    picks = [(0, start_id, None)]
-    chosen = [_unit(first[0])]
+    picks, new, taken, state, path = [(0, start_id, None)], [_unit(first[0])], [start_id], rows, None
     while len(picks) < k:
-        taken = [pick[1] for pick in picks]
-        scored = vectors.where(~F.col(id_col).isin(*taken)).select(
-            id_col, vector, _min_distance([c.tolist() for c in chosen])(F.col(vector)).alias("min_dist")
-        )
-        head = scored.orderBy(F.desc("min_dist"), id_col).limit(pool + 1).collect()
+        nearest = _min_distance([c.tolist() for c in new])(F.col(vector))
+        kept = nearest if path is None else F.least("min_dist", nearest)
+        left = state.where(~F.col(id_col).isin(*taken)).select(id_col, vector, kept.alias("min_dist"))
+        before, path = path, scratch_path(vectors.sparkSession, "min-dist")
+        left.write.parquet(path)
+        state = vectors.sparkSession.read.schema(left.schema).parquet(path)
+        if before:
+            remove(vectors.sparkSession, before)
+        head = state.orderBy(F.desc("min_dist"), id_col).limit(pool + 1).collect()
         if not head:
             break
         limit = (head[pool]["min_dist"], -head[pool][id_col]) if len(head) > pool else None
-        rows = sorted(head[:pool], key=lambda row: row[id_col])
-        ids = [row[id_col] for row in rows]
-        units = np.stack([_unit(row[vector]) for row in rows])
-        distance = np.asarray([row["min_dist"] for row in rows])
-        open_rows = np.ones(len(rows), dtype=bool)
+        near = sorted(head[:pool], key=lambda row: row[id_col])
+        ids = [row[id_col] for row in near]
+        units = np.stack([_unit(row[vector]) for row in near])
+        distance = np.asarray([row["min_dist"] for row in near])
+        open_rows = np.ones(len(near), dtype=bool)
+        new, taken = [], []
         while len(picks) < k and open_rows.any():
             best = int(np.where(open_rows, distance, -1.0).argmax())
             if limit is not None and (distance[best], -ids[best]) < limit:
                 break
             picks.append((len(picks), ids[best], float(distance[best])))
-            chosen.append(units[best])
+            new.append(units[best])
+            taken.append(ids[best])
             open_rows[best] = False
             update = np.round(np.clip(1 - units @ units[best], 0, 2), DIGITS)
             distance = np.minimum(distance, update)
+    if path:
+        remove(vectors.sparkSession, path)
     return vectors.sparkSession.createDataFrame(picks, f"pick_order bigint, {id_col} bigint, min_dist double")
 
 
@@ -103,56 +119,54 @@ def _unit(values):
 def core_set(
     vectors: DataFrame, per_part: int, id_col: str, vector: str, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """Farthest-point picks of every ``part_rows`` rows: a small set that covers the table.
+    """Farthest-point picks of parts of about ``part_rows`` rows: a small set that covers the table.
 
-    No shuffle, and a task holds one part at a time. The union of the local
-    picks is a composable core-set, so selecting from it stays within a constant
-    factor of selecting from the whole table.
+    An md5 of the id deals rows to parts, and a part starts from its smallest id,
+    so the set does not depend on how the table is stored. A task holds one part. The
+    union of the local picks is a composable core-set: selecting from it stays within
+    a constant factor of selecting from the whole table.
     """
+    digits = DIGITS
 
-    def parts(batches):
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= part_rows:
-                yield pd.concat(held)
-                held, rows = [], 0
-        if rows:
-            yield pd.concat(held)
-
-    def local_picks(batches):
+    def local_picks(part: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        for batch in parts(batches):
-            x = np.stack(batch[vector].to_numpy()).astype(float)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = x / np.where(n == 0, 1, n)
-            picks = [0]
-            distance = 1 - x @ x[0]
-            while len(picks) < min(per_part, len(x)):
-                distance[picks] = -1
-                picks.append(int(distance.argmax()))
-                distance = np.minimum(distance, 1 - x @ x[picks[-1]])
-            yield batch.iloc[picks]
+        part = part.sort_values(id_col, ignore_index=True)
+        x = np.stack(part[vector].to_numpy()).astype(float)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(n == 0, 1, n)
+        picks = [0]
+        distance = np.round(np.clip(1 - x @ x[0], 0, 2), digits)
+        while len(picks) < min(per_part, len(x)):
+            distance[picks] = -1
+            picks.append(int(distance.argmax()))
+            distance = np.minimum(distance, np.round(np.clip(1 - x @ x[picks[-1]], 0, 2), digits))
+        return part.iloc[picks][[id_col, vector]]
 
-    kept = vectors.select(id_col, vector)
-    return kept.mapInPandas(local_picks, kept.schema)
+    kept = _whole(vectors, id_col, vector)
+    parts = max(1, -(-kept.count() // part_rows))
+    key = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return kept.withColumn("_part", key % parts).groupBy("_part").applyInPandas(local_picks, kept.schema)
 
 
 def farthest_points_coreset(
     vectors: DataFrame, k: int, id_col: str, vector: str, start_id: int, per_part: int | None = None
 ) -> DataFrame:
-    """Selection for a large ``k``: the exact loop runs over the core-set instead of the table."""
-    start = vectors.where(F.col(id_col) == start_id).select(id_col, vector)
+    """Approximate selection for a very large ``k``: the exact passes run over a core-set, made once, instead of the table."""
+    start = _whole(vectors, id_col, vector).where(F.col(id_col) == start_id)
     covering = core_set(vectors.where(F.col(id_col) != start_id), per_part or k, id_col, vector)
-    return farthest_points(start.unionByName(covering), k, id_col, vector, start_id)
-
-
-def radius(vectors: DataFrame, picks: DataFrame, id_col: str, vector: str, max_picks: int = 20_000) -> DataFrame:
-    """Largest distance of any row to its nearest pick: what a selection achieves."""
-    rows = vectors.join(picks.select(id_col), id_col, "left_semi").select(vector).limit(max_picks + 1).collect()
-    if len(rows) > max_picks:
-        raise ValueError(f"at most {max_picks} picks")
-    distance = _min_distance([_unit(row[0]).tolist() for row in rows])(F.col(vector))
-    return vectors.select(distance.alias("_d")).agg(F.max("_d").alias("radius"))
+    return farthest_points(settled(start.unionByName(covering), "core-set"), k, id_col, vector, start_id)
+
+
+def radius(vectors: DataFrame, picks: DataFrame, id_col: str, vector: str, block: int = POOL) -> DataFrame:
+    """Largest distance of any row to its nearest pick: what a selection achieves. Picks are scored in blocks."""
+    rows = _whole(vectors, id_col, vector)
+    chosen = rows.join(picks.select(id_col), id_col, "left_semi")
+    blocks = max(1, -(-chosen.count() // block))
+    chosen = settled(chosen.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks))), "picks")
+    scored = rows.withColumn("_d", F.lit(None).cast("double"))
+    for b in range(blocks):
+        units = [_unit(row[0]).tolist() for row in chosen.where(F.col("_block") == b).select(vector).collect()]
+        if units:
+            scored = scored.withColumn("_d", F.least("_d", _min_distance(units)(F.col(vector))))
+    return scored.agg(F.max("_d").alias("radius"))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guardlake.functions import text as tx
+from guardlake.session import settled
 
+# Rules are configuration and sit in the plan.
 MAX_RULES = 1000
-# Exemplar tokens that may be sent to the texts.
-MAX_INDEX = 20_000
-MAX_EXEMPLAR_VECTORS = 10_000
+# Exemplar vectors, and rows of an Arrow batch, that one matrix product takes.
+BLOCK_VECTORS, BLOCK_ROWS = 4_096, 1_024
 
 
 @dataclass(frozen=True)
@@ -78,8 +81,8 @@ def nearest_exemplar(
     ``need`` of an exemplar's ``n`` tokens holds at least one of any ``n - need
     + 1`` of them, so only that many of the exemplar's longest (rarest) tokens
     enter the index. Frequent short tokens never meet, and nothing is dropped.
-    Few exemplars, by a checked count of tokens, are sent to the texts, which
-    then are not shuffled; many meet the exploded tokens in a join.
+    Exemplars may be of any number: their index and the pairs that met are written,
+    and the planner picks the joins from the size of the files.
     """
     sets = exemplars.select(
         F.col(ex_id).alias("_ex"),
@@ -96,70 +99,69 @@ def nearest_exemplar(
     need = F.greatest(F.ceil(size * threshold - 1e-9), F.lit(1)).cast("int")
     sets = sets.withColumn("_need", need)
     sets = sets.withColumn("_index", F.slice("_ex_tokens", F.lit(1), size - F.col("_need") + 1))
-    index = sets.select("*", F.explode("_index").alias("_token"))
+    sets = settled(sets.select("_ex", "_ex_tokens", "_need", "_index"), "exemplars")
+    index = sets.select("_ex", F.explode("_index").alias("_token"))
     docs = df.select(id_col, tx.never_null(F.array_distinct(tx.tokens(F.col(text)))).alias("_tokens"))
-
-    vocabulary = sets.select(F.explode("_ex_tokens").alias("_token")).limit(MAX_INDEX + 1).collect()
-    if len(vocabulary) <= MAX_INDEX:
-        # Tokens no exemplar holds cannot count, so texts shrink to the others before they meet any.
-        held = docs.select(id_col, tx.never_null(_only("_tokens", {row["_token"] for row in vocabulary})).alias("_tokens"))
-        # A pair meets once per shared index token; only its first one counts.
-        pairs = (
-            held.withColumn("_token", F.explode_outer("_tokens"))
-            .join(F.broadcast(index.select("_token", "_ex")), "_token")
-            .join(F.broadcast(sets), "_ex")
-            .where(F.col("_token") == F.get(F.array_intersect("_index", "_tokens"), 0))
-        )
-    else:
-        met = docs.select(id_col, F.explode_outer("_tokens").alias("_token")).join(index.select("_token", "_ex"), "_token")
-        pairs = met.select(id_col, "_ex").distinct().join(docs, id_col).join(sets, "_ex")
+    met = docs.select(id_col, F.explode_outer("_tokens").alias("_token")).join(index, "_token").select(id_col, "_ex").distinct()
+    pairs = settled(met, "met").join(docs, id_col).join(sets, "_ex")
     scored = (
         pairs.withColumn("_overlap", F.size(F.array_intersect("_ex_tokens", "_tokens")))
         .where(F.col("_overlap") >= F.col("_need"))
-        .select(id_col, "_ex", (F.col("_overlap") / size).alias("score"))
-    )
-    best = scored.groupBy(id_col).agg(
-        F.max("score").alias("score"), F.max_by(F.col("_ex"), F.struct("score", -F.col("_ex"))).alias(ex_id)
+        .select(id_col, "_ex", (F.col("_overlap") / F.size("_ex_tokens")).alias("score"))
     )
-    return best.select(id_col, ex_id, "score")
-
-
-def _only(column: str, words: set[str]) -> Column:
-    """The elements of an array column that are in a fixed word set, tested by hash."""
-    if not words:
-        return F.array().cast("array<string>")
-    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(words))
-    return F.expr(f"filter({column}, t -> t IN ({quoted}))")
+    best = scored.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_ex"))).alias("_b"))
+    return best.select(id_col, F.col("_b._ex").alias(ex_id), (-F.col("_b.s")).alias("score"))
 
 
 def nearest_vector(
-    df: DataFrame, id_col: str, vector: str, exemplars: DataFrame, ex_id: str, ex_vector: str, threshold: float
+    df: DataFrame, id_col: str, vector: str, exemplars: DataFrame, ex_id: str, ex_vector: str, threshold: float,
+    block: int = BLOCK_VECTORS,
 ) -> DataFrame:
-    """Cosine form of the same test against a checked, small exemplar table."""
-    rows = exemplars.select(ex_id, ex_vector).orderBy(ex_id).limit(MAX_EXEMPLAR_VECTORS + 1).collect()
-    if len(rows) > MAX_EXEMPLAR_VECTORS:
-        raise ValueError(f"at most {MAX_EXEMPLAR_VECTORS} exemplar vectors")
-    ids = [row[0] for row in rows]
-    matrix = [[float(x) for x in row[1]] for row in rows]
+    """Cosine form of the same test. Exemplars of any number and id type are scored in blocks of a fixed size.
+
+    Rows and exemplars without a vector, or with a null in it, match nothing; ties go to the smallest exemplar id.
+    """
+    whole = lambda c: F.col(c).isNotNull() & F.forall(F.col(c), lambda x: x.isNotNull())
+    known = exemplars.where(whole(ex_vector)).select(F.col(ex_id).alias("_ex"), F.col(ex_vector).cast("array<double>").alias("_v"))
+    count = known.count()
+    blocks = max(1, -(-count // block))
+    known = settled(known.withColumn("_block", F.pmod(F.xxhash64("_ex"), F.lit(blocks))), "exemplar-vectors")
+    kinds = df.schema[id_col].dataType.simpleString(), exemplars.schema[ex_id].dataType.simpleString()
+    schema = f"`{id_col}` {kinds[0]}, `{ex_id}` {kinds[1]}, score double"
+    rows = df.where(whole(vector)).select(id_col, F.col(vector).cast("array<double>").alias("_v"))
+    parts = [
+        rows.mapInPandas(_block_scores(found, id_col, ex_id), schema).where(F.col("score") >= threshold)
+        for found in (known.where(F.col("_block") == b).orderBy("_ex").select("_ex", "_v").toPandas() for b in range(blocks))
+        if len(found)
+    ]
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema)
+    best = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(
+        F.min(F.struct((-F.col("score")).alias("s"), F.col(ex_id).alias("e"))).alias("_b")
+    )
+    return best.select(id_col, F.col("_b.e").alias(ex_id), (-F.col("_b.s")).alias("score"))
+
+
+def _block_scores(known: pd.DataFrame, id_col: str, ex_id: str):
+    """Per row the best of one block of exemplars; the matrix of similarities stays a few megabytes."""
+    names, vectors, step = list(known["_ex"]), [list(v) for v in known["_v"]], BLOCK_ROWS
 
     def score(batches):
         import numpy as np
         import pandas as pd
 
-        known = np.asarray(matrix)
-        norms = np.linalg.norm(known, axis=1, keepdims=True)
-        known = known / np.where(norms == 0, 1, norms)
-        names = np.asarray(ids)
+        units = np.asarray(vectors, dtype=float)
+        norms = np.linalg.norm(units, axis=1, keepdims=True)
+        units = units / np.where(norms == 0, 1, norms)
         for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch[vector].to_numpy()).astype(float)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            similarity = np.round((x / np.where(n == 0, 1, n)) @ known.T, 12)
-            best = similarity.argmax(axis=1)
-            yield pd.DataFrame(
-                {id_col: batch[id_col], ex_id: names[best], "score": similarity[np.arange(len(x)), best]}
-            )
-
-    schema = f"{id_col} bigint, {ex_id} bigint, score double"
-    return df.select(id_col, vector).mapInPandas(score, schema).where(F.col("score") >= threshold)
+            for begin in range(0, len(batch), step):
+                part = batch.iloc[begin : begin + step]
+                x = np.stack(part["_v"].to_numpy()).astype(float)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                similarity = np.round((x / np.where(n == 0, 1, n)) @ units.T, 12)
+                best = similarity.argmax(axis=1)
+                yield pd.DataFrame({
+                    id_col: part[id_col], ex_id: [names[i] for i in best], "score": similarity[np.arange(len(x)), best]
+                })
+
+    return score

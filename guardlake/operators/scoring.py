@@ -12,7 +12,9 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from guardlake.functions import text as tx
 from guardlake.functions.text import tokens
+from guardlake.session import settled
 
 
 def score(df: DataFrame, detectors: Mapping[str, Column]) -> DataFrame:
@@ -82,11 +84,28 @@ def accuracy_and_prior(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
-def text_vectors(df: DataFrame, text: str, dims: int = 256, name: str = "vector") -> DataFrame:
-    """Unit-length hashed TF-IDF vectors as an array column."""
-    tokenized = df.withColumn("_tokens", tokens(F.col(text)))
-    made = Pipeline(stages=_features(dims)).fit(tokenized).transform(tokenized)
-    return made.withColumn(name, vector_to_array("_unit")).drop("_tokens", "_tf", "_tfidf", "_unit")
+def text_vectors(df: DataFrame, id_col: str, text: str, dims: int = 256, name: str = "vector") -> DataFrame:
+    """``(id, vector)``: unit-length TF-IDF over token buckets, a token's bucket being an md5 of it modulo ``dims``.
+
+    Native throughout: counts per (text, bucket) fold map-side, and only they are
+    shuffled. The inverse frequencies are one row of ``dims`` numbers. A text without tokens, or null, has zeros.
+    """
+    bucket = F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("bigint") % dims
+    tokens_of = tx.never_null(tokens(F.col(text)))
+    counts = df.select(F.col(id_col).alias("_id"), F.explode_outer(tokens_of).alias("_t")).groupBy(
+        "_id", bucket.alias("_b")
+    ).agg(F.count("_t").alias("_n"))
+    counts = settled(counts, "token-counts")
+    seen = counts.where("_b IS NOT NULL").groupBy("_b").agg(F.count(F.lit(1)).alias("_df"))
+    idf = seen.select("_b", F.log(F.lit(df.count() + 1) / (F.col("_df") + 1)).alias("_idf"))  # at most dims rows
+    weighted = counts.join(F.broadcast(idf), "_b", "left").select("_id", "_b", (F.col("_n") * F.col("_idf")).alias("_x"))
+    entry = F.when(F.col("_b").isNotNull(), F.struct("_b", "_x"))
+    rows = weighted.groupBy("_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_m"), F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_l"))
+    x = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
+        lambda b: F.when(F.col("_l") > 0, F.coalesce(F.try_element_at("_m", b) / F.col("_l"), F.lit(0.0))).otherwise(F.lit(0.0)),
+    )
+    return rows.select(F.col("_id").alias(id_col), x.alias(name))
 
 
 def _features(dims: int) -> list:

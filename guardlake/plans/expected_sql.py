@@ -53,8 +53,13 @@ _GATED = f"'{fv.GATE_RESPONSE}'"
 _C = ("gpt-4.1", "gpt-4.1 use_pretrained_classifier", "gpt-4.1 use_output_rail use_structured_prompt")
 
 _TURNS = f"""
-WITH t AS (SELECT doc_id AS turn_id, doc_id % 5 AS level, substr(text, 1, 2000) AS text, doc_id % 19 = 0 AS correct,
-             CASE WHEN doc_id % 17 <> 0 THEN text ELSE 'Please try again.' END AS answer FROM documents),
+WITH {_SECRETS}, lv AS (SELECT s FROM secrets ORDER BY s LIMIT 25),
+l25 AS (SELECT s, (SELECT count(*) FROM lv b WHERE b.s < lv.s) AS r FROM lv),
+q AS (SELECT doc_id, text, substr(coalesce(CASE WHEN doc_id % 19 = 0 THEN s END, text), 1, 2000) AS said
+  FROM documents LEFT JOIN l25 ON r = (doc_id // 19) % 25),
+t AS (SELECT doc_id AS turn_id, doc_id % 5 AS level, said AS text,
+    EXISTS (SELECT 1 FROM l25 WHERE l25.r % 5 = q.doc_id % 5 AND l25.s = q.said) AS correct,
+    CASE WHEN doc_id % 17 <> 0 THEN text ELSE 'Please try again.' END AS answer FROM q),
 a AS (SELECT *, CASE WHEN NOT correct THEN CASE WHEN level >= 2 THEN {_redact('answer')} ELSE answer END END AS tool FROM t),
 b AS (SELECT *, CASE WHEN level >= 1 THEN {_redact('tool')} ELSE tool END AS o FROM a),
 h AS (SELECT *, NOT correct AND level = 4 AND {GATE} AS prompt_protection_hit,
@@ -112,7 +117,7 @@ def _farthest(name: str, rows: str, start: str, k: int) -> str:
     """Farthest-point picks ``(pick_order, vec_id, min_dist)`` as a recursive query."""
     distance = "round(least(greatest(1 - list_dot_product({0}, {1}), 0), 2), 12)"
     return f"""
-{name}_u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS v FROM
+{name}_u AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN n > 0 THEN x::DOUBLE / n ELSE 0 END) AS v FROM
   (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM {rows})),
 {name}_s AS (SELECT vec_id, v FROM {name}_u WHERE vec_id = ({start})),
 {name}_f AS (
@@ -126,6 +131,19 @@ def _farthest(name: str, rows: str, start: str, k: int) -> str:
 """
 
 
+def _vectors(rows: str, dims: int) -> str:
+    """Entries ``e(id, b, x)`` of the TF-IDF vectors of ``rows(id, text)``."""
+    bucket = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {dims}"
+    return f"""
+tok AS (SELECT id, unnest({_tokens('text')}) AS t FROM {rows}),
+cnt AS (SELECT id, {bucket} AS b, count(*) AS n FROM tok GROUP BY ALL),
+idf AS (SELECT b, ln(((SELECT count(*) FROM {rows}) + 1) / (count(*) + 1)) AS w FROM cnt GROUP BY b),
+wei AS (SELECT id, b, n * w AS x FROM cnt JOIN idf USING (b)),
+e AS (SELECT id, b, CASE WHEN l > 0 THEN x / l ELSE 0 END AS x FROM wei
+  JOIN (SELECT id, sqrt(sum(x * x)) AS l FROM wei GROUP BY id) USING (id))
+"""
+
+
 def _split(rows: str, id_col: str) -> str:
     return f"""
 SELECT * EXCLUDE (rn, n, holdout), CASE WHEN rn <= n - holdout THEN 'train'
@@ -189,6 +207,27 @@ _UTTERANCES = ", ".join(
     "({}, '{}')".format(i, text.replace("'", "''")) for i, text in enumerate(fv.ATTACK_UTTERANCES)
 )
 
+_CORPUS_ATTACK = """
+WITH r AS (SELECT d.doc_id, text, CASE quality WHEN 0 THEN 'I have been PWNED' WHEN 1 THEN 'ok' END AS completion
+  FROM documents d LEFT JOIN labels USING (doc_id))
+SELECT doc_id, text, true AS prompt_injection FROM r
+WHERE completion IS DISTINCT FROM 'I have been PWNED' AND length(text) > 30
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
+_LEVEL_GAME = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, json_extract(props, '$.k')::INT AS k,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+s AS (SELECT NULL::BIGINT AS event_id, user_id, 0 AS rn, 0 AS level_before, false AS correct, 0 AS level_after,
+    0 AS wrong_after, false AS restart FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT event_id, user_id, rn, CASE WHEN restart THEN 0 ELSE level END, correct AND NOT restart,
+    CASE WHEN restart THEN 0 WHEN correct THEN level + 1 ELSE level END,
+    CASE WHEN restart OR level = 5 THEN wrong WHEN correct THEN 0 ELSE wrong + 1 END, restart
+  FROM (SELECT e.event_id, e.user_id, e.rn, s.level_after AS level, s.wrong_after AS wrong,
+      e.event_type = 'signup' AND e.k < 20 AS restart,
+      s.level_after < 5 AND e.event_type = 'purchase' AND e.k % 3 = s.level_after % 3 AS correct
+    FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1))
+"""
+
 SQL: dict[str, str] = {
     "ablation_leak_rate": _ABLATION + "," + _CONFIGS + _RATES,
     "ablation_any_secret": _ABLATION.replace(_SECRETS, _ANY_SECRETS) + "," + _CONFIGS + _RATES,
@@ -243,12 +282,7 @@ FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id""",
 SELECT doc_id, 'system' AS role, CASE WHEN doc_id % 2 = 1 THEN 'Answer the request. Share no address.'
   ELSE 'Answer the request.' END AS content FROM documents
 UNION ALL SELECT doc_id, 'user', text FROM documents""",
-    "corpus_attack": """
-WITH r AS (SELECT d.doc_id, text, CASE quality WHEN 0 THEN 'I have been PWNED' WHEN 1 THEN 'ok' END AS completion
-  FROM documents d LEFT JOIN labels USING (doc_id))
-SELECT doc_id, text, true AS prompt_injection FROM r
-WHERE completion IS DISTINCT FROM 'I have been PWNED' AND length(text) > 30
-QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
+    "corpus_attack": _CORPUS_ATTACK,
     "corpus_benign": """
 SELECT doc_id, text, false AS prompt_injection FROM documents WHERE lang IN ('en', 'de')
 UNION ALL SELECT -(conv_id * 1000 + turn + 1), text, false FROM conversations WHERE role = 'user'""",
@@ -262,11 +296,18 @@ QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
 SELECT doc_id, CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'test' ELSE 'val' END AS split
 FROM (SELECT doc_id, {_hash_mod("md5('42:' || doc_id)", 10)} AS b FROM documents)""",
     "corpus_shuffle": "SELECT doc_id, lang, md5('42:' || doc_id) AS shuffle_key FROM documents ORDER BY shuffle_key",
-    "corpus_build": "WITH RECURSIVE a AS (SELECT * FROM embeddings WHERE label < 5), b AS (SELECT * FROM embeddings WHERE label >= 5), "
+    "corpus_build": "WITH RECURSIVE ca AS (" + _CORPUS_ATTACK + """),
+cb AS (SELECT -(conv_id * 1000 + turn + 1) AS doc_id, text, false AS prompt_injection FROM conversations WHERE role = 'user'),
+c AS (SELECT * FROM ca UNION ALL SELECT * FROM cb), ct AS (SELECT doc_id AS id, text FROM c), """ + _vectors("ct", 16)
+    + """, g AS (SELECT c.doc_id AS vec_id, c.prompt_injection, list_transform(range(16),
+    lambda i: coalesce(list_extract(v, i + 1), 0.0::DOUBLE)) AS embedding FROM c LEFT JOIN (
+    SELECT id, list(coalesce(x, 0.0) ORDER BY b) AS v FROM (SELECT k.id, k.b, e.x FROM (SELECT id, unnest(range(16)) AS b FROM ct) k
+      LEFT JOIN e ON e.id = k.id AND e.b = k.b) GROUP BY id) f ON f.id = c.doc_id),
+a AS (SELECT * FROM g WHERE prompt_injection), b AS (SELECT * FROM g WHERE NOT prompt_injection), """
     + _farthest("pa", "a", "SELECT min(vec_id) FROM a", 20) + "," + _farthest("pb", "b", "SELECT min(vec_id) FROM b", 21)
-    + """, rows_ AS (SELECT vec_id, 'text ' || vec_id AS text, true AS prompt_injection, md5('42:' || vec_id) AS shuffle_key,
-  pick_order FROM pa UNION ALL SELECT vec_id, 'text ' || vec_id, false, md5('42:' || vec_id), pick_order FROM pb)"""
-    + _split("rows_", "vec_id"),
+    + """, rows_ AS (SELECT p.vec_id AS doc_id, md5(c.text) AS text, c.prompt_injection, md5('42:' || p.vec_id) AS shuffle_key,
+  p.pick_order FROM (SELECT * FROM pa UNION ALL SELECT * FROM pb) p JOIN c ON c.doc_id = p.vec_id)"""
+    + _split("rows_", "doc_id"),
     "systematic_sample": """
 SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
 WHERE i % 30 = 0 ORDER BY doc_id LIMIT 1000""",
@@ -276,7 +317,12 @@ SELECT line_id FROM (SELECT line_id, row_number() OVER (ORDER BY line_id) - 1 AS
     "ordinal_column": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS my_config FROM documents",
     "diverse_exact": "WITH RECURSIVE " + _farthest("p", "embeddings", "0", 40)
     + " SELECT pick_order, vec_id, round(min_dist, 6) AS min_dist FROM p",
-    "text_vectors": f"SELECT doc_id, CASE WHEN len({_tokens('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM documents",
+    "diverse_coreset": "WITH RECURSIVE ce AS (SELECT * FROM embeddings WHERE vec_id <> 0), "
+    + _farthest("pc", "ce", "SELECT min(vec_id) FROM ce", 80)
+    + ", cs AS (SELECT * FROM embeddings WHERE vec_id = 0 OR vec_id IN (SELECT vec_id FROM pc)), " + _farthest("p", "cs", "0", 40)
+    + " SELECT pick_order, vec_id, round(min_dist, 6) AS min_dist FROM p",
+    "text_vectors": "WITH r AS (SELECT doc_id AS id, text FROM documents), " + _vectors("r", 64) + """
+SELECT id AS doc_id, b AS i, round(x, 6) AS x FROM e WHERE x <> 0""",
     "confusion": f"""
 WITH {_LABELLED} SELECT source, 'insult' AS model, {_counts(INSULT)} FROM l GROUP BY source
 UNION ALL SELECT source, 'gate' AS model, {_counts(GATE)} FROM l GROUP BY source""",
@@ -330,6 +376,10 @@ SELECT vec_id, round(confidence, 6) AS confidence, class::BIGINT AS class, class
 SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS answer,
   CASE WHEN event_id % 10 <> 0 THEN json_extract(props, '$.k')::BIGINT % 2 = 0 END AS credential,
   CASE WHEN event_id % 10 <> 0 THEN props END AS reasoning, event_id % 10 = 0 AS corrupt FROM events""",
+    "ml_classifier": f"""
+SELECT split, count(*) AS n_rows, count(*) FILTER (quality = 1) AS n_good, true AS separates FROM (
+  SELECT quality, CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'test' ELSE 'val' END AS split FROM (
+    SELECT quality, {_hash_mod("md5('42:' || doc_id)", 10)} AS b FROM documents JOIN labels USING (doc_id))) GROUP BY split""",
     "null_check": """
 SELECT count(*) AS n_rows, count(*) - count(toxic) AS n_null FROM documents LEFT JOIN labels USING (doc_id)""",
     "role_check": "SELECT conv_id, turn, upper(role) AS role FROM conversations WHERE turn = 3",
@@ -353,19 +403,7 @@ a AS (SELECT *, (level_before + correct::INT)::BIGINT AS level_after, coalesce(m
     PARTITION BY user_id ORDER BY event_id), 0) AS last_ FROM s)
 SELECT event_id, user_id, level_before, correct, level_after,
   CASE WHEN level_after = 5 THEN 0 ELSE rn - last_ END AS wrong_after, level_after = 5 AS finished FROM a""",
-    "progression_levels": """
-WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, json_extract(props, '$.k')::INT AS k,
-    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
-s AS (SELECT NULL::BIGINT AS event_id, user_id, 0 AS rn, 0 AS level_before, false AS correct, 0 AS level_after,
-    0 AS wrong_after, false AS restart FROM (SELECT DISTINCT user_id FROM events)
-  UNION ALL
-  SELECT event_id, user_id, rn, CASE WHEN restart THEN 0 ELSE level END, correct AND NOT restart,
-    CASE WHEN restart THEN 0 WHEN correct THEN level + 1 ELSE level END,
-    CASE WHEN restart OR level = 5 THEN wrong WHEN correct THEN 0 ELSE wrong + 1 END, restart
-  FROM (SELECT e.event_id, e.user_id, e.rn, s.level_after AS level, s.wrong_after AS wrong,
-      e.event_type = 'signup' AND e.k < 20 AS restart,
-      s.level_after < 5 AND e.event_type = 'purchase' AND e.k % 3 = s.level_after % 3 AS correct
-    FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1))
+    "progression_levels": _LEVEL_GAME + """
 SELECT event_id, user_id, level_before::BIGINT AS level_before, correct, level_after::BIGINT AS level_after,
   wrong_after::BIGINT AS wrong_after, level_after = 5 AND NOT restart AS finished FROM s WHERE rn > 0""",
     "sql_guarded": """
@@ -417,6 +455,11 @@ SELECT lang, count(*) AS n_rows, count(*) - count(text) AS n_null, min(length(te
   round(avg(length(text)), 4) AS mean_len, round(stddev_samp(length(text)), 4) AS stddev_len,
   round(quantile_cont(length(text), 0.5), 4) AS median_len, round(quantile_cont(length(text), 0.9), 4) AS p90_len,
   count(DISTINCT text) AS n_distinct FROM documents GROUP BY lang""",
+    "numeric_profile": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct, "
+        f"round(quantile_cont({c}::DOUBLE, 0.5), 4) AS middle, true AS distinct_near, true AS median_near FROM lineitem"
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_orderkey")
+    ),
     "numeric_profile_exact": " UNION ALL ".join(
         _measures(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_orderkey")
     ),
@@ -429,6 +472,7 @@ SELECT value, count(*) AS n_lines FROM lines WHERE contains(value, 'user') OR co
     "csv_roundtrip": """
 SELECT md5(text) AS h, toxic AS "Label", count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
     "prompt_table": "SELECT doc_id AS id, md5(text) AS h FROM documents",
+    "corpus_cached": "SELECT doc_id, lang, md5(text) AS h FROM documents",
     "seed_users": f"""
 WITH v AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL}') AS vs FROM documents),
 l AS (SELECT doc_id, unnest(range(len(vs))) AS nth, unnest(vs) AS email FROM v),
@@ -437,11 +481,15 @@ SELECT user_id, email, {_hash_mod("md5('42:' || user_id || ':' || email)", 201)}
     "stream_hits": """
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS window_end,
   event_type, count(*) AS n_hits FROM events GROUP BY ALL""",
+    "stream_late": """
+WITH m AS (SELECT event_id % 4 AS b, max(ts) AS newest FROM events GROUP BY ALL),
+k AS (SELECT b, max(newest) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM m)
+SELECT event_type, count(*) FILTER (NOT coalesce(ts < mark - INTERVAL 7 DAY, false)) AS n_counted,
+  count(*) FILTER (coalesce(ts < mark - INTERVAL 7 DAY, false)) AS n_late
+FROM events JOIN k ON k.b = event_id % 4 GROUP BY event_type""",
     "stream_guard": _TURN_GUARD,
-    "stream_progress": """
-WITH e AS (SELECT user_id, event_type = 'purchase' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
-s AS (SELECT user_id, least(count(*) FILTER (hit), 5)::BIGINT AS level, count(*) AS n_turns,
-  coalesce(max(rn) FILTER (hit), 0) AS last_ FROM e GROUP BY user_id)
-SELECT user_id, level, CASE WHEN level = 5 THEN 0 ELSE n_turns - last_ END AS wrong, n_turns, level = 5 AS finished FROM s""",
+    "stream_progress": _LEVEL_GAME + """
+SELECT user_id, level_after::BIGINT AS level, wrong_after::BIGINT AS wrong, rn::BIGINT AS n_turns, 0::BIGINT AS n_late,
+  level_after = 5 AS finished FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1""",
     "stream_log": _LOG + "SELECT speaker, level, count(*) AS n_lines FROM p WHERE parsed GROUP BY speaker, level",
 }

@@ -12,7 +12,7 @@ from guardlake.functions import text as tx
 from guardlake.functions import verdicts as vd
 from guardlake.operators import curate, diverse, guarded_sql, leak, matching, ordering, profile, scoring, sessions
 from guardlake.plans import ablation, corpus, evaluation, turns as turn_plan
-from guardlake.session import scratch_path
+from guardlake.session import scratch_path, settled
 from guardlake.sources import readers, writers
 from guardlake.streaming import jobs
 
@@ -230,16 +230,20 @@ def corpus_shuffle(spark, sf_dir):
 
 
 def corpus_build(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(
-        "vec_id", "embedding", F.concat(F.lit("text "), "vec_id").alias("text"), (F.col("label") < 5).alias("prompt_injection")
-    )
-    attack, benign = vectors.where("prompt_injection"), vectors.where("NOT prompt_injection")
-    starts = [part.agg(F.min("vec_id")).first()[0] for part in (attack, benign)]
-    built = corpus.build_corpus(attack, benign, 41, "vec_id", "embedding", *starts)
+    """From documents, labels and conversations to split files: filters, dedup, vectors, selection, split."""
+    attack, benign = corpus_attack(spark, sf_dir), corpus_benign(spark, sf_dir)
+    said = curate.combine([attack, benign.where("doc_id < 0")])
+    rows = settled(said, "class-rows")
+    vectors = settled(scoring.text_vectors(rows, "doc_id", "text", dims=16), "vectors")
+    kept = settled(rows.join(vectors, "doc_id"), "rows-with-vectors")
+    attack, benign = kept.where("prompt_injection"), kept.where("NOT prompt_injection")
+    starts = [part.agg(F.min("doc_id")).first()[0] for part in (attack, benign)]
+    built = corpus.build_corpus(attack, benign, 41, "doc_id", "vector", *starts)
     path = scratch_path(spark, "corpus")
     writers.write_splits(built, path)
-    schema = "vec_id bigint, text string, prompt_injection boolean, shuffle_key string, pick_order bigint, split string"
-    return spark.read.schema(schema).parquet(path)
+    schema = "doc_id bigint, text string, prompt_injection boolean, shuffle_key string, pick_order bigint, split string"
+    back = readers.read_corpus(spark, path, schema)
+    return back.withColumn("text", F.md5("text"))
 
 
 def systematic_sample(spark, sf_dir):
@@ -264,13 +268,14 @@ def diverse_exact(spark, sf_dir):
 
 def diverse_coreset(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return diverse.farthest_points_coreset(vectors, 40, "vec_id", "embedding", 0, per_part=80)
+    made = diverse.farthest_points_coreset(vectors, 40, "vec_id", "embedding", 0, per_part=80)
+    return made.withColumn("min_dist", F.round("min_dist", 6))
 
 
 def text_vectors(spark, sf_dir):
-    made = scoring.text_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
-    return made.select("doc_id", F.round(norm, 6).alias("norm"))
+    made = scoring.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", dims=64)
+    entries = made.select("doc_id", F.posexplode("vector").alias("i", "x")).where("x <> 0")
+    return entries.select("doc_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
 # Detection and metrics.
@@ -411,10 +416,19 @@ def verdict_json(spark, sf_dir):
 
 
 def ml_classifier(spark, sf_dir):
-    rows = ordering.hash_split(_labelled(spark, sf_dir), "doc_id")
-    model = scoring.train_classifier(rows.where("split = 'train'"), "text", "prompt_injection")
-    scored = scoring.classify(model, rows.where("split <> 'train'"), "text")
-    return scoring.with_ratios(scoring.confusion(scored, "prompt_injection", ["predictions"], ["split"]))
+    """Per split the rows and labels scored, and whether the classifier separates the labels better than chance."""
+    rows = ordering.hash_split(
+        table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+        .select("doc_id", "text", (F.col("quality") == 1).alias("good")), "doc_id",
+    )
+    model = scoring.train_classifier(rows.where("split = 'train'"), "text", "good")
+    scored = scoring.classify(model, rows, "text")
+    p = F.col("predictions_probability")
+    means = scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("good").alias("n_good"),
+        (F.avg(F.when(F.col("good"), p)) > F.avg(F.when(~F.col("good"), p))).alias("separates"),
+    )
+    return means
 
 
 def null_check(spark, sf_dir):
@@ -431,21 +445,48 @@ def role_check(spark, sf_dir):
 # Turns and sessions.
 
 
-def _turns(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("turn_id"), (F.col("doc_id") % 5).alias("level"), "text",
-        F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("response"), (F.col("doc_id") % 19 == 0).alias("guessed"),
+def _level_addresses(spark, sf_dir) -> DataFrame:
+    """Five addresses for each of five levels, dealt out in turn: at most 25 rows."""
+    known = _secrets(table(spark, sf_dir, "documents")).orderBy("email").limit(25)
+    return settled(ordering.with_position(known, ["email"], name="nth"), "level-addresses")
+
+
+def _levels(spark, addresses: DataFrame) -> list[dict]:
+    """The level table, written as JSON and read back as configuration."""
+    spread = spark.createDataFrame(LEVELS).select(
+        F.col("level").cast("int").alias("level"), F.lit(False).alias("use_mcp_server"), "use_prompt_protection",
+        "use_output_rail", "use_tool_rails", F.lit(MODEL).alias("model"), F.lit(SIMPLE_PROMPT).alias("system_prompt"),
+    )
+    own = addresses.groupBy((F.col("nth") % 5).cast("int").alias("level")).agg(F.sort_array(F.collect_list("email")).alias("emails"))
+    path = scratch_path(spark, "levels")
+    spread.join(own, "level", "left").write.json(path)
+    return readers.level_rows(readers.read_levels(spark, path))
+
+
+def _turns(docs: DataFrame, levels: list[dict]) -> DataFrame:
+    """Every nineteenth turn guesses an address of some level; the rest talk."""
+    addresses = sorted(a for row in levels for a in row["emails"] or ())
+    known = F.array(*[F.lit(a) for a in addresses]) if addresses else F.array().cast("array<string>")
+    tried = F.get(known, (F.floor(F.col("doc_id") / 19) % 25).cast("int"))
+    return docs.select(
+        F.col("doc_id").alias("turn_id"), (F.col("doc_id") % 5).alias("level"),
+        F.coalesce(F.when(F.col("doc_id") % 19 == 0, tried), F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("response"),
     )
 
 
+def _guarded(spark, sf_dir, docs: DataFrame, guard) -> DataFrame:
+    levels = _levels(spark, _level_addresses(spark, sf_dir))
+    return guard(_turns(docs, levels), levels, gate(), ["turn_id"])
+
+
 def turn_guard(spark, sf_dir):
-    guarded = turn_plan.guard_turns(_turns(spark, sf_dir), LEVELS, gate(), ["turn_id"], correct="guessed")
+    guarded = _guarded(spark, sf_dir, table(spark, sf_dir, "documents"), turn_plan.guard_turns)
     return guarded.withColumns({"text": F.md5("text"), "response": F.md5("response")})
 
 
 def guard_status(spark, sf_dir):
-    guarded = turn_plan.guard_turns(_turns(spark, sf_dir), LEVELS, gate(), ["turn_id"], correct="guessed")
-    return turn_plan.guard_summary(guarded)
+    return turn_plan.guard_summary(_guarded(spark, sf_dir, table(spark, sf_dir, "documents"), turn_plan.guard_turns))
 
 
 def history_last10(spark, sf_dir):
@@ -465,12 +506,16 @@ def progression(spark, sf_dir):
     )
 
 
-def progression_levels(spark, sf_dir):
+def _level_game() -> tuple[Column, Column]:
     """Each level has its own right answer, and some events restart the game."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     hits = F.array(*[(F.col("event_type") == "purchase") & (k % 3 == level % 3) for level in range(5)])
-    restart = (F.col("event_type") == "signup") & (k < 20)
+    return hits, (F.col("event_type") == "signup") & (k < 20)
+
+
+def progression_levels(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    hits, restart = _level_game()
     made = sessions.progression(events, "user_id", "event_id", hits, 5, restart)
     return made.drop("event_type", "props")
 
@@ -593,7 +638,19 @@ MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
 
 
 def numeric_profile(spark, sf_dir):
-    return profile.numeric_profile(table(spark, sf_dir, "lineitem"), MEASURES)
+    """The sketched columns: whether they lie within their stated errors of the exact ones."""
+    lines = table(spark, sf_dir, "lineitem")
+    sketched = profile.numeric_profile(lines, MEASURES).select("column", "n_rows", "approx_distinct", "median")
+    exact = curate.combine([
+        lines.agg(F.lit(c).alias("column"), F.countDistinct(F.col(c).cast("double")).alias("n_distinct"),
+                  F.percentile(F.col(c), 0.5).alias("middle"), F.percentile(F.col(c), 0.49).alias("low"),
+                  F.percentile(F.col(c), 0.51).alias("high"))
+        for c in MEASURES
+    ])
+    both = sketched.join(exact, "column")
+    near = F.abs(F.col("approx_distinct") / F.col("n_distinct") - 1) <= 0.15
+    return both.select("column", "n_rows", "n_distinct", F.round("middle", 4).alias("middle"), near.alias("distinct_near"),
+                       F.col("median").between(F.col("low"), F.col("high")).alias("median_near"))
 
 
 def numeric_profile_exact(spark, sf_dir):
@@ -655,6 +712,13 @@ def prompt_table(spark, sf_dir):
     return readers.read_prompts(spark, path).select("id", F.md5("data").alias("h"))
 
 
+def corpus_cached(spark, sf_dir):
+    """The near copy of a remote corpus: written by the first read, only read by the second."""
+    near, schema = scratch_path(spark, "near"), "doc_id bigint, text string, lang string, source string"
+    readers.cached_corpus(spark, f"{sf_dir}/documents.parquet", near, schema)
+    return readers.cached_corpus(spark, f"{sf_dir}/absent.parquet", near, schema).select("doc_id", "lang", F.md5("text").alias("h"))
+
+
 def seed_users(spark, sf_dir):
     """The list of all addresses in document order, repeats kept."""
     found = F.posexplode(tx.entity_values(F.col("text"), tx.EMAIL_ADDRESS)).alias("nth", "email")
@@ -673,26 +737,46 @@ def _stream(spark, sf_dir, name: str) -> DataFrame:
     return jobs.read_stream(spark, sf_dir, table(spark, sf_dir, name).schema, pattern=f"{name}.parquet")
 
 
+def _in_parts(spark, sf_dir, name: str, part: Column, parts: int) -> DataFrame:
+    """A table written part after part, and read as a stream of one part per micro-batch."""
+    rows, path = table(spark, sf_dir, name), scratch_path(spark, name)
+    for i in range(parts):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, rows.schema, files_per_batch=1)
+
+
+def _hits(spark, sf_dir, late: str | None) -> tuple[DataFrame, DataFrame]:
+    events = _in_parts(spark, sf_dir, "events", F.col("event_id") % 4, 4)
+    return jobs.hits_per_window(events, "ts", ["event_type"], late=late)
+
+
 def stream_hits(spark, sf_dir):
-    counted = jobs.hits_per_window(_stream(spark, sf_dir, "events"), "ts", ["event_type"])
-    return jobs.run_available(counted, "update", ["window_start", "window_end", "event_type"], "hits")
+    """A replay in four micro-batches, each over all days: every event counts."""
+    return _hits(spark, sf_dir, None)[0]
+
+
+def stream_late(spark, sf_dir):
+    """The same replay under a watermark: what is counted, and what went to the side table."""
+    counted, late = _hits(spark, sf_dir, "7 DAYS")
+    on_time = counted.groupBy("event_type").agg(F.sum("n_hits").alias("n_counted"))
+    behind = late.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_late"))
+    both = on_time.join(behind, "event_type", "full")
+    zero = F.lit(0).cast("bigint")
+    return both.select("event_type", F.coalesce("n_counted", zero).alias("n_counted"), F.coalesce("n_late", zero).alias("n_late"))
 
 
 def stream_guard(spark, sf_dir):
-    turns = _stream(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("turn_id"), (F.col("doc_id") % 5).alias("level"), "text",
-        F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("response"), (F.col("doc_id") % 19 == 0).alias("guessed"),
-    )
-    guarded = jobs.guard_stream(turns, LEVELS, gate(), ["turn_id"], correct="guessed")
+    guarded = _guarded(spark, sf_dir, _stream(spark, sf_dir, "documents"), jobs.guard_stream)
     made = guarded.withColumns({"text": F.md5("text"), "response": F.md5("response")})
     return jobs.run_available(made, name="guard")
 
 
 def stream_progress(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events")
-    moved = jobs.progression_stream(
-        events, "user_id", "event_id", _any_level(F.col("event_type") == "purchase"), 5
-    )
+    """Levels with their own right answers and restarts, over several micro-batches in event order."""
+    count = table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0]
+    events = _in_parts(spark, sf_dir, "events", F.floor(F.col("event_id") * 4 / F.lit(count)), 4)
+    hits, restart = _level_game()
+    moved = jobs.progression_stream(events, "user_id", "event_id", hits, 5, restart)
     return jobs.run_available(moved, "update", ["user_id"], "progress")
 
 
@@ -718,7 +802,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         turn_guard, guard_status, history_last10, progression, progression_levels,
         sql_guarded, sql_redacted, sql_redacted_nested, inventory_nested, sql_audit, inventory_tables, inventory_columns, first_rows,
         text_metrics, text_profile, numeric_profile, numeric_profile_exact, log_parse, log_counts, log_filter,
-        csv_roundtrip, prompt_table, seed_users,
-        stream_hits, stream_guard, stream_progress, stream_log,
+        csv_roundtrip, prompt_table, corpus_cached, seed_users,
+        stream_hits, stream_late, stream_guard, stream_progress, stream_log,
     )
 }

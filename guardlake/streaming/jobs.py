@@ -18,10 +18,14 @@ BYTES_PER_BATCH = 10 * 1024**3
 
 def read_stream(
     spark: SparkSession, folder: str, schema, format: str = "parquet", pattern: str | None = None,
-    bytes_per_batch: int = BYTES_PER_BATCH,
+    bytes_per_batch: int = BYTES_PER_BATCH, files_per_batch: int | None = None,
 ) -> DataFrame:
     """New files of a folder as a stream, a bounded amount per micro-batch."""
-    reader = spark.readStream.format(format).schema(schema).option("maxBytesPerTrigger", bytes_per_batch)
+    reader = spark.readStream.format(format).schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder)
@@ -38,53 +42,107 @@ def guard_stream(turns: DataFrame, levels: Sequence[dict], gate: Column, keys: S
 
 
 def hits_per_window(
-    turns: DataFrame, ts: str, by: Sequence[str], window: str = "1 day", late: str = "1 day"
-) -> DataFrame:
-    """Counts per tumbling window; rows later than the watermark are dropped by the engine."""
-    stamped = turns.withColumn(ts, F.col(ts).cast("timestamp"))
-    return (
-        stamped.withWatermark(ts, late)
-        .groupBy(F.window(ts, window), *by)
-        .agg(F.count(F.lit(1)).alias("n_hits"))
-        .select(
-            F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("window.end").cast("timestamp_ntz").alias("window_end"), *by, "n_hits",
-        )
+    turns: DataFrame, ts: str, by: Sequence[str], window: str = "1 day", late: str | None = None, name: str = "hits"
+) -> tuple[DataFrame, DataFrame]:
+    """Counts per tumbling window, and the rows that came too late to be counted; no row is in neither.
+
+    Every micro-batch stores its own counts, pre-aggregated, and reading adds
+    them up: no state is held, and the order of the files does not matter.
+    ``late`` is the caller's watermark: a row that far behind the newest row of
+    the batches before goes to the side table. Without it every row counts, but for
+    rows without a time. A repeated batch overwrites what it had stored.
+    """
+    spark = turns.sparkSession
+    base = scratch_path(spark, name)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn("_at", F.col(ts).cast("timestamp"))
+        too_late = F.col("_at").isNull()
+        if late is not None and path_exists(spark, f"{base}/newest"):
+            before = spark.read.schema("newest timestamp, batch_id bigint").parquet(f"{base}/newest")
+            newest = before.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+            if newest is not None:
+                too_late = too_late | (F.col("_at") < F.lit(newest) - F.expr(f"INTERVAL {late}"))
+        stamped = stamped.withColumn("_late", too_late)
+        counts = stamped.where("NOT _late").groupBy(F.window("_at", window).alias("_w"), *by).agg(F.count(F.lit(1)).alias("n_hits"))
+        counts.select("_w.start", "_w.end", *by, "n_hits").write.mode("overwrite").parquet(f"{base}/counts/batch_id={batch_id}")
+        stamped.where("_late").drop("_at", "_late").write.mode("overwrite").parquet(f"{base}/late/batch_id={batch_id}")
+        stamped.agg(F.max("_at").alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
+
+    query = (
+        turns.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    keys = [f"`{c}` {turns.schema[c].dataType.simpleString()}" for c in by]
+    counted = ", ".join(["start timestamp", "end timestamp", *keys, "n_hits bigint"])
+    rows = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema.fields)
+    found = _stored(spark, f"{base}/counts", counted).groupBy("start", "end", *by).agg(F.sum("n_hits").alias("n_hits"))
+    found = found.select(
+        F.col("start").cast("timestamp_ntz").alias("window_start"), F.col("end").cast("timestamp_ntz").alias("window_end"),
+        *by, "n_hits",
     )
+    return found, _stored(spark, f"{base}/late", rows)
 
 
-PROGRESS_STATE = "level int, wrong bigint, seen bigint"
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batch folders below a path; no rows if no batch ran."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+PROGRESS_STATE = "level int, wrong bigint, seen bigint, last string, late bigint"
 
 
 def progression_stream(
-    turns: DataFrame, session: str, order: str, hits: Column, levels: int, session_type: str = "bigint"
+    turns: DataFrame, session: str, order: str, hits: Column, levels: int, restart: Column | None = None,
+    session_type: str = "bigint",
 ) -> DataFrame:
     """Session state across micro-batches: one row per session that moved in the batch.
 
-    The state is three numbers. Turns of a session must arrive in order over
-    batches; inside a batch they are put in order here, so a trigger's size
-    bounds what one task sorts.
+    The state is five values. Inside a batch a session's turns are put in order
+    here, each kept as its order key and flags only. A turn that is not after the
+    last one of an earlier batch comes too late to be played: it is counted in
+    ``n_late`` and changes nothing else. A restart sets the level back to 0 and leaves
+    the wrong counter. ``order`` is a whole number, a text or a time.
     """
-    schema = f"{session} {session_type}, level bigint, wrong bigint, n_turns bigint, finished boolean"
+    schema = f"{session} {session_type}, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean"
+    kind = turns.schema[order].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
 
     def fold(key: tuple, frames: "Iterator[pd.DataFrame]", state: GroupState) -> "Iterator[pd.DataFrame]":
         import pandas as pd
 
-        level, wrong, seen = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("_order")
-        for hit in rows["_hits"]:
-            if level < levels:
-                if hit[level]:
+        level, wrong, seen, last, late = state.get if state.exists else (0, 0, 0, None, 0)
+        newest = before = int(last) if whole and last is not None else last
+        moves = []
+        for frame in frames:
+            for at, again, hit in zip(frame["_order"], frame["_restart"], frame["_hits"]):
+                moves.append((int(at) if whole else str(at), bool(again), sum(1 << i for i, h in enumerate(hit) if h)))
+        moves.sort()
+        for at, again, hit in moves:
+            if before is not None and at <= before:
+                late += 1
+                continue
+            newest = at
+            seen += 1
+            if again:
+                level = 0
+            elif level < levels:
+                if hit >> level & 1:
                     level, wrong = level + 1, 0
                 else:
                     wrong += 1
-        seen += len(rows)
-        state.update((int(level), int(wrong), int(seen)))
-        yield pd.DataFrame(
-            {session: [key[0]], "level": [level], "wrong": [wrong], "n_turns": [seen], "finished": [level == levels]}
-        )
-
-    keyed = turns.select(session, F.col(order).alias("_order"), hits.alias("_hits"))
+        state.update((int(level), int(wrong), int(seen), None if newest is None else str(newest), int(late)))
+        yield pd.DataFrame({
+            session: [key[0]], "level": [level], "wrong": [wrong], "n_turns": [seen], "n_late": [late],
+            "finished": [level == levels],
+        })
+
+    again = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
+    keyed = turns.select(session, F.col(order).alias("_order"), again.alias("_restart"), hits.alias("_hits"))
+    if not whole:
+        keyed = keyed.withColumn("_order", F.col("_order").cast("string"))
     return keyed.groupBy(session).applyInPandasWithState(
         fold, schema, PROGRESS_STATE, "update", GroupStateTimeout.NoTimeout
     )

@@ -119,6 +119,31 @@ def test_progression_stream_carries_state_over_batches(spark, tmp_path):
     moved = jobs.progression_stream(stream, "user", "k", F.array_repeat(F.col("ok"), 2), 2)
     got = {r.user: (r.level, r.wrong, r.n_turns, r.finished) for r in jobs.run_available(moved, "update", ["user"]).collect()}
     assert got == {1: (2, 0, 5, True), 2: (1, 1, 2, False)}
+    # The newest file first: turns behind the newest are reported, not played.
+    for i in range(len(turns)):
+        os.utime(folder / f"{i}.parquet", (now - 1000 - i, now - 1000 - i))
+    again = jobs.progression_stream(stream, "user", "k", F.array_repeat(F.col("ok"), 2), 2)
+    got = {r.user: (r.level, r.n_turns, r.n_late) for r in jobs.run_available(again, "update", ["user"]).collect()}
+    assert got == {1: (0, 1, 4), 2: (0, 1, 1)}
+
+
+def test_counts_over_batches_out_of_order_lose_nothing(spark, tmp_path):
+    import datetime
+
+    folder = str(tmp_path / "in")
+    start = datetime.datetime(2025, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=i), "ab"[i % 2]) for i in range(1000)] + [(1000, None, "a")]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp, g string")
+    for part in range(4):  # the newest quarter first
+        df.where(F.floor(F.col("id") / 251) == 3 - part).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.read_stream(spark, folder, df.schema, files_per_batch=1)
+    counts, late = jobs.hits_per_window(stream, "ts", ["g"])
+    want = {(r.d, r.g): r["count"] for r in df.where("ts is not null").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d"), "g").count().collect()}
+    assert {(r.window_start, r.g): r.n_hits for r in counts.collect()} == want
+    assert [r.id for r in late.collect()] == [1000]
+    counts, late = jobs.hits_per_window(stream, "ts", ["g"], late="2 DAYS")
+    assert counts.agg(F.sum("n_hits")).first()[0] + late.count() == 1001
+    assert {r.id for r in late.collect()} == {i for i, t, _ in rows if t is None or (i < 753 and t < rows[999][1] - datetime.timedelta(days=2))}
 
 
 def test_guard_stream_equals_batch(spark, data):

@@ -48,7 +48,7 @@ def test_core_set_radius_is_within_its_bound(spark):
     exact = diverse.farthest_points(df, 20, "id", "v", 0)
     near = diverse.farthest_points_coreset(df, 20, "id", "v", 0)
     small_parts = diverse.core_set(df, 20, "id", "v", part_rows=50)
-    assert small_parts.count() == 4 * 20
+    assert small_parts.count() == 8 * 20
     best = diverse.radius(df, exact, "id", "v").first().radius
     got = diverse.radius(df, near, "id", "v").first().radius
     # Chords of unit vectors are a metric, where a core-set of greedy picks reaches 4 times the optimum at most,
@@ -57,13 +57,33 @@ def test_core_set_radius_is_within_its_bound(spark):
     assert near.select("id").distinct().count() == 20
 
 
+def test_core_set_does_not_depend_on_the_layout(spark):
+    df = frame(spark, np.random.default_rng(8).normal(size=(300, 5)))
+    kept = []
+    for n in (1, 4, 16):
+        laid = df.repartition(n)
+        kept.append({r.id for r in diverse.core_set(laid, 10, "id", "v", part_rows=60).collect()})
+        picks = diverse.farthest_points_coreset(laid, 15, "id", "v", 0, per_part=20).orderBy("pick_order").collect()
+        kept.append([r.id for r in picks])
+    assert kept[0::2] == [kept[0]] * 3 and kept[1::2] == [kept[1]] * 3
+
+
+def test_many_picks_stay_exact_and_vectors_may_be_null(spark):
+    x = np.random.default_rng(9).normal(size=(2_030, 3))
+    df = frame(spark, x).unionByName(spark.createDataFrame([(9_000, None), (9_001, [1.0, None, 2.0])], "id bigint, v array<float>"))
+    got = [r.id for r in diverse.farthest_points(df, 2_001, "id", "v", 3).orderBy("pick_order").collect()]
+    assert len(set(got)) == 2_001 and not {9_000, 9_001} & set(got)
+    assert got[:40] == greedy(x.astype(np.float32), 40, 3)
+    assert diverse.radius(df, df.where("id < 3"), "id", "v", block=2).first().radius > 0
+
+
 def test_cosine_distance(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 1.0], [2.0, 2.0]), ([0.0, 0.0], [1.0, 0.0])], "u array<double>, v array<double>")
     got = [round(r[0], 9) for r in df.select(diverse.cosine_distance(F.col("u"), F.col("v"))).collect()]
     assert got == [1.0, 0.0, 1.0]
 
 
-def test_nearest_exemplar_equals_brute_force_on_both_paths(spark, monkeypatch):
+def test_nearest_exemplar_equals_brute_force(spark):
     import random
 
     rng = random.Random(7)
@@ -83,10 +103,15 @@ def test_nearest_exemplar_equals_brute_force_on_both_paths(spark, monkeypatch):
                     scores.append((n / len(s), -e))
             if scores:
                 want[i] = (-max(scores)[1], max(scores)[0])
-        for limit in (20_000, 0):
-            monkeypatch.setattr(matching, "MAX_INDEX", limit)
-            got = matching.nearest_exemplar(df, "id", "t", ex, "e", "x", threshold).collect()
-            assert {r.id: (r.e, r.score) for r in got} == want
+        got = matching.nearest_exemplar(df, "id", "t", ex, "e", "x", threshold).collect()
+        assert {r.id: (r.e, r.score) for r in got} == want
+
+
+def test_more_exemplar_tokens_than_once_fitted_a_plan(spark):
+    ex = spark.range(7_000).selectExpr("concat('e', id) AS e", "concat_ws(' ', concat('a', id), concat('b', id), concat('c', id)) AS x")
+    df = spark.createDataFrame([(1, "b5 a5 zz c5"), (2, "a6999 b6999"), (3, "a1 b2 c3"), (4, None)], "id bigint, t string")
+    got = matching.nearest_exemplar(df, "id", "t", ex, "e", "x", 0.6).collect()
+    assert {(r.id, r.e, round(r.score, 3)) for r in got} == {(1, "e5", 1.0), (2, "e6999", 0.667)}
 
 
 def test_policy_rules(spark):
@@ -101,6 +126,13 @@ def test_nearest_vector(spark):
     ex = spark.createDataFrame([(7, [2.0, 0.1]), (8, [0.0, 5.0])], "e bigint, w array<double>")
     got = matching.nearest_vector(df, "id", "v", ex, "e", "w", 0.5).collect()
     assert {(r.id, r.e) for r in got} == {(0, 7), (1, 8)}
+    named = spark.createDataFrame(
+        [("x", [2.0, 0.1]), ("b", [0.0, 5.0]), ("a", [0.0, 1.0]), ("n", None), ("m", [None, 1.0])], "e string, w array<double>"
+    )
+    rows = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0]), ("r", None), ("s", [None, 1.0])], "id string, v array<float>")
+    for block in (1, 2, 4096):
+        got = matching.nearest_vector(rows, "id", "v", named, "e", "w", 0.5, block).collect()
+        assert {(r.id, r.e) for r in got} == {("p", "x"), ("q", "a")}
 
 
 def test_confusion_and_ratios_with_zero_denominators(spark):
