@@ -67,7 +67,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("id").alias(own), F.col("row").alias(row), F.col("places").alias(gone)
     )
     places = settled(places, "repeated_places")
-    joined = docs.join(places, docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(row)), "left")
+    # However few repeats there are here, their number follows the input: never a broadcast.
+    joined = docs.join(places.hint("merge"), docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(row)), "left")
     every, filled, cut = (unused(docs, c) for c in ("every", "filled", "cut"))
     split = joined.withColumn(every, _lines(F.col(text_col))).withColumn(
         filled, F.when(F.col(gone).isNotNull(), _filled(F.col(every)))
