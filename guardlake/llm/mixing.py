@@ -20,7 +20,7 @@ SHARD_SLOTS = 1_024
 BUCKET_ROWS = 10_000
 #: How often a source may be repeated, what all targets share of all sizes, and the weights by rank of source.
 MOST, SHARE, WEIGHTS = 2.0, 1.5, (5.0, 2.0, 1.0)
-BLANKS = "[\\x20\\x09-\\x0D]+"
+BLANKS, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -178,8 +178,8 @@ def streams(sized: DataFrame, catalogue: list[Source], seed: int = 0) -> DataFra
     )
     summed = rows.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = summed.join(settled(shifts, "shifts"), ["source_no", "bucket"])
-    end = F.col("end") + F.col("shift")
-    return placed.withColumn("end", end).withColumn("begin", end - F.col("size")).drop("draw", "bucket", "shift")
+    placed = placed.withColumn("end", F.col("end") + F.col("shift"))
+    return placed.withColumn("begin", F.col("end") - F.col("size")).drop("draw", "bucket", "shift")
 
 
 def block_parts(placed: DataFrame, catalogue: list[Source]) -> DataFrame:
@@ -240,7 +240,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix as rows like those of ``docs``: per document and epoch the words taken, in their order.
 
-    A document taken whole keeps its text as it is, inner white space included; twice taken, it gives two rows.
+    A document taken whole keeps its text as it is; of one taken in part the words stay with the white space behind
+    them. Twice taken, it gives two rows.
     Rows that share id, source and size follow the first of them. Rows without words are in no mix.
     """
     blocks = mixed_blocks(docs, id_col, text_col, source_col, seed, block_words)
@@ -257,27 +258,12 @@ def mixed_documents(
         & (words(docs[text_col]) == spans[z])
     )
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, taken: pd.Series) -> pd.Series:
-        import re
-
-        run = re.compile("[^\\x20\\x09-\\x0D]+")
-        out = []
-        for t, parts in zip(text, taken):
-            merged: list[list[int]] = []
-            for part in parts:
-                if merged and merged[-1][1] == part["at"]:
-                    merged[-1][1] += part["n"]
-                else:
-                    merged.append([part["at"], part["at"] + part["n"]])
-            ends = [(m.start(), m.end()) for m in run.finditer(t)]
-            if merged == [[0, len(ends)]]:
-                out.append(t)
-            else:
-                out.append(" ".join(t[ends[a][0] : ends[b - 1][1]] for a, b in merged))
-        return pd.Series(out, dtype=object)
-
-    mixed = docs.join(spans, on).withColumn(text_col, cut(F.col(text_col).cast("string"), p))
+    # Runs of words keep the white space behind each word; what ends a text loses it.
+    runs = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD + "[\\x20\\x09-\\x0D]*"), F.lit(0))
+    parts = F.transform(p, lambda part: F.array_join(F.slice(runs, (part["at"] + 1).cast("int"), part["n"].cast("int")), ""))
+    text = F.regexp_replace(F.array_join(parts, ""), BLANKS + "\\z", "")
+    whole = F.aggregate(p, F.lit(0).cast("long"), lambda acc, part: acc + part["n"]) == F.col(z)
+    mixed = docs.join(spans.hint("merge"), on).withColumn(text_col, F.when(whole, F.col(text_col).cast("string")).otherwise(text))
     if length_col in docs.columns:
         mixed = mixed.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return mixed.select(*docs.columns)

@@ -49,6 +49,21 @@ def test_mix_of_awkward_rows(awkward, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_many_buckets_of_a_stream_are_one_stream(awkward, monkeypatch):
+    sizes = mixing.sized(awkward).where("size > 0").cache()
+    catalogue = mixing.sources(sizes)
+    for rows in (3, 20, 10_000):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+        placed = mixing.streams(sizes, catalogue).collect()
+        assert len(placed) == sizes.count()
+        for no, source in enumerate(catalogue):
+            at = 0
+            for r in sorted((r for r in placed if r.source_no == no), key=lambda r: r.begin):
+                assert (r.begin, r.end) == (at, at + r.size)
+                at = r.end
+            assert at == source.size
+
+
 def test_blocks_cover_what_is_taken_and_documents_keep_their_words(awkward):
     docs = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
     taken = {r.id: r.taken for r in mixing.mix(docs).collect()}
