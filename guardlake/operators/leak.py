@@ -14,8 +14,8 @@ from guardlake.session import settled
 
 # Inline secrets are configuration and become part of the plan; longer lists belong in a table.
 MAX_INLINE_SECRETS = 1000
-# A secret meets texts by its first characters, as many as the largest of these that it has: at least half of most secrets.
-ANCHOR_WIDTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+# A secret meets texts by its first characters, as many as the largest of these that it has.
+ANCHOR_WIDTHS = (1, 2, 4, 8, 16, 32)
 
 
 def holds_secret(col: Column, secrets: Sequence[str]) -> Column:

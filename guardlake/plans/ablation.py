@@ -47,13 +47,20 @@ def gated_response(response: Column, gate_hit: Column, config: GuardConfig) -> C
 def _leak_columns(
     prompts: DataFrame, id_col: str, response: str, secrets: DataFrame, secret: str, gate: Column | None = None
 ) -> DataFrame:
-    """Leaks of the two texts any configuration can answer with, as given and redacted; only rows that leak."""
+    """Leaks of the two texts any configuration can answer with, as given and redacted; only rows that leak.
+
+    The redacted text is looked through only where it differs.
+    """
     raw = with_fallback(F.col(response))
+    redacted = tx.redact(raw)
+    same = F.coalesce(raw == redacted, F.lit(False))
     variants = prompts.select(
-        id_col, raw.alias("_raw"), tx.redact(raw).alias("_redacted"), *([] if gate is None else [gate.alias("_gate")])
+        id_col, *([] if gate is None else [gate.alias("_gate")]), same.alias("_same"), raw.alias("_raw"),
+        F.when(~same, redacted).alias("_redacted"),
     )
     keys = [id_col] if gate is None else [id_col, "_gate"]
-    return leaked(variants, keys, ["_raw", "_redacted"], secrets, secret)
+    found = leaked(variants, [*keys, "_same"], ["_raw", "_redacted"], secrets, secret)
+    return found.select(*keys, "_raw", F.when(F.col("_same"), F.col("_raw")).otherwise(F.col("_redacted")).alias("_redacted"))
 
 
 def _leak(config: GuardConfig, gate_hit: Column) -> Column:

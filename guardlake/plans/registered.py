@@ -628,8 +628,8 @@ def text_metrics(spark, sf_dir):
 
 def text_profile(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    made = profile.text_profile(docs, "text", ["lang"]).join(
-        profile.distinct_count(docs, F.col("text"), ["lang"], "n_distinct"), "lang"
+    made = ordering.join_null_safe(
+        profile.text_profile(docs, "text", ["lang"]), profile.distinct_count(docs, F.col("text"), ["lang"], "n_distinct"), ["lang"]
     )
     return made.withColumns({name: F.round(name, 4) for name in ("mean_len", "stddev_len", "median_len", "p90_len")})
 

@@ -68,7 +68,7 @@ def test_evaluation_fails_on_a_null_prediction(spark):
     df = spark.createDataFrame([("a", True), ("b", False)], "text string, y boolean")
     fine = evaluation.evaluate(df, {"d": F.col("text") == "a"}, "y", "text", "set").first()
     assert (fine.dataset, fine.model, fine.f1, fine.tn) == ("set", "d", 1.0, 1)
-    with pytest.raises(Exception, match="returned None"):
+    with pytest.raises(Exception, match="no prediction for text"):
         evaluation.evaluate(df, {"d": F.when(F.col("text") == "a", True)}, "y", "text", "set").collect()
 
 
