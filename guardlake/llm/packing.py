@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, insort
 from itertools import repeat
 
@@ -16,8 +17,8 @@ from guardlake.session import settled
 
 CAPACITY = 4_096
 END_ID = 1
-#: Chunks between white space whose ids a task remembers; beyond that it forgets all and starts anew.
-MEMO = 200_000
+#: Chunks between white space whose ids a task remembers; beyond that it forgets those not in use.
+MEMO = 600_000
 #: Rows of one ranking bucket, about.
 BUCKET_ROWS = 20_000
 
@@ -31,8 +32,8 @@ def pieces(
     ``ids`` are little-endian unsigned 32-bit integers, as binary.
 
     Null and empty texts are the end id alone. The tokenizer maps stretches between ASCII white space
-    independently of each other (its rules neither cross nor keep white space), so each distinct stretch is encoded
-    once and remembered. A text over ``capacity`` becomes whole pieces and a shorter last one.
+    independently of each other (its rules neither cross nor keep white space), and a run of letters independently of
+    marks behind it and of ASCII case, so each distinct one is encoded once and remembered. A text over ``capacity`` becomes whole pieces and a shorter last one.
     """
 
     def make():
@@ -41,17 +42,50 @@ def pieces(
 
         model = Tokenizer.from_file(tokenizer)
         memo: dict[str, bytes] = {}
+        letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+        marked, word = re.compile(f"([{letters}]+)([.,!?;:*$%&#]+)"), re.compile(f"[{letters}]+")
+        vocabulary = model.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+        def encode(new: list[str]) -> None:
+            """Runs of letters go many at a time, as each ends with its one token that ends a word; the rest singly."""
+            runs, rest = [w for w in new if word.fullmatch(w)], [w for w in new if not word.fullmatch(w)]
+            for begin in range(0, len(runs), 8_192):
+                part = runs[begin : begin + 8_192]
+                lines = [" ".join(part[i : i + 64]) for i in range(0, len(part), 64)]
+                ids = np.array([i for c in model.encode_batch_fast(lines, add_special_tokens=False) for i in c.ids], dtype="<u4")
+                stops = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+                data = ids.tobytes()
+                memo.update(zip(part, [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]))
+            for begin in range(0, len(rest), 8_192):
+                part = rest[begin : begin + 8_192]
+                for w, code in zip(part, model.encode_batch_fast(part, add_special_tokens=False)):
+                    memo[w] = np.array(code.ids, dtype="<u4").tobytes()
+
+        def learn(new: list[str]) -> None:
+            """Ids of stretches not met yet; of a word with marks after it, the word's and the marks' are put together."""
+            spelled, plain = [], set()
+            for w in new:
+                m = marked.fullmatch(w)
+                run, marks = m.groups() if m else (w, "")
+                if run.isascii() and run.isalpha():
+                    run = run.lower()
+                spelled.append((w, run, marks))
+                plain.add(run)
+                plain.add(marks)
+            encode(list(plain.difference(memo)))
+            memo.update([(w, memo[run] + memo[marks]) for w, run, marks in spelled])
 
         def work(ids, texts):
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-            new = list({w for words in split for w in words if w not in memo})
+            here = set().union(*split)
+            new = here.difference(memo)
             if len(memo) + len(new) > MEMO and memo:
+                kept = {w: memo[w] for w in here.intersection(memo)}
                 memo.clear()
-                new = list({w for words in split for w in words})
-            for begin in range(0, len(new), 20_000):
-                part = new[begin : begin + 20_000]
-                for word, code in zip(part, model.encode_batch(part, add_special_tokens=False)):
-                    memo[word] = np.array(code.ids, dtype="<u4").tobytes()
+                memo.update(kept)
+            learn(list(new))
             end = np.array([end_id], dtype="<u4").tobytes()
             step, rows = 4 * capacity, []
             for k, words in enumerate(split):

@@ -44,6 +44,22 @@ def test_pieces_and_places(awkward, nothing):
     assert packing.pack(nothing, tokenizer_path(WORDS)).count() == 0
 
 
+def test_many_buckets_rank_every_length_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    rows = [(i, 0, (i * 37) % 11 + 1) for i in range(500)] + [(i, 1, 5) for i in range(200)]
+    items = spark.createDataFrame(rows, "id long, piece int, length long")
+    bins = defaultdict(list)
+    for r in packing.place(items, 16).collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, bins.values())) == 700
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 16
+
+
 @pytest.mark.parametrize("text", [
     "Grüße, ΣΊΣΥΦΟΣ x y　z a\x1cb\x0bc\x85d", "don't we'll I'M 12345 a--b!!", "é ́x İstanbul ﬁ ǅ",
     "<|endoftext|> a<|startoftext|>b <|end oftext|>", "日本語 テキスト\nالعربية", "\U0001f600\U0001f600x ퟿", "a\r\nb\tc  d",
