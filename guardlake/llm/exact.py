@@ -125,7 +125,8 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .alias("variants")
     )
     joined = base.join(settled(spelled, "spelled"), "sha256", "left")
-    return joined.select("id", "n_points", "sha256", "recipe", F.coalesce("variants", F.lit("")).alias("variants"))
+    named = joined.select("id", "n_points", "sha256", "recipe", F.coalesce("variants", F.lit("")).alias("variants"))
+    return settled(named, "identified")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bytes: int = 16) -> DataFrame:
@@ -137,7 +138,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one of them. Groups are counted before the shuffle; joining them back, a large group is split by AQE, as
     both sides are files. Extra columns are not touched; an empty table gives no rows.
     """
-    rows = settled(identified(docs, id_col, text_col, hash_bytes), "identified")
+    rows = identified(docs, id_col, text_col, hash_bytes)
     best = F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     groups = rows.groupBy("recipe", "variants").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
     groups = settled(
@@ -163,6 +164,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     match = (wide[mark] == stay["_sha"]) & wide[id_col].eqNullSafe(stay["_id"]) & (wide[points] == stay["_n"])
     one = Window.partitionBy(mark, id_col).orderBy(text_col)
     return (
-        wide.join(stay, match, "left_semi").withColumn(rank, F.row_number().over(one))
+        wide.join(stay.hint("merge"), match, "left_semi").withColumn(rank, F.row_number().over(one))
         .where(F.col(rank) == 1).select(*docs.columns)
     )

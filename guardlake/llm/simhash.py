@@ -211,4 +211,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = unused(docs, "own_id")
     groups = near_groups(docs, id_col, text_col)
     stay = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(own)).distinct()
-    return docs.join(settled(stay, "stay"), docs[id_col].eqNullSafe(F.col(own)), "left_semi")
+    return docs.join(settled(stay, "stay").hint("merge"), docs[id_col].eqNullSafe(F.col(own)), "left_semi")
