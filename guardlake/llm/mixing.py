@@ -177,7 +177,7 @@ def streams(sized: DataFrame, catalogue: list[Source], seed: int = 0) -> DataFra
         "source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")
     )
     summed = rows.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = summed.join(settled(shifts, "shifts"), ["source_no", "bucket"])
+    placed = summed.join(settled(shifts, "shifts").hint("merge"), ["source_no", "bucket"])
     placed = placed.withColumn("end", F.col("end") + F.col("shift"))
     return placed.withColumn("begin", F.col("end") - F.col("size")).drop("draw", "bucket", "shift")
 

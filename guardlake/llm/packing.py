@@ -200,7 +200,7 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")
     )
     starts = settled(starts, "rank_starts")
-    ranked = held.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["length", "bucket"])
+    ranked = held.withColumn("rank", F.row_number().over(inside) - 1).join(starts.hint("merge"), ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("shift"))
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
