@@ -88,5 +88,5 @@ def test_null_and_role_checks(spark):
         curate.require_not_null(df, "p", "text").collect()
     roles = spark.createDataFrame([("user",), ("User",), (None,), ("system",)], "role string")
     assert [r.role for r in curate.role_violations(roles, "role").collect()] == ["User", None]
-    with pytest.raises(Exception, match="a message needs either"):
+    with pytest.raises(Exception, match="a message needs one of the roles"):
         roles.select(curate.require_role(F.col("role"))).collect()
