@@ -33,11 +33,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids and their place in a training sequence."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), remember=REMEMBERED).withColumnRenamed("id", "doc_id")
 
 
 #: Words of a mixed block: long, so that a source taken in part still gives long stretches of text.
 MIX_BLOCK_WORDS = 1_024
+#: Words the tokenizing tasks remember: fewer than a query of its own may, as workers still hold what earlier stages left.
+REMEMBERED = 400_000
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality_filter),
     ("exact dedup", exact_dedup),

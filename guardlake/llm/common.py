@@ -12,7 +12,9 @@ from guardlake.session import settled
 #: Folder of the public vocabulary files, unless a caller names another.
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of text that one step inside a task holds in decoded form.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+#: Rows and bytes of an Arrow batch of texts: what a task holds on either side of the pipe to its Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +57,17 @@ def text_slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[pa.Rec
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold few texts at a time; the default of 10,000 rows is made for narrow ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def per_text(
     docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list, list[str]], dict]],
 ) -> DataFrame:
     """Map-only: ``make()`` gives, once per task, a function from ids and texts to the columns of ``schema``."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     full = schema.replace("ID_TYPE", id_type)
 
@@ -72,6 +81,8 @@ def per_text(
                 if arrays and len(arrays[0]):
                     first = arrays[0].cast(kind) if list(made)[0] == "id" else arrays[0]
                     yield pa.RecordBatch.from_arrays([first, *arrays[1:]], names=list(made))
+                    del made, arrays, first
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, full)
 

@@ -25,7 +25,7 @@ BUCKET_ROWS = 20_000
 
 def pieces(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-    end_id: int = END_ID,
+    end_id: int = END_ID, remember: int = MEMO,
 ) -> DataFrame:
     """``(id, piece, start, length, ids)``: each text's ids and ``end_id``, cut at ``capacity``.
 
@@ -33,7 +33,8 @@ def pieces(
 
     Null and empty texts are the end id alone. The tokenizer maps stretches between ASCII white space
     independently of each other (its rules neither cross nor keep white space), and a run of letters independently of
-    marks behind it and of ASCII case, so each distinct one is encoded once and remembered. A text over ``capacity`` becomes whole pieces and a shorter last one.
+    marks behind it and of ASCII case, so each distinct one is encoded once and remembered
+    (``remember`` of them at a time). A text over ``capacity`` becomes whole pieces and a shorter last one.
     """
 
     def make():
@@ -81,7 +82,7 @@ def pieces(
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
             here = set().union(*split)
             new = here.difference(memo)
-            if len(memo) + len(new) > MEMO and memo:
+            if len(memo) + len(new) > remember and memo:
                 kept = {w: memo[w] for w in here.intersection(memo)}
                 memo.clear()
                 memo.update(kept)
@@ -224,6 +225,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+    remember: int = MEMO,
 ) -> DataFrame:
     """Every piece of every text with its ids and its place in a sequence. An empty table gives no rows."""
-    return place(settled(pieces(docs, tokenizer, id_col, text_col, capacity), "pieces"), capacity)
+    return place(settled(pieces(docs, tokenizer, id_col, text_col, capacity, remember=remember), "pieces"), capacity)

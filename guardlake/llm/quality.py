@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from guardlake.llm.common import per_text
+from guardlake.llm.common import bounded_batches, per_text
 from guardlake.session import settled
 
 #: At most about this many labelled rows are fitted, chosen by a hash of the id.
@@ -231,6 +231,7 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
 
 def text_score(model: Model, spark) -> object:
     """A column function from texts to scores, for filters that keep rows where they are."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
