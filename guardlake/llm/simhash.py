@@ -20,6 +20,8 @@ GOLAY_GENERATOR = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Fingerprints of one key that are compared in one place; keys with more are cut into blocks of this size.
 BLOCK = 2_048
+#: Fingerprints whose keys, about a hundred each, one task spells out.
+TASK_PRINTS = 20_000
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +143,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     Fingerprints of a key are compared in one place, where only a tree of what is linked leaves. Keys with more than
     ``block`` fingerprints are dealt out as pairs of blocks, so none grows past two blocks in one place.
     """
-    pairs = settled(keyed(distinct), "keys")
+    tasks = max(1, -(-distinct.count() // TASK_PRINTS))
+    pairs = settled(keyed(distinct.repartition(tasks, "fp")), "keys")
     large = pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = settled(large.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large_keys")
     whole = pairs
