@@ -45,6 +45,11 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "BsdNames": (
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
         " derived from this software without specific prior written permission.",
+        "The name of the author may not be used to endorse or promote products derived from this software without specific"
+        " prior written permission.",
+    ),
+    "BsdAds": (
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
     ),
     "BsdRef2": ("SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     "BsdRef3": ("SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -118,6 +123,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("MitRef", "MitGrant", "MitNotice", "MitAsIs", "MitLiability")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiability")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs")),
+    ("BSD-4-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAds", "?", "BsdNames")),
+    ("BSD-4-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAds")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNames")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("Apache-2.0", ("ApacheLicensed", "ApacheCompliance", "ApacheCopy", "ApacheAsIs", "ApacheLimits")),
@@ -137,8 +144,30 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 _BARE = ("[ \\t\\r\\f]*\\n[ \\t\\r\\f#*/;%]*", "\n")
 _ENDS = ("([.!?;:])[ \\t\\n]+", "$1\u0001")
 _LETTERS = (("[^A-Za-z0-9\\n\u0001]+", " "), (" ?[\\n\u0001][ \\n\u0001]*", "\n"))
-BY_LINE: tuple[tuple[str, str], ...] = (_BARE, _ENDS, *_LETTERS)
-JOINED: tuple[tuple[str, str], ...] = (_BARE, ("\\n\\n+", "\u0001"), _ENDS, ("\\n", " "), *_LETTERS)
+#: An address on a line of its own belongs to the words before it.
+_ADDRESS = ("(?i:copy[ \\t\\n]+of[ \\t\\n]+the[ \\t\\n]+License[ \\t\\n]+at)[ \\t\\n]+<?((?i:https?)://)", "copy of the License at $1")
+
+
+def _holder(blank: str, other: str) -> tuple[str, str]:
+    """Whoever the name clause of a BSD text names becomes the copyright holder."""
+    words = f"neither the names? of {other}{{1,200}}? nor the names? of {other}{{1,100}}? may be used to endorse"
+    by = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse"
+    return "(?i:" + words.replace(" ", blank) + ")", by
+
+
+def _numbers(before: str, junk: str) -> tuple[str, str]:
+    """Numbers and letters of list items, like ``1.``, ``(a)`` or ``iv)``. To be applied behind ``_ENDS``."""
+    return f"({before}){junk}*(?:[0-9]{{1,2}}|[A-Za-z]|[ivxIVX]{{2,4}})[.):*\\]]+[ \\t\u0001]+", "$1"
+
+
+BY_LINE: tuple[tuple[str, str], ...] = (
+    _BARE, _ADDRESS, _holder("[ \\t]+", "[^\\n]"), _ENDS, _numbers("^|[\\n\u0001]", "[^A-Za-z0-9\\n\u0001]"), *_LETTERS,
+)
+#: A number that begins a wrapped line may end its sentence ("version", "2."), so here it counts behind an end only.
+JOINED: tuple[tuple[str, str], ...] = (
+    _BARE, _ADDRESS, ("\\n\\n+", "\u0001"), _holder("[ \\t\\n]+", "[^\u0001]"), _ENDS, _numbers("^|\u0001", "[^A-Za-z0-9\u0001]"),
+    ("\\n", " "), *_LETTERS,
+)
 #: Pieces that a known sentence itself is cut into are put together again by this rule of the table.
 GAP = "?"
 
@@ -163,12 +192,15 @@ def known_sentences(table: dict[str, tuple[str, ...]] | None = None) -> dict[str
 
 
 def spelled_rules(table: dict[str, tuple[str, ...]] | None = None, rules=None) -> list[tuple[str, str]]:
-    """The rules as ``(licence, pattern)`` over sequences like ``<MitGrant><MitNotice>``; every spelling of a sentence counts."""
+    """The rules as ``(licence, pattern)`` over sequences like ``<MitGrant><MitNotice>``; every spelling of a sentence counts.
+
+    ``GAP`` among the names of a rule stands for unknown sentences."""
     known = known_sentences(table)
     spellings = {
         name: list(dict.fromkeys("".join(f"<{known[p]}>" for p in _plain(v)) for v in variants))
         for name, variants in (table or SENTENCES).items()
     }
+    spellings[GAP] = [f"<{GAP}>"]
     out: list[tuple[str, str]] = []
     for licence, names in rules or RULES:
         patterns = [""]

@@ -72,3 +72,67 @@ def test_matches_plain_version(spark, awkward, nothing, data):
 def test_stays_native(awkward):
     plan = licences.scan(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Exchange|Python|Arrow|Pandas", plan)
+
+
+BSD = """Copyright (c) 2020, Example Inc.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ADS = """{} All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the Example project.
+"""
+NAMES = """{} Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+APACHE = """
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+
+def test_usual_texts_with_numbers_names_and_addresses(spark):
+    texts, want = [], []
+    for marks in (("1.", "2.", "3.", "4."), ("(a)", "(b)", "(c)", "(d)"), ("i)", "ii)", "iii)", "iv)"), ("*", "*", "*", "*"), ("", "", "", "")):
+        body = BSD.format(*marks)
+        for holder in ("the copyright holder", "Example Inc.", "the University of Somewhere and of Elsewhere"):
+            texts.append(body + NAMES.format(marks[2], holder) + END)
+            want.append("BSD-3-Clause")
+        texts += [body + END, body + ADS.format(marks[2]) + NAMES.format(marks[3], "the Example project") + END]
+        want += ["BSD-2-Clause", "BSD-4-Clause"]
+    texts.append(APACHE)
+    want.append("Apache-2.0")
+    texts += ["/*\n" + "\n".join(f" * {line}".rstrip() for line in t.split("\n")) + "\n */" for t in texts]
+    want *= 2
+    texts += [" ".join(t.split()) for t, w in zip(texts, want) if w.startswith("BSD") and not t.startswith("/*")]
+    want += [w for t, w in zip(texts, want) if w.startswith("BSD") and not t.startswith("/*")]
+    found = scanned(spark, texts)
+    assert [found[i].licences for i in range(len(texts))] == [[w] for w in want]
+    assert all(r.n_unmatched == 0 for r in found.values())
+
+
+def test_a_wrapped_version_number_is_no_list_number(spark):
+    found = scanned(spark, [
+        "Licensed under the GNU General Public License, version\n2. See COPYING.", "Licensed under the GNU General Public License, version\n3.",
+    ])
+    assert [found[i].licences for i in range(2)] == [["GPL-2.0-only"], ["GPL-3.0-only"]]
