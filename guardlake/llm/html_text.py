@@ -31,34 +31,43 @@ SIBLINGS = {
 }
 #: Elements, roles and name parts of what is not the article.
 NOT_TEXT = frozenset(
-    "aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noembed noframes noscript"
+    "aside audio button canvas datalist dialog embed footer head iframe input map menu nav noembed noframes noscript"
     " object script select style svg template textarea title video".split()
 )
-NOT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+NOT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 NOT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent"
     " cookie cookies disclaimer disqus footer login masthead menu modal nav navbar navigation newsletter notice notices"
     " pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor"
     " sponsored subscribe toolbar widget widgets".split()
 )
+#: Names of what readers wrote. There may be more of it than of the article.
+OF_READERS = frozenset("comment comments disqus replies respond".split())
 MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|\Z)", re.S,
 )
 PART = re.compile(r"[\s_\-:]+")
 #: A class that says what a page has or lacks, not what an element is.
-ABOUT = re.compile(r"\b(?:has|have|with|without|no|show|hide|is)[_-]+[\w-]+")
+ABOUT = re.compile(r"\b(?:has|have|with|without|no|show|hide|is)[_-]+[\w-]+|[\w-]+[_-](?:open|opened|closed|enabled|disabled)\b")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Page:
-    """The nodes of a page in document order, as parallel lists; node 0 is the root."""
+    """The nodes of a page in document order, as parallel lists; node 0 is the root.
+
+    ``dropped`` is without the elements of ``doubtful``, which a name or a form speaks against and their content for.
+    """
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.dropped, self.home = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []  # node, blocks begun or ended before it, text
+        self.named, self.rank = [0], [0]  # 1 by its name or as a form no text, 2 a name of readers; 1 article, 2 main
         self.body = self.breaks = 0
         self._read(source)
+        self.doubtful = self._doubtful() if any(self.named) else set()
+        for i in range(1, len(self.tag)):
+            self.dropped[i] |= self.dropped[self.parent[i]] or bool(self.named[i] and i not in self.doubtful)
 
     def _read(self, source: str) -> None:
         stack, at, size = [0], 0, len(source)
@@ -104,10 +113,12 @@ class Page:
         self.breaks += tag in BLOCK
         node, up = len(self.tag), stack[-1]
         inside = self.home[up] or tag in ("article", "main")
-        dropped, role_home = self._unwanted(tag, attributes, inside)
+        dropped, named, rank = self._unwanted(tag, attributes, inside)
         self.tag.append(tag)
         self.parent.append(up)
-        self.home.append(inside or role_home)
+        self.home.append(inside or rank > 0)
+        self.named.append(named)
+        self.rank.append(rank)
         self.dropped.append(self.dropped[up] or dropped)
         if tag == "body":
             self.body = node
@@ -137,23 +148,68 @@ class Page:
                 return
 
     @staticmethod
-    def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-        """Whether an element is no article text, and whether its role makes it the article."""
+    def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, int, int]:
+        """Whether an element is no article text, what its name says against it, and whether it is an article or main."""
+        rank = {"article": 1, "main": 2}.get(tag, 0)
+        named = int(tag == "form")
         if tag in NOT_TEXT or (tag == "header" and not inside):
-            return True, False
+            return True, 0, 0
         if not attributes.strip(" /\n\t\r\f"):
-            return False, False
+            return False, named, rank
         found: dict[str, str] = {}
         for name, *values in ATTRIBUTE.findall(attributes):
             found.setdefault(name.lower(), html.unescape(values[0] or values[1] or values[2]).lower())
         if tag in ("html", "body"):
-            return False, False
+            return False, 0, 0
         role = found.get("role", "")
         style = found.get("style", "").replace(" ", "")
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         names = set(PART.split(ABOUT.sub(" ", found.get("class", "") + " " + found.get("id", ""))))
         unwanted = names & (NOT_NAMES if tag not in ("article", "main") else {"comment", "comments"})
-        return hidden or role in NOT_ROLES or bool(unwanted), role in ("main", "article")
+        if unwanted:
+            named = 2 if unwanted & OF_READERS else 1
+        elif role == "form":
+            named = 1
+        return hidden or role in NOT_ROLES, named, rank or {"article": 1, "main": 2}.get(role, 0)
+
+    def _doubtful(self) -> set[int]:
+        """Named elements that may still hold the article.
+
+        They hold ``main``, or an article larger than all outside such elements, or, if there is none outside, most of
+        the body's text, links apart. What has a name of readers needs a first heading besides, or nearly all of the text.
+        """
+        n, body = len(self.tag), self.body
+        size, heads, hidden, under, linked = [0] * n, [False] * n, list(self.dropped), [False] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+            hidden[i] |= hidden[self.parent[i]]
+            under[i] = under[self.parent[i]] or self.named[i] > 0
+        for node, _, text in self.pieces:
+            if not (hidden[node] or linked[node]):
+                size[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            if not hidden[i]:
+                up = self.parent[i]
+                size[up] += size[i]
+                heads[i] |= self.tag[i] == "h1"
+                heads[up] |= heads[i]
+        sure = lambda i: heads[i] or size[i] * 10 > size[body] * 9
+        outside = max((size[i] for i in range(n) if self.rank[i] and not under[i] and not hidden[i]), default=0)
+        # Size of the largest article at or below each element, and whether main is.
+        article, main = [0] * n, [False] * n
+        for i in range(n - 1, 0, -1):
+            if not hidden[i]:
+                if self.rank[i] and size[i] and (self.named[i] < 2 or sure(i)):
+                    article[i] = max(article[i], size[i])
+                    main[i] |= self.rank[i] == 2
+                if self.named[i] < 2 or sure(i):
+                    up = self.parent[i]
+                    article[up] = max(article[up], article[i])
+                    main[up] |= main[i]
+        return {
+            i for i in range(1, n) if self.named[i] and not hidden[i] and (self.named[i] < 2 or sure(i))
+            and (main[i] or article[i] > outside or (not outside and size[i] * 2 > size[body]))
+        }
 
 
 def densities(page: Page) -> tuple[list[float], list[float]]:
@@ -193,13 +249,8 @@ def densities(page: Page) -> tuple[list[float], list[float]]:
     return density, total
 
 
-def chosen(page: Page) -> list[bool]:
-    """Nodes whose text is the article's.
-
-    The node of the greatest sum sets the threshold, the least density on its path to the body. In every subtree of
-    at least that density the node of the greatest sum is content. If the greatest node stands in an ``article`` or ``main``
-    element, all of that element is, headings included, and nothing outside.
-    """
+def ranked(page: Page) -> tuple[list[float], list[bool], list[int]]:
+    """Density of every node, whether it is a part of the body, and the node of the greatest sum at or below it."""
     n, body = len(page.tag), page.body
     density, total = densities(page)
     inside = [False] * n
@@ -212,7 +263,30 @@ def chosen(page: Page) -> list[bool]:
             up = page.parent[i]
             if total[best[i]] > total[best[up]]:
                 best[up] = best[i]
+    return density, inside, best
+
+
+def chosen(page: Page) -> list[bool]:
+    """Nodes whose text is the article's.
+
+    Of the doubtful elements only those around the node of the greatest sum stay. That node sets the threshold, the least density on its path to the body. In every subtree of
+    at least that density the node of the greatest sum is content. If the greatest node stands in an ``article`` or ``main``
+    element, all of that element is, headings included, and nothing outside.
+    """
+    n, body = len(page.tag), page.body
+    density, inside, best = ranked(page)
     top = best[body]
+    if page.doubtful:
+        around, node = set(), top
+        while node > 0:
+            around.add(node)
+            node = page.parent[node]
+        gone = page.doubtful - around
+        if gone:
+            for i in range(1, n):
+                page.dropped[i] |= page.dropped[page.parent[i]] or i in gone
+            density, inside, best = ranked(page)
+            top = best[body]
     root, path, home = top, [density[top]], -1
     while root != body:
         if home < 0 and page.tag[root] in ("article", "main"):

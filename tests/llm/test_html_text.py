@@ -38,6 +38,33 @@ def test_pages(source, want):
     assert html_text.main_text(source or "") == want
 
 
+SHORT = "A short note by a reader of the page. " * 2
+LINKS = "".join(f"<li><a href=/{i}>link {i}</a>" for i in range(30))
+
+
+@pytest.mark.parametrize("begin, end", [
+    ("<div class='content-sidebar-wrap'><main>", "</main></div>"), ("<div class='sidebar-right'><main>", "</main></div>"),
+    ("<div class='content-sidebar-wrap'><article>", "</article></div>"), ("<div class='content-sidebar-wrap'><div>", "</div></div>"),
+    ("<article class='comments-open'>", "</article>"), ("<article class='comments'>", "</article>"),
+    ("<form id='aspnetForm'>", "</form>"), ("<form id='aspnetForm'><div><article>", "</article></div></form>"),
+    ("<form><div class='sidebar-right'><div role=main class='widget'>", "</div></div></form>"),
+])
+def test_wrappers_with_names_hold_the_article(begin, end):
+    body = f"<p>{LONG}</p><p>{LONG}</p><form>Search <input></form><div class='share'>Share this</div>"
+    source = f"<body><nav>{LINKS}</nav>{begin}{body}{end}<div class='sidebar'>{SHORT}</div><ul>{LINKS}</ul></body>"
+    assert html_text.main_text(source) == " ".join(f"{LONG} {LONG}".split())
+
+
+@pytest.mark.parametrize("other", [
+    f"<div id='comments'>{f'<article class=comment><p>{LONG}</p></article>' * 9}</div>", f"<div class='reader-comments'><p>{LONG}</p></div>",
+    f"<div class='related-posts'>{f'<article><p>{SHORT}</p></article>' * 9}</div>", f"<form><p>{SHORT}</p></form>",
+])
+@pytest.mark.parametrize("tag", ["div", "article", "main"])
+def test_names_still_count_beside_the_article(tag, other):
+    source = f"<body><{tag}><h1>T</h1><p>{LONG}</p><p>{LONG}</p></{tag}>{other}</body>"
+    assert html_text.main_text(source) == " ".join(f"T {LONG} {LONG}".split())
+
+
 def test_composite_density_of_the_formula():
     page = html_text.Page("<body><div><p>abcdefghij</p><a href=x>link</a></div></body>")
     density, total = html_text.densities(page)
