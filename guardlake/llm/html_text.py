@@ -271,7 +271,8 @@ def chosen(page: Page) -> list[bool]:
 
     Of the doubtful elements only those around the node of the greatest sum stay. That node sets the threshold, the least density on its path to the body. In every subtree of
     at least that density the node of the greatest sum is content. If the greatest node stands in an ``article`` or ``main``
-    element, all of that element is, headings included, and nothing outside.
+    element, all of that element is, headings included. Outside it, what reaches the threshold in an enclosing ``main`` is
+    content too, its first heading in any case, and so are sibling articles that reach it; nothing else is.
     """
     n, body = len(page.tag), page.body
     density, inside, best = ranked(page)
@@ -287,17 +288,28 @@ def chosen(page: Page) -> list[bool]:
                 page.dropped[i] |= page.dropped[page.parent[i]] or i in gone
             density, inside, best = ranked(page)
             top = best[body]
-    root, path, home = top, [density[top]], -1
+    root, path, home, main = top, [density[top]], -1, -1
     while root != body:
+        if page.tag[root] == "main":
+            main = root
         if home < 0 and page.tag[root] in ("article", "main"):
             home = root
         root = page.parent[root]
         path.append(density[root])
-    content = [False] * n
+    content, threshold = [False] * n, min(path)
     if home >= 0:
         content[home] = True
+        reached = [False] * n
+        for i in range(main, n) if main not in (-1, home) else ():
+            reached[i] = inside[i] and density[i] + 1e-9 >= threshold and (i == main or reached[page.parent[i]])
+            if reached[i] and i != main:
+                content[i if page.tag[i] == "article" else best[i]] = True
+            elif inside[i] and page.tag[i] == "h1" and reached[page.parent[i]]:
+                content[i] = True
+        for i in range(n):
+            if page.tag[i] == page.tag[home] == "article" and page.parent[i] == page.parent[home] and inside[i]:
+                content[i] |= density[i] + 1e-9 >= threshold
     else:
-        threshold = min(path)
         reached = [False] * n
         for i in range(body, n):
             reached[i] = inside[i] and density[i] + 1e-9 >= threshold and (i == body or reached[page.parent[i]])

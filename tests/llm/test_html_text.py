@@ -65,6 +65,19 @@ def test_names_still_count_beside_the_article(tag, other):
     assert html_text.main_text(source) == " ".join(f"T {LONG} {LONG}".split())
 
 
+LONGER = f"<p>{LONG}</p>" * 4
+
+
+@pytest.mark.parametrize("source, want", [
+    (f"<main><h1>Head</h1><p>{LONG}</p><article>{LONGER}</article><ul>{LINKS}</ul></main>", f"Head {LONG * 5}"),
+    (f"<main><article><h2>A</h2>{LONGER}</article><article><h2>B</h2><p>{LONG}</p></article></main>", f"A {LONG * 4} B {LONG}"),
+    (f"<div><article><h2>A</h2>{LONGER}</article><article><h2>B</h2><p>{LONG}</p></article></div>", f"A {LONG * 4} B {LONG}"),
+])
+def test_parts_beside_the_greatest_article(source, want):
+    page = f"<body><nav>{LINKS}</nav>{source}<ul>{LINKS}</ul></body>"
+    assert html_text.main_text(page) == " ".join(want.split())
+
+
 def test_composite_density_of_the_formula():
     page = html_text.Page("<body><div><p>abcdefghij</p><a href=x>link</a></div></body>")
     density, total = html_text.densities(page)
