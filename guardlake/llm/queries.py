@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardlake.llm import chat, exact, html_text, licences, lines, mixing, packing, quality, search, simhash
+from guardlake.llm import chat, exact, html_text, lexical, licences, lines, mixing, packing, quality, search, simhash
 from guardlake.llm.common import table, tokenizer_path
 from guardlake.session import settled
 
@@ -82,6 +82,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_line_dedup": op2_line_dedup,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 def _quoted(value: str) -> str:
@@ -200,4 +205,29 @@ SQL: dict[str, str] = {
             FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op11_lexical_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM documents),
+        i AS (
+            SELECT DISTINCT item_id, text, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM benchmark),
+        s AS (SELECT count(*) AS n_docs, sum(len(terms)) :: BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+        p AS (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+        w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, s GROUP BY term, n_docs),
+        scored AS (
+            SELECT item_id, i.text, r, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) :: BIGINT AS score
+            FROM i JOIN tf USING (term) JOIN w USING (term), s GROUP BY item_id, i.text, r, doc_id),
+        best AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank :: INTEGER AS rank, doc_id, score FROM best WHERE rank <= 10
+    """,
 }
