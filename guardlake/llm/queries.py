@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardlake.llm import chat, exact, html_text, lexical, licences, lines, mixing, packing, quality, search, simhash
+from guardlake.llm import chat, exact, html_text, lexical, licences, lines, mixing, packing, quality, repair, search, simhash
 from guardlake.llm.common import table, tokenizer_path
 from guardlake.session import settled
 
@@ -86,6 +86,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.summaries(settled(repair.repaired(repair.damaged(rows)), "edits"), rows.select(F.col("conv_id").alias("conv")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 def _quoted(value: str) -> str:
@@ -230,4 +237,88 @@ SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
         SELECT item_id, rank :: INTEGER AS rank, doc_id, score FROM best WHERE rank <= 10
     """,
+    "op12_conversation_repair": """
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id :: VARCHAR, ' ') || ':' || coalesce(turn :: VARCHAR, ' ') AS k
+            FROM conversations),
+        kinds AS (
+            SELECT *, xor(list_reduce(
+                list_transform(range(1, length(k) + 1), lambda i : ord(substr(k, i, 1)) :: BIGINT),
+                lambda c, b : list_reduce(
+                    range(8), lambda x, j : CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384 :: BIGINT) ELSE x >> 1 END, xor(c, b)),
+                4294967295 :: BIGINT), 4294967295 :: BIGINT) % 20 AS kind
+            FROM keyed),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM kinds),
+        placed AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64),
+                sha256(length(role) || ':' || role || text)) AS i
+            FROM d),
+        faulty AS (
+            SELECT *, CASE
+                WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault,
+                lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+            FROM placed),
+        r AS (
+            SELECT conv_id, i, role, text, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS t,
+                   CASE WHEN fault IN ('blank', 'duplicate') THEN 1000 ELSE 0 END AS gone,
+                   CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS c
+            FROM faulty),
+        sizes AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
+        back AS (
+            SELECT conv_id, n + 1 AS i, [0, 10, 5, 0] AS h, CAST(NULL AS INTEGER[]) AS a FROM sizes
+            UNION ALL
+            SELECT conv_id, i, [
+                least(e[1], 5 + e[3], 10 + e[4]), least(e[2], 5 + e[3], 10 + e[4]), least(e[3], 5 + e[4]), least(e[4], 5 + e[3])], a
+            FROM (
+                SELECT b.conv_id, r.i, b.h AS a, [
+                    least(2 + h[1], 1 + t + gone + h[3], CASE c WHEN 1 THEN t + gone + h[2] WHEN 2 THEN t + gone + h[3] ELSE 1000 END),
+                    least(2 + h[2], 1 + t + gone + h[3], CASE c WHEN 2 THEN t + gone + h[3] ELSE 1000 END),
+                    least(2 + h[3], 1 + t + gone + h[4], CASE c WHEN 3 THEN t + gone + h[4] ELSE 1000 END),
+                    least(2 + h[4], 1 + t + gone + h[3], CASE c WHEN 2 THEN t + gone + h[3] ELSE 1000 END)] AS e
+                FROM back b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)),
+        moves AS (
+            SELECT b.conv_id, b.i, q, CASE q WHEN 2 THEN 3 ELSE 2 END AS nx, r.c, r.role, r.text, coalesce(r.t, 0) AS t,
+                   CASE WHEN r.i IS NOT NULL AND 2 + a[q + 1] = h[q + 1] THEN 'D'
+                        WHEN 5 + h[CASE q WHEN 2 THEN 4 ELSE 3 END] = h[q + 1] THEN 'I'
+                        WHEN r.i IS NOT NULL AND c > 0 AND (c = CASE q WHEN 2 THEN 3 ELSE 2 END OR c = 1 AND q = 0)
+                             AND t + gone + a[c + 1] = h[q + 1] THEN 'K'
+                        WHEN r.i IS NOT NULL THEN 'R' END AS letter
+            FROM back b CROSS JOIN range(4) AS s(q)
+            LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i),
+        path AS (
+            SELECT conv_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, 0 AS k, CAST(NULL AS VARCHAR) AS letter, CAST(NULL AS VARCHAR) AS line,
+                   CAST(0 AS BIGINT) AS cost
+            FROM sizes
+            UNION ALL
+            SELECT m.conv_id, CASE WHEN m.letter = 'I' THEN m.i ELSE m.i + 1 END,
+                   CASE m.letter WHEN 'D' THEN m.q WHEN 'K' THEN m.c ELSE m.nx END, p.k + 1, m.letter,
+                   CASE m.letter WHEN 'D' THEN NULL WHEN 'K' THEN m.role || ':' || m.text
+                        ELSE CASE m.nx WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE m.letter WHEN 'R' THEN m.text ELSE '' END END,
+                   CASE m.letter WHEN 'D' THEN 2 WHEN 'I' THEN 5 WHEN 'R' THEN 1 + m.t ELSE m.t END
+            FROM path p JOIN moves m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i AND m.q = p.q
+            WHERE m.letter IS NOT NULL),
+        told AS (
+            SELECT conv_id, sum(cost) :: BIGINT AS cost, coalesce(string_agg(letter, '' ORDER BY k), '') AS audit,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY k), '')) AS repaired_sha256
+            FROM path GROUP BY conv_id),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faulty GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) :: BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+               coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
