@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardlake.llm import chat, exact, html_text, lexical, licences, lines, mixing, packing, quality, repair, search, simhash
+from guardlake.llm import chat, exact, html_text, lexical, licences, lines, mixing, packing, quality, repair, search, simhash, vantage
 from guardlake.llm.common import table, tokenizer_path
 from guardlake.session import settled
 
@@ -92,6 +92,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("conv", "conv_id")
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vantage.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return vantage.nearest(vectors.where(F.col("id") % 50 == 0), vectors)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_line_dedup": op2_line_dedup,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_lexical_search": op11_lexical_search,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 def _quoted(value: str) -> str:
