@@ -267,14 +267,29 @@ def search(rows: DataFrame, block: Block, k: int) -> DataFrame:
     block.weigh(totals.documents, {r.term: r.n for r in held.collect()})
     vectors = settled(impact_vectors(rows, block.weight, totals.documents, totals.terms), "impacts")
     shared = spark.sparkContext.broadcast(block)
-    longest = vectors.orderBy(F.desc("norm"), "salt").limit(SEED_ROWS)
     start = np.ones(len(block.items), dtype=np.int64)
-    for r in best_of(sweep(longest, shared, k, start), k).where(F.col("rank") == k).collect():
+    for r in best_of(sweep(longest(vectors), shared, k, start), k).where(F.col("rank") == k).collect():
         start[r.item] = r.score
     ordered = vectors.repartitionByRange(F.desc("norm"), "salt").sortWithinPartitions(F.desc("norm"), "salt")
     return settled(best_of(sweep(ordered, shared, k, start), k), "answers")
 
 
+def longest(vectors: DataFrame) -> DataFrame:
+    """About ``SEED_ROWS`` of the longest vectors, by falling length inside each task.
+
+    Lengths are counted by eighths of a power of two. Of the levels that reach the number together, an even share by
+    salt is taken where one level alone holds many: any rows serve as a start.
+    """
+    level = F.floor(F.log2("norm") * 8).cast("int")
+    counts = vectors.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+    total = least = 0
+    for r in sorted(counts, key=lambda r: -r.level):
+        if total < SEED_ROWS:
+            total, least = total + r.n, r.level
+    some = vectors.where((F.col("norm") >= 2.0 ** (least / 8)) & (F.col("salt") % max(1, total // SEED_ROWS) == 0))
+    return some.sortWithinPartitions(F.desc("norm"), "salt")
+
+
 def best_of(rows: DataFrame, k: int) -> DataFrame:
     by_item = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     best = rows.withColumn("rank", F.row_number().over(by_item)).where(F.col("rank") <= k)
