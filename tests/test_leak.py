@@ -81,3 +81,47 @@ def test_exact_guess_has_no_trim_or_fold(spark):
 def test_inline_list_is_bounded():
     with pytest.raises(ValueError):
         leak.holds_secret(F.lit("x"), [str(i) for i in range(leak.MAX_INLINE_SECRETS + 1)])
+
+
+def test_short_secrets_and_bytes_of_other_scripts(spark):
+    rng = random.Random(6)
+    secrets = ["a", "zq", "é", "xyz", "日本", "😀"]
+    texts = [(i, "".join(rng.choice("bcdxyzq日本é ") for _ in range(rng.randrange(6)))) for i in range(300)]
+    texts += [(900, "Ã©"), (901, None), (902, "")]
+    df = spark.createDataFrame(texts, "id bigint, t string").repartition(3)
+    for some in (secrets, secrets[1:], secrets[3:4], secrets[4:]):
+        table = spark.createDataFrame([(s,) for s in some], "s string")
+        got = {r.id for r in leak.leaked(df, "id", ["t"], table, "s").where("t").collect()}
+        assert got == brute(texts, some)
+
+
+def test_anchors_are_the_rarest_windows_and_texts_stay_home(spark, monkeypatch):
+    """Secrets that begin alike meet texts at their rare end; what travels is far below the texts."""
+    monkeypatch.setattr(leak, "CUT_BYTES", 1000)
+    monkeypatch.setattr(leak, "PIECE_BYTES", 500)
+    rng = random.Random(7)
+    secrets = [f"the common start of it {'q' * (i % 3)}{i:04d}" for i in range(200)]
+    texts = [(i, " ".join(rng.choice(["the", "common", "start", "of", "it"]) for _ in range(400))) for i in range(300)]
+    texts += [(400 + i, "x" * 600 + secrets[i] + texts[i][1]) for i in range(0, 200, 5)]
+    texts += [(900, secrets[7][:-1]), (901, secrets[8] * 3)]
+    df = spark.createDataFrame(texts, "id bigint, t string")
+    table = spark.createDataFrame([(s,) for s in secrets], "s string")
+    assert {r.id for r in leak.leaked(df, "id", ["t"], table, "s").collect()} == brute(texts, secrets)
+    flat = df.select("id", F.col("t").cast("binary").alias("_text"))
+    whole = leak.secret_forms(table, "s").select(F.col("_secret").cast("binary").alias("_secret"))
+    anchors = leak.anchored(whole, leak.window_counts(flat, whole))
+    assert anchors.count() == 2 * len(secrets)
+    starts = [r for r in anchors.collect() if bytes(r["_secret"]).startswith(b"the")]
+    assert all(r["_before"] > len("the common") for r in starts)
+    cut = leak.pieces_at(flat, ["id"], anchors, {}).agg(F.sum(F.octet_length("_piece"))).first()[0]
+    assert cut < 0.1 * sum(len(t) for _, t in texts)
+
+
+def test_overlapping_places_of_an_anchor_are_one_piece(spark):
+    df = spark.createDataFrame([(1, "a" * 5000), (2, "a" * 30 + "b")], "id bigint, t string")
+    table = spark.createDataFrame([("a" * 40,), ("a" * 20 + "b",)], "s string")
+    assert {r.id for r in leak.leaked(df, "id", ["t"], table, "s").collect()} == {1, 2}
+    flat = df.select("id", F.col("t").cast("binary").alias("_text"))
+    whole = leak.secret_forms(table, "s").select(F.col("_secret").cast("binary").alias("_secret"))
+    pieces = leak.pieces_at(flat, ["id"], leak.anchored(whole, leak.window_counts(flat, whole)), {})
+    assert pieces.where("id = 1").agg(F.sum(F.octet_length("_piece"))).first()[0] <= 2 * 5000
