@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guardlake.functions import text as tx
@@ -14,8 +14,12 @@ from guardlake.session import settled
 
 # Rules are configuration and sit in the plan.
 MAX_RULES = 1000
-# Exemplar vectors, and rows of an Arrow batch, that one matrix product takes.
+# Rows or exemplar vectors of a ring that a task holds, and rows that one matrix product takes.
 BLOCK_VECTORS, BLOCK_ROWS = 4_096, 1_024
+# Pivots of the vector join, the exemplars they are picked from, and what rounding may add to an angle.
+PIVOTS, PIVOT_SAMPLE, ANGLE_SLACK = 64, 1_024, 1e-6
+# Similarities are compared after rounding, so equal vectors tie whatever block they came in.
+DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -77,37 +81,40 @@ def nearest_exemplar(
 ) -> DataFrame:
     """Per text the exemplar whose distinct tokens it covers best, if at least ``threshold`` of them.
 
-    Exact, without comparing every text with every exemplar: a text that covers
-    ``need`` of an exemplar's ``n`` tokens holds at least one of any ``n - need
-    + 1`` of them, so only that many of the exemplar's longest (rarest) tokens
-    enter the index. Frequent short tokens never meet, and nothing is dropped.
-    Exemplars may be of any number: their index and the pairs that met are written,
-    and the planner picks the joins from the size of the files.
+    Exact, without comparing every text with every exemplar. Texts keep only the tokens that exemplars have, as
+    numbers, and all tokens are ordered by the number of texts that hold them. A text that covers ``need`` of an
+    exemplar's ``n`` tokens holds at least one of its ``n - need + 1`` rarest, so only those are indexed; and where the
+    two first meet, enough tokens must be left on either side. The pairs that stay are counted on the numbers, so
+    texts are read and cut once. Exemplars may be of any number: what is joined is written before, and the planner picks
+    the joins from the size of the files. Ties go to the smallest exemplar id; ids of texts are their keys.
     """
-    sets = exemplars.select(
-        F.col(ex_id).alias("_ex"),
-        F.array_sort(
-            F.array_distinct(tx.tokens(F.col(ex_text))),
-            lambda a, b: F.when(F.length(a) > F.length(b), -1)
-            .when(F.length(a) < F.length(b), 1)
-            .when(a < b, -1)
-            .when(a > b, 1)
-            .otherwise(0),
-        ).alias("_ex_tokens"),
-    ).where(F.size("_ex_tokens") > 0)
-    size = F.size("_ex_tokens")
-    need = F.greatest(F.ceil(size * threshold - 1e-9), F.lit(1)).cast("int")
-    sets = sets.withColumn("_need", need)
-    sets = sets.withColumn("_index", F.slice("_ex_tokens", F.lit(1), size - F.col("_need") + 1))
-    sets = settled(sets.select("_ex", "_ex_tokens", "_need", "_index"), "exemplars")
-    index = sets.select("_ex", F.explode("_index").alias("_token"))
+    words = exemplars.select(F.col(ex_id).alias("_ex"), F.array_distinct(tx.tokens(F.col(ex_text))).alias("_words"))
+    words = settled(words.where(F.size("_words") > 0), "exemplars")
+    vocabulary = words.select(F.explode("_words").alias("_token")).distinct()
+    vocabulary = settled(vocabulary.select("_token", F.monotonically_increasing_id().alias("_no")), "vocabulary")
     docs = df.select(id_col, tx.never_null(F.array_distinct(tx.tokens(F.col(text)))).alias("_tokens"))
-    met = docs.select(id_col, F.explode_outer("_tokens").alias("_token")).join(index, "_token").select(id_col, "_ex").distinct()
-    pairs = settled(met, "met").join(docs, id_col).join(sets, "_ex")
+    spoken = docs.select(id_col, F.explode_outer("_tokens").alias("_token")).join(vocabulary, "_token")
+    spoken = settled(spoken.select(id_col, "_no"), "spoken")
+    order = settled(spoken.groupBy("_no").agg(F.count(F.lit(1)).alias("_n")), "token-counts")
+    rarest_first = F.transform(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_no").alias("no")))), lambda t: t["no"]
+    )
+    sets = words.select("_ex", F.explode("_words").alias("_token")).join(vocabulary, "_token").join(order, "_no", "left")
+    sets = sets.groupBy("_ex").agg(rarest_first.alias("_ex_tokens"))
+    size = F.size("_ex_tokens")
+    sets = settled(sets.withColumn("_need", F.greatest(F.ceil(size * threshold - 1e-9), F.lit(1)).cast("int")), "exemplar-tokens")
+    held = settled(spoken.join(order, "_no").groupBy(id_col).agg(rarest_first.alias("_tokens")), "text-tokens")
+
+    prefix = F.slice("_ex_tokens", F.lit(1), size - F.col("_need") + 1)
+    index = sets.select("_ex", size.alias("_of"), "_need", F.posexplode(prefix).alias("_i", "_no"))
+    places = held.select(id_col, F.size("_tokens").alias("_has"), F.posexplode("_tokens").alias("_j", "_no"))
+    left = F.least(F.col("_of") - F.col("_i"), F.col("_has") - F.col("_j"))  # greatest where they first meet
+    met = places.join(index, "_no").where(left >= F.col("_need")).select(id_col, "_ex").distinct()
+    pairs = settled(met, "met").join(held, id_col).join(sets, "_ex")
     scored = (
         pairs.withColumn("_overlap", F.size(F.array_intersect("_ex_tokens", "_tokens")))
         .where(F.col("_overlap") >= F.col("_need"))
-        .select(id_col, "_ex", (F.col("_overlap") / F.size("_ex_tokens")).alias("score"))
+        .select(id_col, "_ex", (F.col("_overlap") / size).alias("score"))
     )
     best = scored.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_ex"))).alias("_b"))
     return best.select(id_col, F.col("_b._ex").alias(ex_id), (-F.col("_b.s")).alias("score"))
@@ -115,53 +122,127 @@ def nearest_exemplar(
 
 def nearest_vector(
     df: DataFrame, id_col: str, vector: str, exemplars: DataFrame, ex_id: str, ex_vector: str, threshold: float,
-    block: int = BLOCK_VECTORS,
+    block: int = BLOCK_VECTORS, pivots: int = PIVOTS,
 ) -> DataFrame:
-    """Cosine form of the same test. Exemplars of any number and id type are scored in blocks of a fixed size.
+    """Cosine form of the same test, for exemplars of any number and id type: an exact join by angle.
 
-    Rows and exemplars without a vector, or with a null in it, match nothing; ties go to the smallest exemplar id.
+    Rows and exemplars meet in rings around pivots (see ``in_rings``), so only those are compared that may be near
+    enough; the rows and exemplars of a ring are dealt to tasks in blocks of a fixed size. Rows and exemplars without a vector, or
+    with a null in it, match nothing; a vector of zeros has similarity 0 to all; ties go to the smallest exemplar id.
     """
     whole = lambda c: F.col(c).isNotNull() & F.forall(F.col(c), lambda x: x.isNotNull())
     known = exemplars.where(whole(ex_vector)).select(F.col(ex_id).alias("_ex"), F.col(ex_vector).cast("array<double>").alias("_v"))
-    count = known.count()
-    blocks = max(1, -(-count // block))
-    known = settled(known.withColumn("_block", F.pmod(F.xxhash64("_ex"), F.lit(blocks))), "exemplar-vectors")
+    rows = df.where(whole(vector)).select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    ringed, spread = in_rings(rows, settled(known, "exemplar-vectors"), threshold, pivots)
+    place = ["_cell", "_ring"]
+
+    def parts(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    both = settled(parts(ringed, "_row_parts").join(parts(spread, "_ex_parts"), place), "rings")
+    number = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = ringed.join(both, place).select("*", number("_id", "_row_parts").alias("_a"), every("_ex_parts").alias("_b"))
+    right = spread.join(both, place).select("*", number("_ex", "_ex_parts").alias("_b"), every("_row_parts").alias("_a"))
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in (*place, "_a", "_b")], "_ex", "_v")
     kinds = df.schema[id_col].dataType.simpleString(), exemplars.schema[ex_id].dataType.simpleString()
-    schema = f"`{id_col}` {kinds[0]}, `{ex_id}` {kinds[1]}, score double"
-    rows = df.where(whole(vector)).select(id_col, F.col(vector).cast("array<double>").alias("_v"))
-    parts = [
-        rows.mapInPandas(_block_scores(found, id_col, ex_id), schema).where(F.col("score") >= threshold)
-        for found in (known.where(F.col("_block") == b).orderBy("_ex").select("_ex", "_v").toPandas() for b in range(blocks))
-        if len(found)
-    ]
-    if not parts:
-        return df.sparkSession.createDataFrame([], schema)
-    best = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.col(ex_id).alias("e"))).alias("_b")
-    )
-    return best.select(id_col, F.col("_b.e").alias(ex_id), (-F.col("_b.s")).alias("score"))
+    digits, step, units_of = DIGITS, BLOCK_ROWS, _unit_rows()
+
+    def best(asked, shown):
+        ids, names, scores = [], [], []
+        if len(asked) and len(shown):
+            shown = shown.sort_by("_ex")
+            units = units_of(shown.column("_v"))
+            for begin in range(0, len(asked), step):
+                part = asked.slice(begin, step)
+                similarity = np.round(units_of(part.column("_v")) @ units.T, digits)
+                found = similarity.argmax(axis=1)
+                score = similarity[np.arange(len(found)), found]
+                near = np.flatnonzero(score >= threshold)
+                ids.append(part.column("_id").take(pa.array(near)))
+                names.append(shown.column("_ex").take(pa.array(found[near])))
+                scores.append(score[near])
+        one = lambda parts, kind: pa.chunked_array([c for p in parts for c in p.chunks], kind)
+        return pa.table({
+            "_id": one(ids, asked.schema.field("_id").type), "_ex": one(names, shown.schema.field("_ex").type),
+            "_score": np.concatenate([np.zeros(0), *scores]),
+        })
+
+    near = left.select(*place, "_a", "_b", "_id", "_v").groupBy(*place, "_a", "_b").cogroup(
+        right.groupBy("_cell_", "_ring_", "_a_", "_b_")
+    ).applyInArrow(best, f"_id {kinds[0]}, _ex {kinds[1]}, _score double")
+    one = near.groupBy("_id").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_ex").alias("e"))).alias("_b"))
+    return one.select(F.col("_id").alias(id_col), F.col("_b.e").alias(ex_id), (-F.col("_b.s")).alias("score"))
+
+
+def _angles():
+    """A function for tasks: angles of unit vectors in the rows of one array to those of another."""
+    return lambda x, y: np.arccos(np.clip(x @ y.T, -1, 1))
+
+
+def in_rings(rows: DataFrame, exemplars: DataFrame, threshold: float, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(_id, _v)`` and exemplars ``(_ex, _v)`` with ``_cell`` and ``_ring``: pairs at the threshold share both.
+
+    A row lies in the cell of its nearest pivot, in a ring of its angle to it; it is listed once. An exemplar within an
+    angle of ``reach`` of a row is, by the triangle inequality, at most twice ``reach`` farther from the row's pivot than
+    from its own nearest, and its angle to that pivot differs from the row's by at most ``reach``: it is listed in those
+    cells and rings. Pivots are exemplars that lie far apart, picked from at most ``PIVOT_SAMPLE`` of them. From a threshold of 0
+    down every ring may hold a match, and all share one.
+    """
+    angles, units = _angles(), _unit_rows()
+    far = threshold <= 0
+    reach = np.pi if far else float(np.arccos(min(1.0, threshold))) + ANGLE_SLACK
+    some = exemplars.orderBy(F.xxhash64("_ex"), "_ex").limit(PIVOT_SAMPLE).select("_v").toPandas()["_v"]
+    sample = np.array([v for v in some if len(v) and any(v)], dtype=float)
+    picked = []
+    if len(sample) and not far:
+        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        away, at = np.full(len(sample), np.inf), 0
+        while len(picked) < pivots and away[at] > reach / 2:
+            picked.append(sample[at])
+            away = np.minimum(away, angles(sample, sample[at : at + 1])[:, 0])
+            at = int(away.argmax())
+    centres = np.array(picked)
+
+    def place(batches, every):
+        for batch in batches:
+            x = units(batch.column(1))
+            if not len(centres):
+                at, cell, ring = (np.arange(len(x)) if far else np.zeros(0, int)), np.zeros(len(x), int), np.zeros(len(x), int)
+            else:
+                angle = angles(x, centres)
+                some = np.flatnonzero((x != 0).any(axis=1))  # of zeros nothing is as near as a positive threshold
+                if every:
+                    at, cell = np.nonzero(angle[some] <= angle[some].min(axis=1, keepdims=True) + 2 * reach)
+                    at = some[at]
+                    first = np.floor(np.maximum(angle[at, cell] - reach, 0) / reach).astype(int)
+                    last = np.floor((angle[at, cell] + reach) / reach).astype(int)
+                    number = last - first + 1
+                    ring = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(first, number)
+                    at, cell = np.repeat(at, number), np.repeat(cell, number)
+                else:
+                    at, cell = some, angle[some].argmin(axis=1)
+                    ring = np.floor(angle[at, cell] / reach).astype(int)
+            number = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(pa.array(at)) for c in batch.columns], *[pa.array(v[:number], pa.int32()) for v in (cell, ring)]],
+                names=[*batch.schema.names, "_cell", "_ring"],
+            )
 
+    def keyed(table: DataFrame, every: bool) -> DataFrame:
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+        return settled(table.mapInArrow(lambda batches: place(batches, every), f"{fields}, _cell int, _ring int"), "in-rings")
 
-def _block_scores(known: pd.DataFrame, id_col: str, ex_id: str):
-    """Per row the best of one block of exemplars; the matrix of similarities stays a few megabytes."""
-    names, vectors, step = list(known["_ex"]), [list(v) for v in known["_v"]], BLOCK_ROWS
+    return keyed(rows, False), keyed(exemplars, True)
 
-    def score(batches):
-        import numpy as np
-        import pandas as pd
 
-        units = np.asarray(vectors, dtype=float)
-        norms = np.linalg.norm(units, axis=1, keepdims=True)
-        units = units / np.where(norms == 0, 1, norms)
-        for batch in batches:
-            for begin in range(0, len(batch), step):
-                part = batch.iloc[begin : begin + step]
-                x = np.stack(part["_v"].to_numpy()).astype(float)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                similarity = np.round((x / np.where(n == 0, 1, n)) @ units.T, 12)
-                best = similarity.argmax(axis=1)
-                yield pd.DataFrame({
-                    id_col: part[id_col], ex_id: [names[i] for i in best], "score": similarity[np.arange(len(x)), best]
-                })
-
-    return score
+def _unit_rows():
+    """A function for tasks: the unit vectors of a list column without nulls; zeros stay zeros."""
+
+    def units(column):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norm == 0, 1, norm)
+
+    return units

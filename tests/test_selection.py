@@ -135,6 +135,28 @@ def test_nearest_vector(spark):
         assert {(r.id, r.e) for r in got} == {("p", "x"), ("q", "a")}
 
 
+def test_vector_join_meets_fewer_than_half_of_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 12))
+    draw = lambda n: [[float(x) for x in centres[i % 30] + rng.standard_normal(12) * 0.05] for i in range(n)]
+    rows, known = draw(900), draw(240)
+    known[7], rows[11], rows[12] = [0.0] * 12, [0.0] * 12, known[3]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, v array<double>")
+    ex = spark.createDataFrame([(f"e{i:03d}", v) for i, v in enumerate(known)], "e string, w array<double>")
+    unit = lambda m: np.array(m) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    similarity = np.round(unit(rows) @ unit(known).T, 12)
+    for threshold, block in ((0.95, 4096), (0.95, 5), (0.3, 4096), (-0.5, 50)):
+        got = matching.nearest_vector(df, "id", "v", ex, "e", "w", threshold, block).collect()
+        want = {(i, f"e{s.argmax():03d}") for i, s in enumerate(similarity) if s.max() >= threshold}
+        assert {(r.id, r.e) for r in got} == want and len(got) == len(want)
+    rings = matching.in_rings(df.toDF("_id", "_v"), ex.toDF("_ex", "_v"), 0.95)
+    sizes = [t.groupBy("_cell", "_ring").count().withColumnRenamed("count", n) for t, n in zip(rings, "ab")]
+    compared = sizes[0].join(sizes[1], ["_cell", "_ring"]).selectExpr("sum(a * b)").first()[0]
+    assert rings[0].count() == 899 and compared < 0.2 * 900 * 240
+
+
 def test_confusion_and_ratios_with_zero_denominators(spark):
     rows = [(True, True, False), (True, False, False), (False, True, False), (False, False, False)]
     df = spark.createDataFrame(rows, "y boolean, a boolean, b boolean")
