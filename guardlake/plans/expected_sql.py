@@ -487,8 +487,22 @@ k AS (SELECT b, max(newest) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AN
 SELECT event_type, count(*) FILTER (NOT coalesce(ts < mark - INTERVAL 7 DAY, false)) AS n_counted,
   count(*) FILTER (coalesce(ts < mark - INTERVAL 7 DAY, false)) AS n_late
 FROM events JOIN k ON k.b = event_id % 4 GROUP BY event_type""",
+    "stream_late_rows": """
+WITH m AS (SELECT max(event_id) + 1 AS c FROM events),
+p AS (SELECT event_id, event_type, ts, 3 - (event_id * 4 // c) AS b FROM events, m),
+n AS (SELECT b, max(ts) AS newest FROM p GROUP BY b),
+k AS (SELECT b, max(newest) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 7 DAY AS mark FROM n),
+l AS (SELECT event_type, event_id, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= date_trunc('millisecond', mark), false) AS late FROM p JOIN k USING (b))
+SELECT event_type, (count(*) FILTER (NOT late))::BIGINT AS n_counted, nullif(count(*) FILTER (late), 0)::BIGINT AS n_late,
+  (sum(event_id) FILTER (late))::BIGINT AS late_ids FROM l GROUP BY event_type""",
+    "stream_windows": """
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS window_end, event_type,
+  count(*) AS n_hits FROM events GROUP BY ALL""",
     "stream_guard": _TURN_GUARD,
     "stream_progress": _LEVEL_GAME + """
+SELECT user_id, level_after::BIGINT AS level, wrong_after::BIGINT AS wrong, rn::BIGINT AS n_turns, 0::BIGINT AS n_late,
+  level_after = 5 AS finished FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1""",
+    "stream_progress_ordered": _LEVEL_GAME + """
 SELECT user_id, level_after::BIGINT AS level, wrong_after::BIGINT AS wrong, rn::BIGINT AS n_turns, 0::BIGINT AS n_late,
   level_after = 5 AS finished FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1""",
     "stream_log": _LOG + "SELECT speaker, level, count(*) AS n_lines FROM p WHERE parsed GROUP BY speaker, level",

@@ -740,9 +740,10 @@ def _stream(spark, sf_dir, name: str) -> DataFrame:
 def _in_parts(spark, sf_dir, name: str, part: Column, parts: int) -> DataFrame:
     """A table written part after part, and read as a stream of one part per micro-batch."""
     rows, path = table(spark, sf_dir, name), scratch_path(spark, name)
+    files = rows.rdd.getNumPartitions()
     for i in range(parts):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_stream(spark, path, rows.schema, files_per_batch=1)
+        rows.where(part == i).repartition(files).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, rows.schema, files_per_batch=files)
 
 
 def _hits(spark, sf_dir, late: str | None) -> tuple[DataFrame, DataFrame]:
@@ -780,6 +781,49 @@ def stream_progress(spark, sf_dir):
     return jobs.run_available(moved, "update", ["user_id"], "progress")
 
 
+def _with_end(spark, sf_dir, parts: int) -> DataFrame:
+    """Events in ``parts`` micro-batches that each hold some of every day, then one row of user -1, ten years on: it moves
+    the watermark past all others."""
+    rows, path = table(spark, sf_dir, "events"), scratch_path(spark, "events")
+    files = rows.rdd.getNumPartitions()
+    for i in range(parts):
+        rows.where(F.col("event_id") % parts == i).repartition(files).write.mode("append").parquet(path)
+    end = rows.orderBy(F.desc("ts")).limit(1).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 10 YEARS"), "user_id": F.lit(-1).cast("bigint")})
+    end.write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, rows.schema, files_per_batch=files)
+
+
+def stream_progress_ordered(spark, sf_dir):
+    """The level game over events that arrive out of order: turns wait for the watermark, then play in order."""
+    hits, restart = _level_game()
+    moved = jobs.ordered_progression_stream(
+        _with_end(spark, sf_dir, 3), "user_id", "ts", "event_id", hits, 5, "60 DAYS", restart, bucket=86_400_000
+    )
+    newest = jobs.run_available(moved, "update", ["user_id"], "ordered", version="version")
+    return newest.where("user_id >= 0").drop("version")
+
+
+def stream_windows(spark, sf_dir):
+    """Counts per day and type from the state store, over micro-batches that each hold some of every day."""
+    counts = jobs.window_counts(_with_end(spark, sf_dir, 3), "ts", ["event_type"], "1 day", "60 DAYS")
+    keys = ["window_start", "window_end", "event_type"]
+    last = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return jobs.run_available(counts, "update", keys, "windows").where(F.col("window_start") <= F.lit(last).cast("timestamp_ntz"))
+
+
+def stream_late_rows(spark, sf_dir):
+    """A replay, newest quarter first, under a watermark of seven days: what its windows count, and the rows that came late."""
+    count = table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0]
+    events = _in_parts(spark, sf_dir, "events", 3 - F.floor(F.col("event_id") * 4 / F.lit(count)), 4)
+    rows = jobs.run_available(
+        jobs.window_counts_and_late(events, "ts", ["event_type"], 86_400_000, "7 DAYS", ["event_id"]), "update", name="late"
+    )
+    counts = rows.where("NOT late").groupBy("window_ms", "event_type", "salt").agg(F.max("n_hits").alias("n"))
+    on_time = counts.groupBy("event_type").agg(F.sum("n").alias("n_counted"))
+    behind = rows.where("late").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_late"), F.sum("event_id").alias("late_ids"))
+    return on_time.join(behind, "event_type", "full")
+
+
 def stream_log(spark, sf_dir):
     path = scratch_path(spark, "log")
     writers.append_lines(_log_lines(spark, sf_dir), path)
@@ -803,6 +847,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sql_guarded, sql_redacted, sql_redacted_nested, inventory_nested, sql_audit, inventory_tables, inventory_columns, first_rows,
         text_metrics, text_profile, numeric_profile, numeric_profile_exact, log_parse, log_counts, log_filter,
         csv_roundtrip, prompt_table, corpus_cached, seed_users,
-        stream_hits, stream_late, stream_guard, stream_progress, stream_log,
+        stream_hits, stream_late, stream_late_rows, stream_windows, stream_guard, stream_progress, stream_progress_ordered, stream_log,
     )
 }

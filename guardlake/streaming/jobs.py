@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake.plans.turns import guard_turns
 from guardlake.session import scratch_path
-from guardlake.sources.readers import parse_log, path_exists
+from guardlake.sources.readers import level_rows, parse_log, path_exists, read_levels
 
 
 # A micro-batch is bounded, so what one session can bring into one task is too.
@@ -41,6 +41,24 @@ def guard_stream(turns: DataFrame, levels: Sequence[dict], gate: Column, keys: S
     return guard_turns(turns, levels, gate, keys, **columns)
 
 
+def guard_changing(
+    turns: DataFrame, levels_path: str, gate: Column, keys: Sequence[str], store: Callable[[DataFrame, int], None], **columns
+) -> Callable[[DataFrame, int], None]:
+    """A micro-batch function that guards turns by the level table as it is when the batch begins.
+
+    The table of levels and their addresses is static beside the stream, and read again for every micro-batch: a row
+    written to it holds from the next batch on. A batch that is repeated after a failure is guarded by
+    the table as it is then. ``store`` keeps the guarded batch.
+    """
+    spark = turns.sparkSession
+
+    def guard(batch: DataFrame, batch_id: int) -> None:
+        levels = level_rows(read_levels(spark, levels_path))
+        store(guard_turns(batch, levels, gate, keys, **columns), batch_id)
+
+    return guard
+
+
 def hits_per_window(
     turns: DataFrame, ts: str, by: Sequence[str], window: str = "1 day", late: str | None = None, name: str = "hits"
 ) -> tuple[DataFrame, DataFrame]:
@@ -56,18 +74,20 @@ def hits_per_window(
     base = scratch_path(spark, name)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        newest = None  # of all batches before, as the one before left it
+        if late is not None and batch_id:
+            newest = spark.read.schema("newest timestamp").parquet(f"{base}/newest/batch_id={batch_id - 1}").first()[0]
         stamped = batch.withColumn("_at", F.col(ts).cast("timestamp"))
         too_late = F.col("_at").isNull()
-        if late is not None and path_exists(spark, f"{base}/newest"):
-            before = spark.read.schema("newest timestamp, batch_id bigint").parquet(f"{base}/newest")
-            newest = before.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
-            if newest is not None:
-                too_late = too_late | (F.col("_at") < F.lit(newest) - F.expr(f"INTERVAL {late}"))
-        stamped = stamped.withColumn("_late", too_late)
+        if newest is not None:
+            too_late = too_late | (F.col("_at") < F.lit(newest) - F.expr(f"INTERVAL {late}"))
+        stamped = stamped.withColumn("_late", too_late).persist()
         counts = stamped.where("NOT _late").groupBy(F.window("_at", window).alias("_w"), *by).agg(F.count(F.lit(1)).alias("n_hits"))
         counts.select("_w.start", "_w.end", *by, "n_hits").write.mode("overwrite").parquet(f"{base}/counts/batch_id={batch_id}")
         stamped.where("_late").drop("_at", "_late").write.mode("overwrite").parquet(f"{base}/late/batch_id={batch_id}")
-        stamped.agg(F.max("_at").alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
+        latest = F.greatest(F.max("_at"), F.lit(newest).cast("timestamp")).alias("newest")
+        stamped.agg(latest).write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
+        stamped.unpersist()
 
     query = (
         turns.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
@@ -101,7 +121,7 @@ def progression_stream(
     """Session state across micro-batches: one row per session that moved in the batch.
 
     The state is five values. Inside a batch a session's turns are put in order
-    here, each kept as its order key and flags only. A turn that is not after the
+    here, each kept as its order key and flags only. A turn before the
     last one of an earlier batch comes too late to be played: it is counted in
     ``n_late`` and changes nothing else. A restart sets the level back to 0 and leaves
     the wrong counter. ``order`` is a whole number, a text or a time.
@@ -121,7 +141,7 @@ def progression_stream(
                 moves.append((int(at) if whole else str(at), bool(again), sum(1 << i for i, h in enumerate(hit) if h)))
         moves.sort()
         for at, again, hit in moves:
-            if before is not None and at <= before:
+            if before is not None and at < before:
                 late += 1
                 continue
             newest = at
@@ -148,13 +168,212 @@ def progression_stream(
     )
 
 
+#: Event-time timers and map state live in a state store of this kind.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HELD_TURNS = 4_096
+
+
+def state_store(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, outside the heap; arbitrary state needs it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def ordered_progression_stream(
+    turns: DataFrame, session: str, ts: str, order: str, hits: Column, levels: int, delay: str,
+    restart: Column | None = None, bucket: int = 60_000, forget: int | None = None,
+) -> DataFrame:
+    """Session state over turns that arrive in any order: a turn is played once the watermark has passed its time.
+
+    Turns are played by time, then ``order`` (a whole number), so as long as none comes more than ``delay`` behind the newest
+    row, the result is that of the batch operator whatever the files and their order; equal keys play together in an order
+    of their own. Until then they wait in map state, keyed by a bucket of ``bucket`` milliseconds and a running number of
+    chunks of at most ``HELD_TURNS``, with an event-time timer per bucket; a bucket is what a task holds of a hot session. A
+    turn before the last one played is counted in ``n_late`` and not played. A session without turns for ``forget``
+    milliseconds of event time is dropped from the state.
+
+    Rows ``(session, level, wrong, n_turns, n_late, finished, version)`` come in update mode; the greatest version of a
+    session is its newest. Rows without a session or time are left out.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    state_store(turns.sparkSession)
+    held_turns = HELD_TURNS
+    kind = turns.schema[session].dataType.simpleString()
+
+    class Player(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.game = handle.getValueState(
+                "game", "level long, wrong long, seen long, late long, at long, ord long, version long, chunks long, newest long"
+            )
+            self.held = handle.getMapState("held", "bucket long, chunk long", "turns string")
+
+        def _state(self):
+            return list(self.game.get()) if self.game.exists() else [0, 0, 0, 0, None, None, 0, 0, 0]
+
+        def _row(self, key, state):
+            import pandas as pd
+
+            level, wrong, seen, late, _, _, version = state[:7]
+            return pd.DataFrame({
+                session: [key[0]], "level": [level], "wrong": [wrong], "n_turns": [seen], "n_late": [late],
+                "finished": [level == levels], "version": [version],
+            })
+
+        def handleInputRows(self, key, rows, timerValues):
+            import json
+
+            state, late, timers = self._state(), 0, set()
+            for frame in rows:
+                wait = {}
+                for at, number, again, mask in zip(frame["at_us"], frame["place"], frame["again"], frame["mask"]):
+                    at, number = int(at), int(number)
+                    if state[4] is not None and (at, number) < (state[4], state[5]):
+                        late += 1
+                        continue
+                    wait.setdefault(at // 1000 // bucket, []).append([at, number, int(again), int(mask)])
+                for place, turns in wait.items():
+                    for begin in range(0, len(turns), held_turns):
+                        self.held.updateValue((place, state[7]), (json.dumps(turns[begin : begin + held_turns]),))
+                        state[7] += 1
+                    timers.add((place + 1) * bucket)
+                    state[8] = max(state[8], (place + 1) * bucket)
+            for at in timers:
+                self.handle.registerTimer(at)
+            if timers and forget is not None:
+                self.handle.registerTimer(state[8] + forget)
+            state[3] += late
+            state[6] += bool(late)
+            self.game.update(tuple(state))
+            if late:
+                yield self._row(key, state)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import json
+
+            mark = timerValues.getCurrentWatermarkInMs()
+            due = {}
+            for place, chunk in [tuple(k) for k in self.held.keys()]:
+                if (place + 1) * bucket <= mark:
+                    due.setdefault(place, []).append(chunk)
+            state = self._state()
+            for place in sorted(due):
+                turns = sorted(t for chunk in due[place] for t in json.loads(self.held.getValue((place, chunk))[0]))
+                for at, number, again, mask in turns:
+                    state[2], state[4], state[5] = state[2] + 1, at, number
+                    if again:
+                        state[0] = 0
+                    elif state[0] < levels:
+                        state[0], state[1] = (state[0] + 1, 0) if mask >> state[0] & 1 else (state[0], state[1] + 1)
+                for chunk in due[place]:
+                    self.held.removeKey((place, chunk))
+            if due:
+                state[6] += 1
+                self.game.update(tuple(state))
+                yield self._row(key, state)
+            elif forget is not None and self.game.exists() and state[8] + forget <= mark:
+                self.game.clear()
+
+        def close(self):
+            pass
+
+    again = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
+    bits = F.aggregate(F.transform(hits, lambda h, i: F.when(h, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+    stamped = turns.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    # The time goes on as a number: a column that carries the watermark would have late turns dropped unseen.
+    keyed = stamped.where(F.col(session).isNotNull() & F.col(ts).isNotNull()).select(
+        session, F.unix_micros("_ts").alias("at_us"), F.col(order).cast("long").alias("place"), again.alias("again"),
+        bits.cast("long").alias("mask"),
+    )
+    schema = f"{session} {kind}, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean, version bigint"
+    return keyed.groupBy(session).transformWithStateInPandas(Player(), schema, "Update", "EventTime")
+
+
+def window_counts(turns: DataFrame, ts: str, by: Sequence[str], window: str, late: str, name: str = "n_hits") -> DataFrame:
+    """Counts per tumbling window from the state store, for update or append mode. The watermark bounds the state: a
+    window is dropped from it once ``late`` behind the newest row, and rows of such windows are no longer counted."""
+    stamped = turns.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
+    counts = stamped.groupBy(F.window("_at", window).alias("_w"), *by).agg(F.count(F.lit(1)).alias(name))
+    return counts.select(
+        F.col("_w.start").cast("timestamp_ntz").alias("window_start"), F.col("_w.end").cast("timestamp_ntz").alias("window_end"), *by, name
+    )
+
+
+def window_counts_and_late(
+    turns: DataFrame, ts: str, by: Sequence[str], window: int, late: str, keep: Sequence[str], salts: int = 16,
+) -> DataFrame:
+    """The same counts in update mode, with every row that comes after its window was closed; no row is in neither.
+
+    Rows are ``window_ms, <by>, salt, n_hits, closed`` with a running count, or with ``late`` true and the columns of
+    ``keep`` for a row whose window of ``window`` milliseconds had been left by the watermark. State is one number per open
+    window, group and salt, removed by a timer when the window closes; ``salts`` deal a hot group to tasks, and readers
+    add them up. Rows without a time are late.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    state_store(turns.sparkSession)
+    kinds = {c: turns.schema[c].dataType.simpleString() for c in (*by, *keep)}
+    groups, kept = list(by), list(keep)
+    untimed = -(2**63)
+
+    class Counter(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.count = handle.getValueState("count", "n long")
+
+        def _frame(self, key, rows, n, closed, late):
+            out = rows[[f"kept_{c}" for c in kept]].rename(columns={f"kept_{c}": c for c in kept})
+            for name, value in zip(["window_ms", *groups, "salt"], key):
+                out[name] = value
+            out["n_hits"], out["closed"], out["late"] = n, closed, late
+            return out[["window_ms", *groups, "salt", "n_hits", "closed", "late", *kept]]
+
+        def _nothing_kept(self):
+            import pandas as pd
+
+            return pd.DataFrame({f"kept_{c}": [None] for c in kept})
+
+        def handleInputRows(self, key, rows, timerValues):
+            end = int(key[0]) + window
+            closed = key[0] == untimed or end <= timerValues.getCurrentWatermarkInMs()
+            n = self.count.get()[0] if not closed and self.count.exists() else 0
+            for frame in rows:
+                n += len(frame)
+                if closed:
+                    yield self._frame(key, frame, 0, True, True)
+            if not closed:
+                self.count.update((n,))
+                self.handle.registerTimer(end)
+                yield self._frame(key, self._nothing_kept(), n, False, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.count.exists():
+                n = self.count.get()[0]
+                self.count.clear()
+                yield self._frame(key, self._nothing_kept(), n, True, False)
+
+        def close(self):
+            pass
+
+    stamped = turns.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    at = F.unix_millis("_ts")
+    keyed = stamped.select(
+        F.coalesce(at - F.pmod(at, F.lit(window)), F.lit(untimed)).alias("window_ms"), *by, F.pmod(F.xxhash64(*turns.columns), F.lit(salts)).cast("int").alias("salt"),
+        *[F.col(c).alias(f"kept_{c}") for c in kept],
+    )
+    fields = ["window_ms bigint", *[f"`{c}` {kinds[c]}" for c in by], "salt int, n_hits bigint, closed boolean, late boolean"]
+    fields += [f"`{c}` {kinds[c]}" for c in kept]
+    out = keyed.groupBy("window_ms", *by, "salt").transformWithStateInPandas(Counter(), ", ".join(fields), "Update", "EventTime")
+    return out.withColumn("window_ms", F.nullif("window_ms", F.lit(untimed)))
+
+
 def run_available(
-    stream: DataFrame, mode: str = "append", latest_by: Sequence[str] | None = None, name: str = "stream"
+    stream: DataFrame, mode: str = "append", latest_by: Sequence[str] | None = None, name: str = "stream", version: str = "batch_id",
 ) -> DataFrame:
     """Run a stream over what is there now and return its output table.
 
     Every micro-batch overwrites its own folder, so a batch repeated after a
-    failure is not counted twice. In update mode a key's newest batch wins.
+    failure is not counted twice. In update mode a key's newest batch wins, or its greatest ``version``.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, name)
@@ -175,7 +394,7 @@ def run_available(
     if not latest_by:
         return out.select(*stream.columns)
     rest = [c for c in stream.columns if c not in latest_by]
-    newest = out.groupBy(*latest_by).agg(F.max_by(F.struct(*rest), "batch_id").alias("_n"))
+    newest = out.groupBy(*latest_by).agg(F.max_by(F.struct(*rest), version).alias("_n"))
     return newest.select(*latest_by, "_n.*").select(*stream.columns)
 
 
