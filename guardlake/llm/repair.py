@@ -167,7 +167,7 @@ def rows_in_order(rows: DataFrame) -> DataFrame:
 
 
 def fault_of_text() -> Column:
-    bare = F.regexp_replace("text", r"[\x20\x09-\x0D]+$", "")
+    bare = F.rtrim(F.col("text"), F.lit(" \t\n\v\f\r"))
     return F.when(bare == "", "blank").when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), "truncated")
 
 
