@@ -92,7 +92,7 @@ def has_marker(col: Column, marker: str = fv.ENTITY_MARKER) -> Column:
 
 def tokens(col: Column) -> Column:
     """Whitespace tokens without empties."""
-    return F.array_remove(F.split(col, r"[ \t\n\r\f]+"), "")
+    return F.array_remove(F.split(col, r"[ \t\n\r\f]"), "")
 
 
 def never_null(array: Column) -> Column:

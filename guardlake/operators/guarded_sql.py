@@ -115,13 +115,13 @@ def _elements(sequence: Any) -> list:
 
 def guarded_select(
     spark: SparkSession, query: str, allowed: Sequence[str], params: Sequence[Any] | Mapping[str, Any] | None = None,
-    fetch_all: bool = True, row_limit: int = fv.ROW_LIMIT, always_cap: bool = False,
+    fetch_all: bool = True, row_limit: int | None = fv.ROW_LIMIT, always_cap: bool = False,
     redact_with: Sequence[tx.Entity] = (), functions: Iterable[str] = FUNCTIONS,
 ) -> SqlAnswer:
     """Run one SELECT over allowed tables and functions; errors come back as text.
 
     The row cap is added unless the text holds the word ``limit``; with
-    ``always_cap`` it is added in any case. The query runs as a subquery, so a
+    ``always_cap`` it is added in any case, and with ``row_limit=None`` never. The query runs as a subquery, so a
     write hidden behind WITH does not parse and a trailing comment cannot
     swallow the cap. The answer stays a distributed DataFrame.
     """
@@ -130,7 +130,7 @@ def guarded_select(
         return SqlAnswer(error=problem)
     query = _cleaned(query)
     wrapped = f"SELECT * FROM (\n{query}\n)"
-    if always_cap or "limit" not in query.lower():
+    if row_limit is not None and (always_cap or "limit" not in query.lower()):
         wrapped += f" LIMIT {int(row_limit)}"
     args = dict(params) if isinstance(params, Mapping) else list(params) if params else None
     try:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from guardlake.session import settled
 MAX_INLINE_SECRETS = 1000
 # A secret meets texts by one of its windows of so many bytes, the rarest by a sketch of so many counts (a power of two).
 WINDOW, SLOTS = 4, 1 << 20
+# A text that lacks one of these that every secret has cannot hold any.
+MARKS = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 # Bytes of text stretches that a task hands on at a time, and of texts that it cuts into windows at a time.
 PIECE_BYTES, CUT_BYTES = 8 << 20, 1 << 20
 
@@ -46,33 +48,33 @@ def leaked(df: DataFrame, id_cols: str | Sequence[str], texts: Sequence[str], se
 
     Secrets may be of any number, length and shape; null and empty ones match nothing, nor do null texts. Containment is
     an equi-join: each distinct secret, in both directions, is anchored at the one of its windows of ``WINDOW``
-    bytes that a frequency sketch of the texts' windows calls rarest. One scan of the texts finds the places of possible
+    bytes that a frequency sketch of the windows of the first text column calls rarest. One scan of the texts finds the places of possible
     anchors and passes on the stretch around each that its secrets can cover, so texts themselves never
     travel. Secrets shorter than a window are looked up in tables of all strings of their length.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     forms = settled(secret_forms(secrets, secret).where(F.length("_secret") > 0), "secrets")
+    number, n_short, *with_mark = forms.agg(
+        F.count(F.lit(1)), F.count_if(_is_short()), *[F.count_if(F.contains("_secret", F.lit(m))) for m in MARKS]
+    ).first()
+    marks = [m for m, n in zip(MARKS, with_mark) if number and n == number]
+    # A cheap test before any window is cut: a mark that every secret holds (an @, say) must be in the text.
+    possible = lambda text: reduce(and_, [F.contains(text, F.lit(m)) for m in marks], text.isNotNull())
     flags = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(name).alias("_text")) for i, name in enumerate(texts)])
-    flat = df.select(*ids, F.explode(flags).alias("_v")).select(*ids, "_v.*")
-    flat = flat.where(_holds_shared(forms, F.col("_text"))).select(*ids, "_which", F.col("_text").cast("binary").alias("_text"))
-    short = F.octet_length("_secret") < WINDOW
-    whole = forms.where(~short).select(F.col("_secret").cast("binary").alias("_secret"))
-    tables = _short_tables(forms.where(short))
-    anchors = settled(anchored(whole, window_counts(flat, whole)), "anchors")
+    flat = df.select(*ids, F.explode(flags).alias("_v")).select(*ids, "_v.*").where(possible(F.col("_text")))
+    flat = flat.select(*ids, "_which", F.col("_text").cast("binary").alias("_text"))
+    first = df.where(possible(F.col(texts[0]))).select(F.col(texts[0]).cast("binary").alias("_text"))
+    whole = forms.where(~_is_short()).select(F.col("_secret").cast("binary").alias("_secret"))
+    tables = _short_tables(forms.where(_is_short())) if n_short else {}
+    anchors = settled(anchored(whole, window_counts(first, whole)), "anchors")
     hits = pieces_at(flat, [*ids, "_which"], anchors, tables)
     known = anchors.select(F.col("_anchor").alias("_gram"), "_secret")
     met = hits.join(known, "_gram", "left").where((F.col("_gram") < 0) | F.contains("_piece", "_secret"))
     return met.groupBy(*ids).agg(*[F.max(F.col("_which") == i).alias(name) for i, name in enumerate(texts)])
 
 
-def _holds_shared(forms: DataFrame, text: Column) -> Column:
-    """A cheap test before any window is cut: the marks that every secret holds (an ``@``, say) must be in the text."""
-    marks = F.array_distinct(F.regexp_extract_all("_secret", F.lit("[!-/:-@\\[-`{-~]"), F.lit(0)))
-    counts = forms.select(F.explode(marks).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
-    number, test = forms.count(), text.isNotNull()
-    for r in counts.where(F.col("n") == number).orderBy("mark").collect():  # at most the 32 ASCII marks
-        test = test & F.contains(text, F.lit(r["mark"]))
-    return test
+def _is_short() -> Column:
+    return F.octet_length("_secret") < WINDOW
 
 
 def _windows():

@@ -83,33 +83,28 @@ def nearest_exemplar(
 
     Exact, without comparing every text with every exemplar. Texts keep only the tokens that exemplars have, as
     numbers, and all tokens are ordered by the number of texts that hold them. A text that covers ``need`` of an
-    exemplar's ``n`` tokens holds at least one of its ``n - need + 1`` rarest, so only those are indexed; and where the
-    two first meet, enough tokens must be left on either side. The pairs that stay are counted on the numbers, so
-    texts are read and cut once. Exemplars may be of any number: what is joined is written before, and the planner picks
+    exemplar's ``n`` tokens holds at least one of its ``n - need + 1`` rarest, so only those are indexed, and it has at least
+    ``need`` of the numbers. The pairs that meet are counted on the numbers, so texts are read and cut once. Exemplars may be of any number: what is joined is written before, and the planner picks
     the joins from the size of the files. Ties go to the smallest exemplar id; ids of texts are their keys.
     """
     words = exemplars.select(F.col(ex_id).alias("_ex"), F.array_distinct(tx.tokens(F.col(ex_text))).alias("_words"))
-    words = settled(words.where(F.size("_words") > 0), "exemplars")
+    words = words.where(F.size("_words") > 0)
     vocabulary = words.select(F.explode("_words").alias("_token")).distinct()
     vocabulary = settled(vocabulary.select("_token", F.monotonically_increasing_id().alias("_no")), "vocabulary")
     docs = df.select(id_col, tx.never_null(F.array_distinct(tx.tokens(F.col(text)))).alias("_tokens"))
     spoken = docs.select(id_col, F.explode_outer("_tokens").alias("_token")).join(vocabulary, "_token")
-    spoken = settled(spoken.select(id_col, "_no"), "spoken")
-    order = settled(spoken.groupBy("_no").agg(F.count(F.lit(1)).alias("_n")), "token-counts")
-    rarest_first = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_no").alias("no")))), lambda t: t["no"]
-    )
+    held = settled(spoken.groupBy(id_col).agg(F.collect_set("_no").alias("_tokens")), "text-tokens")
+    order = held.select(F.explode("_tokens").alias("_no")).groupBy("_no").agg(F.count(F.lit(1)).alias("_n"))
+    rarest_first = F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_no").alias("no"))))
     sets = words.select("_ex", F.explode("_words").alias("_token")).join(vocabulary, "_token").join(order, "_no", "left")
-    sets = sets.groupBy("_ex").agg(rarest_first.alias("_ex_tokens"))
+    sets = sets.groupBy("_ex").agg(F.transform(rarest_first, lambda t: t["no"]).alias("_ex_tokens"))
     size = F.size("_ex_tokens")
     sets = settled(sets.withColumn("_need", F.greatest(F.ceil(size * threshold - 1e-9), F.lit(1)).cast("int")), "exemplar-tokens")
-    held = settled(spoken.join(order, "_no").groupBy(id_col).agg(rarest_first.alias("_tokens")), "text-tokens")
 
     prefix = F.slice("_ex_tokens", F.lit(1), size - F.col("_need") + 1)
-    index = sets.select("_ex", size.alias("_of"), "_need", F.posexplode(prefix).alias("_i", "_no"))
-    places = held.select(id_col, F.size("_tokens").alias("_has"), F.posexplode("_tokens").alias("_j", "_no"))
-    left = F.least(F.col("_of") - F.col("_i"), F.col("_has") - F.col("_j"))  # greatest where they first meet
-    met = places.join(index, "_no").where(left >= F.col("_need")).select(id_col, "_ex").distinct()
+    index = sets.select("_ex", "_need", F.explode(prefix).alias("_no"))
+    places = held.select(id_col, F.size("_tokens").alias("_has"), F.explode("_tokens").alias("_no"))
+    met = places.join(index, "_no").where(F.col("_has") >= F.col("_need")).select(id_col, "_ex").distinct()
     pairs = settled(met, "met").join(held, id_col).join(sets, "_ex")
     scored = (
         pairs.withColumn("_overlap", F.size(F.array_intersect("_ex_tokens", "_tokens")))

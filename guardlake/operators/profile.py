@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from guardlake.functions.text import text_metrics, word_overlap
 
@@ -46,6 +46,67 @@ def numeric_profile(
     return df.agg(F.array(*aggregates).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
 
 
+PROFILE_SCHEMA = (
+    "column string, n_rows bigint, n_null bigint, min_int bigint, max_int bigint, min double, max double,"
+    " mean double, m2 double, distinct_sketch binary, quantile_sketch binary"
+)
+
+
+def profile_rows(df: DataFrame, columns: list[str], by: list[str], lg_k: int = 12, k: int = 200) -> DataFrame:
+    """Profiles to store: one row per group of ``by`` (a day, say) and numeric column, from one pass.
+
+    Whole numbers keep their exact extremes in ``min_int`` and ``max_int``. The sketches (HyperLogLog for distinct values, with a
+    relative error of about 1.04 / sqrt(2^lg_k); KLL for quantiles, with a rank error of about 1.7 / k^0.9) are of
+    fixed size and merge with those of other rows.
+    """
+    whole = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    cells = F.array(*[
+        F.struct(
+            F.lit(name).alias("column"), (F.col(name) if name in whole else F.lit(None)).cast("bigint").alias("whole"),
+            F.col(name).cast("double").alias("value"),
+        )
+        for name in columns
+    ])
+    flat = df.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
+    value, used = F.col("value"), F.col("value").isNotNull() & ~F.isnan("value")
+    exact = F.coalesce(F.col("whole").cast("string"), value.cast("string"))
+    return flat.groupBy(*by, "column").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(value.isNull()).alias("n_null"),
+        F.min("whole").alias("min_int"), F.max("whole").alias("max_int"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"),
+        F.hll_sketch_agg(exact, F.lit(lg_k)).alias("distinct_sketch"),
+        F.kll_sketch_agg_double(F.when(used, value), F.lit(k)).alias("quantile_sketch"),
+    ).select(*by, *[part.split()[0] for part in PROFILE_SCHEMA.split(", ")])
+
+
+def merged_profile(rows: DataFrame, by: list[str], ranks: dict[str, float] | None = None) -> DataFrame:
+    """One row per group of ``by`` and column, from stored profiles of any number and order.
+
+    Counts and extremes are exact, mean and deviation up to rounding; ``approx_distinct`` and the quantiles of ``ranks`` (by
+    default the median) lie within the errors of the sketches.
+    """
+    keys = [*by, "column"]
+    of_column = Window.partitionBy(*keys)
+    n = F.col("n_rows") - F.col("n_null")
+    centred = rows.withColumn("_n", n).withColumn(
+        "_mean", F.sum(F.col("mean") * n).over(of_column) / F.nullif(F.sum(n).over(of_column), F.lit(0))
+    )
+    total = F.sum("_n")
+    squares = F.sum(F.col("m2") + F.col("_n") * (F.col("mean") - F.col("_mean")) ** 2)
+    merged = centred.groupBy(*keys).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.min("min_int").alias("min_int"), F.max("max_int").alias("max_int"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.max("_mean").alias("mean"),
+        F.when(total > 1, F.sqrt(squares / (total - 1))).alias("stddev"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("approx_distinct"),
+        F.kll_merge_agg_double("quantile_sketch").alias("_quantiles"), total.alias("_used"),
+    )
+    quantiles = {
+        name: F.when(F.col("_used") > 0, F.kll_sketch_get_quantile_double("_quantiles", F.lit(rank)))
+        for name, rank in (ranks or {"median": 0.5}).items()
+    }
+    return merged.withColumns(quantiles).drop("_quantiles", "_used")
+
+
 def text_profile(df: DataFrame, text: str, by: list[str]) -> DataFrame:
     """Exact profile of text lengths per group.
 

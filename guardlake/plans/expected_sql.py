@@ -92,6 +92,54 @@ p AS (SELECT event_id, g.st <> '' AS parsed, CASE WHEN g.st <> '' THEN strptime(
       THEN regexp_extract(g.ms, '^(User|Chatbot): ''(.*)''$', 2) END AS text FROM m)
 """
 
+# Spans in the order in which they win, as lists of one; a span stays unless it meets one that stayed.
+_KEPT = """
+kept AS (SELECT doc_id, unnest(list_reduce(
+    list(s ORDER BY s[1].priority, s[1].start - s[1].stop, s[1].start, s[1].entity),
+    lambda stay, s: CASE WHEN len(list_filter(stay, lambda k: k.start < s[1].stop AND s[1].start < k.stop)) > 0 THEN stay
+      ELSE list_concat(stay, s) END)) AS s
+  FROM one GROUP BY doc_id)
+"""
+
+
+def _spans_sql() -> str:
+    """Spans of every pattern from the lengths of matches and of the stretches between them."""
+    patterns = (
+        ("EMAIL_ADDRESS", EMAIL), ("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+        ("PHONE_NUMBER", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), ("DOMAIN", r"[a-z]+\.[a-z]+\.[a-z]+|[a-z]+\.(?:com|org|net)"),
+        ("HEX_KEY", "[0-9a-f]{8,}"), ("NUMBER", "[0-9]{2,}"),
+    )
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{name}' AS entity, {i} AS priority, regexp_extract_all(text, '{rx}') AS vs,"
+        f" list_transform(string_split_regex(text, '{rx}'), lambda p: length(p)) AS gaps FROM documents"
+        for i, (name, rx) in enumerate(patterns)
+    )
+    return f"""WITH f AS ({found}),
+one AS (SELECT doc_id, unnest(list_transform(range(1, len(vs) + 1), lambda i: [{{
+    'start': list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(vs[1:i - 1], lambda v: length(v))), 0),
+    'stop': list_sum(gaps[1:i]) + list_sum(list_transform(vs[1:i], lambda v: length(v))),
+    'entity': entity, 'priority': priority, 'value': vs[i]}}])) AS s FROM f WHERE len(vs) > 0),{_KEPT}"""
+
+
+_SPANS = _spans_sql()
+_FULL_NAMES = r"""
+WITH b AS (SELECT list_filter(list_transform(string_split_regex(text, '[ \t\n\r\f]'), lambda w: trim(w, '.,;:!?()')), lambda w: w <> '') AS w
+  FROM benchmark),
+names AS (SELECT DISTINCT array_to_string(w[p.a:p.a + p.n - 1], ' ') AS key FROM b,
+  (SELECT unnest([{'a': 1, 'n': 2}, {'a': 2, 'n': 3}, {'a': 6, 'n': 2}, {'a': 7, 'n': 2}, {'a': 8, 'n': 4}, {'a': 12, 'n': 1}]) AS p) WHERE len(w) >= 12),
+t AS (SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\r\f]')) AS t, generate_subscripts(string_split_regex(text, '[ \t\n\r\f]'), 1) AS i FROM documents),
+o AS (SELECT doc_id, i, t, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS pos FROM t),
+w AS (SELECT doc_id, i, trim(t, '.,;:!?()') AS w, pos + length(t) - length(ltrim(t, '.,;:!?()')) AS start FROM o WHERE trim(t, '.,;:!?()') <> ''),
+g AS (SELECT doc_id, start, w AS w1, lead(w, 1) OVER d AS w2, lead(w, 2) OVER d AS w3, lead(w, 3) OVER d AS w4,
+    start + length(w) AS e1, lead(start + length(w), 1) OVER d AS e2, lead(start + length(w), 2) OVER d AS e3, lead(start + length(w), 3) OVER d AS e4
+  FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, start, e1 AS stop, w1 AS key FROM g UNION ALL SELECT doc_id, start, e2, w1 || ' ' || w2 FROM g
+  UNION ALL SELECT doc_id, start, e3, w1 || ' ' || w2 || ' ' || w3 FROM g
+  UNION ALL SELECT doc_id, start, e4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM g),
+l AS (SELECT doc_id, start, max(stop) AS stop, max_by(key, stop) AS key FROM k JOIN names USING (key) GROUP BY doc_id, start),
+one AS (SELECT doc_id, [{'start': start, 'stop': stop, 'entity': 'PERSON', 'priority': 0, 'value': key}] AS s FROM l),""" + _KEPT + """
+SELECT doc_id, s.start::BIGINT AS start, s.stop::BIGINT AS "end", s.entity AS entity, s.value AS value FROM kept"""
+
 _LABELLED = """
 l AS (SELECT doc_id, text, source, toxic = 1 AS prompt_injection FROM documents JOIN labels USING (doc_id))
 """
@@ -412,8 +460,31 @@ WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n_order
 SELECT c_custkey, n_name, round(total, 2) AS total, n_orders
 FROM spend JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 ORDER BY spend.total DESC, c_custkey LIMIT 100""",
+    "stored_profile": """
+WITH v AS (
+  SELECT 'event_id' AS "column", event_id AS i, event_id::DOUBLE AS x FROM events
+  UNION ALL SELECT 'user_id', user_id, user_id::DOUBLE FROM events
+  UNION ALL SELECT 'value', NULL, value FROM events)
+SELECT "column", count(*) AS n_rows, count(*) FILTER (x IS NULL) AS n_null, min(i) AS min_int, max(i) AS max_int, min(x) AS min, max(x) AS max,
+  round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS stddev, true AS distinct_near, true AS median_near, true AS p90_near
+FROM v GROUP BY ALL""",
+    "log_messages": """
+WITH m AS (SELECT date_trunc('second', ts)::TIMESTAMP AS ts, CASE event_type WHEN 'view' THEN 'Chatbot' ELSE 'User' END AS speaker,
+  CASE event_type WHEN 'view' THEN props ELSE event_id::VARCHAR END ||
+  CASE event_id % 3 WHEN 0 THEN chr(10) || props || chr(10) || '  and more' WHEN 1 THEN chr(10) ELSE '' END AS text FROM events)
+SELECT ts, 'INFO' AS level, speaker, md5(text) AS h, count(*) AS n FROM m GROUP BY ALL""",
+    "extract_full_names": _FULL_NAMES,
+    "resolved_spans": _SPANS + """
+SELECT doc_id, s.start::BIGINT AS start, s.stop::BIGINT AS "end", s.entity AS entity, s.value AS value FROM kept""",
+    "redacted_spans": _SPANS + """,
+listed AS (SELECT doc_id, list(s ORDER BY s.start) AS l FROM kept GROUP BY doc_id),
+cut AS (SELECT doc_id, text, list_concat([0], list_transform(l, lambda s: s.stop)) AS a,
+  list_concat(list_transform(l, lambda s: s.start), [length(text)]) AS b, list_concat(list_transform(l, lambda s: '<' || s.entity || '>'), ['']) AS m
+  FROM documents JOIN listed USING (doc_id)),
+made AS (SELECT doc_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: substr(text, CAST(a[i] + 1 AS BIGINT), CAST(b[i] - a[i] AS BIGINT)) || m[i]), '') AS text FROM cut)
+SELECT d.doc_id, md5(coalesce(made.text, d.text)) AS h FROM documents d LEFT JOIN made USING (doc_id)""",
     "sql_redacted": f"""
-SELECT doc_id, lang, {_redact('text')} AS text FROM documents WHERE contains(text, '@') ORDER BY doc_id LIMIT 1000""",
+SELECT doc_id, lang, {_redact('text')} AS text FROM documents WHERE contains(text, '@') ORDER BY doc_id""",
     "sql_redacted_nested": f"""
 WITH v AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL}') AS vs, length(text)::INT AS n FROM documents)
 SELECT doc_id, array_to_string(list_transform(vs, lambda x: '<EMAIL_ADDRESS>'), ',') AS emails, '<EMAIL_ADDRESS>' AS first, n,

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from guardlake.functions import fixed_values as fv
 from guardlake.functions import text as tx
 from guardlake.functions import verdicts as vd
-from guardlake.operators import curate, diverse, guarded_sql, leak, matching, ordering, profile, scoring, sessions
+from guardlake.operators import curate, diverse, guarded_sql, leak, matching, ordering, profile, scoring, sessions, spans
 from guardlake.plans import ablation, corpus, evaluation, turns as turn_plan
 from guardlake.session import scratch_path, settled
 from guardlake.sources import readers, writers
@@ -151,6 +151,35 @@ def extract_names(spark, sf_dir):
     return matching.extract_names(table(spark, sf_dir, "documents"), "doc_id", "text", names, "name")
 
 
+def extract_full_names(spark, sf_dir):
+    """Names of one to four words, the longest at each place, where none overlaps a longer or earlier one."""
+    words = F.filter(F.transform(tx.tokens(F.col("text")), lambda w: F.trim(w, F.lit(spans.EDGES))), lambda w: w != "")
+    cut = table(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") >= 12)
+    pieces = F.array(*[F.array_join(F.slice("w", a, n), " ") for a, n in ((1, 2), (2, 3), (6, 2), (7, 2), (8, 4), (12, 1))])
+    names = cut.select(F.explode(pieces).alias("name"))
+    found = spans.name_spans(table(spark, sf_dir, "documents"), "doc_id", "text", names, "name")
+    return spans.resolve(found, "doc_id").select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "entity", "value")
+
+
+#: Patterns that overlap: addresses hold domains and user names, phones and hosts hold numbers.
+OVERLAPPING = (
+    tx.EMAIL_ADDRESS, tx.IP_ADDRESS, tx.PHONE_NUMBER, tx.Entity("DOMAIN", r"[a-z]+\.[a-z]+\.[a-z]+|[a-z]+\.(?:com|org|net)", "."),
+    tx.Entity("HEX_KEY", "[0-9a-f]{8,}"), tx.Entity("NUMBER", "[0-9]{2,}"),
+)
+
+
+def resolved_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = spans.resolve(spans.entity_spans(docs, "doc_id", "text", OVERLAPPING), "doc_id")
+    return found.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "entity", "value")
+
+
+def redacted_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spans.resolve(spans.entity_spans(docs, "doc_id", "text", OVERLAPPING), "doc_id")
+    return spans.redact_spans(docs, "doc_id", "text", found).select("doc_id", F.md5("text").alias("h"))
+
+
 def refusal_hits(spark, sf_dir):
     reply = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" NOT ALLOWED"))).otherwise(F.col("text"))
     error = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("input did not pass "), "source")).when(
@@ -448,18 +477,24 @@ def role_check(spark, sf_dir):
 def _level_addresses(spark, sf_dir) -> DataFrame:
     """Five addresses for each of five levels, dealt out in turn: at most 25 rows."""
     known = _secrets(table(spark, sf_dir, "documents")).orderBy("email").limit(25)
-    return settled(ordering.with_position(known, ["email"], name="nth"), "level-addresses")
+    return known.withColumn("nth", F.row_number().over(Window.orderBy("email")) - 1)
 
 
 def _levels(spark, addresses: DataFrame) -> list[dict]:
     """The level table, written as JSON and read back as configuration."""
-    spread = spark.createDataFrame(LEVELS).select(
-        F.col("level").cast("int").alias("level"), F.lit(False).alias("use_mcp_server"), "use_prompt_protection",
-        "use_output_rail", "use_tool_rails", F.lit(MODEL).alias("model"), F.lit(SIMPLE_PROMPT).alias("system_prompt"),
-    )
     own = addresses.groupBy((F.col("nth") % 5).cast("int").alias("level")).agg(F.sort_array(F.collect_list("email")).alias("emails"))
+    own = own.agg(F.map_from_entries(F.collect_list(F.struct("level", "emails"))).alias("by_level"))
+    settings = F.array(*[
+        F.struct(
+            F.lit(row["level"]).alias("level"), F.lit(False).alias("use_mcp_server"),
+            *[F.lit(row[c]).alias(c) for c in ("use_prompt_protection", "use_output_rail", "use_tool_rails")],
+            F.lit(MODEL).alias("model"), F.lit(SIMPLE_PROMPT).alias("system_prompt"),
+        )
+        for row in LEVELS
+    ])
     path = scratch_path(spark, "levels")
-    spread.join(own, "level", "left").write.json(path)
+    spread = own.select("by_level", F.explode(settings).alias("s")).select("s.*", F.try_element_at("by_level", F.col("s.level")).alias("emails"))
+    spread.coalesce(1).write.json(path)
     return readers.level_rows(readers.read_levels(spark, path))
 
 
@@ -545,7 +580,7 @@ def sql_redacted(spark, sf_dir):
     readers.expose(table(spark, sf_dir, "documents"), "documents")
     answer = guarded_sql.guarded_select(
         spark, "SELECT doc_id, lang, text FROM documents WHERE text LIKE '%@%' ORDER BY doc_id -- with an address",
-        ["documents"], redact_with=(tx.EMAIL_ADDRESS,),
+        ["documents"], row_limit=None, redact_with=(tx.EMAIL_ADDRESS,),
     )
     if answer.error:
         raise ValueError(answer.error)
@@ -563,8 +598,8 @@ def sql_redacted_nested(spark, sf_dir):
     readers.expose(_addresses(spark, sf_dir), "addresses")
     answer = guarded_sql.guarded_select(
         spark, """SELECT doc_id, emails, struct(emails[0] AS first, n) AS head, map('k', concat('to ', emails[0])) AS m
-                  FROM addresses WHERE size(emails) > 0 ORDER BY doc_id LIMIT 100000000""",
-        ["addresses"], redact_with=(tx.EMAIL_ADDRESS,),
+                  FROM addresses WHERE size(emails) > 0 ORDER BY doc_id""",
+        ["addresses"], row_limit=None, redact_with=(tx.EMAIL_ADDRESS,),
     )
     if answer.error:
         raise ValueError(answer.error)
@@ -659,6 +694,48 @@ def numeric_profile_exact(spark, sf_dir):
     return made.withColumns({name: F.round(name, 4) for name in ("mean", "stddev")})
 
 
+def stored_profile(spark, sf_dir):
+    """Profiles of every day, stored by two runs and merged later: exact columns, and whether sketches keep their errors."""
+    events, path = table(spark, sf_dir, "events"), scratch_path(spark, "profiles")
+    measures = ["event_id", "user_id", "value"]
+    daily = events.withColumn("day", F.to_date("ts"))
+    for half in (0, 1):
+        profile.profile_rows(daily.where(F.col("event_id") % 2 == half), measures, ["day"]).write.mode("append").parquet(path)
+    stored = spark.read.schema(f"day date, {profile.PROFILE_SCHEMA}").parquet(path)
+    merged = profile.merged_profile(stored, [], {"median": 0.5, "p90": 0.9})
+    exact = curate.combine([
+        events.agg(
+            F.lit(c).alias("column"), F.countDistinct(c).alias("n_distinct"),
+            *[F.percentile(F.col(c).cast("double"), q).alias(n) for n, q in (("low", 0.46), ("high", 0.54), ("low90", 0.86), ("high90", 0.94))],
+        )
+        for c in measures
+    ])
+    both = merged.join(exact, "column")
+    return both.select(
+        "column", "n_rows", "n_null", "min_int", "max_int", "min", "max", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
+        (F.abs(F.col("approx_distinct") / F.col("n_distinct") - 1) <= 0.07).alias("distinct_near"),
+        F.col("median").between(F.col("low"), F.col("high")).alias("median_near"),
+        F.col("p90").between(F.col("low90"), F.col("high90")).alias("p90_near"),
+    )
+
+
+def log_messages(spark, sf_dir):
+    """Messages of one to three lines, written to several files and rebuilt from them."""
+    more = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\n"), "props", F.lit("\n  and more"))).when(
+        F.col("event_id") % 3 == 1, F.lit("\n")
+    ).otherwise("")
+    told = F.when(F.col("event_type") == "view", F.concat(F.lit("Chatbot: '"), "props", more, F.lit("'"))).otherwise(
+        F.concat(F.lit("User: '"), F.col("event_id").cast("string"), more, F.lit("'"))
+    )
+    line = F.concat_ws(" ", F.date_format("ts", "dd.MM.yyyy HH:mm:ss"), F.lit("INFO"), told)
+    path = scratch_path(spark, "log")
+    for part in range(3):
+        rows = table(spark, sf_dir, "events").where(F.col("event_id") % 3 == part)
+        writers.append_lines(rows.select(line.alias("value")), path)
+    parsed, _ = readers.read_messages(spark, path)
+    return parsed.groupBy(F.col("ts").cast("timestamp_ntz").alias("ts"), "level", "speaker", F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _log_lines(spark, sf_dir) -> DataFrame:
     stamp = F.date_format("ts", "dd.MM.yyyy HH:mm:ss")
     body = (
@@ -835,7 +912,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         ablation_leak_rate, ablation_config_names, ablation_wide, ablation_pivot, leak_reversed, leak_any_secret, ablation_any_secret, exact_guess,
-        redact_email, extract_entities, extract_names, refusal_hits, label_verdict, fallback, token_cap,
+        redact_email, extract_entities, extract_names, extract_full_names, resolved_spans, redacted_spans, refusal_hits, label_verdict, fallback, token_cap,
         truncate_input, prompt_messages,
         corpus_attack, corpus_benign, keep_first_row, corpus_split, corpus_hash_split, corpus_shuffle,
         corpus_build, systematic_sample, systematic_sample_all, ordinal_column, diverse_exact, diverse_coreset,
@@ -845,7 +922,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ml_classifier, null_check, role_check,
         turn_guard, guard_status, history_last10, progression, progression_levels,
         sql_guarded, sql_redacted, sql_redacted_nested, inventory_nested, sql_audit, inventory_tables, inventory_columns, first_rows,
-        text_metrics, text_profile, numeric_profile, numeric_profile_exact, log_parse, log_counts, log_filter,
+        text_metrics, text_profile, numeric_profile, numeric_profile_exact, stored_profile, log_parse, log_counts, log_messages, log_filter,
         csv_roundtrip, prompt_table, corpus_cached, seed_users,
         stream_hits, stream_late, stream_late_rows, stream_windows, stream_guard, stream_progress, stream_progress_ordered, stream_log,
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from guardlake.functions import fixed_values as fv
+from guardlake.operators.ordering import HOT_ROWS, running_totals
+from guardlake.session import settled
 
 ATTACK_SCHEMA = "user_input string, expected_completion string"
 BENIGN_SCHEMA = "text string, lang string, role string"
@@ -67,18 +69,19 @@ def level_rows(levels: DataFrame) -> list[dict]:
     return [row.asDict() for row in rows]
 
 
-def log_fields(line: Column) -> dict[str, Column]:
-    """Fields of one log line; ``parsed`` is false for continuation lines of a longer message."""
-    stamp = F.regexp_extract(line, _LINE, 1)
-    body = F.regexp_extract(line, _LINE, 3)
-    speaker = F.regexp_extract(body, _SPOKEN, 1)
+def log_fields(line: Column, spans_lines: bool = False) -> dict[str, Column]:
+    """Fields of one log line, or of a message that ``spans_lines``; ``parsed`` is false for continuation lines."""
+    whole, spoken = [f"(?s){p[:-1]}\\z" if spans_lines else p for p in (_LINE, _SPOKEN)]
+    stamp = F.regexp_extract(line, whole, 1)
+    body = F.regexp_extract(line, whole, 3)
+    speaker = F.regexp_extract(body, spoken, 1)
     is_spoken = speaker != ""
     return {
         "ts": F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit(fv.LOG_TIMESTAMP_FORMAT)),
-        "level": F.nullif(F.regexp_extract(line, _LINE, 2), F.lit("")),
+        "level": F.nullif(F.regexp_extract(line, whole, 2), F.lit("")),
         "message": F.when(stamp != "", body),
         "speaker": F.nullif(speaker, F.lit("")),
-        "text": F.when(is_spoken, F.regexp_extract(body, _SPOKEN, 2)),
+        "text": F.when(is_spoken, F.regexp_extract(body, spoken, 2)),
         "parsed": stamp != "",
     }
 
@@ -94,6 +97,39 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed.where("parsed").drop("parsed"), parsed.where("NOT parsed").select("value")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, part, line, value)``: the lines of text files in order; ``line`` orders a part, ``part`` a file.
+
+    A part is what one task reads of a file, known by the byte it begins at. The order is written with the
+    lines, so it holds however often they are read again.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
+    return settled(lines, "lines")
+
+
+def join_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(file, message_no, value)``: lines joined to messages, each from a line with a time stamp to the next such line.
+
+    Lines before a file's first time stamp come as message 0 of their file. A message spans parts of a file as it
+    spans lines; files of any size are numbered in ranges.
+    """
+    begins = F.col("value").rlike(_LINE)
+    numbered = running_totals(lines, {"message_no": begins.cast("bigint")}, ["part", "line"], ["file"], hot_rows)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "line", "value")))
+    whole = numbered.groupBy("file", "message_no").agg(ordered.alias("lines"))
+    return whole.select("file", "message_no", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"))
+
+
+def read_messages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Messages of a log with their fields, whole where they span lines; and what stands before a file's first message."""
+    joined = join_messages(numbered_lines(spark, path))
+    parsed = joined.where("message_no > 0").withColumns(log_fields(F.col("value"), spans_lines=True)).drop("parsed")
+    return parsed, joined.where("message_no = 0").select("file", "value")
+
+
 def user_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines holding ``user`` or ``User``: two exact cases, wherever they stand in the line."""
     hit = F.lit(False)
