@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from guardlake.session import remove, scratch_path, settled
+from guardlake.session import scratch_path, settled
 
-# Farthest rows looked at per pass on the driver; a fixed number, whatever the table size.
-POOL = 1024
+# Farthest rows the driver holds of all clusters together, and of each at least; fixed numbers, whatever the table size.
+POOL, POOL_OF_CLUSTER = 1024, 64
+# Clusters at most, rows of one about, rows their centres are picked from, and what rounding may add to an angle.
+CLUSTERS, CLUSTER_ROWS, CENTRE_SAMPLE, ANGLE_SLACK = 256, 20_000, 2_048, 1e-6
+# Below every row: no distance, no id.
+NOTHING = (-1.0, -np.inf)
 # Rows of which a task picks local representatives at a time.
 PART_ROWS = 100_000
 # Distances are compared after rounding, so equal vectors tie whatever batch they came in.
@@ -33,8 +38,6 @@ def _min_distance(chosen):
 
     @F.pandas_udf("double")
     def distance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
         picked = np.asarray(chosen)
         for vectors in batches:
             if len(vectors) == 0:
@@ -56,61 +59,150 @@ def _whole(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def farthest_points(
-    vectors: DataFrame, k: int, id_col: str, vector: str, start_id: int, pool: int = POOL
+    vectors: DataFrame, k: int, id_col: str, vector: str, start_id: int, pool: int = POOL, cluster_rows: int = CLUSTER_ROWS,
+    read: Callable[[int], None] | None = None,
 ) -> DataFrame:
     """Greedy farthest-point selection: ``(pick_order, id, min_dist)`` in pick order, exact for any ``k``.
 
-    Each pick is the row whose smallest distance to the picks so far is largest
-    (ties: smallest id). Every pass keeps each row's smallest distance in files of
-    the shared folder, adds only the picks of the pass before, and brings back
-    the ``pool`` farthest rows. Distances only shrink as picks are added, so while the
-    best of the pool stays above the first row outside it, that row is the global
-    answer and needs no new pass. A pass's files are removed once the next is written.
+    Each pick is the row whose smallest distance to the picks so far is largest (ties: smallest id). Vectors are
+    written once, in clusters of known centre and radius. Of every cluster the driver holds its farthest rows, and an upper
+    bound for the rest: distances only shrink as picks are added, so while the best row held beats all bounds it is the
+    global answer. Otherwise a pass reads the clusters whose bound it does not beat, and no others. Distances are never
+    stored: a pass finds them from the picks that, by the triangle inequality of angles, may be nearest to some row of
+    the cluster. What the driver holds is bounded by ``CLUSTERS``, ``pool`` and ``k``; ``read`` is told the rows of every pass.
     """
-    import numpy as np
-
+    spark = vectors.sparkSession
     rows = _whole(vectors, id_col, vector)
     first = rows.where(F.col(id_col) == start_id).select(vector).first()
     if first is None:
         raise ValueError(f"no row with {id_col} = {start_id}")
-    picks, new, taken, state, path = [(0, start_id, None)], [_unit(first[0])], [start_id], rows, None
+    stored, centres, radius, sizes = _clustered(rows, id_col, vector, cluster_rows)
+    held = pool if len(sizes) == 2 else max(POOL_OF_CLUSTER, pool // len(sizes))
+    picks, units, taken = [(0, start_id, None)], [_unit(first[0])], {start_id}
+    bound = np.full(len(sizes), 2.0)
+    limit: list[tuple] = [(2.0, np.inf) if n else NOTHING for n in sizes]
+    heads = [Head([], np.zeros((0, 0)), np.zeros(0)) for _ in sizes]
     while len(picks) < k:
-        nearest = _min_distance([c.tolist() for c in new])(F.col(vector))
-        kept = nearest if path is None else F.least("min_dist", nearest)
-        left = state.where(~F.col(id_col).isin(*taken)).select(id_col, vector, kept.alias("min_dist"))
-        before, path = path, scratch_path(vectors.sparkSession, "min-dist")
-        left.write.parquet(path)
-        state = vectors.sparkSession.read.schema(left.schema).parquet(path)
-        if before:
-            remove(vectors.sparkSession, before)
-        head = state.orderBy(F.desc("min_dist"), id_col).limit(pool + 1).collect()
-        if not head:
+        best, cluster = max((heads[c].best(), c) for c in range(len(sizes)))
+        stale = [c for c in range(len(sizes)) if limit[c] > best]
+        if stale:
+            if read:
+                read(int(sum(sizes[c] for c in stale)))
+            _refresh(spark, stored, id_col, vector, stale, units, taken, centres, radius, bound, held, heads, limit)
+            continue
+        if best == NOTHING:
             break
-        limit = (head[pool]["min_dist"], -head[pool][id_col]) if len(head) > pool else None
-        near = sorted(head[:pool], key=lambda row: row[id_col])
-        ids = [row[id_col] for row in near]
-        units = np.stack([_unit(row[vector]) for row in near])
-        distance = np.asarray([row["min_dist"] for row in near])
-        open_rows = np.ones(len(near), dtype=bool)
-        new, taken = [], []
-        while len(picks) < k and open_rows.any():
-            best = int(np.where(open_rows, distance, -1.0).argmax())
-            if limit is not None and (distance[best], -ids[best]) < limit:
-                break
-            picks.append((len(picks), ids[best], float(distance[best])))
-            new.append(units[best])
-            taken.append(ids[best])
-            open_rows[best] = False
-            update = np.round(np.clip(1 - units @ units[best], 0, 2), DIGITS)
-            distance = np.minimum(distance, update)
-    if path:
-        remove(vectors.sparkSession, path)
-    return vectors.sparkSession.createDataFrame(picks, f"pick_order bigint, {id_col} bigint, min_dist double")
+        unit = heads[cluster].take()
+        picks.append((len(picks), -best[1], float(best[0])))
+        units.append(unit)
+        taken.add(-best[1])
+        for head in heads:
+            head.nearer(unit)
+    return spark.createDataFrame(picks, f"pick_order bigint, {id_col} bigint, min_dist double")
 
 
-def _unit(values):
-    import numpy as np
+class Head:
+    """The farthest rows of a cluster by rising id, with their distances; a row taken has a negative one."""
+
+    def __init__(self, ids: list[int], unit: np.ndarray, dist: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable") if len(ids) else []
+        self.id, self.unit, self.dist = [ids[i] for i in order], unit[order] if len(ids) else unit, dist[order] if len(ids) else dist
+
+    def best(self) -> tuple:
+        """Greatest distance, and the negative id of the row; of equals that of the smallest id."""
+        at = int(self.dist.argmax()) if len(self.dist) else -1
+        return (float(self.dist[at]), -self.id[at]) if at >= 0 and self.dist[at] >= 0 else NOTHING
+
+    def take(self) -> np.ndarray:
+        at = int(self.dist.argmax())
+        self.dist[at] = -2.0
+        return self.unit[at]
+
+    def nearer(self, unit: np.ndarray) -> None:
+        if len(self.dist):
+            self.dist = np.minimum(self.dist, np.round(np.clip(1 - self.unit @ unit, 0, 2), DIGITS))
 
+
+def _clustered(rows: DataFrame, id_col: str, vector: str, cluster_rows: int) -> tuple[str, np.ndarray, np.ndarray, list[int]]:
+    """Rows written once by cluster: their path, unit centres, greatest angles to the centre, and sizes.
+
+    Centres lie far apart in a sample of about ``CENTRE_SAMPLE`` rows; there are at most ``CLUSTERS``. Vectors of zeros have
+    no angle: they go to a last cluster of their own, which nothing is ruled out for.
+    """
+    spark = rows.sparkSession
+    number = rows.count()
+    wanted = max(1, min(CLUSTERS, number // cluster_rows))
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    sample = rows.where(draw < int((1 << 30) * min(1.0, CENTRE_SAMPLE / max(1, number)))).select(vector).toPandas()[vector] if wanted > 1 else []
+    found = np.array([_unit(v) for v in sample if any(v)])
+    centres = found[:1]
+    if len(found):
+        away = 1 - found @ centres[0]
+        while len(centres) < wanted and away.max() > 1e-9:
+            centres = np.concatenate([centres, found[away.argmax()][None]])
+            away = np.minimum(away, 1 - found @ centres[-1])
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch[vector].to_numpy()).astype(float)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                near = (x / np.where(n == 0, 1, n)) @ centres.T if len(centres) else np.ones((len(x), 1)) * -1
+                at = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(x)), at], -1, 1))
+                yield batch.assign(_cluster=np.where(n[:, 0] == 0, max(1, len(centres)), at), _angle=angle)
+
+    path = scratch_path(spark, "clusters")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows.mapInPandas(assign, f"{fields}, _cluster int, _angle double").write.partitionBy("_cluster").parquet(path)
+    back = spark.read.schema(f"{fields}, _angle double, _cluster int").parquet(path)
+    facts = {r["_cluster"]: r for r in back.groupBy("_cluster").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("angle")).collect()}
+    several = len(centres) > 1
+    radius = np.array([facts[c].angle + ANGLE_SLACK if several and c in facts else np.pi for c in range(len(centres))] or [np.pi])
+    sizes = [facts[c].n if c in facts else 0 for c in range(len(radius) + 1)]
+    return path, centres, radius, sizes
+
+
+def _refresh(spark, path, id_col, vector, stale, units, taken, centres, radius, bound, held, heads, limit) -> None:
+    """Reads the stale clusters: their farthest rows, the first one not held, and so their bounds."""
+    picked = np.stack(units)
+    relevant = {}
+    for c in stale:
+        nearest = np.zeros(len(picked))
+        if c < len(centres):
+            angle = np.arccos(np.clip(picked @ centres[c], -1, 1)) - radius[c] - ANGLE_SLACK
+            nearest = 1 - np.cos(np.maximum(angle, 0))
+        relevant[c] = nearest <= bound[c] + 1e-9
+    digits, gone, rows_held = DIGITS, frozenset(taken), held + 1
+
+    def farthest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}
+        for batch in batches:
+            for c, part in batch[~batch[id_col].isin(gone)].groupby("_cluster"):
+                x = np.stack(part[vector].to_numpy()).astype(float)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                similarity = ((x / np.where(n == 0, 1, n)) @ picked[relevant[c]].T).max(axis=1)
+                part = part.assign(_dist=np.round(np.clip(1 - similarity, 0, 2), digits))
+                part = pd.concat([best[c], part]) if c in best else part
+                best[c] = part.sort_values(["_dist", id_col], ascending=[False, True]).head(rows_held)
+        yield from best.values()
+
+    back = spark.read.parquet(path).where(F.col("_cluster").isin(*stale)).select(id_col, vector, "_cluster")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in back.schema)
+    order = Window.partitionBy("_cluster").orderBy(F.desc("_dist"), id_col)
+    top = back.mapInPandas(farthest, f"{fields}, _dist double").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= rows_held)
+    found = top.toPandas()
+    for c in stale:
+        part = found[found["_cluster"] == c].sort_values("_nth")
+        head = part.iloc[:held]
+        unit = np.stack([_unit(v) for v in head[vector]]) if len(head) else np.zeros((0, 0))
+        heads[c] = Head([int(i) for i in head[id_col]], unit, head["_dist"].to_numpy(dtype=float).copy())
+        out = part.iloc[held:]
+        limit[c] = (float(out["_dist"].iloc[0]), -int(out[id_col].iloc[0])) if len(out) else NOTHING
+        bound[c] = float(part["_dist"].iloc[0]) if len(part) else 0.0
+
+
+def _unit(values):
     x = np.asarray(values, dtype=float)
     n = np.linalg.norm(x)
     return x / n if n > 0 else x
@@ -129,8 +221,6 @@ def core_set(
     digits = DIGITS
 
     def local_picks(part: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         part = part.sort_values(id_col, ignore_index=True)
         x = np.stack(part[vector].to_numpy()).astype(float)
         n = np.linalg.norm(x, axis=1, keepdims=True)

@@ -37,6 +37,20 @@ def test_exact_selection_equals_brute_force_for_any_pool(spark):
         assert distances == sorted(distances, reverse=True)
 
 
+def test_passes_read_only_clusters_that_may_hold_the_farthest(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 8))
+    vectors = np.array([centres[i % 12] + rng.normal(size=8) * 0.02 * (1 + i % 12) for i in range(960)], dtype=np.float32)
+    vectors[5], vectors[17] = 0, vectors[29]
+    df = frame(spark, vectors).repartition(3)
+    want = greedy(vectors, 60, 3)
+    passes = []
+    got = diverse.farthest_points(df, 60, "id", "v", 3, cluster_rows=80, read=passes.append).orderBy("pick_order").collect()
+    assert [r.id for r in got] == want
+    assert passes[0] == 960 and len(passes) > 1 and np.mean(passes[1:]) < 0.6 * 960
+    assert [r.id for r in diverse.farthest_points(df, 60, "id", "v", 3).orderBy("pick_order").collect()] == want
+
+
 def test_more_picks_than_rows(spark):
     df = frame(spark, np.eye(3))
     assert diverse.farthest_points(df, 10, "id", "v", 0).count() == 3
