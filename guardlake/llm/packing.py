@@ -5,19 +5,22 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_left, insort
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window
 
-from guardlake.llm.common import per_text
+from guardlake.llm.common import bounded_batches
 from guardlake.session import settled
 
 CAPACITY = 4_096
 END_ID = 1
-#: Chunks between white space whose ids a task remembers; beyond that it forgets those not in use.
+#: Bytes of texts whose ids a task puts together at a time.
+SLICE_CHARS = 4_000_000
+#: Words whose ids a task remembers; beyond that it forgets them all.
 MEMO = 600_000
 #: Rows of one ranking bucket, about.
 BUCKET_ROWS = 20_000
@@ -31,78 +34,124 @@ def pieces(
 
     ``ids`` are little-endian unsigned 32-bit integers, as binary.
 
-    Null and empty texts are the end id alone. The tokenizer maps stretches between ASCII white space
-    independently of each other (its rules neither cross nor keep white space), and a run of letters independently of
-    marks behind it and of ASCII case, so each distinct one is encoded once and remembered
-    (``remember`` of them at a time). A text over ``capacity`` becomes whole pieces and a shorter last one.
+    Null and empty texts are the end id alone. The tokenizer must map stretches between ASCII white space
+    independently of each other (its rules neither cross nor keep white space), and a word independently of marks behind it and
+    of ASCII case; one that does not raises an error. So each distinct stretch is looked at once and remembered
+    (``remember`` of them at a time), and the ids of a text are gathered from those of its words. A text over
+    ``capacity`` becomes whole pieces and a shorter last one.
     """
+    bounded_batches(docs.sparkSession)
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(tokenizer, end_id, remember)
+        for batch in batches:
+            for part in slices_of(batch):
+                data, lengths = words.ids_of(part.column(1).fill_null(""))
+                number = -(-lengths // capacity)
+                text = np.repeat(np.arange(len(lengths)), number)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+                length = np.minimum(capacity, lengths[text] - piece * capacity)
+                ends = np.concatenate([[0], np.cumsum(length) * 4]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends), data])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(text)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity),
+                        pa.array(length), ids,
+                    ],
+                    names=["id", "piece", "start", "length", "ids"],
+                )
+                del data, ids
+            pa.default_memory_pool().release_unused()
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids binary")
+
+
+def slices_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE_CHARS`` bytes of text each, or one longer row."""
+    held = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy())
+    begin = 0
+    while begin < batch.num_rows:
+        before = held[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(held, before + SLICE_CHARS, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+class Words:
+    """Token ids of texts from those of their words, each distinct word learnt once.
+
+    A text is cut at white space; a stretch is a word and the marks behind it. A slice of texts is handled by its distinct
+    stretches: Arrow strips and folds them, and gathers the ids, as bytes, by their numbers.
+    """
+
+    #: Marks that stand by themselves behind a letter or digit, and the letters meant.
+    MARKS, LETTERS = ".,!?;:*$%&#", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+    def __init__(self, tokenizer: str, end_id: int, remember: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        memo: dict[str, bytes] = {}
-        letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-        marked, word = re.compile(f"([{letters}]+)([.,!?;:*$%&#]+)"), re.compile(f"[{letters}]+")
-        vocabulary = model.get_vocab()
-        last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-        def encode(new: list[str]) -> None:
-            """Runs of letters go many at a time, as each ends with its one token that ends a word; the rest singly."""
-            runs, rest = [w for w in new if word.fullmatch(w)], [w for w in new if not word.fullmatch(w)]
-            for begin in range(0, len(runs), 8_192):
-                part = runs[begin : begin + 8_192]
-                lines = [" ".join(part[i : i + 64]) for i in range(0, len(part), 64)]
-                ids = np.array([i for c in model.encode_batch_fast(lines, add_special_tokens=False) for i in c.ids], dtype="<u4")
-                stops = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
-                data = ids.tobytes()
-                memo.update(zip(part, [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]))
-            for begin in range(0, len(rest), 8_192):
-                part = rest[begin : begin + 8_192]
-                for w, code in zip(part, model.encode_batch_fast(part, add_special_tokens=False)):
-                    memo[w] = np.array(code.ids, dtype="<u4").tobytes()
-
-        def learn(new: list[str]) -> None:
-            """Ids of stretches not met yet; of a word with marks after it, the word's and the marks' are put together."""
-            spelled, plain = [], set()
-            for w in new:
-                m = marked.fullmatch(w)
-                run, marks = m.groups() if m else (w, "")
-                if run.isascii() and run.isalpha():
-                    run = run.lower()
-                spelled.append((w, run, marks))
-                plain.add(run)
-                plain.add(marks)
-            encode(list(plain.difference(memo)))
-            memo.update([(w, memo[run] + memo[marks]) for w, run, marks in spelled])
-
-        def work(ids, texts):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-            here = set().union(*split)
-            new = here.difference(memo)
-            if len(memo) + len(new) > remember and memo:
-                kept = {w: memo[w] for w in here.intersection(memo)}
-                memo.clear()
-                memo.update(kept)
-            learn(list(new))
-            end = np.array([end_id], dtype="<u4").tobytes()
-            step, rows = 4 * capacity, []
-            for k, words in enumerate(split):
-                data = b"".join(map(memo.__getitem__, words)) + end
-                rows += zip(repeat(k), range(len(data)), (data[a : a + step] for a in range(0, len(data), step)))
-            at = pa.array([k for k, _, _ in rows], pa.int32())
-            number = np.array([p for _, p, _ in rows], dtype=np.int32)
-            return {
-                "id": ids.take(at), "piece": pa.array(number), "start": pa.array(number.astype(np.int64) * capacity),
-                "length": pa.array([len(d) // 4 for _, _, d in rows], pa.int64()),
-                "ids": pa.array([d for _, _, d in rows], pa.binary()),
-            }
-
-        return work
-
-    return per_text(docs, id_col, text_col, "id ID_TYPE, piece int, start long, length long, ids binary", make)
+        self.model, self.remember = Tokenizer.from_file(tokenizer), remember
+        self.end, self.word = np.array([end_id], dtype="<u4").tobytes(), re.compile(f"[{self.LETTERS}]+")
+        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        own = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        for text, parts in (("ab cd\n ef", ("ab", "cd", "ef")), ("Grand!,", ("grand", "!,")), ("x9;", ("x9", ";"))):
+            if own(text) != [i for p in parts for i in own(p)] or not self.last[own(parts[0])[-1]]:
+                raise ValueError(f"{tokenizer} does not treat words, marks and white space apart")
+
+    def ids_of_units(self, units: list[str]) -> pa.Array:
+        """Ids of words or marks. Words of letters are learnt many at a time, as each ends with its one token that ends a
+        word; the rest singly."""
+        known = self.known
+        new = [w for w in units if w not in known]
+        if len(known) + len(new) > self.remember:
+            known.clear()
+            new = units
+        plain = [w for w in new if self.word.fullmatch(w)]
+        rest = [w for w in new if not self.word.fullmatch(w)]
+        for begin in range(0, len(plain), 65_536):
+            part = plain[begin : begin + 65_536]
+            lines = [" ".join(part[i : i + 64]) for i in range(0, len(part), 64)]
+            ids = np.array([i for c in self.model.encode_batch_fast(lines, add_special_tokens=False) for i in c.ids], dtype="<u4")
+            stops = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            known.update(zip(part, [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]))
+        for w, code in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = np.array(code.ids, dtype="<u4").tobytes()
+        return pa.array(list(map(known.__getitem__, units)), pa.binary())
+
+    def ids_of_stretches(self, stretches: pa.Array) -> pa.Array:
+        words = pc.utf8_rtrim(stretches, characters=self.MARKS)
+        behind = pc.binary_length(stretches).to_numpy() - pc.binary_length(words).to_numpy()
+        apart, marked = np.zeros(len(stretches), bool), np.flatnonzero(behind)
+        before = pc.utf8_slice_codeunits(words.take(pa.array(marked)), -1, 2**31 - 1)
+        apart[marked] = pc.match_substring_regex(before, f"[0-9{self.LETTERS}]").to_numpy(zero_copy_only=False)
+        words = pc.if_else(pa.array(apart), words, stretches)
+        words = pc.if_else(pc.ascii_is_alnum(words), pc.ascii_lower(words), words).dictionary_encode()
+        marks, number = np.zeros(len(stretches), np.int32), {"": 0}
+        for n in np.unique(behind[apart]).tolist():
+            at = np.flatnonzero(apart & (behind == n))
+            found = pc.utf8_slice_codeunits(stretches.take(pa.array(at)), -n, 2**31 - 1).dictionary_encode()
+            own = np.array([number.setdefault(m, len(number)) for m in found.dictionary.to_pylist()], np.int32)
+            marks[at] = own[found.indices.to_numpy()]
+        words = self.ids_of_units(words.dictionary.to_pylist()).take(words.indices)
+        return pc.binary_join_element_wise(words, self.ids_of_units(list(number)).take(pa.array(marks)), b"")
+
+    def ids_of(self, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+        """The ids of all texts one after the other, an end id behind each, and their numbers."""
+        split = pc.ascii_split_whitespace(texts)
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        named = split.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self.ids_of_stretches(named.dictionary), pa.array([self.end], pa.binary())])
+        told = ids.take(pa.array(np.insert(named.indices.to_numpy(), ends, len(ids) - 1)))
+        _, offsets, data = told.buffers()
+        stops = np.frombuffer(offsets, np.int32)[: len(told) + 1][ends + np.arange(1, len(ends) + 1)].astype(np.int64)
+        return data, np.diff(stops, prepend=0) // 4
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, ...]], int]:

@@ -70,6 +70,20 @@ def test_remembered_stretches_give_the_tokenizers_ids(spark, text):
     assert np.frombuffer(row.ids, dtype="<u4").tolist() == ids_of(text)
 
 
+def test_forgetting_words_changes_nothing(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeÉ9.,") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    for remember in (20, 600_000):
+        rows = packing.pieces(docs, tokenizer_path(WORDS), remember=remember).collect()
+        assert {r.id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in rows} == {**{i: ids_of(t) for i, t in enumerate(texts)}, 99: [1]}
+
+
+def test_tokenizers_that_keep_white_space_are_refused():
+    with pytest.raises(ValueError):
+        packing.Words(tokenizer_path("byte_bpe_50k.json"), 1, 100)
+
+
 def test_plan_is_gapless_and_tight():
     rng = random.Random(6)
     for capacity in (10, 97, 4096):
