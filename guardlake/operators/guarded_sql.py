@@ -45,6 +45,10 @@ FUNCTIONS = frozenset(
 )
 
 
+# Names that mean facts of the session where no table has such a column.
+SESSION_FACTS = frozenset("current_user session_user user current_catalog current_database current_schema".split())
+
+
 @dataclass(frozen=True)
 class SqlAnswer:
     """Either rows or an error text, never both."""
@@ -82,6 +86,10 @@ def _not_allowed(spark: SparkSession, query: str, allowed: Sequence[str], functi
         kind = node.getClass().getSimpleName().rstrip("$")
         if is_plan and kind not in PLAN_NODES:
             return f"The query uses a form that is not allowed: {kind}"
+        if kind == "UnresolvedAttribute":
+            name = ".".join(_elements(node.nameParts())).lower()
+            if name in SESSION_FACTS and not any(name in map(str.lower, spark.table(t).columns) for t in allowed):
+                return f"'{name}' is not allowed"
         if not is_plan and kind.startswith("Unresolved") and kind not in UNRESOLVED or "WithUnresolvedIdentifier" in kind:
             return f"The query uses a form that is not allowed: {kind}"
         if kind == "UnresolvedRelation":

@@ -369,6 +369,16 @@ SELECT line_id FROM (SELECT line_id, row_number() OVER (ORDER BY line_id) - 1 AS
     + _farthest("pc", "ce", "SELECT min(vec_id) FROM ce", 80)
     + ", cs AS (SELECT * FROM embeddings WHERE vec_id = 0 OR vec_id IN (SELECT vec_id FROM pc)), " + _farthest("p", "cs", "0", 40)
     + " SELECT pick_order, vec_id, round(min_dist, 6) AS min_dist FROM p",
+    "coreset_quality": "WITH RECURSIVE ce AS (SELECT * FROM embeddings WHERE vec_id <> 0), "
+    + _farthest("pc", "ce", "SELECT min(vec_id) FROM ce", 80)
+    + ", cs AS (SELECT * FROM embeddings WHERE vec_id = 0 OR vec_id IN (SELECT vec_id FROM pc)), " + _farthest("p", "cs", "0", 40) + ", "
+    + _farthest("x", "embeddings", "0", 40) + """,
+v AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda c: c / sqrt(list_sum(list_transform(e, lambda d: d * d)))) AS e FROM v),
+near AS (SELECT a.vec_id, min(1 - list_dot_product(a.e, b.e)) FILTER (b.vec_id IN (SELECT vec_id FROM x)) AS one,
+  min(1 - list_dot_product(a.e, b.e)) FILTER (b.vec_id IN (SELECT vec_id FROM p)) AS two
+  FROM u a, u b WHERE b.vec_id IN (SELECT vec_id FROM x UNION SELECT vec_id FROM p) GROUP BY a.vec_id)
+SELECT (SELECT count(*) FROM x) AS n_picks, round(max(one), 6) AS exact_radius, round(max(two), 6) AS coreset_radius, true AS within_bound FROM near""",
     "text_vectors": "WITH r AS (SELECT doc_id AS id, text FROM documents), " + _vectors("r", 64) + """
 SELECT id AS doc_id, b AS i, round(x, 6) AS x FROM e WHERE x <> 0""",
     "confusion": f"""

@@ -301,6 +301,20 @@ def diverse_coreset(spark, sf_dir):
     return made.withColumn("min_dist", F.round("min_dist", 6))
 
 
+def coreset_quality(spark, sf_dir):
+    """What both selections achieve: the largest distance of any row to its nearest pick, and whether the core-set keeps its bound."""
+    vectors = table(spark, sf_dir, "embeddings")
+    exact = settled(diverse.farthest_points(vectors, 40, "vec_id", "embedding", 0), "exact-picks")
+    near = settled(diverse.farthest_points_coreset(vectors, 40, "vec_id", "embedding", 0, per_part=80), "coreset-picks")
+    reached = [diverse.radius(vectors, picks, "vec_id", "embedding").first()[0] for picks in (exact, near)]
+    # Chords of unit vectors are a metric; there a core-set of greedy picks reaches four times the optimum at most.
+    within = (2 * reached[1]) ** 0.5 <= 4 * (2 * reached[0]) ** 0.5
+    return exact.agg(
+        F.count(F.lit(1)).alias("n_picks"), F.round(F.lit(reached[0]), 6).alias("exact_radius"),
+        F.round(F.lit(reached[1]), 6).alias("coreset_radius"), F.lit(within).alias("within_bound"),
+    )
+
+
 def text_vectors(spark, sf_dir):
     made = scoring.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", dims=64)
     entries = made.select("doc_id", F.posexplode("vector").alias("i", "x")).where("x <> 0")
@@ -915,7 +929,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         redact_email, extract_entities, extract_names, extract_full_names, resolved_spans, redacted_spans, refusal_hits, label_verdict, fallback, token_cap,
         truncate_input, prompt_messages,
         corpus_attack, corpus_benign, keep_first_row, corpus_split, corpus_hash_split, corpus_shuffle,
-        corpus_build, systematic_sample, systematic_sample_all, ordinal_column, diverse_exact, diverse_coreset,
+        corpus_build, systematic_sample, systematic_sample_all, ordinal_column, diverse_exact, diverse_coreset, coreset_quality,
         text_vectors,
         confusion, prf1, model_detector, accuracy_prior, metrics_text, metrics_append, policy_hits,
         exemplar_similarity, utterance_similarity, vector_similarity, score_argmax, softmax, verdict_json,

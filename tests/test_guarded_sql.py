@@ -147,3 +147,9 @@ def test_inventory_of_nested_and_empty_tables(spark):
         assert got == {"id": (0, 0), "l": (1, 1), "m": (1, 2)}
         empty = gs.column_inventory(df.limit(0), exact_distinct=exact).collect()
         assert [(r.name, r.n_null, r.n_distinct) for r in empty] == [("id", 0, 0), ("l", 0, 0), ("m", 0, 0)]
+
+
+def test_facts_of_the_session_are_refused(spark, users):
+    for word in ("current_user", "user", "session_user", "CURRENT_USER", "current_user()", "current_catalog()", "current_database()"):
+        answer = run(spark, f"SELECT {word} FROM users")
+        assert answer.rows is None and "not allowed" in answer.error, word
