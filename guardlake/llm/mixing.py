@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ SHARD_SLOTS = 1_024
 BUCKET_ROWS = 10_000
 #: How often a source may be repeated, what all targets share of all sizes, and the weights by rank of source.
 MOST, SHARE, WEIGHTS = 2.0, 1.5, (5.0, 2.0, 1.0)
+#: Populations from which numpy draws exactly; digits of logarithms beyond, and their constant.
+GENERATOR_RANGE, DIGITS, PI = 10**9, 45, Decimal("3.14159265358979323846264338327950288419716939937510582097")
 BLANKS, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 
 
@@ -67,44 +71,84 @@ def sources(sized: DataFrame, block_words: int = BLOCK_WORDS) -> list[Source]:
     return found
 
 
-def shard_counts(slots: list[int], shards: int, shard: int, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+class ShardCounts:
     """How many slots of each source a shard draws, and how many the shards before it drew.
 
     The counts of all shards together are multinomial draws given that every source comes to its number of slots:
     halving the range of shards, the left half's counts are one hypergeometric draw seeded by the range. A shard
-    follows its own path down, so shards need nothing of each other and reruns agree.
+    follows its own path down, so shards need nothing of each other and reruns agree; shards asked one after the other
+    share what their paths have in common, and a range draws only the sources it still holds.
     """
-    counts, before = np.array(slots, dtype=np.int64), np.zeros(len(slots), dtype=np.int64)
-    low, high = 0, shards
-    while high - low > 1:
-        mid = (low + high) // 2
-        number = min((mid - low) * per_shard, int(counts.sum()))
-        left = hypergeometric(counts, number, np.random.default_rng([seed, low, high]))
-        if shard < mid:
-            counts, high = left, mid
-        else:
-            counts, before, low = counts - left, before + left, mid
-    return counts, before
+
+    def __init__(self, slots: list[int], shards: int, per_shard: int, seed: int) -> None:
+        counts = np.array(slots, dtype=np.int64)
+        self.per_shard, self.seed = per_shard, seed
+        self.path = [(0, shards, counts, np.zeros_like(counts))]
+
+    def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        while not self.path[-1][0] <= shard < self.path[-1][1]:
+            self.path.pop()
+        low, high, counts, before = self.path[-1]
+        while high - low > 1:
+            mid = (low + high) // 2
+            number = min((mid - low) * self.per_shard, int(counts.sum()))
+            left = hypergeometric(counts, number, np.random.default_rng([self.seed, low, high]))
+            if shard < mid:
+                counts, high = left, mid
+            else:
+                counts, before, low = counts - left, before + left, mid
+            self.path.append((low, high, counts, before))
+        return counts, before
 
 
 def hypergeometric(counts: np.ndarray, number: int, rng: np.random.Generator) -> np.ndarray:
-    """``number`` drawn without replacement; beyond the generator's range of 10^9 by the normal limit, sums kept exact."""
+    """``number`` drawn without replacement, source after source; exact at any size."""
     drawn, rest = np.zeros_like(counts), int(counts.sum())
-    for i, n in enumerate(counts.tolist()):
-        if number and rest < 10**9:
-            got = int(rng.hypergeometric(n, rest - n, number)) if n else 0
-        elif number:
-            part = n / rest
-            spread = (number * part * (1 - part) * (rest - number) / max(1, rest - 1)) ** 0.5
-            got = round(rng.normal(number * part, spread))
-            got = min(max(got, number - (rest - n), 0), n, number)
-        else:
-            got = 0
+    for i in np.flatnonzero(counts).tolist():
+        n = int(counts[i])
+        if not number:
+            break
+        got = int(rng.hypergeometric(n, rest - n, number)) if rest < GENERATOR_RANGE else large_hypergeometric(n, rest - n, number, rng)
         drawn[i] = got
         number, rest = number - got, rest - n
     return drawn
 
 
+def large_hypergeometric(good: int, bad: int, number: int, rng: np.random.Generator) -> int:
+    """One draw beyond the generator's range: rejection under a bound that holds for every log-concave law (Devroye 1987).
+
+    Probabilities are compared through logarithms of factorials of ``DIGITS`` digits, so that nothing is rounded away.
+    """
+    least, most = max(0, number - bad), min(good, number)
+    if least == most:
+        return least
+    total = good + bad
+    mode = min(most, max(least, (number + 1) * (good + 1) // (total + 2)))
+    with localcontext() as context:
+        context.prec = DIGITS
+        parts = lambda k: sum(log_factorial(x) for x in (k, good - k, number - k, bad - number + k))
+        at_mode = parts(mode)
+        top = sum(log_factorial(x) for x in (good, bad, number, total - number)) - log_factorial(total) - at_mode
+        peak = float(top.exp())
+        width = 1 + peak / 2
+        while True:
+            u, v, w, sign = rng.random(), rng.random(), rng.random(), 1 if rng.random() < 0.5 else -1
+            y = v * width / peak if u <= width / (1 + width) else (width + rng.exponential()) / peak
+            k = mode + sign * int(round(y))
+            bound = w * min(1.0, math.exp(width - peak * y))
+            if least <= k <= most and (bound == 0 or Decimal(bound).ln() <= at_mode - parts(k)):
+                return k
+
+
+def log_factorial(n: int) -> Decimal:
+    """Of the number of digits in force: a sum for small numbers, Stirling's series beyond."""
+    if n < 200:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n + 1)
+    series = sum(Decimal(a) / (Decimal(b) * x**p) for a, b, p in ((1, 12, 1), (-1, 360, 3), (1, 1260, 5), (-1, 1680, 7), (1, 1188, 9)))
+    return (x - Decimal("0.5")) * x.ln() - x + (2 * PI).ln() / 2 + series
+
+
 def permuted(index: np.ndarray, n: int, seed: tuple[int, ...]) -> np.ndarray:
     """A pseudorandom permutation of ``range(n)`` at ``index``: a Feistel network, walked until it falls below ``n``."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
@@ -131,9 +175,10 @@ def slots(spark, catalogue: list[Source], seed: int = 0, per_shard: int = SHARD_
     shards = -(-sum(number) // per_shard)
 
     def run(batches):
+        drawn = ShardCounts(number, shards, per_shard, seed)
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                counts, before = shard_counts(number, shards, shard, per_shard, seed)
+                counts, before = drawn.of(shard)
                 which, epoch, block = [], [], []
                 for s in np.flatnonzero(counts).tolist():
                     j = np.arange(before[s], before[s] + counts[s])
@@ -157,7 +202,7 @@ def slots(spark, catalogue: list[Source], seed: int = 0, per_shard: int = SHARD_
 
 
 def streams(sized: DataFrame, catalogue: list[Source], seed: int = 0) -> DataFrame:
-    """``sized`` rows of one word or more with ``source_no``, ``begin`` and ``end`` in their source's stream of words.
+    """``sized`` rows of one word or more with ``source_no``, ``length`` of its blocks, ``begin`` and ``end`` in its stream of words.
 
     A stream is ordered by a hash of the id. Positions are summed inside hashed buckets and shifted by the
     sums of the buckets before, so no source is ordered in one task.
@@ -165,8 +210,9 @@ def streams(sized: DataFrame, catalogue: list[Source], seed: int = 0) -> DataFra
     spark = sized.sparkSession
     rows = sized.where("size > 0")
     named = spark.createDataFrame(
-        pd.DataFrame({"name": [s.name for s in catalogue], "source_no": range(len(catalogue))}).astype({"name": object}),
-        "name string, source_no int",
+        pd.DataFrame({"name": [s.name for s in catalogue], "source_no": range(len(catalogue)), "length": [s.block for s in catalogue]})
+        .astype({"name": object}),
+        "name string, source_no int, length long",
     )
     rows = rows.join(named, rows["source"].eqNullSafe(named["name"])).drop("name")
     buckets = max(1, rows.count() // BUCKET_ROWS)
@@ -182,12 +228,9 @@ def streams(sized: DataFrame, catalogue: list[Source], seed: int = 0) -> DataFra
     return placed.withColumn("begin", F.col("end") - F.col("size")).drop("draw", "bucket", "shift")
 
 
-def block_parts(placed: DataFrame, catalogue: list[Source]) -> DataFrame:
+def block_parts(placed: DataFrame) -> DataFrame:
     """``placed`` per block it reaches into: ``block``, ``from_word`` of the document and ``n_words``."""
-    length = F.element_at(F.array(*[F.lit(s.block).cast("long") for s in catalogue] or [F.lit(1).cast("long")]), F.col("source_no") + 1)
-    sliced = placed.withColumn("length", length).withColumn(
-        "block", F.explode(F.sequence(F.expr("begin div length"), F.expr("(end - 1) div length")))
-    )
+    sliced = placed.withColumn("block", F.explode(F.sequence(F.expr("begin div length"), F.expr("(end - 1) div length"))))
     first = F.greatest("begin", F.col("block") * F.col("length"))
     last = F.least("end", (F.col("block") + 1) * F.col("length"))
     return sliced.withColumn("from_word", first - F.col("begin")).withColumn("n_words", last - first).drop("length")
@@ -212,7 +255,7 @@ def mix(
     catalogue = sources(rows, block_words)
     placed = streams(rows, catalogue, seed)
     times = slots(rows.sparkSession, catalogue, seed).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    parts = block_parts(placed, catalogue).join(settled(times, "times"), ["source_no", "block"], "left")
+    parts = block_parts(placed).join(settled(times, "times"), ["source_no", "block"], "left")
     taken = F.sum(F.col("n_words") * F.coalesce("times", F.lit(0)))
     drawn = parts.groupBy("source_no", "begin", "id", "source", "size").agg(taken.alias("taken"))
     none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -231,7 +274,7 @@ def mixed_blocks(
     rows = settled(sized(docs, id_col, text_col, source_col), "sizes")
     catalogue = sources(rows, block_words)
     drawn = settled(slots(rows.sparkSession, catalogue, seed), "slots")
-    return block_parts(streams(rows, catalogue, seed), catalogue).join(drawn, ["source_no", "block"])
+    return block_parts(streams(rows, catalogue, seed)).join(drawn, ["source_no", "block"])
 
 
 def mixed_documents(

@@ -88,7 +88,9 @@ def test_blocks_cover_what_is_taken_and_documents_keep_their_words(awkward):
 def test_shards_draw_every_slot_once():
     slots, per_shard = [1000, 37, 0, 5000], 256
     shards = -(-sum(slots) // per_shard)
-    drawn = [mixing.shard_counts(slots, shards, s, per_shard, 3) for s in range(shards)]
+    drawn = [mixing.ShardCounts(slots, shards, per_shard, 3).of(s) for s in range(shards)]
+    path = mixing.ShardCounts(slots, shards, per_shard, 3)
+    assert all((a == b).all() for s in range(shards) for a, b in zip(path.of(s), drawn[s]))
     assert np.array_equal(sum(c for c, _ in drawn), slots)
     assert all(np.array_equal(b + c, n) for (c, b), (_, n) in zip(drawn, drawn[1:]))
     assert all(c.sum() == per_shard for c, _ in drawn[:-1])
@@ -101,3 +103,36 @@ def test_permutations():
     for n in (1, 2, 3, 64, 1000, 4097):
         assert sorted(mixing.permuted(np.arange(n), n, (1, n)).tolist()) == list(range(n))
     assert mixing.permuted(np.arange(1000), 1000, (1, 2)).tolist() != mixing.permuted(np.arange(1000), 1000, (1, 3)).tolist()
+
+
+def test_large_draws_follow_the_exact_law():
+    """Small numbers against the probabilities themselves, large ones against mean, variance and the normal limit."""
+    import math
+
+    rng = np.random.default_rng(5)
+    good, bad, number = 30, 50, 20
+    seen = Counter(mixing.large_hypergeometric(good, bad, number, rng) for _ in range(4000))
+    chi = 0.0
+    for k in range(21):
+        want = 4000 * math.comb(good, k) * math.comb(bad, number - k) / math.comb(good + bad, number)
+        if want >= 5:
+            chi += (seen[k] - want) ** 2 / want
+    assert chi < 40
+    good, bad, number = 3 * 10**12, 10**12, 10**11
+    p = good / (good + bad)
+    spread = math.sqrt(number * p * (1 - p) * (good + bad - number) / (good + bad - 1))
+    z = np.array([(mixing.large_hypergeometric(good, bad, number, rng) - number * p) / spread for _ in range(300)])
+    assert abs(z.mean()) < 0.25 and 0.8 < z.std() < 1.2 and abs((np.abs(z) < 1).mean() - 0.683) < 0.1
+    for few in (0, 1, 3):
+        assert 0 <= mixing.large_hypergeometric(few, 10**10, 10**9, rng) <= few
+    assert mixing.large_hypergeometric(10**10, 5, 10**10, rng) >= 10**10 - 5
+
+
+def test_many_sources_cost_what_their_shards_hold(spark):
+    import time
+
+    rows = [(i, f"word{i} " * 3, f"s{i:05d}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.time()
+    got = mixing.mix(docs).collect()
+    assert len(got) == 4000 and abs(sum(r.taken for r in got) - 18_000) < 1_000 and time.time() - began < 60
