@@ -124,6 +124,25 @@ def rising(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple
     return table[:, 0] / table[:, 2], table[:, 1] / table[:, 2]
 
 
+def fitted_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``(label_id, y)`` of the rows that are fitted: labelled, not held out, at most about ``fit_rows`` by a hash of the id.
+
+    Of several labels of an id their mean counts, null labels do not.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    total = known.count()
+    if total > fit_rows:
+        known = known.where(F.pmod(F.xxhash64(F.lit(SEED), "label_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
+    return known
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``fit`` looks at. Their ids are broadcast, a number bounded by ``fit_rows``: texts stay where they are."""
+    known = settled(fitted_labels(labels, id_col, label_col, fit_rows).select("label_id"), "fitted_ids")
+    return docs.join(F.broadcast(known), docs[id_col] == known["label_id"], "left_semi")
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """The model from ``stats`` (settled) and the labels of rows that are not held out.
 
@@ -133,12 +152,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     the calibration is fitted to out-of-fold scores, pooled to ``BINS`` bins. Without any label all scores are 0.5.
     """
     spark = stats.sparkSession
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    known = fitted_labels(labels, id_col, label_col, fit_rows)
     rows = stats.join(known, stats["id"] == known["label_id"])
-    total = known.count()
-    if total > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
     fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(FOLDS)).cast("int")
     rows = settled(rows.select("stats", "y", fold.alias("fold")).repartition(FIT_TASKS), "fit_rows")
     n_stats = len(STATISTICS)

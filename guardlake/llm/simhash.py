@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from guardlake.llm.common import components, per_text, unused
 from guardlake.session import settled
@@ -210,8 +210,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each group with the smallest id, columns as they were (of repeats of that row, all stay)."""
-    own = unused(docs, "own_id")
-    groups = near_groups(docs, id_col, text_col)
-    stay = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(own)).distinct()
-    return docs.join(settled(stay, "stay").hint("merge"), docs[id_col].eqNullSafe(F.col(own)), "left_semi")
+    """One row of each group, columns as they were: that of the smallest id (null last), then of the smallest text digest.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, fold as well; of rows equal in both one stays.
+    """
+    own, digest, first = (unused(docs, n) for n in ("own_key", "text_digest", "row_of_key"))
+    keyed = docs.withColumn(digest, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    by_order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(digest).alias("digest"))
+    spelled = lambda id_, digest_: F.concat_ws("|", F.col(id_).cast("string"), F.col(digest_)).alias(own)
+    groups = near_groups(keyed.select(by_order.alias(own), F.col(text_col).alias("text")), own, "text")
+    stay = settled(groups.select(spelled("component.id", "component.digest")).distinct(), "stay")
+    # One shuffle serves the join and the fold of repeated rows: both go by the spelled key.
+    kept = keyed.select(*docs.columns, spelled(id_col, digest)).join(stay.hint("merge"), own, "left_semi")
+    repeats = Window.partitionBy(own).orderBy(F.lit(0))
+    return kept.withColumn(first, F.row_number().over(repeats)).where(F.col(first) == 1).select(*docs.columns)

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from guardlake.llm import mixing, packing, quality
 from guardlake.llm.common import table
@@ -54,3 +56,24 @@ def test_every_stage_against_its_plain_version(spark, data):
     for r in packed:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= packing.CAPACITY and len(fill) <= 1.05 * sum(fill.values()) / packing.CAPACITY + 1
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing, data):
+    """Nulls, ties, repeats, rows that share an id or have none, clashing columns; and no rows at all."""
+    stages = dict(corpus_pipeline.STAGES)
+    twins = spark.createDataFrame([(3, "alpha beta gamma delta epsilon"), (3, "zeta eta theta iota kappa"), (None, "zeta eta theta iota kappa")],
+                                  "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
+    twins = twins.withColumn("n_chars", F.length("text").cast("long"))
+    docs = awkward.unionByName(twins, allowMissingColumns=True)
+    for rows in (docs, nothing):
+        number, kept = rows.count(), rows
+        for name in ("quality classifier", "exact dedup", "SimHash near-dedup", "source mixing"):
+            kept = settled(stages[name](spark, kept, data), "awkward_stage")
+            assert kept.columns == rows.columns
+            assert kept.count() <= (number if name != "source mixing" else 3 * number)
+        packed = settled(stages["best-fit packing"](spark, kept, data), "awkward_packed").collect()
+        assert sum(r.length for r in packed) == sum(len(ids_of(r.text)) for r in kept.collect())
+    single = settled(stages["SimHash near-dedup"](spark, docs, data), "awkward_single").collect()
+    texts = Counter(r.text for r in single)
+    assert max(texts.values()) == 1 and texts["alpha beta gamma delta epsilon"] == 1 and texts["zeta eta theta iota kappa"] == 1
+    assert sum(not (r.text or "").split() for r in single) == 1
