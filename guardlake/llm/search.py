@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
@@ -13,6 +11,8 @@ from guardlake.session import settled
 #: Vectors of a shard and of a tree's leaf, queries of a block, about.
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8_192, 256, 4_096
 SCALE = 1_024
+#: Columns of a stored tree.
+TREE = ("row_order", "centre", "radius", "low_high", "child")
 #: Largest integer up to which sums of products are exact in doubles.
 EXACT = 2**53
 
@@ -55,6 +55,21 @@ class BallTree:
         self.centre = np.array(self.centre).reshape(-1, x.shape[1])
         self.radius = np.array(self.radius)
 
+    def stored(self) -> dict[str, bytes]:
+        """The tree as bytes; a leaf's children are -1."""
+        child = np.array([c or [-1, -1] for c in self.child], dtype=np.int64)
+        parts = (self.order.astype(np.int64), self.centre, self.radius, np.array(self.range, dtype=np.int64), child)
+        return dict(zip(TREE, (p.tobytes() for p in parts)))
+
+    @classmethod
+    def read(cls, parts: dict[str, bytes], width: int) -> BallTree:
+        tree = cls.__new__(cls)
+        tree.order, tree.radius = np.frombuffer(parts["row_order"], np.int64), np.frombuffer(parts["radius"])
+        tree.centre = np.frombuffer(parts["centre"]).reshape(-1, width) if width else np.zeros((len(tree.radius), 0))
+        tree.range = np.frombuffer(parts["low_high"], np.int64).reshape(-1, 2).tolist()
+        tree.child = [c if c[0] >= 0 else [] for c in np.frombuffer(parts["child"], np.int64).reshape(-1, 2).tolist()]
+        return tree
+
 
 class Best:
     """The k best rows so far of each query: scores falling, equal scores by rising id."""
@@ -120,63 +135,70 @@ def top_k(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k largest integer inner products over all candidates.
 
-    Both inputs are ``(id, v)`` with long vectors of one width; a candidate with the query's own id is left out, ties
-    go to the smaller id. Candidates are dealt to shards of about ``shard_rows``, each a ball tree in one task. Queries
-    come in blocks of a fixed size. A first sweep follows each query to the best leaf of every shard; the k-th best of
-    all shards together is then the score that every shard starts from in the second, full sweep. Repeated
-    queries give one answer, repeated candidates one row each. Without candidates or queries there are no rows. Only vectors
-    of one width are compared; a product sum of 2^53 or more, which doubles cannot hold exactly, raises an error.
+    Both inputs are ``(id, v)`` with long vectors; a candidate with the query's own id is left out, ties go to the smaller
+    id. Candidates are dealt to shards of about ``shard_rows``; the ball tree of each is built once and written. Queries are
+    dealt to blocks of a fixed size, and every block meets every shard in a task of its own: first each query only follows
+    a tree to its best leaf, and the k-th best of all shards together, kept in files, is the score that every shard
+    starts from in the full sweep. Repeated queries give one answer, of several vectors under one id that of
+    the least; repeated candidates one row each. Without candidates or queries there are no rows. Only vectors of one width
+    are compared; a product sum of 2^53 or more, which doubles cannot hold exactly, raises an error.
     """
-    spark = candidates.sparkSession
-    number = candidates.count()
-    shards = max(1, -(-number // shard_rows))
+    shards = max(1, -(-candidates.count() // shard_rows))
     shard = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
-    dealt = settled(candidates.select("id", "v", shard.alias("shard"), F.size("v").alias("width")), "shards")
-    asked = settled(queries.dropDuplicates(["id"]), "queries")
+    trees = settled(build_trees(candidates.select("id", "v", shard.alias("shard"), F.size("v").alias("width"))), "trees")
+    asked = settled(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-asked.count() // block_queries))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    out = None
-    for block in range(blocks):
-        rows = asked.where(F.col("block") == block).orderBy("id").toPandas()
-        if not len(rows) or not number:
-            continue
-        own = rows["id"].to_numpy(dtype=np.int64)
-        width = rows["v"].map(len).to_numpy()
-        same = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
-        shared = spark.sparkContext.broadcast((own, {
-            w: (at, np.array([rows["v"][i] for i in at], dtype=np.float64).reshape(len(at), w)) for w, at in same.items()
-        }))
-        start = spark.sparkContext.broadcast(np.full(len(own), -np.inf))
-        first = best_of(sweep(dealt, shared, start, k, greedy=True), k)
-        seeds = {r.query_id: r.score for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}
-        start = spark.sparkContext.broadcast(np.array([float(seeds.get(i, -np.inf)) for i in own.tolist()]))
-        part = settled(best_of(sweep(dealt, shared, start, k, greedy=False), k), "answers")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
-
-
-def sweep(dealt: DataFrame, shared, start, k: int, greedy: bool) -> DataFrame:
-    """Every shard's best rows for a block of queries."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        every, by_width = shared.value
-        at, q = by_width.get(key[1].as_py(), (np.zeros(0, dtype=np.int64), np.zeros((0, key[1].as_py()))))
-        own = every[at]
-        ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat.reshape(len(ids), q.shape[1]).astype(np.float64)
-        if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) >= EXACT:
+    asked = asked.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "width": F.size("v")})
+    first = best_of(sweep(trees, asked.withColumn("kth", F.lit(float("-inf"))), shards, blocks, k, greedy=True), k)
+    seeds = settled(first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth")), "seeds")
+    started = asked.join(seeds, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+    return best_of(sweep(trees, started, shards, blocks, k, greedy=False), k)
+
+
+def build_trees(dealt: DataFrame) -> DataFrame:
+    """One row per shard and width: ids, vectors and ball tree."""
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        width = key[1].as_py()
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        tree = BallTree(x.astype(np.float64), LEAF_ROWS).stored()
+        return pa.table({
+            "shard": pa.array([key[0].as_py()], pa.int32()), "width": pa.array([width], pa.int32()),
+            "ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+            "x": pa.array([x.astype(np.int64).tobytes()], pa.binary()), **{n: pa.array([b], pa.binary()) for n, b in tree.items()},
+        })
+
+    schema = "shard int, width int, ids binary, x binary, " + ", ".join(f"{n} binary" for n in TREE)
+    return dealt.groupBy("shard", "width").applyInArrow(build, schema)
+
+
+def sweep(trees: DataFrame, asked: DataFrame, shards: int, blocks: int, k: int, greedy: bool) -> DataFrame:
+    """Every shard's best rows for every block of queries ``(id, v, width, block, kth)``."""
+
+    def run(key: tuple, rows: pa.Table, tree: pa.Table) -> pa.Table:
+        width = key[1].as_py()
+        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        if not len(rows) or not len(tree):
+            return none
+        parts = tree.to_pylist()[0]
+        ids = np.frombuffer(parts["ids"], np.int64)
+        x = np.frombuffer(parts["x"], np.int64).reshape(len(ids), width).astype(np.float64)
+        own = rows.column("id").to_numpy().astype(np.int64)
+        q = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), width).astype(np.float64)
+        if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, width) >= EXACT:
             raise ValueError("components too large for exact scores")
-        found = branch_and_bound(x, ids, BallTree(x, LEAF_ROWS), q, own, start.value[at], k, greedy)
+        found = branch_and_bound(x, ids, BallTree.read(parts, width), q, own, rows.column("kth").to_numpy(), k, greedy)
         at, col = np.nonzero(np.isfinite(found.score))
         return pa.table({
             "query_id": pa.array(own[at]), "vec_id": pa.array(found.id[at, col]),
             "score": pa.array(found.score[at, col].astype(np.int64)),
         })
 
-    return dealt.groupBy("shard", "width").applyInArrow(run, "query_id long, vec_id long, score long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "v", "kth", "block", "width", every(shards).alias("shard"))
+    right = trees.select("*", every(blocks).alias("to_block")).withColumnsRenamed({"shard": "of_shard", "width": "of_width"})
+    met = left.groupBy("shard", "width", "block").cogroup(right.groupBy("of_shard", "of_width", "to_block"))
+    return met.applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def best_of(rows: DataFrame, k: int) -> DataFrame:

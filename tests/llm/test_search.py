@@ -33,6 +33,7 @@ def rows_of(spark, rng):
 def test_top_k_matches_comparing_all(spark):
     vectors = rows_of(spark, np.random.default_rng(2))
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    frame = frame.selectExpr("*", "1 AS id", "2 AS v", "3 AS shard", "4 AS kth", "5 AS rank", "6 AS block")
     whole = search.whole_vectors(frame, "vec_id", "embedding")
     asked = whole.where(search.divisible(F.col("id")))
     for shard_rows, block in ((90, 3), (10_000, 100)):
@@ -49,6 +50,14 @@ def test_few_or_no_rows(spark):
     assert search.top_k(none, whole).count() == 0 and search.top_k(whole, none).count() == 0
 
 
+def test_trees_are_read_as_they_were_built():
+    x = np.floor(np.random.default_rng(1).standard_normal((500, 5)) * 1024)
+    tree = search.BallTree(x, 20)
+    back = search.BallTree.read(tree.stored(), 5)
+    assert all(np.array_equal(getattr(tree, n), getattr(back, n)) for n in ("order", "centre", "radius"))
+    assert [tuple(r) for r in back.range] == tree.range and [list(c) for c in back.child] == tree.child
+
+
 def test_nodes_are_left_unvisited():
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((20, 16)) * 4000
