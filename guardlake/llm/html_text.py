@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +65,9 @@ class Page:
         self.pieces: list[tuple[int, int, str]] = []  # node, blocks begun or ended before it, text
         self.named, self.rank = [0], [0]  # 1 by its name or as a form no text, 2 a name of readers; 1 article, 2 main
         self.body = self.breaks = 0
+        # Depths of the open elements: by tag, of those that ends do not reach through, and of blocks.
+        self.depths: dict[str, list[int]] = {}
+        self.scopes, self.blocks = [0], [0]
         self._read(source)
         self.doubtful = self._doubtful() if any(self.named) else set()
         for i in range(1, len(self.tag)):
@@ -96,16 +100,30 @@ class Page:
     def _text(self, node: int, text: str) -> None:
         self.pieces.append((node, self.breaks, html.unescape(text)))
 
+    def _open(self, stack: list[int], node: int) -> None:
+        tag, depth = self.tag[node], len(stack)
+        stack.append(node)
+        self.depths.setdefault(tag, []).append(depth)
+        if tag in SCOPE:
+            self.scopes.append(depth)
+        if tag in BLOCK:
+            self.blocks.append(depth)
+
     def _close(self, stack: list[int], depth: int) -> None:
         """Ends the open elements from ``depth`` on."""
-        self.breaks += any(self.tag[i] in BLOCK for i in stack[depth:])
-        del stack[depth:]
+        blocks = len(self.blocks)
+        while len(stack) > depth:
+            self.depths[self.tag[stack.pop()]].pop()
+        for held in (self.scopes, self.blocks):
+            while held[-1] >= depth:
+                held.pop()
+        self.breaks += len(self.blocks) < blocks
 
     def _start(self, stack: list[int], tag: str, attributes: str) -> int:
         if self.tag[stack[-1]] == "head" and tag not in IN_HEAD:
             self._close(stack, len(stack) - 1)
         if tag in ENDS_P:
-            self._imply(stack, ("p",))
+            self._imply(stack, frozenset(("p",)))
         if tag in SIBLINGS:
             self._imply(stack, SIBLINGS[tag], bound=("ul", "ol", "dl", "table", "select"))
         if tag in ("html", "body") and tag in self.tag:
@@ -123,29 +141,34 @@ class Page:
         if tag == "body":
             self.body = node
         if tag not in VOID:
-            stack.append(node)
+            self._open(stack, node)
         return node
 
+    def _last(self, tags) -> int:
+        """The depth of the innermost open element of these tags; 0 without one."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
     def _imply(self, stack: list[int], tags, bound=()) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[depth]]
-            if tag in tags:
+        """Ends open elements of ``tags`` (of a single tag the innermost) up to the one that bounds them."""
+        if len(tags) == 1:
+            depth = self._last(tags)
+            if depth and depth >= max(self.scopes[-1], self._last(bound)):
                 self._close(stack, depth)
-                if len(tags) == 1:
-                    return
-            elif tag in bound or (tag in SCOPE and tag not in tags):
-                return
+            return
+        stop = max(self._last(SCOPE - tags), self._last(bound))
+        found = []
+        for held in map(self.depths.get, tags):
+            if held and held[-1] > stop:
+                found.append(held[bisect_right(held, stop)])
+        if found:
+            self._close(stack, min(found))
 
     def _end(self, stack: list[int], tag: str) -> None:
         if tag in ("html", "body", "br"):
             return
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = self.tag[stack[depth]]
-            if open_tag == tag:
-                self._close(stack, depth)
-                return
-            if open_tag in SCOPE or (tag not in BLOCK and open_tag in BLOCK):
-                return
+        depth = self._last((tag,))
+        if depth and depth >= self.scopes[-1] and (tag in BLOCK or depth >= self.blocks[-1]):
+            self._close(stack, depth)
 
     @staticmethod
     def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, int, int]:
@@ -176,7 +199,8 @@ class Page:
         """Named elements that may still hold the article.
 
         They hold ``main``, or an article larger than all outside such elements, or, if there is none outside, most of
-        the body's text, links apart. What has a name of readers needs a first heading besides, or nearly all of the text.
+        the body's text, links apart, by themselves or together with others at least a quarter as large. What has a name
+        of readers needs a first heading besides, or nearly all of the text.
         """
         n, body = len(self.tag), self.body
         size, heads, hidden, under, linked = [0] * n, [False] * n, list(self.dropped), [False] * n, [False] * n
@@ -206,7 +230,12 @@ class Page:
                     up = self.parent[i]
                     article[up] = max(article[up], article[i])
                     main[up] |= main[i]
-        return {
+        topmost = [i for i in range(1, n) if self.named[i] == 1 and not under[self.parent[i]] and not hidden[i]]
+        largest = max((size[i] for i in topmost), default=0)
+        several = {i for i in topmost if size[i] * 4 >= largest}
+        if outside or sum(size[i] for i in several) * 2 <= size[body]:
+            several = set()
+        return several | {
             i for i in range(1, n) if self.named[i] and not hidden[i] and (self.named[i] < 2 or sure(i))
             and (main[i] or article[i] > outside or (not outside and size[i] * 2 > size[body]))
         }
@@ -269,10 +298,11 @@ def ranked(page: Page) -> tuple[list[float], list[bool], list[int]]:
 def chosen(page: Page) -> list[bool]:
     """Nodes whose text is the article's.
 
-    Of the doubtful elements only those around the node of the greatest sum stay. That node sets the threshold, the least density on its path to the body. In every subtree of
+    Of the doubtful elements only those around or below the node of the greatest sum stay. That node sets the threshold, the least density on its path to the body. In every subtree of
     at least that density the node of the greatest sum is content. If the greatest node stands in an ``article`` or ``main``
     element, all of that element is, headings included. Outside it, what reaches the threshold in an enclosing ``main`` is
-    content too, its first heading in any case, and so are sibling articles that reach it; nothing else is.
+    content too, its first heading in any case, and so are sibling articles that reach it; nothing else is. Without such an
+    element, the first ``h1`` before the content and plain blocks beside it (see ``beside``) are content as well.
     """
     n, body = len(page.tag), page.body
     density, inside, best = ranked(page)
@@ -282,7 +312,10 @@ def chosen(page: Page) -> list[bool]:
         while node > 0:
             around.add(node)
             node = page.parent[node]
-        gone = page.doubtful - around
+        below = [i == top for i in range(n)]
+        for i in range(top + 1, n):
+            below[i] |= below[page.parent[i]]
+        gone = {i for i in page.doubtful - around if not below[i]}
         if gone:
             for i in range(1, n):
                 page.dropped[i] |= page.dropped[page.parent[i]] or i in gone
@@ -315,11 +348,42 @@ def chosen(page: Page) -> list[bool]:
             reached[i] = inside[i] and density[i] + 1e-9 >= threshold and (i == body or reached[page.parent[i]])
             if reached[i]:
                 content[best[i]] = True
+        beside(page, content, inside)
     for i in range(1, n):
         content[i] = (content[i] or (page.parent[i] >= body and content[page.parent[i]])) and not page.dropped[i]
     return content
 
 
+def beside(page: Page, content: list[bool], inside: list[bool]) -> None:
+    """Adds the first ``h1`` of the body before the content, and blocks too short to be as dense as it.
+
+    Such a block has a parent, a tag and a kind of children (headings and paragraphs, nothing else) in common with one
+    that is content, and no links.
+    """
+    n = len(page.tag)
+    plain, children = [True] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        children[page.parent[i]] = True
+        if page.tag[i] in ("a", "form", "input", "button", "img", "ul", "table"):
+            plain[i] = False
+        plain[page.parent[i]] &= plain[i]
+    first = next((i for i in range(n) if content[i]), n)
+    told = {(page.parent[i], page.tag[i]) for i in range(n) if content[i] and page.tag[i] in ("div", "section", "p", "blockquote")}
+    told |= {(page.parent[page.parent[i]], page.tag[page.parent[i]]) for i in range(1, n) if content[i] and page.tag[i] == "p" and page.parent[i] != page.body}
+    words = [False] * n
+    for i in range(1, n):
+        if children[page.parent[i]] and page.tag[i] in ("p", "h1", "h2", "h3"):
+            words[page.parent[i]] = True
+    headed = any(content[i] and page.tag[i] == "h1" for i in range(n))
+    for i in range(1, n):
+        if not inside[i] or content[i]:
+            continue
+        if page.tag[i] == "h1" and i < first and not headed:
+            content[i] = headed = True
+        elif plain[i] and (page.parent[i], page.tag[i]) in told and (words[i] or page.tag[i] in ("p", "blockquote")):
+            content[i] = True
+
+
 def main_text(source: str) -> str:
     """The article of a page, its blocks in page order joined by one space."""
     page = Page(source)
