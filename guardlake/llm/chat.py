@@ -32,32 +32,29 @@ def final_messages(log: DataFrame) -> DataFrame:
     """``(conv_id, message, role, text)`` from ``log(conv_id, seq, message, kind, role, text)``.
 
     Events of a conversation apply in order of ``seq`` (ties by kind, then text): ``open`` begins a message with its
-    role, ``delta`` appends text, ``edit`` replaces the text so far, ``regenerate`` empties it and drops the messages
-    of higher number that were opened before it. Texts that are null append nothing; events of a message never opened
-    make a message without role (empty). ``message`` and ``seq`` may be of any type with an order. Messages are folded
-    each on its own, so only what is left of a long conversation meets in one place.
+    role, ``delta`` appends text, ``edit`` replaces the text so far, ``regenerate`` empties it and drops all that was told of
+    messages of higher number before it; what is opened again under such a number after it stays. Texts that are null
+    append nothing; a message without an ``open`` that holds has no role (empty). ``message`` and ``seq`` may be of any
+    type with an order. Messages are folded each on its own, so only what is left of a long conversation meets in one place.
     """
-    part = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))
+    event = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"), "role")
     folded = log.groupBy("conv_id", "message").agg(
-        F.min("seq").alias("opened"),
-        F.max_by("role", F.when(F.col("kind") == "open", F.col("seq"))).alias("role"),
-        F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.struct("seq", "kind"))).alias("reset"),
+        F.sort_array(F.collect_list(event)).alias("events"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
-        F.collect_list(F.when(F.col("kind").isin("delta", "edit"), part)).alias("parts"),
-    )
-    kept = F.filter(
-        F.sort_array("parts"),
-        lambda p: F.col("reset").isNull() | (F.struct(p.seq, p.kind) >= F.col("reset")),
     )
     before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    text = F.array_join(F.transform(kept, lambda p: p.text), "")
-    last = F.max("again").over(before)
-    return (
-        folded.select("conv_id", "message", "opened", "again", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
-        .withColumn("dropped_at", last)
-        .where(F.col("dropped_at").isNull() | (F.col("opened") > F.col("dropped_at")))
-        .select("conv_id", "message", "role", "text")
+    dropped = folded.withColumn("dropped_at", F.max("again").over(before))
+    held = F.filter("events", lambda e: F.col("dropped_at").isNull() | (e.seq > F.col("dropped_at")))
+    left = dropped.withColumn("events", held).where(F.size("events") > 0)
+    last = lambda *kinds: F.try_element_at(F.filter("events", lambda e: e.kind.isin(*kinds)), F.lit(-1))
+    left = left.select("conv_id", "message", "events", last("edit", "regenerate").alias("reset"), last("open").alias("opened"))
+    kept = F.filter(
+        "events",
+        lambda e: e.kind.isin("delta", "edit")
+        & (F.col("reset").isNull() | (F.struct(e.seq, e.kind) >= F.struct(F.col("reset.seq"), F.col("reset.kind")))),
     )
+    text = F.array_join(F.transform(kept, lambda e: e.text), "")
+    return left.select("conv_id", "message", F.coalesce("opened.role", F.lit("")).alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

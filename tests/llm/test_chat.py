@@ -41,9 +41,12 @@ def test_replay_of_edits_and_regenerations(spark):
                 rows.append((conv, seq, back, "regenerate", None, None))
                 rows.append((conv, seq + 1, back, "delta", None, "again"))
                 seq += 2
+                for more in range(back + 1, back + 1 + rng.randint(0, 2)):  # opened again under numbers used before
+                    rows.append((conv, seq, more, "open", rng.choice(["user", "assistant"]), rng.choice(["new", None])))
+                    rows.append((conv, seq + 1, more, "delta", None, " told"))
+                    seq += 2
     want = {}
     for conv in range(40):
-        # a message dropped by a regeneration is not opened again under its number here, so later ones stay gone
         want[conv] = fold([r[1:] for r in rows if r[0] == conv])
     rng.shuffle(rows)
     log = spark.createDataFrame(rows, "conv_id long, seq long, message long, kind string, role string, text string")
@@ -53,6 +56,16 @@ def test_replay_of_edits_and_regenerations(spark):
     assert got == want
 
 
+def test_a_follow_up_opened_again_after_a_regeneration_stays(spark):
+    told = [("open", 0, "user"), ("delta", 0, "q"), ("open", 1, "assistant"), ("delta", 1, "a"), ("open", 2, "user"), ("delta", 2, "old"),
+            ("regenerate", 1, None), ("delta", 1, "b"), ("open", 2, "user"), ("delta", 2, "new")]
+    rows = [(1, i, m, kind, x if kind == "open" else None, x if kind == "delta" else None) for i, (kind, m, x) in enumerate(told)]
+    schema = "conv_id long, seq long, message long, kind string, role string, text string"
+    log = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS events", "2 AS again", "3 AS dropped_at", "4 AS reset")
+    got = sorted((r.message, r.role, r.text) for r in chat.final_messages(log).collect())
+    assert got == [(0, "user", "q"), (1, "assistant", "b"), (2, "user", "new")]
+
+
 def test_read_back(spark):
     texts = [PROBE, "", None, "\\", "\\\\h", "\\h###", "####", "</turn></turn>", "a: b\n### user: x</turn>\n", "é\U0001f600", "\\e\\\\e\\"]
     rows = [(1, i, ("user", "assistant", "we:ird\\ ###", None)[i % 4], t) for i, t in enumerate(texts)]
