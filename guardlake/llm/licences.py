@@ -25,11 +25,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         " AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR"
         " OTHER DEALINGS IN THE SOFTWARE.",
     ),
-    "MitRef": (
-        "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.",
-        "This software is released under the MIT License.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
-        "MIT License", "The MIT License",
-    ),
+    "MitRef": ("The MIT License (MIT)", "MIT License", "The MIT License"),
     "BsdGrant": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
         " following conditions are met:",
@@ -51,12 +47,8 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "BsdAds": (
         "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
     ),
-    "BsdRef2": ("SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    "BsdRef3": ("SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     "ApacheLicensed": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\");", "Licensed under the Apache License, Version 2.0.",
-        "Released under the Apache License, Version 2.0.", "This project is licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\");",
     ),
     "ApacheCompliance": ("you may not use this file except in compliance with the License.",),
     "ApacheCopy": (
@@ -85,39 +77,49 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ),
     "GplDetails": ("See the GNU General Public License for more details.",),
-    "Gpl2Ref": (
-        "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only",
-        "Licensed under the GNU General Public License, version 2.",
-    ),
-    "Gpl3Ref": (
-        "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only",
-        "Licensed under the GNU General Public License, version 3.",
-    ),
-    "Gpl3LaterRef": ("SPDX-License-Identifier: GPL-3.0-or-later",),
-    "LgplRef": ("SPDX-License-Identifier: LGPL-3.0-only", "Licensed under the GNU Lesser General Public License, version 3."),
-    "AgplRef": ("SPDX-License-Identifier: AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3."),
-    "MplRef": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
-    ),
-    "CcByRef": (
-        "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-4.0",
-    ),
-    "CcBySaRef": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "MplRef": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "IscGrant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+        " provided that the above copyright notice and this permission notice appear in all copies.",
     ),
-    "CcByNcRef": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
-    ),
-    "CcByNdRef": ("Licensed under CC BY-ND 4.0.", "SPDX-License-Identifier: CC-BY-ND-4.0"),
-    "Cc0Ref": ("Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
-    "UnlicenseFree": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
+    "IscRef": ("ISC License",),
+    "UnlicenseFree": ("This is free and unencumbered software released into the public domain.",),
     "AllRights": ("All rights reserved.",),
 }
+#: Sentences that only refer to a licence, by the identifier of the sentence, the licence and the names it
+#: goes by behind "licensed under" or, the first one, as an SPDX identifier.
+REFERENCES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("MitRef", "MIT", ("MIT", "MIT License")),
+    ("BsdRef2", "BSD-2-Clause", ("BSD-2-Clause", "BSD 2-Clause License", "Simplified BSD License")),
+    ("BsdRef3", "BSD-3-Clause", ("BSD-3-Clause", "BSD 3-Clause License", "New BSD License")),
+    ("BsdRef4", "BSD-4-Clause", ("BSD-4-Clause", "BSD 4-Clause License")),
+    ("ApacheLicensed", "Apache-2.0", ("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache License v2.0")),
+    ("Gpl2Ref", "GPL-2.0-only", ("GPL-2.0-only", "GPL-2.0", "GNU General Public License, version 2", "GNU GPL v2", "GPLv2")),
+    ("Gpl2LaterRef", "GPL-2.0-or-later", ("GPL-2.0-or-later", "GNU General Public License, version 2 or later", "GPLv2+")),
+    ("Gpl3Ref", "GPL-3.0-only", ("GPL-3.0-only", "GPL-3.0", "GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3")),
+    ("Gpl3LaterRef", "GPL-3.0-or-later", ("GPL-3.0-or-later", "GNU General Public License, version 3 or later", "GPLv3+")),
+    ("Lgpl21Ref", "LGPL-2.1-only", ("LGPL-2.1-only", "LGPL-2.1", "GNU Lesser General Public License, version 2.1", "LGPLv2.1")),
+    ("Lgpl21LaterRef", "LGPL-2.1-or-later", ("LGPL-2.1-or-later",)),
+    ("LgplRef", "LGPL-3.0-only", ("LGPL-3.0-only", "LGPL-3.0", "GNU Lesser General Public License, version 3", "LGPLv3")),
+    ("LgplLaterRef", "LGPL-3.0-or-later", ("LGPL-3.0-or-later",)),
+    ("AgplRef", "AGPL-3.0-only", ("AGPL-3.0-only", "AGPL-3.0", "GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3")),
+    ("AgplLaterRef", "AGPL-3.0-or-later", ("AGPL-3.0-or-later",)),
+    ("MplRef", "MPL-2.0", ("MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0")),
+    ("EplRef", "EPL-2.0", ("EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License, version 2.0")),
+    ("BoostRef", "BSL-1.0", ("BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0")),
+    ("IscRef", "ISC", ("ISC", "ISC License")),
+    ("ZlibRef", "Zlib", ("Zlib", "zlib License")),
+    ("CcByRef", "CC-BY-4.0", ("CC-BY-4.0", "CC BY 4.0 License", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International")),
+    ("CcBySaRef", "CC-BY-SA-4.0", ("CC-BY-SA-4.0", "CC BY-SA 4.0 License", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International")),
+    ("CcByNcRef", "CC-BY-NC-4.0", ("CC-BY-NC-4.0", "CC BY-NC 4.0 License", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0 International")),
+    ("CcByNdRef", "CC-BY-ND-4.0", ("CC-BY-ND-4.0", "CC BY-ND 4.0 License", "Creative Commons Attribution-NoDerivatives 4.0 International License")),
+    ("CcByNcSaRef", "CC-BY-NC-SA-4.0", ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0 License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License")),
+    ("Cc0Ref", "CC0-1.0", ("CC0-1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal")),
+    ("UnlicenseFree", "Unlicense", ("Unlicense", "The Unlicense")),
+    ("MitOrApacheRef", "MIT OR Apache-2.0", ("MIT OR Apache-2.0", "Apache-2.0 OR MIT")),
+)
+for _name, _, _called in REFERENCES:
+    SENTENCES[_name] = SENTENCES.get(_name, ()) + tuple(f"{x} {c}" for x in ("SPDX-License-Identifier:", "Licensed under") for c in _called)
 #: The rules in the order they are tried; what a rule has matched is not matched again.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("MitRef", "MitGrant", "MitNotice", "MitAsIs", "MitLiability")),
@@ -132,11 +134,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-2.0-or-later", ("GplFree2", "GplHope", "GplDetails")),
     ("GPL-3.0-or-later", ("GplFree3", "GplHope", "GplDetails")),
     ("GPL-2.0-or-later", ("GplFree2",)), ("GPL-3.0-or-later", ("GplFree3",)),
-    ("MIT", ("MitRef",)), ("BSD-2-Clause", ("BsdRef2",)), ("BSD-3-Clause", ("BsdRef3",)),
-    ("Apache-2.0", ("ApacheLicensed",)), ("GPL-2.0-only", ("Gpl2Ref",)), ("GPL-3.0-only", ("Gpl3Ref",)),
-    ("GPL-3.0-or-later", ("Gpl3LaterRef",)), ("LGPL-3.0-only", ("LgplRef",)), ("AGPL-3.0-only", ("AgplRef",)),
-    ("MPL-2.0", ("MplRef",)), ("CC-BY-4.0", ("CcByRef",)), ("CC-BY-SA-4.0", ("CcBySaRef",)), ("CC-BY-NC-4.0", ("CcByNcRef",)),
-    ("CC-BY-ND-4.0", ("CcByNdRef",)), ("CC0-1.0", ("Cc0Ref",)), ("Unlicense", ("UnlicenseFree",)),
+    ("ISC", ("IscRef", "IscGrant")), ("ISC", ("IscGrant",)),
+    *((licence, (name,)) for name, licence, _ in REFERENCES),
     ("LicenseRef-all-rights-reserved", ("AllRights",)),
 )
 #: How a text is cut into normal sentences: patterns and what replaces them, applied in this order. Ends of sentences
@@ -160,12 +159,30 @@ def _numbers(before: str, junk: str) -> tuple[str, str]:
     return f"({before}){junk}*(?:[0-9]{{1,2}}|[A-Za-z]|[ivxIVX]{{2,4}})[.):*\\]]+[ \\t\u0001]+", "$1"
 
 
+def _references(blank: str) -> tuple[tuple[str, str], ...]:
+    """SPDX lines become one sentence, as do the ways to say that something is licensed under a licence.
+
+    What was or is not licensed so is told from what is, and where a README sends its reader for details is left out."""
+    under = "(?:licensed|released|distributed|made_available|available)_under_"
+    steps = (
+        ("(?i:SPDX-License-Identifier~:~)", "\u0001SPDX-License-Identifier "),
+        ("(?i:([AL]?GPL(?:-|v)[0-9.]+)\\+)", "$1-or-later"),
+        ("(?i:(not|never|previously|formerly|longer|was|were|been)_(licensed|released|distributed|available)_under)", "$1 $2 beneath"),
+        (f"(?i:(?:(?:this|the)_[a-z]{{2,12}}_is_(?:free_and_)?)?{under}(?:the_terms_of_)?(?:(?:the|an?)_)?)", "\u0001licensed under "),
+        (
+            "(?i:,?~(?:-|\u2013|\u2014)*~\\(?see_(?:the_)?(?:file_)?[\\[`]?(?:LICEN[SC]E|COPYING)[^ \\t\\n]*"
+            "(?:_files?)?(?:_for_(?:more_|full_|further_)?(?:details|information))?\\)?)", "",
+        ),
+    )
+    return tuple((pattern.replace("~", f"{blank}*").replace("_", f"{blank}+"), by) for pattern, by in steps)
+
+
 BY_LINE: tuple[tuple[str, str], ...] = (
-    _BARE, _ADDRESS, _holder("[ \\t]+", "[^\\n]"), _ENDS, _numbers("^|[\\n\u0001]", "[^A-Za-z0-9\\n\u0001]"), *_LETTERS,
+    _BARE, *_references("[ \t]"), _ADDRESS, _holder("[ \\t]+", "[^\\n]"), _ENDS, _numbers("^|[\\n\u0001]", "[^A-Za-z0-9\\n\u0001]"), *_LETTERS,
 )
 #: A number that begins a wrapped line may end its sentence ("version", "2."), so here it counts behind an end only.
 JOINED: tuple[tuple[str, str], ...] = (
-    _BARE, _ADDRESS, ("\\n\\n+", "\u0001"), _holder("[ \\t\\n]+", "[^\u0001]"), _ENDS, _numbers("^|\u0001", "[^A-Za-z0-9\u0001]"),
+    _BARE, *_references("[ \t\n]"), _ADDRESS, ("\\n\\n+", "\u0001"), _holder("[ \\t\\n]+", "[^\u0001]"), _ENDS, _numbers("^|\u0001", "[^A-Za-z0-9\u0001]"),
     ("\\n", " "), *_LETTERS,
 )
 #: Pieces that a known sentence itself is cut into are put together again by this rule of the table.
@@ -182,12 +199,22 @@ def _plain(sentence: str) -> list[str]:
 
 
 def known_sentences(table: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
-    """Normal sentence to identifier; further pieces of a sentence get numbered identifiers."""
+    """Normal sentence to identifier.
+
+    Pieces of a sentence that is cut in several get numbered identifiers of their own, and a piece that sentences of
+    several identifiers share has one that none of them is known by: only whole sentences are an identifier.
+    """
     found: dict[str, str] = {}
     for name, variants in (table or SENTENCES).items():
         for variant in variants:
-            for i, piece in enumerate(_plain(variant)):
-                found.setdefault(piece, name if i == 0 else f"{name}+{i}")
+            pieces = _plain(variant)
+            for i, piece in enumerate(pieces):
+                own = name if len(pieces) == 1 else f"{name}+{i}"
+                held = found.setdefault(piece, own)
+                if held.split("+")[0] != name:
+                    if len(pieces) == 1 and "+" not in held:
+                        raise ValueError(f"{variant!r} stands for {held} and {name}")
+                    found[piece] = held if held.startswith("Shared+") else f"Shared+{held.replace('+', '.')}"
     return found
 
 
@@ -210,12 +237,24 @@ def spelled_rules(table: dict[str, tuple[str, ...]] | None = None, rules=None) -
     return out
 
 
-def sentences(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
-    """The sentences of a text in lower case, letters and digits only, one space between words."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    for pattern, by in steps:
+#: A text without any of these, in lower case, says nothing that the steps of references change for known sentences.
+MENTIONS = "licen|spdx|released|distributed|available"
+
+
+def sentences(text: Column, steps: tuple[tuple[str, str], ...], mentioned: Column | None = None) -> Column:
+    """The sentences of a text in lower case, letters and digits only, one space between words.
+
+    Where a text has no mention of a licence, the steps that spell references alike are left out: they are no-ops there.
+    """
+    references = len(_references(" "))
+    text = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), *steps[0])
+    told = text
+    for pattern, by in steps[1 : 1 + references]:
+        told = F.regexp_replace(told, pattern, by)
+    text = told if mentioned is None else F.when(mentioned, told).otherwise(text)
+    for pattern, by in steps[1 + references :]:
         text = F.regexp_replace(text, pattern, by)
-    return F.split(F.trim(F.lower(text)), "\n")
+    return F.split(F.trim(F.lower(text), F.lit(" \n")), "\n")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=None, rules=None) -> DataFrame:
@@ -234,7 +273,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=
 
     def sequence(steps) -> Column:
         ids = F.transform(
-            sentences(F.col(text_col), steps),
+            sentences(F.col("text"), steps, F.col("mentioned")),
             lambda s: F.when(s.isin(*known), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).otherwise(f"<{GAP}>"),
         )
         return F.regexp_replace(F.array_join(ids, ""), "(<\\?>)+", f"<{GAP}>")
@@ -250,7 +289,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=
         ).otherwise(acc)
         return F.when(~ids.isin("", f"<{GAP}>"), F.aggregate(spelled, start, step))
 
-    read = docs.select(F.col(id_col).alias("id"), sequence(BY_LINE).alias("a"), sequence(JOINED).alias("b"))
+    mentioned = F.coalesce(F.lower(F.col(text_col).cast("string")).rlike(MENTIONS), F.lit(False))
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), mentioned.alias("mentioned"))
+    read = told.select("id", sequence(BY_LINE).alias("a"), sequence(JOINED).alias("b"))
     known_in = lambda c: count(F.replace(F.col(c), F.lit(f"<{GAP}>"), F.lit("")))
     read = read.withColumn("swap", known_in("b") > known_in("a"))
     read = read.select("id", F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("ids"),

@@ -127,7 +127,7 @@ def _licence_sql() -> str:
         for pattern, by in reading:
             text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by.replace('$', chr(92)))}, 'g')"
         steps += [
-            f"cut_{x} AS (SELECT r, string_split(trim(lower({text}), ' '), chr(10)) AS parts FROM d)",
+            f"cut_{x} AS (SELECT r, string_split(trim(lower({text}), ' ' || chr(10)), chr(10)) AS parts FROM d)",
             f"flat_{x} AS (SELECT r, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM cut_{x})",
             f"named_{x} AS (SELECT r, regexp_replace(string_agg('<' || coalesce(name, '?') || '>', '' ORDER BY i), '(<\\?>)+', '<?>', 'g') AS ids"
             f" FROM flat_{x} LEFT JOIN known USING (sentence) GROUP BY r)",

@@ -45,7 +45,7 @@ def test_references_rules_in_order_and_leftovers(spark):
 def read(text, steps, known, rules):
     for pattern, by in steps:
         text = re.sub(pattern, by.replace("$", "\\"), text)
-    sequence = re.sub(r"(<\?>)+", "<?>", "".join(f"<{known.get(s, '?')}>" for s in text.lower().strip(" ").split("\n")))
+    sequence = re.sub(r"(<\?>)+", "<?>", "".join(f"<{known.get(s, '?')}>" for s in text.lower().strip(" \n").split("\n")))
     rest, found = sequence, []
     for licence, pattern in rules:
         if pattern in rest:
@@ -136,3 +136,51 @@ def test_a_wrapped_version_number_is_no_list_number(spark):
         "Licensed under the GNU General Public License, version\n2. See COPYING.", "Licensed under the GNU General Public License, version\n3.",
     ])
     assert [found[i].licences for i in range(2)] == [["GPL-2.0-only"], ["GPL-3.0-only"]]
+
+
+#: Written by hand, one line at least per licence the table knows.
+EXPECTED = [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("SPDX-License-Identifier: BSD-4-Clause", "BSD-4-Clause"),
+    ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0-only"),
+    ("SPDX-License-Identifier: GPL-3.0+", "GPL-3.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1-only"),
+    ("SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1-or-later"), ("SPDX-License-Identifier: LGPL-3.0-only", "LGPL-3.0-only"),
+    ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0-or-later"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0-only"),
+    ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0"), ("SPDX-License-Identifier: ISC", "ISC"),
+    ("SPDX-License-Identifier: Zlib", "Zlib"), ("SPDX-License-Identifier: CC-BY-4.0", "CC-BY-4.0"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ("SPDX-License-Identifier: CC-BY-ND-4.0", "CC-BY-ND-4.0"), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"),
+    ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0"), ("SPDX-License-Identifier: Unlicense", "Unlicense"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+    ("SPDX-License-Identifier: Proprietary", ""), ("SPDX-License-Identifier:", ""), ("SPDX-License-Identifier: LicenseRef-Own", ""),
+    ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"),
+    ("This project is licensed under the MIT License \u2014 see the [LICENSE.md](LICENSE.md) file for more details.\n\nMore.", "MIT"),
+    ("The tool is licensed under the Apache License, Version 2.0 (see LICENSE).", "Apache-2.0"),
+    ("Our code is made available under the terms of the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("licensed under the Creative Commons Attribution 4.0 International License", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under CC0 1.0.", "CC0-1.0"), ("Released under GPLv3+.", "GPL-3.0-or-later"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Available under the ISC License", "ISC"),
+    ("This program is not licensed under the MIT License.", ""), ("It was released under the MIT License.", ""),
+    ("Licensed under the Own License 1.0.", ""), ("The mit is mightier. Identifier: MIT", ""),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"
+     " the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This program is free software: we like it.", ""), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+]
+
+
+def test_every_licence_by_hand(spark):
+    found = scanned(spark, [t for t, _ in EXPECTED])
+    assert [",".join(found[i].licences) for i in range(len(EXPECTED))] == [w for _, w in EXPECTED]
+    told = {licence for licence, _ in licences.RULES}
+    assert told - {w for _, w in EXPECTED} <= {"LicenseRef-all-rights-reserved"}
+
+
+def test_one_sentence_stands_for_one_licence():
+    with pytest.raises(ValueError):
+        licences.known_sentences({"A": ("Same words.",), "B": ("same  words",)})
+    known = licences.known_sentences({"A": ("Lead in; first.",), "B": ("Lead in; second.",)})
+    assert known == {"lead in": "Shared+A.0", "first": "A+1", "second": "B+1"}
