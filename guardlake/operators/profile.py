@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from guardlake.functions.text import text_metrics, word_overlap
+from guardlake.session import settled
 
 
 def prompt_response_pairs(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -46,6 +47,57 @@ def numeric_profile(
     return df.agg(F.array(*aggregates).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], ranks: dict[str, float]) -> DataFrame:
+    """One row per numeric column: the exact number of distinct values and exact quantiles, interpolated like ``percentile``.
+
+    Copies of a value collapse map-side into a histogram that is ranged once by column and value. The counts of the ranges, one
+    short row each, tell which few ranges hold a wanted place, and only the rows of those are summed up in order.
+    """
+    whole = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    cells = F.array(*[
+        F.struct(
+            F.lit(i).alias("_i"), (F.col(name) if name in whole else F.lit(None)).cast("bigint").alias("_whole"),
+            F.col(name).cast("double").alias("_value"),
+        )
+        for i, name in enumerate(columns)
+    ])
+    values = df.select(F.explode(cells).alias("c")).select("c.*").where("_value IS NOT NULL")
+    histogram = values.groupBy("_i", "_whole", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = histogram.repartitionByRange("_i", "_value", "_whole").withColumn("_range", F.spark_partition_id())
+    ranged = settled(ranged, "histogram")
+    along = Window.partitionBy("_i").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("_i", "_range").agg(F.sum("_n").alias("_sum"), F.count(F.lit(1)).alias("_distinct"))
+    ladder = settled(sums.withColumn("_before", F.sum("_sum").over(along) - F.col("_sum")), "range-sums")
+    sizes = ladder.groupBy("_i").agg(F.sum("_sum").alias("_size"), F.sum("_distinct").alias("n_distinct"))
+
+    place = (F.col("_size") - 1) * F.col("q.q")
+    wanted = sizes.select("_i", "_size", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(float(rank)).alias("q")) for name, rank in ranks.items()
+    ])).alias("q")).select("_i", "q.name", place.alias("_place"))
+    wanted = wanted.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))))
+    inside = (F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_sum"))
+    # At most two places per column and rank.
+    held = F.broadcast(ladder.join(wanted, "_i").where(inside).select("_i", "_range", "_before", "name", "_place", "_at"))
+    few = ranged.join(held, ["_i", "_range"], "left_semi")
+    upto = Window.partitionBy("_i", "_range").orderBy("_value", "_whole").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_before") + F.col("_upto")
+    met = few.withColumn("_upto", F.sum("_n").over(upto)).join(held, ["_i", "_range"]).where(
+        (F.col("_at") < last) & (F.col("_at") >= last - F.col("_n"))
+    )
+    ends = met.groupBy("_i", "name", "_place").agg(
+        F.min_by("_value", "_at").alias("_low"), F.max_by("_value", "_at").alias("_high"), F.floor("_place").alias("_floor")
+    )
+    between = (F.col("_floor") + 1 - F.col("_place")) * F.col("_low") + (F.col("_place") - F.col("_floor")) * F.col("_high")
+    value = F.when((F.col("_low") == F.col("_high")) | (F.col("_place") == F.col("_floor")), F.col("_low")).otherwise(between)
+    found = ends.select("_i", "name", value.alias("_value")).groupBy("_i").agg(
+        *[F.max(F.when(F.col("name") == name, F.col("_value"))).alias(name) for name in ranks]
+    )
+    listed = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("_i", "column"))
+    return listed.join(sizes, "_i", "left").join(found, "_i", "left").select(
+        "column", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"), *ranks
+    )
+
+
 PROFILE_SCHEMA = (
     "column string, n_rows bigint, n_null bigint, min_int bigint, max_int bigint, min double, max double,"
     " mean double, m2 double, distinct_sketch binary, quantile_sketch binary"

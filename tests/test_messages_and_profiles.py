@@ -55,3 +55,19 @@ def test_stored_profiles_merge(spark):
     assert abs(rank - 0.5) < 0.04
     by_day = profile.merged_profile(stored, ["day"])
     assert by_day.count() == 18
+
+
+def test_exact_quantiles_of_ranges_equal_percentile(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), None if i % 9 == 0 else rng.random(), 2**60 + i // 2, None) for i in range(5000)]
+    rows += [(None, float("nan"), None, None), (None, 0.0, None, None)]
+    df = spark.createDataFrame(rows, "few int, x double, big bigint, nothing double").repartition(3)
+    ranks = {"a": 0.0, "b": 0.49, "c": 0.5, "d": 0.9, "e": 1.0}
+    for some in (df, df.limit(1), df.limit(0)):
+        got = {r["column"]: r for r in profile.exact_quantiles(some, df.columns, ranks).collect()}
+        for c in df.columns:
+            one = some.agg(F.countDistinct(c), *[F.percentile(F.col(c).cast("double"), q) for q in ranks.values()]).first()
+            assert str(tuple(got[c])[1:]) == str(tuple(one)), c
+    # No task holds all values of a column, as the aggregate did.
+    plan = profile.exact_quantiles(df, ["x"], {"c": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
