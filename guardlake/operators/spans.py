@@ -20,6 +20,8 @@ from guardlake.session import settled
 SLOTS = 1 << 20
 # Tokens of a name at most: what is spelled at a possible first token.
 MAX_WORDS = 8
+# Different tokens a task remembers at a time.
+SEEN_TOKENS = 1 << 16
 # Marks that do not belong to a name's word when they stand at either end of it.
 EDGES = ".,;:!?()"
 
@@ -56,7 +58,8 @@ def name_spans(
     Words are what stands between white space, without marks at their ends; marks inside a name's span count as between
     words. Names are a table of any size, keyed by their words. One pass over the texts spells the sequences
     that begin with a word which may begin a name and are as long as such names may be, by a table of ``SLOTS``
-    lengths; the equi-join with the names decides. A longer name raises an error.
+    lengths; a second one of as many marks, by the whole sequence, leaves out most that are no names. The equi-join with
+    the names decides. A longer name raises an error.
     """
     bare = F.transform(F.split(F.col(name), r"[ \t\n\r\f]"), lambda w: F.trim(w, F.lit(EDGES)))
     words = F.filter(bare, lambda w: w != "")
@@ -68,28 +71,41 @@ def name_spans(
         if r.n > max_words:
             raise ValueError(f"names have at most {max_words} words")
         longest[r.slot] = r.n
-    shared, slots, edges = df.sparkSession.sparkContext.broadcast(longest), SLOTS, EDGES
+    marks = np.zeros(SLOTS, np.bool_)
+    for r in known.select((F.crc32(F.col("key").cast("binary")) % SLOTS).cast("int").alias("slot")).distinct().collect():  # at most SLOTS rows
+        marks[r.slot] = True
+    shared, slots, edges = df.sparkSession.sparkContext.broadcast((longest.tobytes(), marks.tobytes())), SLOTS, EDGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, table = re.compile("[^ \t\n\r\f]+"), shared.value
+        token, (table, whole) = re.compile("[^ \t\n\r\f]+"), shared.value
+        seen = {}  # a token's word, where it begins, and how long names that it begins may be
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                rows, keys, starts, ends, sizes = [], [], [], [], []
+                rows, keys, starts, ends = [], [], [], []
                 for row, value in enumerate(part.column(1).to_pylist()):
-                    found = []
+                    words, places, firsts = [], [], []
                     for m in token.finditer(value or ""):
-                        word = m[0].strip(edges)
+                        raw = m[0]
+                        known_token = seen.get(raw)
+                        if known_token is None:
+                            word = raw.strip(edges)
+                            if len(seen) >= SEEN_TOKENS:
+                                seen.clear()
+                            n = table[zlib.crc32(word.encode()) % slots] if word else 0
+                            known_token = seen[raw] = (word, raw.index(word), n)
+                        word, skipped, n = known_token
                         if word:
-                            start = m.start() + m[0].index(word)
-                            found.append((word, start, start + len(word)))
-                    for i, (word, start, _) in enumerate(found):
-                        n = table[zlib.crc32(word.encode()) % slots]
-                        if n:
-                            key = ""
-                            for size, (next_word, _, end) in enumerate(found[i : i + int(n)], 1):
-                                key = f"{key} {next_word}" if key else next_word
-                                rows.append(row), keys.append(key), starts.append(start), ends.append(end), sizes.append(size)
+                            if n:
+                                firsts.append((len(words), n))
+                            words.append(word)
+                            places.append(m.start() + skipped)
+                    for i, n in firsts:
+                        key = ""
+                        for j in range(i, min(i + n, len(words))):
+                            key = f"{key} {words[j]}" if key else words[j]
+                            if whole[zlib.crc32(key.encode()) % slots]:
+                                rows.append(row), keys.append(key), starts.append(places[i]), ends.append(places[j] + len(words[j]))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -112,8 +128,9 @@ def resolve(spans: DataFrame, id_col: str) -> DataFrame:
 
     Taken in that order, a span stays if it meets none that stayed; the order of the rows or of the patterns does not
     matter, and equal spans of one entity are one. Only spans that hang together by overlaps are compared, so a
-    text with very many of them is no heavier than its longest chain.
+    text with very many of them is no heavier than its longest chain; a span that meets no other stays as it is.
     """
+    spans = spans.repartition(id_col)  # the one shuffle: what follows is within a text
     by_place = Window.partitionBy(id_col).orderBy("start", "end", "entity", "priority")
     before = by_place.rowsBetween(Window.unboundedPreceding, -1)
     distinct = spans.where(F.col("end") > F.col("start")).groupBy(id_col, "start", "end", "entity").agg(
@@ -123,16 +140,17 @@ def resolve(spans: DataFrame, id_col: str) -> DataFrame:
     chained = distinct.withColumn("_new", new)
     chained = chained.withColumn("_chain", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     span = F.struct("priority", (F.col("start") - F.col("end")).alias("short"), "start", "entity", "end", "value")
-    chains = chained.groupBy(id_col, "_chain").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+    chained = chained.withColumn("_alone", (F.col("_new") == 1) & (F.lead("_new", 1, 1).over(by_place) == 1))
+    chains = chained.where("NOT _alone").groupBy(id_col, "_chain").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
     kept = F.aggregate(
         "_spans", F.slice("_spans", 1, 0),
         lambda stay, s: F.when(
             F.exists(stay, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), stay
         ).otherwise(F.concat(stay, F.array(s))),
     )
-    return chains.select(id_col, F.explode(kept).alias("s")).select(
-        id_col, "s.start", "s.end", "s.entity", "s.priority", "s.value"
-    )
+    columns = [id_col, "start", "end", "entity", "priority", "value"]
+    settled_chains = chains.select(id_col, F.explode(kept).alias("s")).select(id_col, *[f"s.{c}" for c in columns[1:]])
+    return chained.where("_alone").select(*columns).unionByName(settled_chains)
 
 
 def redact_spans(df: DataFrame, id_col: str, text: str, spans: DataFrame) -> DataFrame:
