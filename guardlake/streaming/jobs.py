@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake.plans.turns import guard_turns
 from guardlake.session import scratch_path
@@ -111,86 +110,118 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-PROGRESS_STATE = "level int, wrong bigint, seen bigint, last string, late bigint"
+#: Event-time timers and map state live in a state store of this kind.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HELD_TURNS = 4_096
+#: Sessions are dealt to so many groups. A group's games are one value of some 40 bytes a session, and one call per
+#: micro-batch that holds turns of it, so the number of calls does not grow with the sessions; more than some 10,000
+#: sessions a group call for more groups.
+GROUPS = 4_096
+NEW_GAME = (0, 0, 0, 0, None, None, 0, -(2**63))
+
+
+def state_store(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, outside the heap; arbitrary state needs it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def _dealt(turns: DataFrame, session: str, groups: int, *columns: Column) -> DataFrame:
+    """``who``, the session as a text that is empty for null, and its group, beside ``columns``."""
+    who = F.coalesce(F.concat(F.lit("="), F.col(session).cast("string")), F.lit(""))
+    dealt = turns.select(who.alias("who"), *columns)
+    return dealt.withColumn("party", F.pmod(F.xxhash64("who"), F.lit(groups)))
+
+
+def _undealt(moved: DataFrame, session: str, kind: str) -> DataFrame:
+    own = F.when(F.col("who") != "", F.expr("substring(who, 2)")).cast(kind).alias(session)
+    return moved.select(own, *[c for c in moved.columns if c != "who"])
 
 
 def progression_stream(
     turns: DataFrame, session: str, order: str, hits: Column, levels: int, restart: Column | None = None,
-    session_type: str = "bigint",
+    session_type: str = "bigint", groups: int = GROUPS,
 ) -> DataFrame:
     """Session state across micro-batches: one row per session that moved in the batch.
 
-    The state is five values. Inside a batch a session's turns are put in order
+    The state is five values per session. Inside a batch a session's turns are put in order
     here, each kept as its order key and flags only. A turn before the
     last one of an earlier batch comes too late to be played: it is counted in
     ``n_late`` and changes nothing else. A restart sets the level back to 0 and leaves
     the wrong counter. ``order`` is a whole number, a text or a time.
+
+    Sessions are dealt to ``groups``; a call takes what a micro-batch has of a group, and reads and writes the group's
+    states as one value.
     """
-    schema = f"{session} {session_type}, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean"
-    kind = turns.schema[order].dataType.simpleString()
-    whole = kind in ("tinyint", "smallint", "int", "bigint")
-
-    def fold(key: tuple, frames: "Iterator[pd.DataFrame]", state: GroupState) -> "Iterator[pd.DataFrame]":
-        import pandas as pd
-
-        level, wrong, seen, last, late = state.get if state.exists else (0, 0, 0, None, 0)
-        newest = before = int(last) if whole and last is not None else last
-        moves = []
-        for frame in frames:
-            for at, again, hit in zip(frame["_order"], frame["_restart"], frame["_hits"]):
-                moves.append((int(at) if whole else str(at), bool(again), sum(1 << i for i, h in enumerate(hit) if h)))
-        moves.sort()
-        for at, again, hit in moves:
-            if before is not None and at < before:
-                late += 1
-                continue
-            newest = at
-            seen += 1
-            if again:
-                level = 0
-            elif level < levels:
-                if hit >> level & 1:
-                    level, wrong = level + 1, 0
-                else:
-                    wrong += 1
-        state.update((int(level), int(wrong), int(seen), None if newest is None else str(newest), int(late)))
-        yield pd.DataFrame({
-            session: [key[0]], "level": [level], "wrong": [wrong], "n_turns": [seen], "n_late": [late],
-            "finished": [level == levels],
-        })
+    from pyspark.sql.streaming import StatefulProcessor
 
-    again = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
-    keyed = turns.select(session, F.col(order).alias("_order"), again.alias("_restart"), hits.alias("_hits"))
-    if not whole:
-        keyed = keyed.withColumn("_order", F.col("_order").cast("string"))
-    return keyed.groupBy(session).applyInPandasWithState(
-        fold, schema, PROGRESS_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    state_store(turns.sparkSession)
+    whole = turns.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
 
+    class Player(StatefulProcessor):
+        def init(self, handle):
+            self.games = handle.getValueState("games", "games string")
 
-#: Event-time timers and map state live in a state store of this kind.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HELD_TURNS = 4_096
+        def handleInputRows(self, key, rows, timerValues):
+            import json
 
+            import pandas as pd
 
-def state_store(spark: SparkSession) -> None:
-    """Streams started from now on keep their state in RocksDB, outside the heap; arbitrary state needs it."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+            moves = {}
+            for frame in rows:
+                columns = [frame[c].tolist() for c in ("who", "at", "again", "mask")]
+                for who, at, again, mask in zip(*columns):
+                    moves.setdefault(who, []).append((int(at) if whole else str(at), again, int(mask or "0", 2)))
+            games, made = json.loads(self.games.get()[0]) if self.games.exists() else {}, []
+            for who, played in moves.items():
+                level, wrong, seen, last, late = games.get(who, (0, 0, 0, None, 0))
+                newest = before = last
+                played.sort()
+                for at, again, mask in played:
+                    if before is not None and at < before:
+                        late += 1
+                        continue
+                    newest = at
+                    seen += 1
+                    if again:
+                        level = 0
+                    elif level < levels:
+                        if mask >> level & 1:
+                            level, wrong = level + 1, 0
+                        else:
+                            wrong += 1
+                games[who] = (level, wrong, seen, newest, late)
+                made.append((who, level, wrong, seen, late, level == levels))
+            self.games.update((json.dumps(games),))
+            yield pd.DataFrame(made, columns=["who", "level", "wrong", "n_turns", "n_late", "finished"])
+
+        def close(self):
+            pass
+
+    again = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
+    mask = F.reverse(F.array_join(F.transform(hits, lambda h: F.when(h, "1").otherwise("0")), ""))
+    at = F.col(order) if whole else F.col(order).cast("string")
+    keyed = _dealt(turns, session, groups, at.alias("at"), again.alias("again"), mask.alias("mask"))
+    schema = "who string, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean"
+    moved = keyed.groupBy("party").transformWithStateInPandas(Player(), schema, "Update", "None")
+    return _undealt(moved, session, session_type)
 
 
 def ordered_progression_stream(
     turns: DataFrame, session: str, ts: str, order: str, hits: Column, levels: int, delay: str,
-    restart: Column | None = None, bucket: int = 60_000, forget: int | None = None,
+    restart: Column | None = None, bucket: int = 60_000, forget: int | None = None, groups: int = GROUPS,
 ) -> DataFrame:
     """Session state over turns that arrive in any order: a turn is played once the watermark has passed its time.
 
     Turns are played by time, then ``order`` (a whole number), so as long as none comes more than ``delay`` behind the newest
     row, the result is that of the batch operator whatever the files and their order; equal keys play together in an order
     of their own. Until then they wait in map state, keyed by a bucket of ``bucket`` milliseconds and a running number of
-    chunks of at most ``HELD_TURNS``, with an event-time timer per bucket; a bucket is what a task holds of a hot session. A
+    chunks of at most ``HELD_TURNS``; a bucket is what a task holds of a hot session. A
     turn before the last one played is counted in ``n_late`` and not played. A session without turns for ``forget``
     milliseconds of event time is dropped from the state.
 
+    Sessions are dealt to ``groups`` that wait together: buckets, chunks and the event-time timer, one for the earliest
+    bucket, are those of a group; its games are one value, read and written when turns play.
+
     Rows ``(session, level, wrong, n_turns, n_late, finished, version)`` come in update mode; the greatest version of a
     session is its newest. Rows without a session or time are left out.
     """
@@ -199,80 +230,99 @@ def ordered_progression_stream(
     state_store(turns.sparkSession)
     held_turns = HELD_TURNS
     kind = turns.schema[session].dataType.simpleString()
+    columns = ["who", "level", "wrong", "n_turns", "n_late", "finished", "version"]
 
     class Player(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.game = handle.getValueState(
-                "game", "level long, wrong long, seen long, late long, at long, ord long, version long, chunks long, newest long"
-            )
+            #: The watermarks up to which buckets were played and sessions forgotten, and the number of the next chunk.
+            self.group = handle.getValueState("group", "played long, forgot long, chunks long")
+            #: By session: level, wrong, seen, late, time and place of the last turn, version, end of the newest bucket.
+            self.games = handle.getValueState("games", "games string")
             self.held = handle.getMapState("held", "bucket long, chunk long", "turns string")
 
-        def _state(self):
-            return list(self.game.get()) if self.game.exists() else [0, 0, 0, 0, None, None, 0, 0, 0]
+        def _games(self):
+            import json
+
+            return json.loads(self.games.get()[0]) if self.games.exists() else {}
+
+        def _stored(self, games, moved):
+            """The games written, and a row with a new version for those that moved."""
+            import json
 
-        def _row(self, key, state):
             import pandas as pd
 
-            level, wrong, seen, late, _, _, version = state[:7]
-            return pd.DataFrame({
-                session: [key[0]], "level": [level], "wrong": [wrong], "n_turns": [seen], "n_late": [late],
-                "finished": [level == levels], "version": [version],
-            })
+            for who in moved:
+                games[who][6] += 1
+            self.games.update((json.dumps(games),))
+            rows = [(w, *games[w][:4], games[w][0] == levels, games[w][6]) for w in moved]
+            return pd.DataFrame(rows, columns=columns)
 
         def handleInputRows(self, key, rows, timerValues):
             import json
 
-            state, late, timers = self._state(), 0, set()
+            played, forgot, chunks = self.group.get() if self.group.exists() else (None, None, 0)
+            games, late, places = None, {}, set()
             for frame in rows:
                 wait = {}
-                for at, number, again, mask in zip(frame["at_us"], frame["place"], frame["again"], frame["mask"]):
-                    at, number = int(at), int(number)
-                    if state[4] is not None and (at, number) < (state[4], state[5]):
-                        late += 1
-                        continue
-                    wait.setdefault(at // 1000 // bucket, []).append([at, number, int(again), int(mask)])
+                numbers = [frame[c].astype("int64").tolist() for c in ("at_us", "place", "again", "mask")]
+                for who, at, number, again, mask in zip(frame["who"].tolist(), *numbers):
+                    place = at // 1000 // bucket
+                    end = (place + 1) * bucket
+                    # Only what falls into buckets that have been played can be behind the last turn.
+                    if forget is not None or (played is not None and end <= played):
+                        games = self._games() if games is None else games
+                        game = games.setdefault(who, list(NEW_GAME))
+                        if game[4] is not None and (at, number) < (game[4], game[5]):
+                            game[3] += 1
+                            late[who] = True
+                            continue
+                        game[7] = max(game[7], end)
+                    wait.setdefault(place, []).append((at, number, again, mask, who))
                 for place, turns in wait.items():
                     for begin in range(0, len(turns), held_turns):
-                        self.held.updateValue((place, state[7]), (json.dumps(turns[begin : begin + held_turns]),))
-                        state[7] += 1
-                    timers.add((place + 1) * bucket)
-                    state[8] = max(state[8], (place + 1) * bucket)
-            for at in timers:
-                self.handle.registerTimer(at)
-            if timers and forget is not None:
-                self.handle.registerTimer(state[8] + forget)
-            state[3] += late
-            state[6] += bool(late)
-            self.game.update(tuple(state))
-            if late:
-                yield self._row(key, state)
+                        self.held.updateValue((place, chunks), (json.dumps(turns[begin : begin + held_turns]),))
+                        chunks += 1
+                places.update(wait)
+            if places:
+                self.group.update((played, forgot, chunks))
+                self.handle.registerTimer((min(places) + 1) * bucket)
+                for place in places if forget is not None else ():
+                    self.handle.registerTimer((place + 1) * bucket + forget)
+            if games is not None:
+                yield self._stored(games, late)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import json
 
             mark = timerValues.getCurrentWatermarkInMs()
-            due = {}
-            for place, chunk in [tuple(k) for k in self.held.keys()]:
+            played, forgot, chunks = self.group.get()
+            due, rest = {}, None
+            for place, chunk in self.held.keys():
                 if (place + 1) * bucket <= mark:
                     due.setdefault(place, []).append(chunk)
-            state = self._state()
+                else:
+                    rest = place if rest is None else min(rest, place)
+            games, moved = self._games() if due or forget is not None else {}, {}
             for place in sorted(due):
-                turns = sorted(t for chunk in due[place] for t in json.loads(self.held.getValue((place, chunk))[0]))
-                for at, number, again, mask in turns:
-                    state[2], state[4], state[5] = state[2] + 1, at, number
+                turns = sorted(tuple(t) for chunk in due[place] for t in json.loads(self.held.getValue((place, chunk))[0]))
+                for at, number, again, mask, who in turns:
+                    game = games.setdefault(who, list(NEW_GAME))
+                    moved[who] = True
+                    game[2], game[4], game[5] = game[2] + 1, at, number
                     if again:
-                        state[0] = 0
-                    elif state[0] < levels:
-                        state[0], state[1] = (state[0] + 1, 0) if mask >> state[0] & 1 else (state[0], state[1] + 1)
+                        game[0] = 0
+                    elif game[0] < levels:
+                        game[0], game[1] = (game[0] + 1, 0) if mask >> game[0] & 1 else (game[0], game[1] + 1)
                 for chunk in due[place]:
                     self.held.removeKey((place, chunk))
             if due:
-                state[6] += 1
-                self.game.update(tuple(state))
-                yield self._row(key, state)
-            elif forget is not None and self.game.exists() and state[8] + forget <= mark:
-                self.game.clear()
+                yield self._stored(games, moved)
+            if rest is not None:
+                self.handle.registerTimer((rest + 1) * bucket)
+            if forget is not None and forgot != mark:
+                self.games.update((json.dumps({who: game for who, game in games.items() if game[7] + forget > mark}),))
+            self.group.update((mark if due else played, mark, chunks))
 
         def close(self):
             pass
@@ -281,12 +331,13 @@ def ordered_progression_stream(
     bits = F.aggregate(F.transform(hits, lambda h, i: F.when(h, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
     stamped = turns.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
     # The time goes on as a number: a column that carries the watermark would have late turns dropped unseen.
-    keyed = stamped.where(F.col(session).isNotNull() & F.col(ts).isNotNull()).select(
-        session, F.unix_micros("_ts").alias("at_us"), F.col(order).cast("long").alias("place"), again.alias("again"),
-        bits.cast("long").alias("mask"),
+    keyed = _dealt(
+        stamped.where(F.col(session).isNotNull() & F.col(ts).isNotNull()), session, groups, F.unix_micros("_ts").alias("at_us"),
+        F.col(order).cast("long").alias("place"), again.alias("again"), bits.cast("long").alias("mask"),
     )
-    schema = f"{session} {kind}, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean, version bigint"
-    return keyed.groupBy(session).transformWithStateInPandas(Player(), schema, "Update", "EventTime")
+    schema = "who string, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean, version bigint"
+    moved = keyed.groupBy("party").transformWithStateInPandas(Player(), schema, "Update", "EventTime")
+    return _undealt(moved, session, kind)
 
 
 def window_counts(turns: DataFrame, ts: str, by: Sequence[str], window: str, late: str, name: str = "n_hits") -> DataFrame:

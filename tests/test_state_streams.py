@@ -132,3 +132,35 @@ def test_changed_levels_hold_from_the_next_batch(spark, tmp_path):
 @pytest.mark.parametrize("name", ["stream_progress_ordered", "stream_late_rows"])
 def test_registered_streams_run(spark, data, name):
     assert registered.QUERIES[name](spark, data).count() > 0
+
+
+def test_sessions_of_a_group_keep_their_own_state(spark, tmp_path):
+    rng = random.Random(8)
+    names = [f"u{i}" for i in range(20)] + ["", "=x"]
+    schema = TURNS.replace("user bigint", "user string")
+    rows = [(rng.choice(names), k, rng.random() < 0.4, rng.random() < 0.05, DAY + datetime.timedelta(minutes=k)) for k in range(400)]
+    batch = sessions.progression(spark.createDataFrame(rows, schema), "user", "k", F.array_repeat(F.col("ok"), 3), 3, F.col("again"))
+    last = batch.groupBy("user").agg(F.max_by(F.struct("level_after", "wrong_after"), "k").alias("s"), F.count("*").alias("n"))
+    want = {r.user: (r.s[0], r.s[1], r.n, 0) for r in last.collect()}
+    hits, base = F.array_repeat(F.col("ok"), 3), tmp_path / "plain"
+    base.mkdir()
+    stream = files(spark, base, [rows[:200] + [(None, 0, True, False, DAY)], rows[200:]], schema)
+    moved = jobs.progression_stream(stream, "user", "k", hits, 3, F.col("again"), "string", groups=2)
+    got = {r.user: (r.level, r.wrong, r.n_turns, r.n_late) for r in jobs.run_available(moved, "update", ["user"]).collect()}
+    assert got.pop(None) == (1, 0, 1, 0) and got == want
+    rng.shuffle(rows)
+    end = ("end", 0, False, False, DAY + datetime.timedelta(days=9))
+    stream = files(spark, tmp_path, [rows[::2], rows[1::2], [end]], schema)
+    moved = jobs.ordered_progression_stream(stream, "user", "ts", "k", hits, 3, "1 day", F.col("again"), 600_000, groups=2)
+    out = jobs.run_available(moved, "update", ["user"], "ordered", version="version").where("user <> 'end'")
+    assert {r.user: (r.level, r.wrong, r.n_turns, r.n_late) for r in out.collect()} == want
+
+
+def test_a_session_is_forgotten_and_its_group_is_not(spark, tmp_path):
+    at = lambda minutes: DAY + datetime.timedelta(minutes=minutes)
+    parts = [
+        [(1, 0, True, False, at(0)), (2, 0, True, False, at(0)), (2, 1, True, False, at(50))], [(-1, 0, False, False, at(75))],
+        [(-1, 1, False, False, at(77))], [(1, 2, True, False, at(78)), (2, 2, True, False, at(78))], [(-1, 2, False, False, at(500))],
+    ]
+    got = played(spark, files(spark, tmp_path, parts, TURNS), delay="1 minute", forget=3_600_000, groups=1)
+    assert got == {1: (1, 0, 1, 0), 2: (3, 0, 3, 0)}
