@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake.plans.turns import guard_turns
 from guardlake.session import scratch_path
@@ -110,6 +111,63 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
+PROGRESS_STATE = "level int, wrong bigint, seen bigint, last string, late bigint"
+
+
+def progression_stream(
+    turns: DataFrame, session: str, order: str, hits: Column, levels: int, restart: Column | None = None,
+    session_type: str = "bigint",
+) -> DataFrame:
+    """Session state across micro-batches: one row per session that moved in the batch.
+
+    The state is five values. Inside a batch a session's turns are put in order
+    here, each kept as its order key and flags only. A turn before the
+    last one of an earlier batch comes too late to be played: it is counted in
+    ``n_late`` and changes nothing else. A restart sets the level back to 0 and leaves
+    the wrong counter. ``order`` is a whole number, a text or a time.
+    """
+    schema = f"{session} {session_type}, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean"
+    kind = turns.schema[order].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+
+    def fold(key: tuple, frames: "Iterator[pd.DataFrame]", state: GroupState) -> "Iterator[pd.DataFrame]":
+        import pandas as pd
+
+        level, wrong, seen, last, late = state.get if state.exists else (0, 0, 0, None, 0)
+        newest = before = int(last) if whole and last is not None else last
+        moves = []
+        for frame in frames:
+            for at, again, hit in zip(frame["_order"], frame["_restart"], frame["_hits"]):
+                moves.append((int(at) if whole else str(at), bool(again), sum(1 << i for i, h in enumerate(hit) if h)))
+        moves.sort()
+        for at, again, hit in moves:
+            if before is not None and at < before:
+                late += 1
+                continue
+            newest = at
+            seen += 1
+            if again:
+                level = 0
+            elif level < levels:
+                if hit >> level & 1:
+                    level, wrong = level + 1, 0
+                else:
+                    wrong += 1
+        state.update((int(level), int(wrong), int(seen), None if newest is None else str(newest), int(late)))
+        yield pd.DataFrame({
+            session: [key[0]], "level": [level], "wrong": [wrong], "n_turns": [seen], "n_late": [late],
+            "finished": [level == levels],
+        })
+
+    again = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
+    keyed = turns.select(session, F.col(order).alias("_order"), again.alias("_restart"), hits.alias("_hits"))
+    if not whole:
+        keyed = keyed.withColumn("_order", F.col("_order").cast("string"))
+    return keyed.groupBy(session).applyInPandasWithState(
+        fold, schema, PROGRESS_STATE, "update", GroupStateTimeout.NoTimeout
+    )
+
+
 #: Event-time timers and map state live in a state store of this kind.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HELD_TURNS = 4_096
@@ -137,75 +195,6 @@ def _undealt(moved: DataFrame, session: str, kind: str) -> DataFrame:
     return moved.select(own, *[c for c in moved.columns if c != "who"])
 
 
-def progression_stream(
-    turns: DataFrame, session: str, order: str, hits: Column, levels: int, restart: Column | None = None,
-    session_type: str = "bigint", groups: int = GROUPS,
-) -> DataFrame:
-    """Session state across micro-batches: one row per session that moved in the batch.
-
-    The state is five values per session. Inside a batch a session's turns are put in order
-    here, each kept as its order key and flags only. A turn before the
-    last one of an earlier batch comes too late to be played: it is counted in
-    ``n_late`` and changes nothing else. A restart sets the level back to 0 and leaves
-    the wrong counter. ``order`` is a whole number, a text or a time.
-
-    Sessions are dealt to ``groups``; a call takes what a micro-batch has of a group, and reads and writes the group's
-    states as one value.
-    """
-    from pyspark.sql.streaming import StatefulProcessor
-
-    state_store(turns.sparkSession)
-    whole = turns.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-
-    class Player(StatefulProcessor):
-        def init(self, handle):
-            self.games = handle.getValueState("games", "games string")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import json
-
-            import pandas as pd
-
-            moves = {}
-            for frame in rows:
-                columns = [frame[c].tolist() for c in ("who", "at", "again", "mask")]
-                for who, at, again, mask in zip(*columns):
-                    moves.setdefault(who, []).append((int(at) if whole else str(at), again, int(mask or "0", 2)))
-            games, made = json.loads(self.games.get()[0]) if self.games.exists() else {}, []
-            for who, played in moves.items():
-                level, wrong, seen, last, late = games.get(who, (0, 0, 0, None, 0))
-                newest = before = last
-                played.sort()
-                for at, again, mask in played:
-                    if before is not None and at < before:
-                        late += 1
-                        continue
-                    newest = at
-                    seen += 1
-                    if again:
-                        level = 0
-                    elif level < levels:
-                        if mask >> level & 1:
-                            level, wrong = level + 1, 0
-                        else:
-                            wrong += 1
-                games[who] = (level, wrong, seen, newest, late)
-                made.append((who, level, wrong, seen, late, level == levels))
-            self.games.update((json.dumps(games),))
-            yield pd.DataFrame(made, columns=["who", "level", "wrong", "n_turns", "n_late", "finished"])
-
-        def close(self):
-            pass
-
-    again = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
-    mask = F.reverse(F.array_join(F.transform(hits, lambda h: F.when(h, "1").otherwise("0")), ""))
-    at = F.col(order) if whole else F.col(order).cast("string")
-    keyed = _dealt(turns, session, groups, at.alias("at"), again.alias("again"), mask.alias("mask"))
-    schema = "who string, level bigint, wrong bigint, n_turns bigint, n_late bigint, finished boolean"
-    moved = keyed.groupBy("party").transformWithStateInPandas(Player(), schema, "Update", "None")
-    return _undealt(moved, session, session_type)
-
-
 def ordered_progression_stream(
     turns: DataFrame, session: str, ts: str, order: str, hits: Column, levels: int, delay: str,
     restart: Column | None = None, bucket: int = 60_000, forget: int | None = None, groups: int = GROUPS,
